@@ -39,12 +39,8 @@ def resolve_hierarchy(edges: DataFrame, *, tree: str = "hierarchy", node: str =
     """
     spark = edges.sparkSession
     work = Workspace(spark, "hierarchy")
-    links = (
-        edges.select(F.col(tree).alias("t"), F.col(node).alias("v"), F.col(parent).alias("p"))
-        .where("t is not null and v is not null and p is not null")
-        .groupBy("t", "v")
-        .agg(F.min("p").alias("p"))
-    )
+    given = edges.select(F.col(tree).alias("t"), F.col(node).alias("v"), F.col(parent).alias("p")).where("t is not null and v is not null and p is not null")
+    links = given.groupBy("t", "v").agg(F.min("p").alias("p"))
     live = links.withColumns({"w": F.lit(1).cast("bigint"), "low": F.lit(None).cast("string")})
     if paths:
         live = live.withColumn("seg", F.array().cast("array<string>"))
@@ -76,7 +72,7 @@ def resolve_hierarchy(edges: DataFrame, *, tree: str = "hierarchy", node: str =
         done = done.unionByName(work.stage(part.select(kept)))
 
     # ids that stand only in the parent column are roots
-    roots = first.select("t", F.col("p").alias("v")).distinct().join(first.select("t", "v"), ["t", "v"], "left_anti").select("t", "v", F.col("v").alias("root"), F.lit(0).cast("bigint").alias("depth"), *([F.array("v").alias("path")] if paths else []))
+    roots = given.select("t", F.col("p").alias("v")).distinct().join(first.select("t", "v"), ["t", "v"], "left_anti").select("t", "v", F.col("v").alias("root"), F.lit(0).cast("bigint").alias("depth"), *([F.array("v").alias("path")] if paths else []))
     out = roots if done is None else done.unionByName(roots)
     return out.select(F.col("t").alias("hierarchy"), F.col("v").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").alias("node_depth"), *(["path"] if paths else []))
 
