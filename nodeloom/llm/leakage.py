@@ -171,6 +171,7 @@ class Search:
 
     width: int = 10
     stride: int = 1
+    item_stride: int = 1
     tables: int = 1
     bits: int = RANK
     cosine: float = 0.999
@@ -179,7 +180,7 @@ class Search:
 
 
 VERBATIM = Search()
-PARAPHRASE = Search(width=24, stride=4, tables=12, bits=9, cosine=0.8, common=0.6, answer=0.5)
+PARAPHRASE = Search(width=24, stride=4, item_stride=4, tables=16, bits=12, cosine=0.93, common=0.6, answer=0.5)
 
 #: Fixed value: what introduces the answer inside an item's text.
 ANSWER = re.compile(r"(?is)\banswer\s*:\s*(.+)$")
@@ -193,11 +194,10 @@ class _Index:
         for k, (_, codes) in enumerate(items):
             if len(codes) < how.width:
                 continue
-            x = space.windows(codes, how.width)
-            n = x.shape[1]
-            owner.append(np.full(n, k))
+            x = space.windows(codes, how.width)[:, :: how.item_stride]
+            owner.append(np.full(x.shape[1], k))
             coords.append(x)
-            parts.append(np.lib.stride_tricks.sliding_window_view(codes, how.width))
+            parts.append(np.lib.stride_tricks.sliding_window_view(codes, how.width)[:: how.item_stride])
         self.empty = not owner
         self.how, self.space = how, space
         if self.empty:
@@ -208,7 +208,8 @@ class _Index:
         self.norm = np.linalg.norm(self.x, axis=0)
         self.middle = np.median(self.x, axis=1).astype(np.float32)
         rng = np.random.default_rng(SEED + 1)
-        order = [rng.permutation(RANK)[: how.bits] for _ in range(how.tables)] if how.tables > 1 else [np.arange(how.bits)]
+        # one table reads the signs of the coordinates themselves, exactly; further ones of random directions
+        order = [None] if how.tables == 1 else [rng.standard_normal((how.bits, RANK)).astype(np.float32) for _ in range(how.tables)]
         self.tables = []
         for dims in order:
             code = self._code(self.x, dims)
@@ -217,10 +218,14 @@ class _Index:
             known[code] = True
             self.tables.append((dims, code[rank], rank, known))
 
-    def _code(self, x: np.ndarray, dims: np.ndarray) -> np.ndarray:
+    def _code(self, x: np.ndarray, mix: np.ndarray | None) -> np.ndarray:
         code = np.zeros(x.shape[1], np.int64)
-        for j, d in enumerate(dims):
-            code |= (x[d] > self.middle[d]).astype(np.int64) << j
+        if mix is None:
+            for j in range(self.how.bits):
+                code |= (x[j] > self.middle[j]).astype(np.int64) << j
+        else:
+            for j, side in enumerate(mix @ x > 0):
+                code |= side.astype(np.int64) << j
         return code
 
     def candidates(self, x: np.ndarray, at: np.ndarray):
@@ -247,15 +252,21 @@ class _Index:
 
 
 def _common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of each pair of rows."""
-    n, width = a.shape
-    row = np.zeros((n, b.shape[1] + 1), np.int32)
-    for i in range(width):
-        new = np.zeros_like(row)
-        for j in range(b.shape[1]):
-            new[:, j + 1] = np.where(a[:, i] == b[:, j], row[:, j] + 1, np.maximum(row[:, j + 1], new[:, j]))
-        row = new
-    return row[:, -1]
+    """Length of the longest common subsequence of each pair of rows of at most 64 words, bit-parallel."""
+    width = b.shape[1]
+    out = np.empty(len(a), np.int64)
+    for lo in range(0, len(a), 4096):
+        equal = a[lo : lo + 4096, :, None] == b[lo : lo + 4096, None, :]
+        packed = np.zeros((*equal.shape[:2], 8), np.uint8)
+        bits = np.packbits(equal, axis=2, bitorder="little")
+        packed[:, :, : bits.shape[2]] = bits
+        masks = packed.view(np.uint64)[:, :, 0]
+        v = np.full(len(equal), np.iinfo(np.uint64).max)
+        for i in range(a.shape[1]):
+            u = v & masks[:, i]
+            v = (v + u) | (v - u)
+        out[lo : lo + 4096] = width - np.bitwise_count(v & np.uint64((1 << width) - 1 if width < 64 else (1 << 64) - 1))
+    return out
 
 
 def search(encoded: DataFrame, space: LatentSpace, items: list[tuple[int, np.ndarray, np.ndarray]], how: Search) -> DataFrame:
@@ -295,7 +306,7 @@ def search(encoded: DataFrame, space: LatentSpace, items: list[tuple[int, np.nda
                         score = np.ones(len(pos))
                     else:
                         mine = part[pos[:, None] + np.arange(how.width)]
-                        score = np.concatenate([_common_subsequence(mine[k : k + 20000], index.words[idx[k : k + 20000]]) for k in range(0, len(pos), 20000)]) / how.width
+                        score = _common_subsequence(mine, index.words[idx]) / how.width
                         good = score >= how.common
                         pos, idx, score = pos[good], idx[good], score[good]
                     for r, k, s in zip(row[pos].tolist(), index.owner[idx].tolist(), score.tolist()):

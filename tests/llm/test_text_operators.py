@@ -181,3 +181,53 @@ def test_leaks_edges(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_WINDOWS", 1)
     assert {(r.doc_id, r.item_id) for r in leakage.leaks(d, i).collect()} == want
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
+
+
+def test_latent_index_recall(spark):
+    """Bucketed candidates against all pairs by brute force."""
+    import numpy as np
+
+    d, i = (table(spark, "/root/testdata/sf0.001", n) for n in ("documents", "eval_items"))
+    encoded = leakage.encode(d, "doc_id")
+    space = leakage.fit(encoded)
+    unpack = lambda rows: [np.frombuffer(r.codes, np.uint32) for r in rows]
+    items = list(enumerate(unpack(leakage.encode(i.withColumnRenamed("item_id", "k"), "k").collect())))
+    how = leakage.PARAPHRASE
+    index = leakage._Index(space, items, how)
+    total = hit = 0
+    for codes in unpack(encoded.collect()):
+        if len(codes) < how.width:
+            continue
+        x = space.windows(codes, how.width)[:, :: how.stride]
+        near = x.T @ index.x >= how.cosine * np.linalg.norm(x, axis=0)[:, None] * index.norm[None] - 1e-6
+        found = np.zeros_like(near)
+        for at, k in index.candidates(x, np.arange(x.shape[1])):
+            found[at, k] = True
+        total, hit = total + near.sum(), hit + (found & near).sum()
+    assert total > 100 and hit / total >= 0.9
+
+
+def test_common_subsequence():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 5, (50, 24)).astype(np.uint32), rng.integers(0, 5, (50, 24)).astype(np.uint32)
+
+    def plain(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            new = [0]
+            for j, e in enumerate(y):
+                new.append(row[j] + 1 if c == e else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    assert leakage._common_subsequence(a, b).tolist() == [plain(x, y) for x, y in zip(a, b)]
+
+
+def test_paraphrase_needs_the_answer(spark):
+    item = "which callers reach the portable scanner before every cached shard is sealed by the ledger worker of module kiln answer: only stitch argument"
+    near = item.replace("cached", "frozen").replace("module", "package")
+    texts = [near, near.split(" answer")[0] + " and nothing else is told about it here at all"] + [" ".join(f"v{chr(97 + (k * 7 + j) % 26)}" for k in range(60)) for j in range(20)]
+    got = leakage.leaks(docs(spark, texts), spark.createDataFrame([(1, item)], "item_id bigint, text string"), leakage.PARAPHRASE)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 1)}
