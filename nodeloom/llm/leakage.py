@@ -180,7 +180,7 @@ class Search:
 
 
 VERBATIM = Search()
-PARAPHRASE = Search(width=24, stride=4, item_stride=4, tables=16, bits=12, cosine=0.93, common=0.6, answer=0.5)
+PARAPHRASE = Search(width=24, stride=4, item_stride=4, tables=20, bits=11, cosine=0.88, common=0.6, answer=0.5)
 
 #: Fixed value: what introduces the answer inside an item's text.
 ANSWER = re.compile(r"(?is)\banswer\s*:\s*(.+)$")

@@ -225,9 +225,13 @@ def test_common_subsequence():
     assert leakage._common_subsequence(a, b).tolist() == [plain(x, y) for x, y in zip(a, b)]
 
 
-def test_paraphrase_needs_the_answer(spark):
-    item = "which callers reach the portable scanner before every cached shard is sealed by the ledger worker of module kiln answer: only stitch argument"
-    near = item.replace("cached", "frozen").replace("module", "package")
-    texts = [near, near.split(" answer")[0] + " and nothing else is told about it here at all"] + [" ".join(f"v{chr(97 + (k * 7 + j) % 26)}" for k in range(60)) for j in range(20)]
-    got = leakage.leaks(docs(spark, texts), spark.createDataFrame([(1, item)], "item_id bigint, text string"), leakage.PARAPHRASE)
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(0, 1)}
+def test_paraphrase_needs_the_answer(spark, data):
+    corpus = table(spark, data, "documents").select("doc_id", "text")
+    item = table(spark, data, "eval_items").where("lower(text) like '%answer: only%'").orderBy("item_id").first()
+    spread = item.text.split()
+    near = " ".join(w if k % 10 else "indeed" for k, w in enumerate(spread))
+    cut = near.lower().split("answer:")[0] + " nothing else is told here"
+    mine = spark.createDataFrame([(-1, near), (-2, cut)], "doc_id bigint, text string")
+    got = leakage.leaks(corpus.unionByName(mine), table(spark, data, "eval_items"), leakage.PARAPHRASE)
+    pairs = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert (-1, item.item_id) in pairs and (-2, item.item_id) not in pairs
