@@ -368,12 +368,13 @@ class Compiler:
     def unwind(self, scope: Scope, clause: s.Unwind) -> Scope:
         if clause.var in scope.vars:
             raise QueryError("CQL2005", f"{clause.var} is already bound")
-        if not isinstance(self.type_of(clause.source, scope), (T.ArrayType, T.NullType)):
+        kind = self.type_of(clause.source, scope)
+        if not isinstance(kind, (T.ArrayType, T.NullType)):
             raise QueryError("CQL4003", "UNWIND takes a list")
-        c = f"{clause.var}__value"
+        c = self.name("v")
         vars_ = OrderedDict(scope.vars)
         vars_[clause.var] = Bound("value", {"value": c})
-        return Scope(self.table(scope).select("*", F.explode(self.expr(clause.source, scope)).alias(c)), vars_)
+        return Scope(self.table(scope).select("*", F.explode(self.expr(clause.source, scope) if isinstance(kind, T.ArrayType) else F.array().cast("array<string>")).alias(c)), vars_)
 
     def project(self, scope: Scope, p: s.Projection) -> Scope:
         items = [s.Item(s.Var(v), v) for v in sorted(scope.vars) if not v.startswith("_")] if p.star else []
@@ -397,17 +398,18 @@ class Compiler:
         keys, aggs, plain = [], [], []
         for i in flat:
             if grouped and s.aggregates(i.expr):
-                c = f"{i.name}__value"
+                c = self.name("v")
                 aggs.append(self.expr(i.expr, scope, grouping=True).alias(c))
                 vars_[i.name] = Bound("value", {"value": c})
                 continue
             if isinstance(i.expr, s.Var) and i.expr.name in scope.vars and scope.vars[i.expr.name].kind != "value":
                 b = scope.vars[i.expr.name]
-                cols = {f: f"{i.name}__{f.removeprefix('p:')}" for f in b.cols}
+                stem = self.name("b")
+                cols = {f: f"{stem}__{f.removeprefix('p:')}" for f in b.cols}
                 made = [F.col(b.cols[f]).alias(c) for f, c in cols.items()]
                 vars_[i.name] = Bound(b.kind, cols)
             else:
-                c = f"{i.name}__value"
+                c = self.name("v")
                 made = [self.expr(i.expr, scope).alias(c)]
                 vars_[i.name] = Bound("value", {"value": c})
             (keys if grouped else plain).extend(made)

@@ -89,7 +89,7 @@ TRADE = {
     "pr17_list_equality": ("RETURN [1, 2] = [1, 2] AS a, [1, 2] = [1, 3] AS b, [1] = [1, 2] AS c, 1 = 1.0 AS d, 1 = 'x' AS e, null = 1 AS f", "SELECT true AS a, false AS b, false AS c, true AS d, false AS e, CAST(NULL AS BOOLEAN) AS f", {}),
     "pr18_cross_type": ("RETURN 'a' < 1 AS a, 1 < 'a' AS b, true < 1 AS c, [1] < 'x' AS d", "SELECT true AS a, false AS b, true AS c, true AS d", {}),
     "pr19_in": ("UNWIND [1, 3, null] AS x RETURN toString(x) AS x, x IN [1, 2] AS a, x IN [1, null] AS b", "SELECT CAST(x AS VARCHAR) AS x, x IN (1, 2) AS a, x IN (1, NULL) AS b FROM (SELECT unnest([1, 3, NULL]) AS x)", {}),
-    "pr20_strings": ("MATCH (p:Part) WHERE p.name STARTS WITH 'p' OR p.name ENDS WITH '7' OR p.name CONTAINS '42' RETURN p.id AS id", "SELECT 'part:' || p_partkey AS id FROM part WHERE starts_with(p_name, 'p') OR suffix(p_name, '7') OR contains(p_name, '42')", {}),
+    "pr20_strings": ("MATCH (p:Part) WHERE p.name STARTS WITH 'sm' OR p.name ENDS WITH 'bolt' OR p.name CONTAINS 'd w' RETURN p.id AS id", "SELECT 'part:' || p_partkey AS id FROM part WHERE starts_with(p_name, 'sm') OR suffix(p_name, 'bolt') OR contains(p_name, 'd w')", {}),
     "pr21_regex": ("MATCH (c:Customer) WHERE c.name =~ '1[0-4]' RETURN c.id AS id", "SELECT 'customer:' || c_custkey AS id FROM customer WHERE regexp_matches(c_name, '1[0-4]')", {}),
     "pr22_null_test": ("MATCH (n) WHERE n.acctbal IS NOT NULL AND n.segment IS NULL RETURN n.id AS id", "SELECT 'supplier:' || s_suppkey AS id FROM supplier WHERE s_acctbal IS NOT NULL", {}),
     "pr23_precedence": ("RETURN 2 + 3 * 4 ^ 2 AS a, 2 ^ 3 ^ 2 AS b, true OR false AND false AS c, 7 - 2 - 1 AS d, -2 ^ 2 AS e", "SELECT 50.0::DOUBLE AS a, 512.0::DOUBLE AS b, true AS c, 4::BIGINT AS d, -4.0::DOUBLE AS e", {}),

@@ -13,7 +13,7 @@ from ..text import rank as rk
 from ..text import tokens as tk
 from .patterns import CODE_SQL
 
-QUESTIONS = ((1, "where is the cache parser resolved"), (2, "how does the HashRegistry write snapshots"), (3, "which callers reach merge_store"))
+QUESTIONS = ((1, "where is update_snapshot and its scanner resolved"), (2, "how does pick_anchor reach validate_constraint"), (3, "filter_operator or render_lexer in ledger"))
 
 
 def _questions(spark):

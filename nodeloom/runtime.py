@@ -35,6 +35,15 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/nodeloom-{tag}-{uuid.uuid4().hex}"
         self._n = 0
+        # lazy results read these tables until the session ends, so they go with it
+        where = self._path(self.root)
+        self._files(where).deleteOnExit(where)
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self, where):
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def stage(self, df: DataFrame, *partition_by: str) -> DataFrame:
         return self.stage_counted(df, *partition_by)[0]
@@ -60,9 +69,8 @@ class Workspace:
         """Delete a staged table that no later plan reads."""
         path = getattr(df, "_staged_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            where = self._path(path)
+            self._files(where).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
