@@ -42,89 +42,98 @@ def _unwrap(value):
     return value
 
 
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
+
+
 class _Flattener:
     """Walks one document without recursion, so that nesting depth is bounded by memory only."""
 
     def __init__(self, members: frozenset[str] | None, list_members: tuple[str, ...]):
         self.members, self.list_members = members, frozenset(list_members)
 
-    def identity(self, value, bodies: dict[str, str]) -> str:
-        """Hash of a value from the leaves up; adds each object's body to ``bodies``."""
-        done: list[str] = []
-        todo: list[tuple] = [(value, None)]
-        while todo:
-            value, shape = todo.pop()
-            if shape is None:
-                value = _unwrap(value)
-                if isinstance(value, dict):
-                    nested = [(k, v) for k, v in sorted(value.items()) if isinstance(_unwrap(v), (dict, list))]
-                    todo.append((value, nested))
-                    todo.extend((v, None) for _, v in reversed(nested))
-                elif isinstance(value, list):
-                    todo.append((value, len(value)))
-                    todo.extend((v, None) for v in reversed(value))
-                else:
-                    done.append(hashlib.blake2b(b"s" + _encode(value).encode(), digest_size=16).hexdigest())
-                continue
-            n = len(shape) if isinstance(value, dict) else shape
-            below = done[len(done) - n :] if n else []
-            del done[len(done) - n :]
-            if isinstance(value, dict):
-                names = {k for k, _ in shape}
-                body = _encode({k: v for k, v in value.items() if k not in names and v is not None})
-                key = hashlib.blake2b(_encode([body, [[k, h] for (k, _), h in zip(shape, below)]]).encode(), digest_size=16).hexdigest()
-                bodies.setdefault(key, body)
-            else:
-                key = hashlib.blake2b(b"l" + "".join(below).encode(), digest_size=16).hexdigest()
-            done.append(key)
-        return done[0]
-
     def rows(self, table: str, owner: str, text: str, sent: set[str]) -> Iterator[tuple]:
         try:
-            root = _decode(text)
+            root = _unwrap(_decode(text))
         except (ValueError, RecursionError):
             return
-        root = _unwrap(root)
-        bodies: dict[str, str] = {}
-        keep_all = self.members is None
-        if keep_all and isinstance(root, (dict, list)):
-            yield table, owner, None, "", None, 0, self.identity(root, bodies), None
-        todo: list[tuple] = [(root, "", None)]
+        if not isinstance(root, (dict, list)):
+            return
+        self.known: dict[int, str] = {}
+        self.bodies: dict[str, str] = {}
+        occurrences = list(self._occurrences(root))
+        if self.members is None:
+            yield table, owner, None, "", None, 0, self.identity(root), None
+        for holder, path, member, i, item in occurrences:
+            key = self.identity(item)
+            if isinstance(item, list):
+                self.bodies.setdefault(key, "[]")
+            yield table, owner, self.identity(holder), path, member, i, key, None
+        for key, body in self.bodies.items():
+            if key not in sent:
+                sent.add(key)
+                yield None, None, None, None, None, None, key, body
+
+    def _occurrences(self, root) -> Iterator[tuple]:
+        """Wanted (holder, path, member, ordinal, item); strings that hold JSON are replaced in place."""
+        todo: list[tuple] = [(root, "")]
         while todo:
-            value, path, key = todo.pop()
+            value, path = todo.pop()
             if isinstance(value, list):  # a list inside a list, or a list as the document
-                todo.extend((_unwrap(v), f"{path}[{i}]", None) for i, v in enumerate(value))
-                continue
-            if not isinstance(value, dict):
+                for i, v in enumerate(value):
+                    value[i] = v = _unwrap(v)
+                    if isinstance(v, (dict, list)):
+                        todo.append((v, f"{path}[{i}]"))
                 continue
-            own = None
             for member, inner in value.items():
-                inner = _unwrap(inner)
-                wanted = keep_all or member in self.members
-                if wanted and own is None and (isinstance(inner, (dict, list))):
-                    own = self.identity(value, bodies)
+                if type(inner) is str:
+                    if inner[:1] not in "{[ \n\r\t":
+                        continue
+                    inner = value[member] = _unwrap(inner)
+                if not isinstance(inner, (dict, list)):
+                    continue
+                wanted = self.members is None or member in self.members
                 here = f"{path}.{member}" if path else member
                 if isinstance(inner, list):
                     for i, item in enumerate(inner):
-                        item = _unwrap(item)
+                        inner[i] = item = _unwrap(item)
                         if wanted:
-                            yield self._row(table, owner, own, path, member, i, item, bodies)
+                            yield value, path, member, i, item
                         if isinstance(item, (dict, list)):
-                            todo.append((item, f"{here}[{i}]", None))
-                elif isinstance(inner, dict):
+                            todo.append((item, f"{here}[{i}]"))
+                else:
                     if wanted:
-                        yield self._row(table, owner, own, path, member, 0, inner, bodies)
-                    todo.append((inner, f"{here}[0]" if member in self.list_members else here, None))
-        for key, body in bodies.items():
-            if key not in sent:
-                sent.add(key)
-                yield None, None, None, None, None, None, key, body
-
-    def _row(self, table, owner, own, path, member, i, item, bodies):
-        key = self.identity(item, bodies)
-        if not isinstance(item, dict):
-            bodies.setdefault(key, _encode(item) if not isinstance(item, list) else "[]")
-        return table, owner, own, path, member, i, key, None
+                        yield value, path, member, 0, inner
+                    todo.append((inner, f"{here}[0]" if member in self.list_members else here))
+
+    def identity(self, value) -> str:
+        """Identity of a value, each container of the document being hashed once, leaves first."""
+        if not isinstance(value, (dict, list)):
+            body = _encode(value)
+            key = _digest("s" + body)
+            self.bodies[key] = body
+            return key
+        known = self.known
+        todo = [value]
+        while todo:
+            top = todo[-1]
+            parts = top.values() if isinstance(top, dict) else top
+            open_parts = [v for v in parts if isinstance(v, (dict, list)) and id(v) not in known]
+            if open_parts:
+                todo.extend(open_parts)
+                continue
+            todo.pop()
+            if id(top) in known:
+                continue
+            if isinstance(top, dict):
+                body = _encode({k: v for k, v in top.items() if v is not None and not isinstance(v, (dict, list))})
+                below = [f"{_encode(k)}:{known[id(v)]}" for k, v in sorted(top.items()) if isinstance(v, (dict, list))]
+                key = _digest(body + "|" + ",".join(below))
+                self.bodies[key] = body
+            else:
+                key = _digest("l" + ",".join(f"#{known[id(v)]}" if isinstance(v, (dict, list)) else _encode(v) for v in top))
+            known[id(top)] = key
+        return known[id(value)]
 
 
 def flatten(owners: DataFrame, *, members: tuple[str, ...] | None = None, list_members: tuple[str, ...] = LIST_MEMBERS) -> tuple[DataFrame, DataFrame]:
