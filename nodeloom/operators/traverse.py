@@ -55,6 +55,8 @@ def closure(adjacency: DataFrame, seeds: DataFrame, max_depth: int, *, hubs: Dat
     expanded, unless they are seeds. The loop stops at the first empty level.
     """
     work = Workspace(adjacency.sparkSession, "closure")
+    if max_depth > 1:
+        adjacency = work.stage(adjacency.select("here", "there", "eid", "type"))  # each step reads it again
     none = F.lit(None).cast("string")
     level = work.stage(seeds.select("root", "node").where("root is not null and node is not null").distinct().select("root", "node", F.lit(0).alias("depth"), none.alias("parent"), none.alias("eid"), none.alias("type")))
     seen = level
@@ -91,7 +93,7 @@ def trails(graph: PropertyGraph, pairs: DataFrame, max_depth: int = 8, direction
     level by level with one join each.
     """
     work = Workspace(graph.spark, "trails")
-    pairs = pairs.select("a", "b").distinct()
+    pairs = work.stage(pairs.select("a", "b").distinct())
     seen = work.stage(closure(directed(graph, types, direction), pairs.select(F.col("a").alias("root"), F.col("a").alias("node")), max_depth))
     at = pairs.join(seen.select(F.col("root").alias("a"), F.col("node").alias("b"), "depth", "parent"), ["a", "b"]).select("a", "b", F.col("depth").alias("hops"), F.col("parent").alias("at"), F.array("b").alias("path"))
     up = seen.select(F.col("root").alias("a"), F.col("node").alias("at"), F.col("parent").alias("next"))
@@ -102,7 +104,7 @@ def trails(graph: PropertyGraph, pairs: DataFrame, max_depth: int = 8, direction
 
 def node_trail(graph: PropertyGraph, pairs: DataFrame, max_depth: int = 8) -> DataFrame:
     """Directed shortest paths; ``diagnostic`` tells pairs that only connect against the direction."""
-    there = trails(graph, pairs, max_depth, "out")
+    there = Workspace(graph.spark, "trail").stage(trails(graph, pairs, max_depth, "out"))
     lost = there.where("path is null").select("a", "b")
     any_way = trails(graph, lost, max_depth, "both").where("path is not null").select("a", "b", F.lit("direction_mismatch").alias("diagnostic"))
     return there.join(any_way, ["a", "b"], "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import Workspace
 from . import tokens as tk
 
 #: BM25 constants and field weights.
@@ -28,7 +29,7 @@ def bm25(nodes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     The best node of each query term is pinned: pinned nodes take places first, the rest
     follow by score, and the chosen ones are ranked by score, ties by id.
     """
-    p = postings(nodes)
+    p = Workspace(nodes.sparkSession, "postings").stage(postings(nodes))  # the index: read for lengths, frequencies and hits
     docs = p.select("id", "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg"))
     terms = queries.select("query_id", F.explode(F.array_distinct(tk.query_terms(F.col("text")))).alias("term"))
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
