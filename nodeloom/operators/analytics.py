@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import PropertyGraph
+from ..graph import PropertyGraph, with_index
 from ..runtime import Workspace
 
 #: Labels that every language brings and that tell nothing about a project.
@@ -61,7 +61,8 @@ def community_order(members: DataFrame) -> DataFrame:
     nul = F.lit("\0")
     per = members.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"), F.sort_array(F.collect_list("id")).alias("ids"))
     sig = F.substring(F.sha2(F.concat(F.array_join("ids", "\0"), nul), 256), 1, 16)
-    return per.select("community", "size", "first", sig.alias("signature")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "first")) - 1)
+    ranked = per.select("community", "size", "first", sig.alias("signature"), (-F.col("size")).alias("_smaller"))
+    return with_index(ranked, "_smaller", "first", name="rank").drop("_smaller")
 
 
 def community_hubs(graph: PropertyGraph, members: DataFrame) -> DataFrame:
@@ -81,8 +82,8 @@ def remap_communities(new: DataFrame, old: DataFrame) -> DataFrame:
     mutual = overlap.withColumns({"x": r("community", "before"), "y": r("before", "community")}).where("x = 1 and y = 1").select("community", "before")
     all_new = new.select("community").distinct().join(mutual, "community", "left")
     top = old.agg(F.coalesce(F.max("community"), F.lit(-1)).alias("m")).scalar()
-    fresh = F.sum(F.when(F.col("before").isNull(), 1).otherwise(0)).over(Window.orderBy("community").rowsBetween(Window.unboundedPreceding, 0))
-    return all_new.select("community", F.coalesce("before", top + fresh).cast("bigint").alias("stable_id"))
+    fresh = with_index(all_new.where("before is null").select("community"), "community").select("community", (top + 1 + F.col("idx")).cast("bigint").alias("stable_id"))
+    return all_new.where("before is not null").select("community", F.col("before").cast("bigint").alias("stable_id")).unionByName(fresh)
 
 
 def exclude_hubs(graph: PropertyGraph, members: DataFrame, percentile: int = 99) -> DataFrame:

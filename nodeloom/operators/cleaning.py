@@ -68,25 +68,36 @@ def backfill_source(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(holder, "id", "left").select("id", F.regexp_replace(F.coalesce("source_file", "f"), r"\\", "/").alias("source_file"))
 
 
+def _folders(c: str) -> F.Column:
+    """Every directory above a file, with its depth, from the root (the empty path) down."""
+    parts = F.split(F.col(c), "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("folder")))
+
+
 def resolve_names(calls: DataFrame, defs: DataFrame) -> DataFrame:
     """(call_id, target, how) for ``calls(call_id, name, scope, file)`` against ``defs(id, name, scope, file)``.
 
     A name with one definition in its scope is taken; of several, the only one outside tests,
-    the only one in the caller's file, or the only one with the longest common directory;
-    otherwise the call stays unresolved. Candidates are reduced per call in one aggregation,
-    after definitions have been grouped by name, so a name that all call is joined once.
+    the only one in the caller's file, or the only one below the deepest directory shared
+    with the caller; otherwise the call stays unresolved. Definitions are only ever counted
+    per name, per file and per directory, so a name that everything defines is no burden.
     """
-    test = F.col("dfile").rlike("(^|/)tests?/|_test\\.|test_")
-    per = defs.where("name is not null").select("name", "scope", "id", F.col("file").alias("dfile")).withColumn("test", F.coalesce(test, F.lit(False))).groupBy("name", "scope").agg(F.array_sort(F.collect_set(F.struct("id", "dfile", "test"))).alias("ds"))
-    both = calls.join(per, ["name", "scope"], "left")
-    only = lambda xs: F.when(F.size(xs) == 1, xs[0]["id"])
-    dirs = lambda f: F.slice(F.split(f, "/"), 1, F.size(F.split(f, "/")) - 1)
-    shared = lambda f: F.size(F.filter(F.transform(F.zip_with(dirs(F.col("file")), dirs(f), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x, i: F.when(x, i)), lambda x: x.isNotNull()))
-    near = F.transform("ds", lambda d: F.coalesce(shared(d["dfile"]), F.lit(-1)))
-    nearest = F.filter("ds", lambda d: F.coalesce(shared(d["dfile"]), F.lit(-1)) == F.array_max(near))
-    unique, plain, same, close = only(F.col("ds")), only(F.filter("ds", lambda d: ~d["test"])), only(F.filter("ds", lambda d: d["dfile"] == F.col("file"))), only(nearest)
-    how = F.when(F.col("ds").isNull(), "unknown").when(unique.isNotNull(), "unique").when(plain.isNotNull(), "not_test").when(same.isNotNull(), "same_file").when(close.isNotNull(), "nearest").otherwise("ambiguous")
-    return both.select("call_id", F.coalesce(unique, plain, same, close).alias("target"), how.alias("how"))
+    test = F.coalesce(F.col("file").rlike("(^|/)tests?/|_test\\.|test_"), F.lit(False))
+    known = defs.where("name is not null").select("name", "scope", "id", "file", test.alias("test")).distinct()
+    names = known.groupBy("name", "scope").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one"), F.count_if(~F.col("test")).alias("n_plain"), F.min(F.when(~F.col("test"), F.col("id"))).alias("plain"))
+    files = known.groupBy("name", "scope", "file").agg(F.count(F.lit(1)).alias("n_file"), F.min("id").alias("same"))
+    both = calls.join(names, ["name", "scope"], "left")
+    clear = F.coalesce((F.col("n") == 1) | (F.col("n_plain") == 1), F.lit(True))
+    hard = both.where(~clear).join(files, ["name", "scope", "file"], "left")
+    folders = known.where("file is not null").select("name", "scope", "id", F.explode(_folders("file")).alias("f")).groupBy("name", "scope", F.col("f.folder").alias("folder")).agg(F.count(F.lit(1)).alias("n_near"), F.min("id").alias("near"))
+    asked = hard.where("file is not null").select("call_id", "name", "scope", F.explode(_folders("file")).alias("f")).select("call_id", "name", "scope", "f.*")
+    near = asked.join(folders, ["name", "scope", "folder"]).groupBy("call_id").agg(F.max(F.struct("depth", "n_near", "near")).alias("d"))
+    hard = hard.join(near, "call_id", "left")
+    same, close = F.when(F.col("n_file") == 1, F.col("same")), F.when(F.col("d.n_near") == 1, F.col("d.near"))
+    how = F.when(same.isNotNull(), "same_file").when(close.isNotNull(), "nearest").otherwise("ambiguous")
+    easy = F.when(F.col("n") == 1, F.col("one")).otherwise(F.col("plain"))
+    easy_how = F.when(F.col("n").isNull(), "unknown").when(F.col("n") == 1, "unique").otherwise("not_test")
+    return both.where(clear).select("call_id", easy.alias("target"), easy_how.alias("how")).unionByName(hard.select("call_id", F.coalesce(same, close).alias("target"), how.alias("how")))
 
 
 def exact_merges(nodes: DataFrame) -> DataFrame:
@@ -118,19 +129,19 @@ def band_keys(names: pd.Series) -> pd.Series:
 def fuzzy_names(nodes: DataFrame) -> DataFrame:
     """(name, class_name): distinct normalised names grouped by similarity of at least 92.
 
-    One row per distinct name of sufficient entropy. Names that share a band of their
-    signatures are compared; chains of similar names form a class, named by its smallest
-    name. Names of a band are linked in order of name, each with the next ones of that band
-    through a join on the band, so equal names never multiply: they were made one before.
+    One row per distinct name of sufficient entropy; equal names were made one before, so
+    copies never multiply. Names are compared where they share a band of their signatures
+    and hold the same numbers (names that differ in a number never merge, so numbered series
+    do not fill a bucket); chains of similar names form a class, named by its smallest name.
     """
     work = Workspace(nodes.sparkSession, "names")
     name = tk.normalize_label(F.col("node_label"))
     names = work.stage(nodes.select(name.alias("name")).where("name != ''").distinct().where(tk.entropy(F.col("name")) >= ENTROPY))
-    banded = work.stage(names.select("name", F.explode(band_keys("name")).alias("band")))
-    pairs = banded.join(banded.withColumnRenamed("name", "other"), "band").where("name < other").select("name", "other").distinct()
+    digits = F.array_join(F.regexp_extract_all("name", F.lit(r"(\d+)"), F.lit(1)), " ")
+    banded = work.stage(names.select("name", digits.alias("digits"), F.explode(band_keys("name")).alias("band")))
+    pairs = banded.join(banded.withColumnRenamed("name", "other"), ["band", "digits"]).where("name < other").select("name", "other").distinct()
     long = F.greatest(F.length("name"), F.length("other")) >= 12
-    digits = lambda c: F.array_join(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)), " ")
-    scored = pairs.where((digits("name") == digits("other")) & ~F.startswith("other", "name")).withColumn("score", tk.jaro_winkler_score("name", "other"))
+    scored = pairs.where(~F.startswith("other", "name")).withColumn("score", tk.jaro_winkler_score("name", "other"))
     close = scored.where((F.col("score") >= MERGE) & (long | ((F.col("score") >= 97) & (F.length("name") == F.length("other")) & (F.levenshtein("name", "other") <= 2))))
     linked = components(close.select(F.col("name").alias("a"), F.col("other").alias("b")))
     return names.join(linked.withColumnsRenamed({"id": "name", "component": "class_name"}), "name", "left").select("name", F.coalesce("class_name", "name").alias("class_name"))
