@@ -36,7 +36,7 @@ PASSAGE = 40
 #: Positions handled at once, which bounds a task's memory however long a text is.
 CHUNK = 1 << 17
 #: Item windows searched in one pass over the corpus; more are taken in further passes.
-BLOCK_WINDOWS = 1 << 20
+BLOCK_WINDOWS = 1 << 18
 SEED = 20
 
 
