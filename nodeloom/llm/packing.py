@@ -13,6 +13,7 @@ from bisect import bisect_left, insort
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,14 +43,28 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
+#: From this many white-space characters in a row the tokenizer's own splitter may exhaust its stack.
+LONG_BLANK = regex.compile(r"\s{256}")
+
+
+def count_tokens(path: str, text: str | None) -> int:
+    """Tokens of a whole text. Texts with very long blanks are split by another engine with the same pattern."""
+    if not text:
+        return 0
+    encoding = _tokenizer(path)
+    if not LONG_BLANK.search(text):
+        return len(encoding.encode_ordinary(text))
+    single = encoding._core_bpe.encode_single_piece
+    return sum(len(single(m.group().encode())) for m in regex.finditer(encoding._pat_str, text))
+
+
 def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) of each whole text; null and empty texts have 0 tokens."""
     path = tokenizer or default_tokenizer()
 
     def run(batches):
-        encode = _tokenizer(path).encode_ordinary
         for batch in batches:
-            counts = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
+            counts = [count_tokens(path, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")

@@ -148,6 +148,15 @@ def test_pack(spark, data):
     assert len(only_empty) == 4 and {r.window_id for r in only_empty} == {0}
 
 
+def test_long_blanks_count_like_short_ones(monkeypatch):
+    path = packing.default_tokenizer()
+    texts = ["a" + " " * n + "b\n\n\n  c" + "\n" * n + "é's  1234" for n in (1, 2, 3, 17, 200)] + ["", " " * 200, "x\t \r\n y"]
+    plain = [packing.count_tokens(path, t) for t in texts]
+    monkeypatch.setattr(packing, "LONG_BLANK", packing.regex.compile(""))
+    assert [packing.count_tokens(path, t) for t in texts] == plain
+    assert packing.count_tokens(path, "word" + " " * 1_000_000 + "word") > 1000
+
+
 def leaks_brute(documents, items):
     grams = {}
     for i, t in items:
