@@ -434,6 +434,8 @@ class Compiler:
             df = df.limit(self.count(p.limit))
         if p.final:
             df = df.select(*[self.shown(vars_[n]).alias(n) for n in names])
+            untyped = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]
+            df = df.select(*[(F.col(f"`{n}`").cast("string") if n in untyped else F.col(f"`{n}`")).alias(n) for n in names]) if untyped else df
         return Scope(df, new.vars)
 
     def count(self, e: s.Expr) -> int:

@@ -239,7 +239,7 @@ class Translator:
         return made if isinstance(kind, T.MapType) else F.sort_array(made)
 
     def f_size(self, e, x):
-        return F.char_length(self.column(x)) if isinstance(self.type(x), T.StringType) else F.when(self.column(x).isNotNull(), F.size(self.column(x))).cast("bigint")
+        return F.char_length(self.column(x)).cast("bigint") if isinstance(self.type(x), T.StringType) else F.when(self.column(x).isNotNull(), F.size(self.column(x))).cast("bigint")
 
     def f_length(self, e, x):
         b = self.bound(x)

@@ -42,7 +42,7 @@ def sharing(snapshots: DataFrame, versions: DataFrame, content: list[str]) -> Da
 def ancestry(versions: DataFrame) -> DataFrame:
     """Each version with its predecessor and age rank, newest first."""
     w = Window.partitionBy("repo").orderBy("version_no")
-    return versions.select("repo", "version_no", "commit_id", F.lag("commit_id").over(w).alias("parent"), F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("version_no"))).alias("newest"))
+    return versions.select("repo", "version_no", "commit_id", F.lag("commit_id").over(w).alias("parent"), F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("version_no"))).cast("bigint").alias("newest"))
 
 
 def trend(observations: DataFrame, versions: DataFrame) -> DataFrame:

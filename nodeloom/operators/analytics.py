@@ -317,3 +317,15 @@ def louvain(edges: DataFrame, resolution: float = 1.0, levels: int = 3, sweeps:
             break
     least = names.groupBy("community").agg(F.min("id").alias("least"))
     return names.join(least, "community").select("id", F.col("least").alias("community"))
+
+
+def recluster(graph: PropertyGraph, members: DataFrame, changed: DataFrame) -> DataFrame:
+    """(id, community): communities of changed nodes are found again by their inner links; the rest stay.
+
+    ``community`` is a string; a new community is named by its smallest member.
+    """
+    touched = members.join(changed.select("id"), "id", "left_semi").select("community").distinct()
+    inside = members.join(touched, "community", "left_semi")
+    end = lambda k: inside.select(F.col("id").alias(k))
+    again = louvain(simple_edges(graph).join(end("a"), "a", "left_semi").join(end("b"), "b", "left_semi").select("a", "b")).withColumnRenamed("community", "fresh")
+    return members.join(inside.select("id", F.lit(True).alias("again")), "id", "left").join(again, "id", "left").select("id", F.when(F.col("again"), F.coalesce("fresh", "id")).otherwise(F.col("community")).alias("community"))

@@ -147,6 +147,22 @@ def resolve_symbol(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.select("symbol", F.when(F.col("by_id").isNotNull(), F.col("symbol")).when(F.col("n") == 1, F.col("named")).alias("id"), how.alias("how"))
 
 
+def resolve_seed(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(wanted, id, how): by id, exact name, name in any case, source file, or part of a name, each only if unique."""
+    n = nodes.select("id", "node_label", F.lower("node_label").alias("low"), "source_file")
+    w = wanted.select("wanted", F.lower("wanted").alias("lw"))
+    tests = {"id": F.col("id") == F.col("wanted"), "label": F.col("node_label") == F.col("wanted"), "bare": F.col("low") == F.col("lw"), "file": F.col("source_file") == F.col("wanted"), "substring": F.contains("low", "lw")}
+    any_way = None
+    for t in tests.values():
+        any_way = t if any_way is None else any_way | t
+    hits = n.join(w, any_way)  # the wanted texts are the few a caller asks for
+    counts = hits.groupBy("wanted").agg(*[x for k, t in tests.items() for x in (F.count_if(t).alias(f"n_{k}"), F.min(F.when(t, F.col("id"))).alias(f"i_{k}"))])
+    found, how = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k in reversed(tests):
+        found, how = F.when(F.col(f"n_{k}") == 1, F.col(f"i_{k}")).otherwise(found), F.when(F.col(f"n_{k}") == 1, k).otherwise(how)
+    return wanted.select("wanted").join(counts, "wanted", "left").select("wanted", found.alias("id"), how.alias("how"))
+
+
 def explain(graph: PropertyGraph) -> DataFrame:
     """Incident relationships of every node: (id, direction, type, n)."""
     ends = graph.edges.select("type", F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit("out").alias("direction")), F.struct(F.col("dst").alias("id"), F.lit("in").alias("direction")))).alias("e"))

@@ -60,7 +60,7 @@ def sc32_url_kinds(spark, d):
 
 
 def sc35_batches(spark, d):
-    items = table(spark, d, "eval_items").select("suite", "item_id", F.length("text").alias("tokens"))
+    items = table(spark, d, "eval_items").select("suite", "item_id", F.length("text").cast("bigint").alias("tokens"))
     return so.token_batches(items, 2000, "item_id", "tokens", "suite")
 
 

@@ -129,6 +129,21 @@ TRADE = {
     ),
     "f19_f21_arithmetic": ("UNWIND [7, -7] AS x RETURN x / 2 AS d, x % 2 AS m, x * 2.5 AS p, x - 1 AS s, x ^ 2 AS q, x / 2.0 AS f, 'a' + 'b' AS t", "SELECT x // 2 + (CASE WHEN x < 0 AND x % 2 <> 0 AND x // 2 * 2 > x THEN 0 ELSE 0 END) AS d, x % 2 AS m, (x * 2.5)::DOUBLE AS p, x - 1 AS s, pow(x, 2) AS q, x / 2.0 AS f, 'ab' AS t FROM (SELECT unnest([7, -7])::BIGINT AS x)", {}),
     "f22_f24_lists": ("UNWIND [[1, 2, 3, 4]] AS l RETURN l[0] AS a, l[-1] AS b, l[9] AS c, l[1..3][0] AS d, size(l[-2..]) AS e, size(l + 5) AS f, {k: 3}.k AS g", "SELECT 1 AS a, 4 AS b, NULL::BIGINT AS c, 2 AS d, 2 AS e, 5 AS f, 3 AS g", {}),
+    "j2_incoming": ("MATCH (n:Nation {id: 'nation:4'})<-[:IN_NATION]-(x:Supplier) RETURN x.id AS id, x.acctbal AS bal", "SELECT 'supplier:' || s_suppkey AS id, s_acctbal AS bal FROM supplier WHERE s_nationkey = 4", {}),
+    "pr1_projection": ("MATCH (n:Nation) RETURN n.name, n.id AS key", "SELECT n_name AS \"n.name\", 'nation:' || n_nationkey AS key FROM nation", {}),
+    "pr4_where": ("MATCH (o:Order) WHERE o.totalprice >= 100000.0 AND o.status <> 'F' RETURN o.id AS id", "SELECT 'order:' || o_orderkey AS id FROM orders WHERE o_totalprice >= 100000 AND o_orderstatus <> 'F'", {}),
+    "pr7_inline_label": ("MATCH (x)-[:IN_NATION]->(:Nation) RETURN labels(x)[0] AS label, count(*) AS n", "SELECT 'Customer' AS label, count(*) AS n FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier", {}),
+    "pr11_property": ("MATCH (n:Region) RETURN n.name AS name, n.absent AS absent, {a: {b: 2}}.a.b AS deep", "SELECT r_name AS name, NULL::VARCHAR AS absent, 2 AS deep FROM region", {}),
+    "pr13_literals": ("RETURN 9223372036854775807 AS i, -1.5e3 AS f, 'it\\'s' AS s, [1, 2][1] AS l, null AS n, true AS b", "SELECT 9223372036854775807 AS i, -1500.0::DOUBLE AS f, 'it''s' AS s, 2 AS l, NULL::VARCHAR AS n, true AS b", {}),
+    "pr16_unary": ("MATCH (p:Part) RETURN p.id AS id, -p.size AS m, +p.size AS s, NOT p.size > 20 AS small", "SELECT 'part:' || p_partkey AS id, -p_size AS m, p_size AS s, NOT p_size > 20 AS small FROM part", {}),
+    "a2_count_rows": ("MATCH (o:Order)-[:CONTAINS]->(p:Part) RETURN p.brand AS brand, count(*) AS n", "SELECT p_brand AS brand, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1", {}),
+    "a4_sum": ("MATCH (o:Order)-[r:CONTAINS]->(p:Part) RETURN p.size AS size, sum(r.quantity) AS q, sum(p.size) AS s", "SELECT p_size AS size, sum(l_quantity) AS q, sum(p_size)::BIGINT AS s FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1", {"q": 2}),
+    "a5_avg": ("MATCH (c:Customer)-[:IN_NATION]->(n) RETURN n.id AS id, avg(c.acctbal) AS a", "SELECT 'nation:' || c_nationkey AS id, round(avg(c_acctbal), 6) AS a FROM customer GROUP BY 1", {"a": 6}),
+    "a6_min_max": ("MATCH (c:Customer)-[:PLACED]->(o) RETURN c.id AS id, min(o.totalprice) AS lo, max(o.priority) AS hi", "SELECT 'customer:' || o_custkey AS id, min(o_totalprice) AS lo, max(o_orderpriority) AS hi FROM orders GROUP BY 1", {}),
+    "a8_distinct_aggregates": ("MATCH (p:Part) RETURN p.brand AS brand, count(DISTINCT p.size) AS n, sum(DISTINCT p.size) AS s, avg(DISTINCT p.size) AS a, size(collect(DISTINCT p.size)) AS c", "SELECT p_brand AS brand, count(DISTINCT p_size) AS n, sum(DISTINCT p_size)::BIGINT AS s, round(avg(DISTINCT p_size), 6) AS a, count(DISTINCT p_size) AS c FROM part GROUP BY 1", {"a": 6}),
+    "o7_ordered_window": ("MATCH (p:Part) WITH p.brand AS brand, max(p.retailprice) AS top ORDER BY top DESC, brand LIMIT 3 RETURN brand, top", "SELECT p_brand AS brand, max(p_retailprice) AS top FROM part GROUP BY 1 ORDER BY top DESC, brand LIMIT 3", {}),
+    "f2_f15_paths": ("MATCH p = (c:Customer)-[:IN_NATION]->(n)-[:IN_REGION]->(r:Region) RETURN nodes(p)[2] AS region, length(p) AS n, size(relationships(p)) AS k, count(*) AS rows", "SELECT 'region:' || n_regionkey AS region, 2 AS n, 2 AS k, count(*) AS rows FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1", {}),
+    "f3_head_last": ("UNWIND [[3, 1], [7]] AS l RETURN head(l) AS h, last(l) AS t, head(l[5..]) AS e", "SELECT 3 AS h, 1 AS t, NULL::BIGINT AS e UNION ALL SELECT 7, 7, NULL", {}),
 }
 CODE = {
     "cq_calls": ("MATCH (a:Function)-[:CALLS]->(b) RETURN a.id AS caller, b.id AS callee", "SELECT a.id AS caller, e.dst AS callee FROM ce e JOIN cn a ON a.id = e.src WHERE a.label = 'Function' AND e.type = 'CALLS'", {}),
@@ -161,5 +176,13 @@ def queries() -> dict:
     return out | {n: _runner(code_graph, n, q, d) for n, (q, _, d) in CODE.items()}
 
 
+#: Columns that are 64-bit integers in the language but smaller in SQL.
+LONGS = {"j6_var_length": "hops", "j7_shortest": "hops", "j11_path": "n", "pr26_unwind": "k", "a1_empty": "n c", "f22_f24_lists": "a b d e f g", "pr11_property": "deep", "pr13_literals": "l", "f2_f15_paths": "n k", "f3_head_last": "h t", "cq_trails": "hops"}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {n: sql for n, (_, sql, _) in TRADE.items() if sql} | {n: CODE_SQL + sql for n, (_, sql, _) in CODE.items()}
+    out = {n: sql for n, (_, sql, _) in TRADE.items() if sql} | {n: CODE_SQL + sql for n, (_, sql, _) in CODE.items()}
+    for n, cols in LONGS.items():
+        casts = ", ".join(f"{c}::BIGINT AS {c}" for c in cols.split())
+        out[n] = f"SELECT * REPLACE ({casts}) FROM ({out[n]})"
+    return out

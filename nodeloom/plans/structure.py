@@ -69,7 +69,7 @@ def q14_explain(spark, d):
 
 
 def q17_pages(spark, d):
-    n = code_graph(spark, d).nodes.where("source_file is not null").select("source_file", "id", F.char_length("qualified_name").alias("tokens"))
+    n = code_graph(spark, d).nodes.where("source_file is not null").select("source_file", "id", F.char_length("qualified_name").cast("bigint").alias("tokens"))
     return tr.token_pages(n, 60, "source_file", "id", "tokens")
 
 

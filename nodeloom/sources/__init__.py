@@ -90,7 +90,7 @@ def markdown_parts(docs: DataFrame, key: str, text: str) -> DataFrame:
     parts = {"heading": found(r"(?md)^#{1,6} +\S.*$"), "link": found(r"\[[^\]\n]*\]\(([^)\s]+)\)", 1), "code": found(r"(?md)^```([A-Za-z0-9_+-]+)", 1), "symbol": found(r"`([A-Za-z_][A-Za-z0-9_]*)`", 1)}
 
     def tagged(kind):
-        return lambda v, i: F.struct(F.lit(kind).alias("part"), i.alias("pos"), v.alias("value"))
+        return lambda v, i: F.struct(F.lit(kind).alias("part"), i.cast("bigint").alias("pos"), v.alias("value"))
 
     each = F.flatten(F.array(*[F.transform(a, tagged(k)) for k, a in parts.items()]))
     return docs.select(F.col(key), F.explode(each).alias("p")).select(key, "p.*")

@@ -23,12 +23,8 @@ def postings(nodes: DataFrame) -> DataFrame:
     return flat.join(lengths, "id").select("id", "term", "tf", "length")
 
 
-def bm25(nodes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """(query_id, id, score, rank) for ``queries(query_id, text)``.
-
-    The best node of each query term is pinned: pinned nodes take places first, the rest
-    follow by score, and the chosen ones are ranked by score, ties by id.
-    """
+def _term_scores(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, term, id, part): what each term adds to a node's score."""
     p = Workspace(nodes.sparkSession, "postings").stage(postings(nodes))  # the index: read for lengths, frequencies and hits
     docs = p.select("id", "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg"))
     terms = queries.select("query_id", F.explode(F.array_distinct(tk.query_terms(F.col("text")))).alias("term"))
@@ -36,12 +32,37 @@ def bm25(nodes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     hits = terms.join(df, "term").join(p, "term")
     n, avg = docs.select("n").scalar(), docs.select("avg").scalar()
     part = tk.idf(n, F.col("df")) * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest(avg, F.lit(1.0)))))
-    scored = hits.select("query_id", "term", "id", F.round(part, 9).alias("part"))
-    best = scored.groupBy("query_id", "term").agg(F.min(F.struct((-F.col("part")).alias("p"), F.col("id").alias("id"))).alias("m")).select("query_id", F.col("m.id").alias("id"), F.lit(1).alias("pinned")).distinct()
+    return hits.select("query_id", "term", "id", F.round(part, 9).alias("part"))
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("query_id", "term").agg(F.min(F.struct((-F.col("part")).alias("p"), F.col("id").alias("id"))).alias("m")).select("query_id", "term", F.col("m.id").alias("id"), (-F.col("m.p")).alias("score"))
+
+
+def best_per_term(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, term, id, score): the best node of each query term, ties by id."""
+    return _best(_term_scores(nodes, queries))
+
+
+def bm25(nodes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, id, score, rank) for ``queries(query_id, text)``.
+
+    The best node of each query term is pinned: pinned nodes take places first, the rest
+    follow by score, and the chosen ones are ranked by score, ties by id.
+    """
+    scored = _term_scores(nodes, queries)
+    best = _best(scored).select("query_id", "id", F.lit(1).alias("pinned")).distinct()
     total = scored.groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce("pinned", F.lit(0))), F.desc("score"), "id")
     chosen = total.join(best, ["query_id", "id"], "left").withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit)
-    return chosen.select("query_id", "id", "score", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).alias("rank"))
+    return chosen.select("query_id", "id", "score", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("bigint").alias("rank"))
+
+
+def seeds(ranked: DataFrame, nodes: DataFrame, gap: float = 0.5, most: int = 3) -> DataFrame:
+    """(query_id, id, seed): ranked nodes within ``gap`` of the best, one per name, at most ``most``."""
+    named = ranked.join(nodes.select("id", F.lower("node_label").alias("name")), "id").withColumn("top", F.first("score").over(Window.partitionBy("query_id").orderBy("rank")))
+    near = named.where(F.col("score") >= gap * F.col("top")).withColumn("k", F.row_number().over(Window.partitionBy("query_id", "name").orderBy("rank"))).where("k = 1")
+    return near.withColumn("seed", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("bigint")).where(F.col("seed") <= most).select("query_id", "id", "seed")
 
 
 def full_scan(nodes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
