@@ -194,30 +194,42 @@ def disconnected(graph: PropertyGraph) -> DataFrame:
 def cycle_edges(edges: DataFrame) -> DataFrame:
     """(src, dst, component): edges inside a strongly connected component, self-loops included.
 
-    Nodes without incoming or without outgoing edges are trimmed until none is left; then
-    the smallest id is spread forwards and backwards, the nodes where both meet form the
-    component of that id, and the search goes on among the rest.
+    Nodes without incoming or without outgoing edges are trimmed until none is left. Then
+    every node takes the smallest id that reaches it as its colour; the nodes of a colour
+    that reach its root without leaving the colour form a component, named by the root. The
+    components of all colours are found at once, and the search goes on among the rest.
     """
     work = Workspace(edges.sparkSession, "cycles")
-    e = work.stage(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    found = [e.where("src = dst").select("src", "dst", F.col("src").alias("component"))]
-    rest = e.where("src != dst")
+    rest, size = work.stage_counted(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), n=F.count(F.lit(1)))
+    found = [rest.where("src = dst").select("src", "dst", F.col("src").alias("component"))]
+    rest, left = rest.where("src != dst"), size["n"]
     for _ in range(1000):
-        while True:
-            before = rest
-            rest, n = work.stage_counted(before.join(before.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(before.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), n=F.count(F.lit(1)))
-            if not n["n"] or n["n"] == before.count():
+        while left:
+            inner = rest.join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            before = left
+            rest, n = work.stage_counted(inner.select("src", "dst"), n=F.count(F.lit(1)))
+            left = n["n"]
+            if left == before:
                 break
-        if not n["n"]:
+        if not left:
             break
-        ahead, back = (_spread(work, rest, "src", "dst"), _spread(work, rest, "dst", "src"))
-        same = work.stage(ahead.join(back, ["id", "m"]).select("id", "m"))
-        inside = rest.join(same.select(F.col("id").alias("src"), F.col("m").alias("component")), "src").join(same.select(F.col("id").alias("dst"), F.col("m").alias("c2")), "dst").where("component = c2").select("src", "dst", "component")
-        found.append(work.stage(inside))
-        done = same.select("id")
-        rest = work.stage(rest.join(done.withColumnRenamed("id", "src"), "src", "left_anti").join(done.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
-    out = reduce(DataFrame.unionByName, found)
-    return out.distinct()
+        colour = _spread(work, rest, "src", "dst")
+        ends = lambda k, c: colour.select(F.col("id").alias(k), F.col("m").alias(c))  # noqa: B023, E731
+        inside = work.stage(rest.join(ends("src", "m"), "src").join(ends("dst", "m2"), "dst").where("m = m2").select("src", "dst", "m"))
+        level = work.stage(colour.where("id = m"))
+        reach = level
+        while True:
+            step = inside.join(level.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"), "m").distinct().join(reach.select("id"), "id", "left_anti")
+            level, n = work.stage_counted(step, n=F.count(F.lit(1)))
+            if not n["n"]:
+                break
+            reach = reach.unionByName(level)
+        done = work.stage(reach.select("id"))
+        gone = lambda k: done.select(F.col("id").alias(k))  # noqa: B023, E731
+        found.append(work.stage(inside.join(gone("src"), "src", "left_semi").join(gone("dst"), "dst", "left_semi").select("src", "dst", F.col("m").alias("component"))))
+        rest, n = work.stage_counted(rest.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti").select("src", "dst"), n=F.count(F.lit(1)))
+        left = n["n"]
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _spread(work: Workspace, edges: DataFrame, here: str, there: str) -> DataFrame:

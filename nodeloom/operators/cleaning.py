@@ -15,7 +15,7 @@ from ..text import tokens as tk
 from .analytics import components
 
 #: Thresholds and sizes of the entity merge.
-ENTROPY, MERGE, BOOST, HASHES, BANDS, ROWS = 2.5, 92.0, 5.0, 128, 14, 9
+ENTROPY, MERGE, BANDS, ROWS = 2.5, 92.0, 14, 9
 PRIME, MASK = (1 << 61) - 1, (1 << 32) - 1
 
 
@@ -110,20 +110,21 @@ def exact_merges(nodes: DataFrame) -> DataFrame:
 
 
 _MIX = np.random.default_rng(1)
-_A, _C = _MIX.integers(1, PRIME, HASHES, dtype=np.uint64), _MIX.integers(0, PRIME, HASHES, dtype=np.uint64)
+#: Multipliers below 2^29 keep the products of 32-bit hashes within 64 bits.
+_A, _C = _MIX.integers(1, 1 << 29, BANDS * ROWS, dtype=np.uint64), _MIX.integers(0, PRIME, BANDS * ROWS, dtype=np.uint64)
 
 
 def _bands(name: str) -> list[str]:
     grams = {name[i : i + 3] for i in range(max(1, len(name) - 2))}
-    h = np.array([int.from_bytes(hashlib.sha1(g.encode()).digest()[:4], "little") for g in sorted(grams)], dtype=object)
-    sketch = [int(((int(a) * h + int(c)) % PRIME % (MASK + 1)).min()) for a, c in zip(_A[: BANDS * ROWS], _C)]
-    return [f"{b}:" + hashlib.blake2b(repr(sketch[b * ROWS : (b + 1) * ROWS]).encode(), digest_size=8).hexdigest() for b in range(BANDS)]
+    h = np.array([int.from_bytes(hashlib.sha1(g.encode()).digest()[:4], "little") for g in grams], np.uint64)
+    sketch = (((_A[:, None] * h + _C[:, None]) % np.uint64(PRIME)) & np.uint64(MASK)).min(axis=1)
+    return [f"{b}:" + hashlib.blake2b(sketch[b * ROWS : (b + 1) * ROWS].tobytes(), digest_size=8).hexdigest() for b in range(BANDS)]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def band_keys(names: pd.Series) -> pd.Series:
     seen: dict = {}
-    return names.map(lambda n: seen.setdefault(n, None) or seen.__setitem__(n, _bands(n)) or seen[n])
+    return names.map(lambda n: seen[n] if n in seen else seen.setdefault(n, _bands(n)))
 
 
 def fuzzy_names(nodes: DataFrame) -> DataFrame:

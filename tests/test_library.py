@@ -121,10 +121,12 @@ def test_cleaning(spark):
     e = spark.createDataFrame([("1", "a", "b", "CALLS"), ("2", "a", "b", "USES"), ("3", "c", "c", "USES")], "eid string, src string, dst string, type string")
     remap = spark.createDataFrame([("b", "a")], "id string, winner string")
     assert {r.eid for r in cl.rewire(e, remap).collect()} == {"1", "3"}
-    names = ["configuration manager", "configuration manaegr", "configuration manager 2", "unrelated thing here", "aaaa"]
-    n = spark.createDataFrame([(x,) for x in names], "node_label string")
-    got = {r.name: r.class_name for r in cl.fuzzy_names(n).collect()}
-    assert got["configuration manager"] == got["configuration manaegr"] != got["configuration manager 2"] and "aaaa" not in got
+    long = "configuration manager for the distributed worker pool registry of modules"
+    typo, numbered = long.replace("distributed", "distribated"), long.replace("pool", "pool 2")
+    n = spark.createDataFrame([(x,) for x in (long, long.upper(), typo, numbered, "unrelated thing here", "aaaa")], "node_label string")
+    rows = cl.fuzzy_names(n).collect()
+    got = {r.name: r.class_name for r in rows}
+    assert len(rows) == len(got) == 4 and got[long] == got[typo] != got[numbered] and "aaaa" not in got
 
 
 def test_string_metrics():
