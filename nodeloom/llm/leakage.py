@@ -205,6 +205,7 @@ class _Index:
         self.owner = np.concatenate(owner)
         self.x = np.concatenate(coords, axis=1)
         self.words = np.concatenate(parts)
+        self.rows = np.ascontiguousarray(self.x.T)
         self.norm = np.linalg.norm(self.x, axis=0)
         self.middle = np.median(self.x, axis=1).astype(np.float32)
         rng = np.random.default_rng(SEED + 1)
@@ -229,8 +230,12 @@ class _Index:
         return code
 
     def candidates(self, x: np.ndarray, at: np.ndarray):
-        """(position, item window) pairs of sufficient cosine, in portions of bounded size."""
-        norm = np.sqrt(np.einsum("ij,ij->j", x, x))
+        """(position, item window) pairs of sufficient cosine, each once a portion of bounded size."""
+        mine = np.ascontiguousarray(x.T)
+        norm = np.sqrt(np.einsum("ij,ij->i", mine, mine))
+        span = self.x.shape[1]
+        held: list[np.ndarray] = []
+        waiting = 0
         for dims, sorted_codes, rank, known in self.tables:
             code = self._code(x, dims)
             hit = np.flatnonzero(known[code])
@@ -245,24 +250,34 @@ class _Index:
                 pos = np.repeat(hit[begin:end], m)
                 within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
                 idx = rank[np.repeat(lo[begin:end], m) + within]
-                dot = np.einsum("ij,ij->j", x[:, pos], self.x[:, idx])
+                dot = np.einsum("ij,ij->i", mine[pos], self.rows[idx])
                 near = dot >= self.how.cosine * norm[pos] * self.norm[idx] - 1e-6
-                yield at[pos[near]], idx[near]
+                held.append(pos[near] * span + idx[near])
+                waiting += len(held[-1])
                 begin = end
-
-
-def _common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of each pair of rows of at most 64 words, bit-parallel."""
-    width = b.shape[1]
-    out = np.empty(len(a), np.int64)
-    for lo in range(0, len(a), 4096):
-        equal = a[lo : lo + 4096, :, None] == b[lo : lo + 4096, None, :]
+                if waiting > 1 << 22:
+                    pairs = np.unique(np.concatenate(held))  # several tables bring the same pair
+                    held, waiting = [], 0
+                    yield at[pairs // span], pairs % span
+        if waiting:
+            pairs = np.unique(np.concatenate(held))
+            yield at[pairs // span], pairs % span
+
+
+def _common_subsequence(text: np.ndarray, at: np.ndarray, windows: np.ndarray, idx: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each text window and item window of at most 64 words, bit-parallel."""
+    width = windows.shape[1]
+    reach = np.arange(width)
+    out = np.empty(len(at), np.int64)
+    for lo in range(0, len(at), 4096):
+        a, b = text[at[lo : lo + 4096, None] + reach], windows[idx[lo : lo + 4096]]
+        equal = a[:, :, None] == b[:, None, :]
         packed = np.zeros((*equal.shape[:2], 8), np.uint8)
         bits = np.packbits(equal, axis=2, bitorder="little")
         packed[:, :, : bits.shape[2]] = bits
         masks = packed.view(np.uint64)[:, :, 0]
         v = np.full(len(equal), np.iinfo(np.uint64).max)
-        for i in range(a.shape[1]):
+        for i in range(width):
             u = v & masks[:, i]
             v = (v + u) | (v - u)
         out[lo : lo + 4096] = width - np.bitwise_count(v & np.uint64((1 << width) - 1 if width < 64 else (1 << 64) - 1))
@@ -305,8 +320,7 @@ def search(encoded: DataFrame, space: LatentSpace, items: list[tuple[int, np.nda
                             pos, idx = pos[same], idx[same]
                         score = np.ones(len(pos))
                     else:
-                        mine = part[pos[:, None] + np.arange(how.width)]
-                        score = _common_subsequence(mine, index.words[idx]) / how.width
+                        score = _common_subsequence(part, pos, index.words, idx) / how.width
                         good = score >= how.common
                         pos, idx, score = pos[good], idx[good], score[good]
                     for r, k, s in zip(row[pos].tolist(), index.owner[idx].tolist(), score.tolist()):

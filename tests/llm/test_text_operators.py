@@ -231,7 +231,7 @@ def test_common_subsequence():
             row = new
         return row[-1]
 
-    assert leakage._common_subsequence(a, b).tolist() == [plain(x, y) for x, y in zip(a, b)]
+    assert leakage._common_subsequence(a.ravel(), np.arange(50) * 24, b, np.arange(50)).tolist() == [plain(x, y) for x, y in zip(a, b)]
 
 
 def test_paraphrase_needs_the_answer(spark, data):
