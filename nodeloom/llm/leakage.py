@@ -8,11 +8,14 @@
 3. A window of words lies in the latent space at the sum of its word vectors. Windows of the
    test items are bucketed by the signs of their coordinates, windows of all documents look
    up their buckets, and pairs of sufficient cosine go on.
-4. Verbatim search compares the words of such pairs; paraphrase search asks for a long common
-   subsequence and for the item's answer in the document.
+4. Verbatim search compares the words of such pairs.
 
 A window that holds the same words in the same order has bit for bit the same coordinates,
 as sums are taken in a fixed order, so the bucket search loses no verbatim passage.
+
+Paraphrase search asks for a long common subsequence and for the item's answer in the document.
+A latent search would lose some, so steps 2 and 3 are left out: every document window is
+compared with every item window, behind bounds that no passing pair can fall below.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ PASSAGE = 40
 CHUNK = 1 << 17
 #: Item windows searched in one pass over the corpus; more are taken in further passes.
 BLOCK_WINDOWS = 1 << 18
+#: Masks (segments x distinct words) of the items in one pass of the paraphrase search.
+BLOCK_MASKS = 1 << 22
 SEED = 20
 
 
@@ -167,7 +172,11 @@ def _leading(y: np.ndarray, omega: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Search:
-    """How windows are compared. ``tables`` sign tables of ``bits`` coordinates each are probed."""
+    """How windows are compared. ``tables`` sign tables of ``bits`` coordinates each are probed.
+
+    With ``common`` all alignments are compared; strides, tables, bits and cosine then only
+    describe the latent index and do not limit what ``leaks`` finds.
+    """
 
     width: int = 10
     stride: int = 1
@@ -284,6 +293,108 @@ def _common_subsequence(text: np.ndarray, at: np.ndarray, windows: np.ndarray, i
     return out
 
 
+class _Segments:
+    """Item words as bit masks over segments of at most 64 words; each item window lies in exactly one segment."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], how: Search):
+        self.how, self.step = how, 64 - how.width + 1
+        self.vocab = np.unique(np.concatenate([c for _, c, _ in items]))
+        spots = [(k, at) for k, (_, c, _) in enumerate(items) if len(c) for at in range(0, max(1, len(c) - how.width + 1), self.step)]
+        sizes = np.array([len(c) for _, c, _ in items])
+        self.owner = np.array([k for k, _ in spots], np.int64)
+        #: Words of a segment's windows (fewer in an item shorter than a window), its windows, and common words they need.
+        self.width = np.minimum(how.width, sizes[self.owner])
+        self.windows = np.array([min(self.step, max(1, sizes[k] - how.width + 1 - at)) for k, at in spots])
+        least = np.array([next(n for n in range(w + 1) if w == 0 or n / w >= how.common) for w in range(how.width + 1)])
+        self.need = np.maximum(1, least[self.width])
+        self.masks = np.zeros((len(spots), len(self.vocab) + 1), np.uint64)
+        for s, (k, at) in enumerate(spots):
+            part = items[k][1][at : at + 64]
+            np.bitwise_or.at(self.masks[s], np.searchsorted(self.vocab, part), np.uint64(1) << np.arange(len(part), dtype=np.uint64))
+        self.present = np.ascontiguousarray(self.masks.T != 0)
+        self.answers = np.zeros((len(self.vocab) + 1, len(items)), np.float32)
+        for k, (_, _, answer) in enumerate(items):
+            self.answers[np.searchsorted(self.vocab, answer), k] = 1
+        self.asked = self.answers.sum(0)
+
+    def best(self, codes: np.ndarray, sizes: np.ndarray):
+        """(rows, items, scores): the longest common subsequence over all alignments, as a share of the item's window."""
+        width = self.how.width
+        at = np.minimum(np.searchsorted(self.vocab, codes), len(self.vocab) - 1)
+        # each text is followed by a window of words that match nothing
+        starts = np.cumsum(sizes + width) - sizes - width
+        word = np.full(int(np.sum(sizes + width)) + width, len(self.vocab), np.int32)
+        word[np.arange(len(codes)) + np.repeat(width * np.arange(len(sizes)), sizes)] = np.where(self.vocab[at] == codes, at, len(self.vocab))
+        for lo in range(0, len(sizes), 256):
+            rows = np.arange(lo, min(len(sizes), lo + 256))
+            held = np.zeros((len(rows), len(self.vocab) + 1), np.float32)
+            own = slice(starts[lo], starts[rows[-1]] + sizes[rows[-1]] + width)
+            held[np.repeat(np.arange(len(rows)), sizes[rows] + width), word[own]] = 1
+            told = (held @ self.answers >= self.how.answer * self.asked) | (self.asked == 0)
+            score = np.zeros(told.shape)
+            for r, asked in zip(rows.tolist(), told[:, self.owner]):
+                segments = np.flatnonzero(asked)
+                for piece in range(0, sizes[r] if len(segments) else 0, 4096):
+                    first, n = starts[r] + piece, min(4096, sizes[r] - piece)
+                    # bound: words of the window that the segment holds at all
+                    seen = np.zeros((n + width, len(segments)), np.int16)
+                    np.cumsum(self.present[word[first : first + n + width - 1, None], segments], axis=0, dtype=np.int16, out=seen[1:])
+                    pos, which = np.nonzero(seen[width:] - seen[:-width] >= self.need[segments])
+                    if len(pos):
+                        segment, common = self._common(word, first + pos, segments[which])
+                        np.maximum.at(score[r - lo], self.owner[segment], common / self.width[segment])
+            r, k = np.nonzero(score)
+            yield rows[r], k, score[r, k]
+
+    def _common(self, word: np.ndarray, at: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(segments, common words) of the text windows that have enough in common with a window of their segment."""
+        width = self.how.width
+        masks = self.masks[segment, word[at + np.arange(width)[:, None]]]
+        # bound: common subsequence with the whole segment
+        near = np.flatnonzero(_subsequence(masks) >= self.need[segment])
+        masks, segment = masks[:, near], segment[near]
+        found, commons = [segment[:0]], [near[:0]]
+        shifts = np.arange(self.step, dtype=np.uint64)
+        for lo in range(0, len(near), 1 << 13):
+            m, s = masks[:, lo : lo + (1 << 13)], segment[lo : lo + (1 << 13)]
+            full = (np.uint64(1) << self.width[s].astype(np.uint64)) - np.uint64(1)
+            holds = np.bitwise_count((np.bitwise_or.reduce(m, axis=0)[:, None] >> shifts) & full[:, None]) >= self.need[s][:, None]
+            n, j = np.nonzero(holds & (shifts < self.windows[s][:, None]))
+            for part in range(0, len(n), 1 << 15):
+                x, y = n[part : part + (1 << 15)], shifts[j[part : part + (1 << 15)]]
+                common = _subsequence((m[:, x] >> y) & full[x])
+                good = common >= self.need[s[x]]
+                found.append(s[x[good]])
+                commons.append(common[good])
+        return np.concatenate(found), np.concatenate(commons)
+
+
+def _subsequence(masks: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence, bit-parallel; ``masks[i]``: where the i-th word of each pair stands."""
+    v = np.full(masks.shape[1], np.iinfo(np.uint64).max)
+    for m in masks:
+        u = v & m
+        v = (v + u) | (v - u)
+    return np.bitwise_count(~v).astype(np.int64)
+
+
+def align(encoded: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]], how: Search) -> DataFrame:
+    """(doc_id, item_id, score) of every document and item that pass ``how`` at any alignment."""
+    names = np.array([i for i, _, _ in items], np.int64)
+
+    def run(batches):
+        index = None
+        for batch in batches:
+            if not any(len(c) for _, c, _ in items):
+                return
+            index = index or _Segments(items, how)
+            codes, sizes = _unpack(batch)
+            for rows, found, score in index.best(codes, sizes):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(names[found]), pa.array(score, pa.float64())], names=["doc_id", "item_id", "score"])
+
+    return encoded.mapInArrow(run, "doc_id bigint, item_id bigint, score double")
+
+
 def search(encoded: DataFrame, space: LatentSpace, items: list[tuple[int, np.ndarray, np.ndarray]], how: Search) -> DataFrame:
     """(doc_id, item_id, score) of every document window that passes ``how``, once per pair and batch."""
     index = _Index(space, [(i, c) for i, c, _ in items], how)
@@ -314,18 +425,10 @@ def search(encoded: DataFrame, space: LatentSpace, items: list[tuple[int, np.nda
                 for pos, idx in index.candidates(x, at[keep]):
                     if not len(pos):
                         continue
-                    if how.common is None:
-                        for j in range(how.width):
-                            same = part[pos + j] == index.words[idx, j]
-                            pos, idx = pos[same], idx[same]
-                        score = np.ones(len(pos))
-                    else:
-                        score = _common_subsequence(part, pos, index.words, idx) / how.width
-                        good = score >= how.common
-                        pos, idx, score = pos[good], idx[good], score[good]
-                    for r, k, s in zip(row[pos].tolist(), index.owner[idx].tolist(), score.tolist()):
-                        if s > best.get((r, k), -1.0):
-                            best[r, k] = s
+                    for j in range(how.width):
+                        same = part[pos + j] == index.words[idx, j]
+                        pos, idx = pos[same], idx[same]
+                    best.update(dict.fromkeys(zip(row[pos].tolist(), index.owner[idx].tolist()), 1.0))
             if how.answer:
                 starts = ends - sizes
                 for r, k in list(best):
@@ -342,30 +445,41 @@ def leaks(documents: DataFrame, items: DataFrame, how: Search = VERBATIM) -> Dat
     """``(doc_id, item_id, score)``: the documents that reveal test items.
 
     ``VERBATIM`` finds every run of at least 10 words that stands in both texts; its score is
-    1. ``PARAPHRASE`` finds windows of 24 words close in meaning, of which 60 % stand in a
-    common subsequence, in documents that hold half of the words of the item's answer.
+    1. ``PARAPHRASE`` finds windows of 24 words of which 60 % stand in a common subsequence, at
+    any alignment, in documents that hold half of the words of the item's answer; its score
+    is the largest such share.
 
-    The item texts are a held-out set read to the driver in blocks of BLOCK_WINDOWS windows;
-    each further block is a further pass over the staged word codes.
+    The item texts are a held-out set read to the driver in blocks of BLOCK_WINDOWS windows
+    or BLOCK_MASKS masks; each further block is a further pass over the staged word codes.
 
-    Defined results: null and empty texts, and texts shorter than a window, match nothing; a
+    Defined results: null and empty texts match nothing, nor do texts shorter than a window
+    in a verbatim search; in a paraphrase search they are one window, and the share is of the
+    item's window. A
     repeated document or item gives its pairs once; a null ``doc_id`` is kept, a null
     ``item_id`` is ignored; empty tables give no rows.
     """
     work = Workspace(documents.sparkSession, "leakage")
     encoded = work.stage(encode(documents, "doc_id"))
-    space = fit(encoded)
+    if how.common is None:
+        space = fit(encoded)
+        one_pass = lambda block: search(encoded, space, block, how)
+    else:
+        one_pass = lambda block: align(encoded, block, how)
     parts, block, size = [], [], 0
+    vocabulary: set[int] = set()
     for row in items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null").toLocalIterator():
         answer = ANSWER.search(row.text)
         pack = lambda ws: np.fromiter((xxhash.xxh32_intdigest(w) for w in ws), np.uint32, len(ws))
         codes = pack(words(row.text))
         block.append((row.item_id, codes, np.unique(pack(words(answer[1]))) if answer else np.empty(0, np.uint32)))
         size += len(codes)
-        if size >= BLOCK_WINDOWS:
-            parts.append(search(encoded, space, block, how))
+        if how.common is not None:
+            vocabulary.update(codes.tolist())
+        if size >= BLOCK_WINDOWS or (size // (65 - how.width) + len(block)) * len(vocabulary) >= BLOCK_MASKS:
+            parts.append(one_pass(block))
             block, size = [], 0
-    parts.append(search(encoded, space, block, how))
+            vocabulary.clear()
+    parts.append(one_pass(block))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
