@@ -136,12 +136,12 @@ def cross_community(graph: PropertyGraph) -> DataFrame:
     return both.groupBy(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).agg(F.min("eid").alias("eid"), F.count(F.lit(1)).alias("edges"))
 
 
-def blind_spots(graph: PropertyGraph, wiring: tuple[str, ...] = ("CONTAINS", "IMPORTS", "IMPORTS_FROM"), most: int = 8) -> DataFrame:
+def blind_spots(graph: PropertyGraph, wiring: tuple[str, ...] = ("CONTAINS", "IMPORTS", "IMPORTS_FROM"), most: int = 32) -> DataFrame:
     """Pairs of communities that share neighbours but hardly link: (left, right, proximity, direct, score).
 
     Each node beside 2 to ``most`` communities adds 1/sqrt(degree) to each pair of them;
     score = proximity / (1 + direct links). ``most`` keeps hubs from relating everything, and
-    bounds the pairs a node may emit.
+    bounds the pairs a node may emit; 32 is the reference's rule.
     """
     m = communities(graph)
     real = graph.nodes.where("label not in ('File', 'Concept')").select("id")
