@@ -77,7 +77,7 @@ def q9_weakest_links(spark, d):
     """Impact witnesses of every interface with the least weight among the edges that reach each depth."""
     g = code_graph(spark, d)
     seeds = g.nodes.where("label = 'Interface'").select(F.col("id").alias("root"), F.col("id").alias("node"))
-    reach = tr.impact(g, seeds, 2)
+    reach = tr.impact(g, seeds)
     return reach.where("depth > 0").join(g.edges.select("eid", "weight"), "eid").groupBy("root", "depth").agg(F.min("weight").alias("weakest"), F.count(F.lit(1)).alias("n"))
 
 

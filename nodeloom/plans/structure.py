@@ -42,17 +42,17 @@ def q4_callees(spark, d):
 
 def q5_impact(spark, d):
     g = code_graph(spark, d)
-    return tr.impact(g, _seeds(g), 3).select("root", "node", "depth")
+    return tr.impact(g, _seeds(g)).select("root", "node", "depth")
 
 
 def q6_explore(spark, d):
     g = code_graph(spark, d)
-    return tr.trails(g, _pairs(g), 3, "both").select("a", "b", "hops")
+    return tr.trails(g, _pairs(g), direction="both").select("a", "b", "hops")
 
 
 def q7_node_trail(spark, d):
     g = code_graph(spark, d)
-    return tr.node_trail(g, _pairs(g), 4).select("a", "b", "hops", "diagnostic")
+    return tr.node_trail(g, _pairs(g)).select("a", "b", "hops", "diagnostic")
 
 
 def q10_affected(spark, d):

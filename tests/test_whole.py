@@ -1,7 +1,9 @@
 """Results that bounds on depth, length or number used to cut."""
 
-from nodeloom.graph import PropertyGraph
+from nodeloom.graph import PropertyGraph, code_graph
 from nodeloom.operators import analytics as an
+from nodeloom.operators import traverse as tr
+from nodeloom.plans import reviews, structure
 
 
 def graph(spark, edges, communities=None):
@@ -21,3 +23,37 @@ def test_blind_spots_of_busy_nodes(spark):
             for b in range(a + 1, n):
                 want[a, b] = want.get((a, b), 0) + n**-0.5
     assert got == {p: (round(w, 6), 0, round(w, 6)) for p, w in want.items()}
+
+
+def reached(step, root, most=8):
+    """Depths of a breadth-first search of the reference's default depth."""
+    depth, level = {root: 0}, [root]
+    for k in range(1, most + 1):
+        level = sorted({y for x in level for y in step.get(x, ()) if y not in depth})
+        depth.update(dict.fromkeys(level, k))
+    return depth
+
+
+def test_structural_queries_reach_the_default_depth(spark, data):
+    g = code_graph(spark, data)
+    edges = [(r.src, r.dst, r.type) for r in g.edges.select("src", "dst", "type").collect()]
+    back, out, both = {}, {}, {}
+    for a, b, t in edges:
+        out.setdefault(a, set()).add(b)
+        both.setdefault(a, set()).add(b)
+        both.setdefault(b, set()).add(a)
+        if t in tr.IMPACT_TYPES:
+            back.setdefault(b, set()).add(a)
+    roots = [r.id for r in g.nodes.where("label = 'Interface'").select("id").collect()]
+    want = {(r, n, k) for r in roots for n, k in reached(back, r).items()}
+    assert {tuple(r) for r in structure.q5_impact(spark, data).collect()} == want and max(k for _, _, k in want) > 3
+    counts = {}
+    for r, _, k in want:
+        if k:
+            counts[r, k] = counts.get((r, k), 0) + 1
+    assert {(r.root, r.depth): r.n for r in reviews.q9_weakest_links(spark, data).collect()} == counts
+    pairs = [tuple(r) for r in structure._pairs(g).collect()]
+    assert {tuple(r) for r in structure.q6_explore(spark, data).collect()} == {(a, b, reached(both, a).get(b)) for a, b in pairs}
+    hops = {(a, b): reached(out, a).get(b) for a, b in pairs}
+    lost = {(a, b) for a, b in pairs if hops[a, b] is None and b in reached(both, a)}
+    assert {tuple(r) for r in structure.q7_node_trail(spark, data).collect()} == {(*p, hops[p], "direction_mismatch" if p in lost else None) for p in pairs}
