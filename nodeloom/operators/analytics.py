@@ -293,44 +293,76 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> tu
     return node, edge
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, levels: int = 3, sweeps: int = 8) -> DataFrame:
+#: Gain in modularity at which a further level is not worth while, as in the reference; and the same for four sweeps.
+LEVEL_GAIN, SWEEPS_GAIN = 1e-4, 1e-5
+
+
+def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """Communities by local moves and aggregation: (id, community), community being a member id.
 
     In a sweep half of the nodes (by a hash that changes each sweep) may move to the
     neighbouring community of the largest modularity gain, so that neighbours do not swap
-    forever. After the sweeps communities become nodes of the next level.
+    forever. Sweeps go on until no node would move or four of them gain next to nothing, as
+    parallel moves may still undo each other; the best labels seen count. Then communities
+    become nodes of the next level, until a level gains no more.
     """
     work = Workspace(edges.sparkSession, "louvain")
     half = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1.0).alias("w"))
     g = work.stage(half.unionByName(half.select(F.col("y").alias("x"), F.col("x").alias("y"), "w")).groupBy("x", "y").agg(F.sum("w").alias("w")))
     total = g.agg(F.sum("w")).first()[0] or 1.0
     names = work.stage(g.select(F.col("x").alias("id")).distinct().select("id", F.col("id").alias("community")))
-    for level in range(levels):
-        degree = work.stage(g.groupBy("x").agg(F.sum("w").alias("k")))
-        label = work.stage(degree.select("x", "k", F.col("x").alias("c")))
-        for sweep in range(sweeps):
-            size = label.groupBy("c").agg(F.sum("k").alias("tot"))
-            links = g.where("x != y").join(label.select(F.col("x").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("w").alias("into"))
-            own = label.select("x", "k", F.col("c").alias("own"))
-            options = own.join(links, "x").join(size, "c")
-            tot = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("into") - resolution * F.col("k") * tot / total, 9)
-            best = options.withColumn("gain", gain).groupBy("x").agg(F.min(F.struct((-F.col("gain")).alias("loss"), F.col("c").alias("c"))).alias("m"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
-            may = F.pmod(F.xxhash64("x", F.lit(sweep)), F.lit(2)) == 0
-            moves = may & (-F.col("m.loss") > F.coalesce("stay", F.lit(0.0)) + 1e-9) & (F.col("m.c") != F.col("c"))
-            label, seen = work.stage_counted(label.join(best, "x", "left").select("x", "k", F.when(moves, F.col("m.c")).otherwise(F.col("c")).alias("c"), F.coalesce(moves, F.lit(False)).alias("moved")), n=F.count_if(F.col("moved")))
-            label = label.drop("moved")
-            if sweep and not seen["n"]:
-                break
-        names = work.stage(names.join(label.select(F.col("x").alias("community"), "c"), "community").select("id", F.col("c").alias("community")))
-        before = degree.count()
-        g = work.stage(g.join(label.select("x", F.col("c").alias("cx")), "x").join(label.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.sum("w").alias("w")))
-        if g.select("x").distinct().count() == before:
+    for _ in range(1000):
+        loops = g.where("x = y").agg(F.sum("w")).first()[0] or 0.0
+        label, began = _sweeps(work, g, total, loops, resolution)
+        if began is None:
             break
+        names_now = work.stage(names.join(label.select(F.col("x").alias("community"), "c"), "community").select("id", F.col("c").alias("community")))
+        g_now = work.stage(g.join(label.select("x", F.col("c").alias("cx")), "x").join(label.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.sum("w").alias("w")))
+        for old in (names, g, label):
+            work.drop(old)
+        names, g = names_now, g_now
+        if began <= LEVEL_GAIN:
+            break
+    else:
+        raise RuntimeError("Louvain did not converge in 1000 levels")
     least = names.groupBy("community").agg(F.min("id").alias("least"))
     return names.join(least, "community").select("id", F.col("least").alias("community"))
 
 
+def _sweeps(work: Workspace, g: DataFrame, total: float, loops: float, resolution: float) -> tuple[DataFrame, float | None]:
+    """The labels (x, k, c) of one level, and their gain in modularity over one label a node; None if no node moves."""
+    label = work.stage(g.groupBy("x").agg(F.sum("w").alias("k")).select("x", "k", F.col("x").alias("c")))
+    scores, best = [], (None, label)
+    for sweep in range(10_000):
+        size = label.groupBy("c").agg(F.sum("k").alias("tot"))
+        links = g.where("x != y").join(label.select(F.col("x").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("w").alias("into"))
+        own = label.join(size, "c").select("x", "k", F.col("c").alias("own"), F.col("tot").alias("own_tot"))
+        options = own.join(links, "x").join(size, "c")
+        at_home = F.col("c") == F.col("own")
+        tot = F.col("tot") - F.when(at_home, F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("into") - resolution * F.col("k") * tot / total, 9)
+        choice = options.withColumn("gain", gain).groupBy("x").agg(F.min(F.struct((-F.col("gain")).alias("loss"), F.col("c").alias("c"))).alias("m"), F.max(F.when(at_home, F.col("into"))).alias("inner"))
+        stay = F.coalesce("inner", F.lit(0.0)) - resolution * F.col("k") * (F.col("own_tot") - F.col("k")) / total
+        would = F.coalesce((-F.col("m.loss") > stay + 1e-8) & (F.col("m.c") != F.col("own")), F.lit(False))
+        may = F.pmod(F.xxhash64("x", F.lit(sweep)), F.lit(2)) == 0
+        step = own.join(choice, "x", "left").select("x", "k", F.when(would & may, F.col("m.c")).otherwise(F.col("own")).alias("c"), would.alias("would"), (F.col("k") * F.col("own_tot")).alias("square"), F.coalesce("inner", F.lit(0.0)).alias("inner"))
+        after, seen = work.stage_counted(step, would=F.count_if(F.col("would")), square=F.sum("square"), inner=F.sum("inner"))
+        # the sums tell the modularity of the labels before this sweep
+        scores.append(((seen["inner"] or 0.0) + loops) / total - resolution * (seen["square"] or 0.0) / total**2)
+        if best[0] is None or scores[-1] > best[0]:
+            if best[1] is not label:
+                work.drop(best[1])
+            best = (scores[-1], label)
+        elif best[1] is not label:
+            work.drop(label)
+        if not seen["would"] or (sweep >= 4 and max(scores[-4:]) - max(scores[:-4]) <= SWEEPS_GAIN):
+            work.drop(after)
+            return best[1], (best[0] - scores[0] if sweep else None)
+        label = after.select("x", "k", "c")
+        label._staged_path = after._staged_path
+    raise RuntimeError("Louvain did not converge in 10,000 sweeps")
+
+
 def recluster(graph: PropertyGraph, members: DataFrame, changed: DataFrame) -> DataFrame:
     """(id, community): communities of changed nodes are found again by their inner links; the rest stay.
 

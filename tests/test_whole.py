@@ -57,3 +57,19 @@ def test_structural_queries_reach_the_default_depth(spark, data):
     hops = {(a, b): reached(out, a).get(b) for a, b in pairs}
     lost = {(a, b) for a, b in pairs if hops[a, b] is None and b in reached(both, a)}
     assert {tuple(r) for r in structure.q7_node_trail(spark, data).collect()} == {(*p, hops[p], "direction_mismatch" if p in lost else None) for p in pairs}
+
+
+def test_louvain_goes_on_until_no_merge_gains(spark):
+    n = 700
+    edges = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(n - 1)], "a string, b string")
+    label = {r.id: r.community for r in an.louvain(edges).collect()}
+    assert len(label) == n
+    total, links, degree = 2 * (n - 1), {}, {}
+    for i in range(n - 1):
+        a, b = label[f"{i:03}"], label[f"{i + 1:03}"]
+        links[a, b] = links.get((a, b), 0) + 1
+        for c in (a, b):
+            degree[c] = degree.get(c, 0) + 1
+    for (a, b), w in links.items():
+        if a != b:
+            assert 2 * w / total - 2 * degree[a] * degree[b] / total**2 <= 1e-3
