@@ -164,7 +164,7 @@ def an16_cross_community(spark, d):
 
 
 def an17_import_cycles(spark, d):
-    return an.import_cycles(_file_graph(code_graph(spark, d)), 4)
+    return an.import_cycles(_file_graph(code_graph(spark, d)))
 
 
 def an18_blind_spots(spark, d):

@@ -73,3 +73,9 @@ def test_louvain_goes_on_until_no_merge_gains(spark):
     for (a, b), w in links.items():
         if a != b:
             assert 2 * w / total - 2 * degree[a] * degree[b] / total**2 <= 1e-3
+
+
+def test_import_cycles_of_five_files(spark):
+    ring = lambda p, n: [(f"{p}{i}", f"{p}{(i + 1) % n}") for i in range(n)]
+    e = spark.createDataFrame(ring("a", 4) + ring("b", 5) + ring("c", 6), "src string, dst string")
+    assert {(r.cycle, r.length) for r in an.import_cycles(e).collect()} == {("a0 -> a1 -> a2 -> a3", 4), ("b0 -> b1 -> b2 -> b3 -> b4", 5)}
