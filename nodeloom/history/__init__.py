@@ -53,7 +53,7 @@ def trend(observations: DataFrame, versions: DataFrame) -> DataFrame:
     return per.join(newest, "repo").select("repo", "id", "first_seen", "last_seen", "n", (F.col("last_seen") == F.col("newest")).alias("active"))
 
 
-def invalidated(changed: DataFrame, calls_old: DataFrame, calls_new: DataFrame, max_depth: int = 64) -> DataFrame:
+def invalidated(changed: DataFrame, calls_old: DataFrame, calls_new: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Changed symbols and all their transitive callers in the old and new calls: (id, depth)."""
     from ..operators.traverse import closure
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,20 +49,21 @@ def callees(graph: PropertyGraph) -> DataFrame:
     return neighbours(graph, CALLEE_TYPES, "out")
 
 
-def closure(adjacency: DataFrame, seeds: DataFrame, max_depth: int, *, hubs: DataFrame | None = None) -> DataFrame:
+def closure(adjacency: DataFrame, seeds: DataFrame, max_depth: int | None, *, hubs: DataFrame | None = None) -> DataFrame:
     """Breadth-first closure from all seeds at once: (root, node, depth, parent, eid, type).
 
     ``seeds`` is (root, node). One staged level a step; a node keeps the least edge id that
     reaches it at its least depth, which is its witness. ``hubs`` (id) are reached but not
-    expanded, unless they are seeds. The loop stops at the first empty level.
+    expanded, unless they are seeds. The loop stops at the first empty level; a ``max_depth``
+    of None sets no other end.
     """
     work = Workspace(adjacency.sparkSession, "closure")
-    if max_depth > 1:
+    if max_depth is None or max_depth > 1:
         adjacency = work.stage(adjacency.select("here", "there", "eid", "type"))  # each step reads it again
     none = F.lit(None).cast("string")
     level = work.stage(seeds.select("root", "node").where("root is not null and node is not null").distinct().select("root", "node", F.lit(0).alias("depth"), none.alias("parent"), none.alias("eid"), none.alias("type")))
     seen = level
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         front = level
         if hubs is not None and depth > 1:
             front = front.join(hubs.select(F.col("id").alias("node")), "node", "left_anti")
@@ -71,6 +74,8 @@ def closure(adjacency: DataFrame, seeds: DataFrame, max_depth: int, *, hubs: Dat
         if not n["n"]:
             break
         seen = seen.unionByName(level)
+        if depth % 16 == 0:
+            seen = work.stage(seen)  # a plan must not hold a table for every level
     return seen
 
 

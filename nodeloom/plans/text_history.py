@@ -174,7 +174,7 @@ def sd4_invalidated(spark, d):
     """Structurally changed nodes and their transitive callers in any delivered version."""
     changed = hi.structural_changes(table(spark, d, "snapshot_nodes"), table(spark, d, "graph_versions")).select("id").distinct()
     calls = table(spark, d, "snapshot_links").where("kind = 'calls' and source is not null and target is not null").select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    return hi.invalidated(changed, calls, calls.limit(0), 8)
+    return hi.invalidated(changed, calls, calls.limit(0))
 
 
 def sd8_changed_files(spark, d):

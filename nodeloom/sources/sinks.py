@@ -116,5 +116,5 @@ def garbage(versions: DataFrame, kept: DataFrame) -> DataFrame:
     from ..operators.traverse import closure
 
     up = versions.where("parent is not null").select(F.col("version").alias("here"), F.col("parent").alias("there"), F.concat_ws(">", "version", "parent").alias("eid"), F.lit("PARENT").alias("type"))
-    reached = closure(up, kept.select(F.lit("all").alias("root"), F.col("version").alias("node")), 64)
+    reached = closure(up, kept.select(F.lit("all").alias("root"), F.col("version").alias("node")), None)
     return versions.join(reached.select(F.col("node").alias("version")), "version", "left_anti").select("version")

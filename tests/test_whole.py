@@ -3,7 +3,8 @@
 from nodeloom.graph import PropertyGraph, code_graph
 from nodeloom.operators import analytics as an
 from nodeloom.operators import traverse as tr
-from nodeloom.plans import reviews, structure
+from nodeloom.plans import reviews, structure, text_history
+from nodeloom.sources import sinks as sk
 
 
 def graph(spark, edges, communities=None):
@@ -79,3 +80,17 @@ def test_import_cycles_of_five_files(spark):
     ring = lambda p, n: [(f"{p}{i}", f"{p}{(i + 1) % n}") for i in range(n)]
     e = spark.createDataFrame(ring("a", 4) + ring("b", 5) + ring("c", 6), "src string, dst string")
     assert {(r.cycle, r.length) for r in an.import_cycles(e).collect()} == {("a0 -> a1 -> a2 -> a3", 4), ("b0 -> b1 -> b2 -> b3 -> b4", 5)}
+
+
+def test_garbage_keeps_far_ancestors(spark):
+    n = 67
+    v = spark.createDataFrame([(f"{i:02}", f"{i - 1:02}" if i else None) for i in range(n)] + [("lost", None)], "version string, parent string")
+    kept = spark.createDataFrame([(f"{n - 1}",)], "version string")
+    assert [r.version for r in sk.garbage(v, kept).collect()] == ["lost"]
+
+
+def test_invalidated_has_far_callers(spark, monkeypatch):
+    links = spark.createDataFrame([(f"{i + 1:02}", f"{i:02}", "calls") for i in range(11)], "source string, target string, kind string")
+    monkeypatch.setattr(text_history, "table", lambda *a: links)
+    monkeypatch.setattr(text_history.hi, "structural_changes", lambda *a: spark.createDataFrame([("00",)], "id string"))
+    assert {tuple(r) for r in text_history.sd4_invalidated(spark, "").collect()} == {(f"{i:02}", i) for i in range(12)}
