@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -261,23 +262,57 @@ def import_cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
     return out.select(F.array_join("c", " -> ").alias("cycle"), F.size("c").alias("length")).distinct()
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> tuple[DataFrame, DataFrame]:
+def edge_betweenness(edges: DataFrame, block: int = 512) -> DataFrame:
+    """(a, b, score) over shortest paths from all nodes, not normalised; about ``block`` sources at once."""
+    work = Workspace(edges.sparkSession, "edge-betweenness")
+    edges = work.stage(edges.select("a", "b"))
+    ids = work.stage(ends(edges))
+    total = edges.select("a", "b", F.lit(0.0).alias("f"))
+    blocks = -(-ids.count() // block)
+    for k in range(blocks):
+        inner = Workspace(edges.sparkSession, "betweenness")
+        _, links = _dependencies(inner, edges, ids.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k))
+        part = reduce(DataFrame.unionByName, [f.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "f") for f in links], total)
+        after = work.stage(part.groupBy("a", "b").agg(F.sum("f").alias("f")))
+        inner.clear()
+        work.drop(total)
+        total = after
+    return total.select("a", "b", F.round("f", 6).alias("score"))
+
+
+def ends(edges: DataFrame) -> DataFrame:
+    """(id): the nodes of (a, b) edges."""
+    return edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Node and edge betweenness over shortest paths from ``sources`` (id), undirected.
 
     Level-synchronous for all sources at once: path counts are summed forwards level by
     level, dependencies backwards. Returns (id, score) and (a, b, score), not normalised.
     """
-    work = Workspace(edges.sparkSession, "betweenness")
+    nodes, links = _dependencies(Workspace(edges.sparkSession, "betweenness"), edges, sources, max_depth)
+    node = reduce(DataFrame.unionByName, nodes).where("s != x").groupBy(F.col("x").alias("id")).agg(F.round(F.sum("d"), 6).alias("score"))
+    if not links:
+        return node, edges.select("a", "b", F.lit(0.0).alias("score")).limit(0)
+    edge = reduce(DataFrame.unionByName, links).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.round(F.sum("f"), 6).alias("score"))
+    return node, edge
+
+
+def _dependencies(work: Workspace, edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables of (s, x, d) and of (s, x, y, f), one a level: what node x and link x-y carry of the paths from s."""
     both = work.stage(edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*").distinct())
     level = work.stage(sources.select(F.col("id").alias("s"), F.col("id").alias("x"), F.lit(1.0).alias("paths")))
     levels, seen = [level], level.select("s", "x")
-    for _ in range(max_depth):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         new = level.join(both, "x").groupBy("s", F.col("y").alias("x")).agg(F.sum("paths").alias("paths")).join(seen, ["s", "x"], "left_anti")
         level, n = work.stage_counted(new, n=F.count(F.lit(1)))
         if not n["n"]:
             break
         levels.append(level)
         seen = seen.unionByName(level.select("s", "x"))
+        if depth % 16 == 0:
+            seen = work.stage(seen)  # a plan must not hold a table for every level
     credit = levels[-1].select("s", "x", "paths", F.lit(0.0).alias("d"))
     nodes, links = [credit.select("s", "x", "d")], []
     for upper in reversed(levels[:-1]):
@@ -286,11 +321,7 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> tu
         links.append(flow)
         credit = work.stage(upper.join(flow.groupBy("s", "x").agg(F.sum("f").alias("d")), ["s", "x"], "left").select("s", "x", "paths", F.coalesce("d", F.lit(0.0)).alias("d")))
         nodes.append(credit.select("s", "x", "d"))
-    node = reduce(DataFrame.unionByName, nodes).where("s != x").groupBy(F.col("x").alias("id")).agg(F.round(F.sum("d"), 6).alias("score"))
-    if not links:
-        return node, edges.select("a", "b", F.lit(0.0).alias("score")).limit(0)
-    edge = reduce(DataFrame.unionByName, links).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.round(F.sum("f"), 6).alias("score"))
-    return node, edge
+    return nodes, links
 
 
 #: Gain in modularity at which a further level is not worth while, as in the reference; and the same for four sweeps.

@@ -146,13 +146,12 @@ def an11_community_hubs(spark, d):
 def an13_betweenness(spark, d):
     g = code_graph(spark, d)
     e = an.simple_edges(g)
-    return an.betweenness(e, e.select(F.col("a").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(100), 6)[0]
+    return an.betweenness(e, an.ends(e).orderBy(F.xxhash64("id"), "id").limit(100))[0]
 
 
 def an14_edge_betweenness(spark, d):
     g = code_graph(spark, d)
-    e = an.simple_edges(g)
-    return an.betweenness(e, e.select(F.col("a").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(100), 6)[1]
+    return an.edge_betweenness(an.simple_edges(g))
 
 
 def an15_surprises(spark, d):

@@ -72,6 +72,11 @@ class Workspace:
             where = self._path(path)
             self._files(where).delete(where, True)
 
+    def clear(self) -> None:
+        """Delete all staged tables, which no later plan reads."""
+        where = self._path(self.root)
+        self._files(where).delete(where, True)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

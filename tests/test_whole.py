@@ -94,3 +94,13 @@ def test_invalidated_has_far_callers(spark, monkeypatch):
     monkeypatch.setattr(text_history, "table", lambda *a: links)
     monkeypatch.setattr(text_history.hi, "structural_changes", lambda *a: spark.createDataFrame([("00",)], "id string"))
     assert {tuple(r) for r in text_history.sd4_invalidated(spark, "").collect()} == {(f"{i:02}", i) for i in range(12)}
+
+
+def test_edge_betweenness_from_all_nodes(spark, monkeypatch):
+    n = 10
+    g = graph(spark, [(f"{i:02}", f"{i + 1:02}", "CALLS") for i in range(n - 1)])
+    want = {(f"{i:02}", f"{i + 1:02}"): 2.0 * (i + 1) * (n - 1 - i) for i in range(n - 1)}
+    assert {(r.a, r.b): r.score for r in an.edge_betweenness(an.simple_edges(g), 5).collect()} == want
+    monkeypatch.setattr(structure, "code_graph", lambda *a: g)
+    assert {(r.a, r.b): r.score for r in structure.an14_edge_betweenness(spark, "").collect()} == want
+    assert {r.id: r.score for r in structure.an13_betweenness(spark, "").collect() if r.score} == {f"{i:02}": 2.0 * i * (n - 1 - i) for i in range(1, n - 1)}
