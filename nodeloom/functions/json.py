@@ -2,13 +2,17 @@
 
 Spark cannot compare JSON values: VARIANT is not orderable and keeps number spellings.
 The canonical form sorts keys, drops blanks and null members, and writes each number as
-the shortest decimal; lists keep their order.
+the shortest decimal; lists keep their order. Nesting is bounded by memory only: texts too
+deep for the decoder of the standard library are decoded with an explicit stack.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from decimal import Decimal
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -16,7 +20,10 @@ from pyspark.sql import types as T
 
 
 def _number(text: str) -> str:
-    value = Decimal(text)
+    try:
+        value = Decimal(text)
+    except ArithmeticError:  # an exponent beyond any number stands for itself
+        return text.lower()
     if not value:
         return "0"
     sign, digits, exponent = value.normalize().as_tuple() if len(text) < 28 else _trim(value)
@@ -33,28 +40,154 @@ def _trim(value: Decimal) -> tuple:
     return sign, digits[:n], exponent
 
 
-class _Number(str):
-    """A number in canonical spelling, told apart from a string."""
+class Number(str):
+    """A number in canonical spelling, told apart from a string; itself valid JSON."""
+
+
+class _Memo(dict):
+    """Answers by argument, so that frequent ones cost a look-up in C; of bounded size."""
+
+    def __init__(self, make, most: int = 200_000):
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if key is not None and len(key) > 64:
+            return self.make(key)
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
+_numbers = _Memo(lambda s: Number(_number(s)))
+#: JSON spelling of a string in ASCII, and of a member name (or of none), remembered.
+quote = json.encoder.encode_basestring_ascii
+key_text = _Memo(lambda k: "" if k is None else quote(k)).__getitem__
 
 
 def _fail(name: str):
     raise ValueError(name)
 
 
-_decoder = json.JSONDecoder(parse_int=lambda s: _Number(_number(s)), parse_float=lambda s: _Number(_number(s)), parse_constant=_fail)
-_quote = json.encoder.encode_basestring_ascii
+_decoder = json.JSONDecoder(parse_int=_numbers.__getitem__, parse_float=_numbers.__getitem__, parse_constant=_fail)
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+_BLANK = re.compile(r"[ \t\n\r]*")
+_WORDS = {"t": ("true", True), "f": ("false", False), "n": ("null", None)}
 
 
-def _write(value) -> str:
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{_quote(k)}:{_write(v)}" for k, v in sorted(value.items()) if v is not None) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(_write, value)) + "]"
-    if isinstance(value, _Number):
+def decode(text: str):
+    """The value of a JSON text with canonical numbers; ValueError where it is no valid JSON."""
+    try:
+        return _decoder.decode(text)
+    except RecursionError:
+        return _decode_deep(text)
+
+
+def _decode_deep(text: str):
+    """Same values as the decoder's, for texts of any depth."""
+    skip = lambda i: _BLANK.match(text, i).end()
+    open_: list[tuple] = []  # (container, key under which the next value goes)
+    at, end = skip(0), len(text)
+
+    def member(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError(i)
+        key, i = scanstring(text, i + 1, True)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError(i)
+        return key, skip(i + 1)
+
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            value: object = {} if c == "{" else []
+            at = skip(at + 1)
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                key = None
+                if c == "{":
+                    key, at = member(at)
+                open_.append((value, key))
+                continue
+            at += 1
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif c in _WORDS and text.startswith(_WORDS[c][0], at):
+            word, value = _WORDS[c]
+            at += len(word)
+        elif found := _NUMBER.match(text, at):
+            value, at = _numbers[found.group()], found.end()
+        else:
+            raise ValueError(at)
+        while open_:
+            holder, key = open_.pop()
+            if isinstance(holder, dict):
+                holder[key] = value
+            else:
+                holder.append(value)
+            at = skip(at)
+            c = text[at : at + 1]
+            if c == ",":
+                at = skip(at + 1)
+                key = None
+                if isinstance(holder, dict):
+                    key, at = member(at)
+                open_.append((holder, key))
+                break
+            if c != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError(at)
+            value, at = holder, at + 1
+        else:
+            if skip(at) != end:
+                raise ValueError(at)
+            return value
+
+
+def scalar(value) -> str:
+    """Canonical spelling of a value that is neither object nor list."""
+    if isinstance(value, Number):
         return value
     if isinstance(value, str):
-        return _quote(value)
-    return {None: "null", True: "true", False: "false"}[value]
+        return quote(value)
+    return "null" if value is None else "true" if value else "false"
+
+
+def write(value) -> str:
+    """Canonical spelling of a decoded value, written with an explicit stack."""
+    out: list[str] = []
+    todo: list = [value]
+    while todo:
+        top = todo.pop()
+        if type(top) is _Text:
+            out.append(top)
+        elif isinstance(top, (dict, list)):
+            if isinstance(top, dict):
+                parts = [(f"{key_text(k)}:", v) for k, v in sorted(top.items()) if v is not None]
+                first, last = "{", "}"
+            else:
+                parts, first, last = [("", v) for v in top], "[", "]"
+            out.append(first)
+            todo.append(_Text(last))
+            for i in range(len(parts) - 1, -1, -1):
+                before, v = parts[i]
+                todo.append(v)
+                todo.append(_Text(f",{before}" if i else before))
+        else:
+            out.append(scalar(top))
+    return "".join(out)
+
+
+class _Text(str):
+    """Text to be written as it is."""
+
+
+def _write_flat(value) -> str:
+    """Same text as :func:`write`, recursive and faster; RecursionError where nested too deeply."""
+    if isinstance(value, dict):
+        return "{" + ",".join([f"{key_text(k)}:{_write_flat(v)}" for k, v in sorted(value.items()) if v is not None]) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_write_flat, value)) + "]"
+    return scalar(value)
 
 
 def canonical_text(text: str | None) -> str | None:
@@ -62,9 +195,18 @@ def canonical_text(text: str | None) -> str | None:
     if text is None:
         return None
     try:
-        return _write(_decoder.decode(text))
-    except (ValueError, RecursionError):
+        value = decode(text)
+    except ValueError:
         return "!" + text
+    try:
+        return _write_flat(value)
+    except RecursionError:
+        return write(value)
+
+
+def digest(text: str) -> str:
+    """SHA-256 of a text's canonical JSON, in hex."""
+    return hashlib.sha256(canonical_text(text).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 @F.pandas_udf(T.StringType())
@@ -76,3 +218,9 @@ def canonical_json(texts: pd.Series) -> pd.Series:
             seen[t] = canonical_text(t)
         out.append(seen[t])
     return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def canonical_digest(texts: pd.Series) -> pd.Series:
+    """SHA-256 over the canonical JSON of each text; null for null."""
+    return pd.Series([None if t is None else digest(t) for t in texts], dtype=object)

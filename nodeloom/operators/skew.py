@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import Workspace
+
 
 def eager_join_states(left: DataFrame, right: DataFrame, on: list[str], *, left_by: tuple[str, ...] = (), left_aggs: dict | None = None, right_aggs: dict | None = None, sums: tuple[str, ...] = (), how: str = "left") -> DataFrame:
     """One row per key (and ``left_by`` group): states of both sides and the algebra of their join.
@@ -56,10 +58,11 @@ def id_profiles(links: DataFrame, nodes: DataFrame) -> DataFrame:
 def heavy_ids(links: DataFrame, nodes: DataFrame, share: float = 0.01) -> DataFrame:
     """(side, node_id) of each non-null id that stands in at least ``share`` of all link rows.
 
-    The eager states give the count of each id; rolling them up gives the total. Every link
-    row counts as delivered, redeliveries included; an empty table gives no rows.
+    The joined states of :func:`link_states` are written once; which ids are heavy, and the
+    total they are measured by, are read from that table, so the links are scanned once.
+    Every link row counts as delivered, redeliveries included; an empty table gives no rows.
     """
-    states = link_states(links, nodes)
+    states = Workspace(links.sparkSession, "skew").stage(link_states(links, nodes))
     total = states.where("side = 'target'").agg(F.sum("left_rows").alias("n"))
     return states.where(F.col("node_id").isNotNull() & (F.col("left_rows") >= F.lit(share) * total.scalar())).select("side", "node_id")
 

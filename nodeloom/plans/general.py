@@ -48,12 +48,20 @@ def p3_found(spark, d):
     return nested.resolution_candidates(_owners(spark, d))
 
 
+def _hex(df, *columns):
+    return df.withColumns({c: F.lower(F.hex(c)) for c in columns})
+
+
 def p3_bridge(spark, d):
-    return nested.flatten(_owners(spark, d))[0]
+    return _hex(nested.flatten(_owners(spark, d)).bridge, "document", "parent_hash", "child_hash").drop("parent_path")
 
 
 def p3_objects(spark, d):
-    return nested.flatten(_owners(spark, d))[1]
+    return _hex(nested.flatten(_owners(spark, d)).objects, "object_hash")
+
+
+def p3_unreadable(spark, d):
+    return nested.flatten(_owners(spark, d)).unreadable
 
 
 def p4_found(spark, d):
@@ -85,7 +93,7 @@ def p6_report(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_counts, p3_found, p3_bridge, p3_objects, p4_found, p4_profiles, p4_joined, p6_found, p6_report)}
+    return {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_counts, p3_found, p3_bridge, p3_objects, p3_unreadable, p4_found, p4_profiles, p4_joined, p6_found, p6_report)}
 
 
 _TREE = """

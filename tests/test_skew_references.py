@@ -33,6 +33,22 @@ def test_heavy_and_profiles(spark):
     assert skew.heavy_ids(l.limit(0), n).count() == 0 and skew.id_profiles(l.limit(0), n).count() == 0
 
 
+def test_heavy_ids_come_from_the_joined_states(spark, data, monkeypatch):
+    plans = []
+
+    class Watched(skew.Workspace):
+        def stage(self, df, *by):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            assert {"left_rows", "right_rows", "joined_rows"} <= set(df.columns)
+            return super().stage(df, *by)
+
+    monkeypatch.setattr(skew, "Workspace", Watched)
+    heavy = skew.heavy_ids(table(spark, data, "graph_links"), table(spark, data, "graph_nodes"))
+    assert len(plans) == 1 and "Join LeftOuter" in plans[0] and plans[0].count("Aggregate [") == 2
+    read = heavy._jdf.queryExecution().optimizedPlan().toString()
+    assert heavy.count() and "observed_at" not in read
+
+
 def test_ledger_in_any_split(spark, data):
     t = [table(spark, data, n) for n in ("graph_links", "graph_nodes", "shared_nodes", "snapshot_links", "snapshot_nodes", "graph_versions")]
     want = {tuple(r) for r in references.ledger_of(*t).orphans().collect()}
