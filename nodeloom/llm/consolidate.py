@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..graph import with_index
 from ..runtime import Workspace
 
 MAX_ROUNDS = 200
@@ -26,7 +27,11 @@ def connected_groups(pairs: DataFrame, left: str = "left_id", right: str = "righ
     an ordinary id; an empty input gives no rows. Other columns are ignored.
     """
     work = Workspace(pairs.sparkSession, "groups")
-    links = pairs.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a != b")
+    given = work.stage(pairs.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a != b").distinct())
+    # ids are numbered once in their own order, so that rounds compare and hash eight bytes instead of texts
+    names = with_index(given.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", name="no")
+    number = lambda end, to: names.select(F.col("id").alias(end), F.col("no").alias(to))
+    links = given.join(number("a", "x"), "a").join(number("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     graph, seen = work.stage_counted(_both_ways(links).distinct(), n=F.count(F.lit(1)))
     left_over, forest, seeds = seen["n"], [], None
     for _ in range(MAX_ROUNDS):
@@ -43,19 +48,18 @@ def connected_groups(pairs: DataFrame, left: str = "left_id", right: str = "righ
         graph, seen = work.stage_counted(_both_ways(rest).distinct(), n=F.count(F.lit(1)))
         left_over = seen["n"]
         # a minimum that is linked to no other is a seed
-        alone = own.where("stays and w = m").select(F.col("w").alias("group_id"), F.col("w").alias("record_id"))
-        alone = alone.join(graph.select(F.col("u").alias("record_id")).distinct(), "record_id", "left_anti").select("group_id", "record_id")
+        alone = own.where("stays and w = m").select(F.col("w").alias("seed"), F.col("w").alias("no"))
+        alone = alone.join(graph.select(F.col("u").alias("no")).distinct(), "no", "left_anti").select("seed", "no")
         seeds = alone if seeds is None else seeds.unionByName(alone)
     else:
         raise RuntimeError("seed-tree pruning did not end")
     if seeds is None:
-        kind = dict(pairs.dtypes)[left]
-        return pairs.sparkSession.createDataFrame([], f"group_id {kind}, record_id {kind}")
+        return names.select(F.col("id").alias("group_id"), F.col("id").alias("record_id"))
     known = work.stage(seeds)
     for level in reversed(forest):
-        found = work.stage(level.join(known.select(F.col("record_id").alias("m"), "group_id"), "m").select("group_id", F.col("w").alias("record_id")))
+        found = work.stage(level.join(known.select(F.col("no").alias("m"), "seed"), "m").select("seed", F.col("w").alias("no")))
         known = known.unionByName(found)
-    return known
+    return known.join(number("record_id", "no"), "no").join(number("group_id", "seed"), "seed").select("group_id", "record_id")
 
 
 def _both_ways(links: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ from ..runtime import Workspace
 
 #: Ranks are counted inside hash buckets of about this many documents of one length.
 BUCKET_ROWS = 500_000
+#: Slots and documents of one length meet by blocks of this many ranks.
+BLOCK_RANKS = 1024
 
 
 def default_tokenizer() -> str:
@@ -29,33 +31,39 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-_loaded: dict = {}
+class _Pieces(dict):
+    """Number of tokens of each piece of text, remembered for short pieces."""
 
-
-def _tokenizer(path: str):
-    if path not in _loaded:
+    def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _loaded[path] = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _loaded[path]
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        # texts come here in pieces already, so that a piece, however long, is merged as a whole
+        self.encode = tiktoken.Encoding("pieces", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __missing__(self, piece: str) -> int:
+        n = len(self.encode(piece))
+        if len(piece) <= 64:
+            if len(self) >= 500_000:
+                self.clear()
+            self[piece] = n
+        return n
 
 
-#: From this many white-space characters in a row the tokenizer's own splitter may exhaust its stack.
-LONG_BLANK = regex.compile(r"\s{256}")
+_loaded: dict[str, _Pieces] = {}
 
 
 def count_tokens(path: str, text: str | None) -> int:
-    """Tokens of a whole text. Texts with very long blanks are split by another engine with the same pattern."""
+    """Tokens of a whole text: the tokenizer's pattern splits it, its ranks merge each piece."""
     if not text:
         return 0
-    encoding = _tokenizer(path)
-    if not LONG_BLANK.search(text):
-        return len(encoding.encode_ordinary(text))
-    single = encoding._core_bpe.encode_single_piece
-    return sum(len(single(m.group().encode())) for m in regex.finditer(encoding._pat_str, text))
+    if path not in _loaded:
+        _loaded[path] = _Pieces(path)
+    pieces = _loaded[path]
+    return sum(map(pieces.__getitem__, pieces.split(text)))
 
 
 def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -142,8 +150,10 @@ def pack(documents: DataFrame, budgets: DataFrame, *, tokenizer: str | None = No
     rest, which is packed like a short text.
 
     The budgets are configuration: a handful of rows read to the driver, as are the length
-    histograms, which have at most ``capacity`` rows each. The slots of a plan are shared
-    with the join as one row per length.
+    histograms, which have at most ``capacity`` rows each. The slots of a plan are written
+    as a table and meet the documents in a range join: by length and block of ranks, then by
+    rank. A length that many documents share is spread over its blocks, and Catalyst may
+    broadcast the slots only where their written size allows it.
 
     Defined results: texts without tokens (null and empty ones too) are placed with 0 tokens,
     spread over the windows; budgets with a null or non-positive capacity are ignored; equal
@@ -170,33 +180,37 @@ def pack(documents: DataFrame, budgets: DataFrame, *, tokenizer: str | None = No
         histogram.setdefault(r.budget_id, {})[r.len] = r.n
     plan, totals = [], {}
     for b, c in wanted:
-        lengths = {k: n for k, n in histogram.get(b, {}).items() if k > 0}
+        of_length = histogram.get(b, {})
+        lengths = {k: n for k, n in of_length.items() if k > 0}
         slots, n = plan_windows(lengths, c)
-        if histogram.get(b) and not n:
+        if of_length and not n:
             n = 1
         totals[b] = n
-        plan += [(b, s.length, s.start, s.first, s.each, s.offset) for s in slots]
-        if 0 in histogram.get(b, {}):
-            share = math.ceil(histogram[b][0] / n)
-            plan.append((b, 0, 0, 0, share, 0))
-
-    steps = spark.createDataFrame(plan, "budget_id bigint, len bigint, start bigint, first bigint, each bigint, offset bigint").groupBy("budget_id", "len").agg(F.array_sort(F.collect_list(F.struct("start", "first", "each", "offset"))).alias("steps"))
+        ends: dict[int, int] = {}  # slots of a length follow each other, so each ends where the next starts
+        for s in reversed(slots):
+            plan.append((b, s.length, s.start, ends.get(s.length, of_length[s.length]), s.first, s.each, s.offset))
+            ends[s.length] = s.start
+        if 0 in of_length:
+            plan.append((b, 0, 0, of_length[0], 0, math.ceil(of_length[0] / n), 0))
+
+    steps = work.stage(spark.createDataFrame(plan, "budget_id bigint, len bigint, start bigint, upto bigint, first bigint, each bigint, offset bigint"))
+    block = lambda c: F.expr(f"({c}) div {BLOCK_RANKS}")
+    steps = steps.withColumn("block", F.explode(F.sequence(block("start"), block("upto - 1"))))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("budget_id", "len").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = short.withColumn("k", F.row_number().over(Window.partitionBy("budget_id", "len", "bucket").orderBy("doc_id")) - 1)
-    ranked = ranked.join(counts.select("budget_id", "len", "bucket", before.alias("before")), ["budget_id", "len", "bucket"]).join(F.broadcast(steps), ["budget_id", "len"])
-    ranked = ranked.withColumn("rank", F.col("k") + F.col("before"))
-    step = F.element_at("steps", F.size(F.filter("steps", lambda s: s["start"] <= F.col("rank"))))
-    placed = ranked.select("*", step.alias("s"))
-    into = (F.col("rank") - F.col("s.start")) % F.col("s.each")
+    ranked = ranked.join(counts.select("budget_id", "len", "bucket", before.alias("before")), ["budget_id", "len", "bucket"])
+    ranked = ranked.withColumn("rank", F.col("k") + F.col("before")).withColumn("block", block("rank"))
+    placed = ranked.join(steps, ["budget_id", "len", "block"]).where("start <= rank and rank < upto")
+    into = (F.col("rank") - F.col("start")) % F.col("each")
     of_short = placed.select(
         "budget_id",
         "capacity",
-        (F.col("s.first") + F.expr("(rank - s.start) div s.each")).alias("window_id"),
+        (F.col("first") + F.expr("(rank - start) div each")).alias("window_id"),
         "doc_id",
         F.col("full").alias("piece_no"),
         (F.col("full") * F.col("capacity")).alias("first_token"),
         F.col("len").alias("n_tokens"),
-        (F.col("s.offset") + into * F.col("len")).alias("window_offset"),
+        (F.col("offset") + into * F.col("len")).alias("window_offset"),
     )
 
     # full windows of long texts are numbered after the planned ones, by position in the same order of ranks

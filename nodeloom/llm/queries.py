@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import Workspace, table
 from . import consolidate, leakage, packing, repetition
 
 
@@ -46,18 +46,21 @@ def p8_paraphrases(spark, d):
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), leakage.PARAPHRASE).select("doc_id", "item_id", F.round("score", 4).alias("score"))
 
 
+def _ledger(spark, d):
+    """The ledger of all documents, evaluated by every rule and stored once."""
+    return repetition.store(repetition.ledger(table(spark, d, "documents")), Workspace(spark, "ledger").root)
+
+
 def p9_found(spark, d):
-    marked = repetition.ledger(table(spark, d, "documents"), repetition.POLICIES["runs/1"])
-    return repetition.rejected(marked, "runs/1").select("doc_id")
+    return repetition.rejected(_ledger(spark, d), "runs/1").select("doc_id")
 
 
 def p9_ledger(spark, d):
-    marked = repetition.ledger(table(spark, d, "documents"))
-    return marked.select("doc_id", "n_words", "repeated", *[F.round(r.name, 6).alias(r.name) for r in repetition.RULES], "failed")
+    return _ledger(spark, d).select("doc_id", "n_words", "repeated", *[F.round(r.name, 6).alias(r.name) for r in repetition.RULES], "failed")
 
 
 def p9_ablations(spark, d):
-    return repetition.ablations(repetition.ledger(table(spark, d, "documents")), "full/1")
+    return repetition.ablations(_ledger(spark, d), "full/1")
 
 
 def queries() -> dict:

@@ -2,17 +2,20 @@
 
 Every rule is measured once per document. The ledger keeps the measurements and one bitmask
 of the rules that fail at their thresholds; policies are versioned sets of rules applied to
-the mask alone, and ablations are aggregations of masks, so no text is read again.
+the mask alone, and ablations are aggregations of masks. A ledger is stored once under the
+version of its rules (``store``); policies and ablations run on the stored rows, so no text
+is read again.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .words import words
@@ -43,6 +46,9 @@ RULES = (
 )
 BIT = {r.name: 1 << i for i, r in enumerate(RULES)}
 
+#: Version of the rules; raised whenever a rule, a threshold or the way of measuring changes.
+RULES_VERSION = 2
+
 #: Policy versions: a document is rejected if a rule of the policy fails.
 POLICIES = {
     "runs/1": ("repeated_words",),
@@ -96,70 +102,85 @@ def _duplicates(parts: list[str]) -> tuple[float, float]:
     return 1 - len(counts) / len(parts), sum((c - 1) * len(p) for p, c in counts.items()) / chars
 
 
-def _top(tokens: list[str], n: int) -> float:
-    """Share of the words' characters in occurrences of the most frequent n-gram seen twice or more."""
+def _top(tokens: list[str], chars: int, n: int) -> float | None:
+    """Share of the words' characters in occurrences of the most frequent n-gram; None if none is seen twice.
+
+    Of several n-grams that are the most frequent, the first in the text counts.
+    """
     if len(tokens) <= n:
-        return 0.0
-    (gram, count), = Counter(zip(*(tokens[i:] for i in range(n)))).most_common(1)
-    return min(1.0, count * sum(map(len, gram)) / sum(map(len, tokens))) if count > 1 else 0.0
+        return None
+    counts = Counter(zip(*(tokens[i:] for i in range(n))))
+    if len(counts) == len(tokens) - n + 1:
+        return None
+    gram, count = max(counts.items(), key=itemgetter(1))
+    return min(1.0, count * sum(map(len, gram)) / chars)
 
 
-def measure(text: str | None, only: frozenset[str] | None = None) -> list[float | None]:
-    """The measurement of each rule, and the numbers of words and repeated words; rules not in ``only`` give None."""
+def measure(text: str | None) -> list[float]:
+    """The numbers of words and of repeated words, and each rule's measurement."""
     text = text or ""
-    out: dict[str, float] = {}
-    want = (lambda *names: True) if only is None else (lambda *names: any(x in only for x in names))
     tokens = words(text)
-    n, repeated = repeated_share(tokens) if want("repeated_words") else (len(tokens), 0)
-    if want("repeated_words"):
-        out["repeated_words"] = repeated / n if n else 0.0
-    if want("duplicate_lines", "duplicate_line_chars", "duplicate_paragraphs"):
-        lines = [x for x in (y.strip() for y in text.splitlines()) if x]
-        out["duplicate_lines"], out["duplicate_line_chars"] = _duplicates(lines)
-        paragraphs = text.replace("\r\n", "\n").replace("\r", "\n").split("\n\n")
-        out["duplicate_paragraphs"] = _duplicates([x for x in (y.strip() for y in paragraphs) if x])[0]
-    if want("duplicate_sentences"):
-        sentences = text.replace("!", ".").replace("?", ".").replace("\n", " ").split(". ")
-        out["duplicate_sentences"] = _duplicates([x for x in (y.strip(" .") for y in sentences) if x])[0]
-    for k, name in ((2, "top_bigram"), (3, "top_trigram"), (4, "top_fourgram")):
-        if want(name):
-            out[name] = _top(tokens, k)
-    return [n, repeated, *(out.get(r.name) for r in RULES)]
+    n, repeated = repeated_share(tokens)
+    lines = [x for x in (y.strip() for y in text.splitlines()) if x]
+    paragraphs = text.replace("\r\n", "\n").replace("\r", "\n").split("\n\n")
+    sentences = text.replace("!", ".").replace("?", ".").replace("\n", " ").split(". ")
+    same_lines, same_line_chars = _duplicates(lines)
+    same_paragraphs, _ = _duplicates([x for x in (y.strip() for y in paragraphs) if x])
+    same_sentences, _ = _duplicates([x for x in (y.strip(" .") for y in sentences) if x])
+    out = [n, repeated, repeated / n if n else 0.0, same_lines, same_line_chars, same_paragraphs, same_sentences]
+    chars = sum(map(len, tokens))
+    share: float | None = 0.0
+    for k in (2, 3, 4):
+        # where no n-gram is seen twice, no longer one is
+        share = None if share is None else _top(tokens, chars, k)
+        out.append(share or 0.0)
+    return out
 
 
 LEDGER_SCHEMA = "doc_id bigint, n_words bigint, repeated bigint, " + ", ".join(f"{r.name} double" for r in RULES)
 
 
-def ledger(documents: DataFrame, rules: tuple[str, ...] | None = None) -> DataFrame:
+def ledger(documents: DataFrame) -> DataFrame:
     """One row per document: word counts, each rule's measurement, and ``failed``, the bitmask.
 
-    One narrow pass without a shuffle. ``rules`` limits which rules are evaluated; the others
-    have null measurements and clear bits.
+    One narrow pass without a shuffle, in which every rule is evaluated.
 
     Defined results: null and empty texts have no words, share 0 and no failures; documents
     delivered repeatedly have a row each; nulls in other columns do not matter.
     """
-    only = None if rules is None else frozenset(rules)
     types = [pa.int64()] * 3 + [pa.float64()] * len(RULES)
     names = ["doc_id", "n_words", "repeated", *(r.name for r in RULES)]
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            got = [measure(t.as_py(), only) for t in batch.column(1)]
+            got = [measure(t.as_py()) for t in batch.column(1)]
             if got:
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(zip(*got), types[1:]))], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*got), types[1:]))], names=names)
 
     measured = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, LEDGER_SCHEMA)
     mask: Column = F.lit(0)
     for r in RULES:
         c = F.col(r.name)
         # exact at the threshold: shares of words are compared as integers
-        fails = (F.col("repeated") * 100 >= F.col("n_words") * round(r.threshold * 100)) & (F.col("n_words") > 0) & c.isNotNull() if r.name == "repeated_words" else (c >= r.threshold if r.inclusive else c > r.threshold)
+        fails = (F.col("repeated") * 100 >= F.col("n_words") * round(r.threshold * 100)) & (F.col("n_words") > 0) if r.name == "repeated_words" else (c >= r.threshold if r.inclusive else c > r.threshold)
         mask = mask.bitwiseOR(F.when(fails, F.lit(BIT[r.name])).otherwise(F.lit(0)))
     return measured.withColumn("failed", mask)
 
 
+def store(marked: DataFrame, folder: str) -> DataFrame:
+    """Write a ledger under the version of its rules, once, and return it as read back.
+
+    A version that is already there is an error: measurements of one version never change.
+    """
+    marked.write.mode("errorifexists").option("compression", "zstd").parquet(f"{folder}/rules={RULES_VERSION}")
+    return stored(marked.sparkSession, folder)
+
+
+def stored(spark: SparkSession, folder: str, version: int = RULES_VERSION) -> DataFrame:
+    """A stored ledger; policies and ablations run on its masks."""
+    return spark.read.schema(LEDGER_SCHEMA + ", failed int").parquet(f"{folder}/rules={version}")
+
+
 def policy_mask(policy: str) -> int:
     return sum(BIT[x] for x in POLICIES[policy])
 

@@ -77,10 +77,31 @@ def test_found_against_brute_force(spark, data):
     assert sorted(got) == sorted(want) and want
 
 
-def test_ledger_policies_and_ablations(spark):
+def test_every_rule_is_measured(spark, data):
+    from collections import Counter
+
+    def top(tokens, n):
+        grams = [tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)]
+        if len(tokens) <= n or max(Counter(grams).values()) < 2:
+            return 0.0
+        gram, count = Counter(grams).most_common(1)[0]
+        return min(1.0, count * sum(map(len, gram)) / sum(map(len, tokens)))
+
+    for r in table(spark, data, "documents").collect():
+        tokens = words(r.text)
+        assert repetition.measure(r.text)[-3:] == [top(tokens, n) for n in (2, 3, 4)]
+    names = {x.name for x in repetition.RULES}
+    p = repetition.ledger(table(spark, data, "documents"))
+    assert names < set(p.columns) and p.where(" or ".join(f"{n} is null" for n in names)).count() == 0
+
+
+def test_ledger_policies_and_ablations(spark, tmp_path):
     spam = "buy this now and get one " * 30
     texts = ["one two three", None, "", spam, "line\nline\nline\nother", "a b c\n\na b c\n\nd"]
-    marked = repetition.ledger(docs(spark, texts)).cache()
+    marked = repetition.store(repetition.ledger(docs(spark, texts)), str(tmp_path))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        repetition.store(marked, str(tmp_path))
+    assert repetition.stored(spark, str(tmp_path)).dtypes == repetition.ledger(docs(spark, texts)).dtypes
     rows = {r.doc_id: r for r in marked.collect()}
     assert rows[1].failed == rows[2].failed == 0 and rows[1].n_words == 0
     assert rows[3].failed & repetition.BIT["repeated_words"] and rows[4].failed & repetition.BIT["duplicate_lines"]
@@ -148,15 +169,41 @@ def test_pack(spark, data):
     assert len(only_empty) == 4 and {r.window_id for r in only_empty} == {0}
 
 
-def test_long_blanks_count_like_short_ones(monkeypatch):
+def test_tokens_equal_the_tokenizer(spark, data):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
     path = packing.default_tokenizer()
-    texts = ["a" + " " * n + "b\n\n\n  c" + "\n" * n + "é's  1234" for n in (1, 2, 3, 17, 200)] + ["", " " * 200, "x\t \r\n y"]
-    plain = [packing.count_tokens(path, t) for t in texts]
-    monkeypatch.setattr(packing, "LONG_BLANK", packing.regex.compile(""))
-    assert [packing.count_tokens(path, t) for t in texts] == plain
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["a" + " " * n + "b\n\n\n  c" + "\n" * n + "é's  1234" for n in (1, 2, 3, 17, 200)] + ["", " " * 200, "x\t \r\n y", "<|endoftext|> 'll"]
+    texts += [r.text for r in table(spark, data, "documents").collect() if r.text and "  " * 100 not in r.text]
+    assert [packing.count_tokens(path, t) for t in texts] == [len(plain.encode_ordinary(t)) for t in texts]
+    # the tokenizer's own splitter fails on such a text
     assert packing.count_tokens(path, "word" + " " * 1_000_000 + "word") > 1000
 
 
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_pack_in_any_blocks_of_ranks(spark, data, monkeypatch, block):
+    monkeypatch.setattr(packing, "BLOCK_RANKS", block)
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 20)
+    d = table(spark, data, "documents").select("doc_id", "text")
+    budgets = spark.createDataFrame([(1, 64), (2, 512)], "budget_id bigint, capacity int")
+    tokens = {r.doc_id: r.n_tokens for r in packing.token_counts(d).collect()}
+    pieces_ok(packing.pack(d, budgets).collect(), tokens, (64, 512))
+
+
+def test_little_is_left_unused(spark):
+    d, budgets = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "token_budgets"))
+    fill = {r.capacity: r for r in packing.window_fill(packing.pack(d, budgets)).collect()}
+    need = {c: -(-r.tokens // c) for c, r in fill.items()}
+    # at most one window in a hundred more than the tokens need at the least
+    assert len(fill) == 4 and all(r.windows <= need[c] * 1.01 + 1 for c, r in fill.items())
+
+
 def leaks_brute(documents, items):
     grams = {}
     for i, t in items:
@@ -201,7 +248,7 @@ def test_latent_index_recall(spark):
     space = leakage.fit(encoded)
     unpack = lambda rows: [np.frombuffer(r.codes, np.uint32) for r in rows]
     items = list(enumerate(unpack(leakage.encode(i.withColumnRenamed("item_id", "k"), "k").collect())))
-    how = leakage.PARAPHRASE
+    how = leakage.LATENT_PARAPHRASE
     index = leakage._Index(space, items, how)
     total = hit = 0
     for codes in unpack(encoded.collect()):
@@ -216,6 +263,36 @@ def test_latent_index_recall(spark):
     assert total > 100 and hit / total >= 0.9
 
 
+def test_planted_paraphrases(spark):
+    """Items retold with words left out, put in or changed, inside other documents."""
+    d, i = (table(spark, "/root/testdata/sf0.01", n).select(k, "text") for n, k in (("documents", "doc_id"), ("eval_items", "item_id")))
+    rng = random.Random(8)
+    hosts = [r.text for r in d.where("length(text) > 600").orderBy("doc_id").limit(400).collect()]
+    planted = []
+    for k, r in enumerate(i.orderBy("item_id").collect()):
+        retold = []
+        for w in r.text.split():
+            x = rng.random()
+            retold += [] if x < 0.07 and not w.lower().startswith("answer") else ["rather", w] if x < 0.12 else [w]
+        host = hosts[k % len(hosts)].split()
+        at = rng.randrange(len(host))
+        planted.append((-1 - k, " ".join(host[:at] + retold + host[at:]), r.item_id))
+    mine = spark.createDataFrame([(a, t) for a, t, _ in planted], "doc_id bigint, text string")
+    want = {(a, k) for a, _, k in planted}
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(d.unionByName(mine), i, leakage.PARAPHRASE).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_verbatim_search_runs_every_stage(spark, monkeypatch):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda Answer: mu nu xi"
+    d = docs(spark, [item, item.replace("xi", "pi"), item.split(" Answer")[0]])
+    i = spark.createDataFrame([(1, item), (2, item.split(" Answer")[0])], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.score, r.answered if r.answered is None else round(r.answered, 2)) for r in leakage.leaks(d, i).collect()}
+    assert got == {(0, 1): (1.0, 1.0), (1, 1): (1.0, 0.67), (2, 1): (1.0, 0.0), (0, 2): (1.0, None), (1, 2): (1.0, None), (2, 2): (1.0, None)}
+    strict = leakage.Search(answer=0.5)
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(d, i, strict).collect()} == set(got) - {(2, 1)}
+
+
 def test_common_subsequence():
     import numpy as np
 
