@@ -1,40 +1,61 @@
-"""References to records that do not exist: an incremental ledger of pending orphans.
-
-The ledger holds two keyed tables: the parent index (when a key first arrived, when it was
-first deleted) and the references with their present verdict. Each delivery is applied as
-a set: new references probe the index, arriving parents resolve the orphans that wait for
-them, deletions reopen resolved ones. Only references whose key the delivery touched are
-judged again. Applying deliveries in any split gives the verdicts of one full load.
+"""References to records that do not exist: an incremental, persistent ledger of orphans.
+
+The ledger keeps keyed state in a folder: the parent index (when a key first arrived, when
+it was first deleted) and the references by their present verdict, pending or resolved. All
+of it is split into buckets by key. A delivery is applied as a set: new references probe the
+index, arriving parents resolve the orphans that wait for them, deletions reopen resolved
+ones. Only the buckets that hold a key of the delivery are read and written again; the rest
+stay as they are. Every delivery adds a row set of snapshot counts. Applying deliveries in
+any split gives the verdicts of one full load.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import Workspace
+from ..runtime import Files, Workspace
 
 REF = ["ref_table", "ref_field", "row_id", "ref_month"]
 REF_SCHEMA = "ref_table string, ref_field string, row_id string, ref_month string, space string, key string, seen_at timestamp_ntz, since timestamp_ntz, reason string"
 INDEX_SCHEMA = "space string, key string, first_at timestamp_ntz, gone_at timestamp_ntz"
+REPORT_SCHEMA = "ref_table string, ref_field string, ref_month string, reason string, n bigint"
+PENDING, RESOLVED = "pending", "resolved"
 
 
-@dataclass
 class OrphanLedger:
-    """State of the ledger between deliveries; both tables are staged, so lineage stays short."""
+    """The state of the ledger after a number of deliveries, kept in a folder.
+
+    ``buckets`` is fixed when a ledger begins: large enough that a usual delivery touches few
+    of them. Buckets are written as new generations; the manifest of a delivery, created last
+    and never overwritten, says which generation of each bucket counts. A delivery that fails
+    leaves the state before it, and of two writers of one delivery the second is refused.
+    """
 
-    work: Workspace
-    index: DataFrame
-    refs: DataFrame
+    def __init__(self, spark, folder: str, state: dict):
+        self.spark, self.folder, self.state = spark, folder, state
 
     @classmethod
-    def empty(cls, spark) -> OrphanLedger:
-        return cls(Workspace(spark, "orphans"), spark.createDataFrame([], INDEX_SCHEMA), spark.createDataFrame([], REF_SCHEMA))
+    def empty(cls, spark, buckets: int = 16) -> OrphanLedger:
+        """A ledger in a folder that is removed with the session."""
+        return cls.open(spark, Workspace(spark, "orphans").root, buckets)
 
-    def advance(self, references: DataFrame, parents: DataFrame, *, last: bool = False) -> OrphanLedger:
-        """Apply one delivery and return the new state.
+    @classmethod
+    def open(cls, spark, folder: str, buckets: int = 16) -> OrphanLedger:
+        """The latest state found in ``folder``, or a new ledger."""
+        files = Files(spark)
+        for name in sorted((n for n in files.names(folder) if n.startswith("manifest-")), reverse=True):
+            try:
+                return cls(spark, folder, json.loads(files.read(f"{folder}/{name}")))
+            except ValueError:  # its writer was lost before the manifest was whole
+                continue
+        return cls(spark, folder, {"delivery": 0, "buckets": buckets, "index": {}, PENDING: {}, RESOLVED: {}, "reports": []})
+
+    def advance(self, references: DataFrame, parents: DataFrame) -> OrphanLedger:
+        """Apply one delivery, write the buckets it touches and return the new state.
 
         ``references(ref_table, ref_field, row_id, ref_month, space, key, seen_at, since)``:
         one row per delivered reference; ``space`` names the set of keys it points into,
@@ -42,43 +63,69 @@ class OrphanLedger:
         apply), ``since`` when it first arrived. ``parents(space, key, first_at, gone_at)``:
         arrivals (``first_at``) and deletions (``gone_at``) of keys. Both may be empty.
 
-        Defined results: rows with a null key are no references; repeated deliveries keep the
-        earliest ``since``, ``first_at`` and ``gone_at`` (a reference delivered again may stand
-        twice in the state, always with verdicts that ``orphans`` merges); an empty string is an
-        ordinary key. ``last`` skips writing the state when no delivery follows.
+        Defined results: rows with a null key are no references; a reference delivered again
+        stands in the state once; repeated deliveries keep the earliest ``seen_at``,
+        ``since``, ``first_at`` and ``gone_at``; an empty string is an ordinary key.
         """
-        fresh = parents.where("key is not null").groupBy("space", "key").agg(F.min("first_at").alias("first_at"), F.min("gone_at").alias("gone_at"))
-        new = references.where("key is not null").select(*REF, "space", "key", "seen_at", "since", F.lit(None).cast("string").alias("reason"), F.lit(True).alias("touched"))
-        if self.refs.isEmpty():
-            index, asked = fresh, new
-        else:
-            fresh = self.work.stage(fresh)
-            index = self.index.unionByName(fresh).groupBy("space", "key").agg(F.min("first_at").alias("first_at"), F.min("gone_at").alias("gone_at"))
-            hit = fresh.select("space", "key", F.lit(True).alias("touched"))
-            asked = self.refs.join(hit, ["space", "key"], "left").select(*new.columns).unionByName(new)
-        if not last:
-            index = self.work.stage(index)
-        # references that neither are new nor have a touched key keep their verdict and skip the probe
-        again = asked.where("touched").groupBy(*REF, "space", "key").agg(F.min("seen_at").alias("seen_at"), F.min("since").alias("since"))
-        judged = again.join(index, ["space", "key"], "left").select(
-            *REF,
-            "space",
-            "key",
-            "seen_at",
-            "since",
-            F.when(F.col("first_at").isNull() & F.col("gone_at").isNull(), "missing").when(F.col("gone_at") <= F.col("seen_at"), "deleted").when(F.col("first_at") > F.col("since"), "late").alias("reason"),
-        )
-        refs = judged.unionByName(asked.where("touched is null").drop("touched"))
-        return OrphanLedger(self.work, index, refs if last else self.work.stage(refs))
+        n = self.state["delivery"] + 1
+        run = f"delivery={n}/run={uuid.uuid4().hex}"  # two writers of one delivery do not meet
+        bucket = F.pmod(F.xxhash64("space", "key"), F.lit(self.state["buckets"])).cast("int")
+        new = references.where("key is not null").select(*REF, "space", "key", "seen_at", "since")
+        fresh = parents.where("key is not null").select("space", "key", "first_at", "gone_at")
+        known = bool(self.state["index"] or self.state[PENDING] or self.state[RESOLVED])
+        touched = [r[0] for r in new.select(bucket).union(fresh.select(bucket)).distinct().collect()] if known else None
+        old_index, old_refs = self._index(touched), self._references(touched, PENDING, RESOLVED)
+        index = old_index.unionByName(fresh) if known else fresh
+        index = index.groupBy("space", "key").agg(F.min("first_at").alias("first_at"), F.min("gone_at").alias("gone_at"))
+        index = self._write(index.withColumn("bucket", bucket), f"index/{run}", "bucket")
+        asked = old_refs.drop("reason").unionByName(new) if known else new
+        asked = asked.groupBy(*REF, "space", "key").agg(F.min("seen_at").alias("seen_at"), F.min("since").alias("since"))
+        verdict = F.when(F.col("first_at").isNull() & F.col("gone_at").isNull(), "missing").when(F.col("gone_at") <= F.col("seen_at"), "deleted").when(F.col("first_at") > F.col("since"), "late")
+        arrived = self._at(dict.fromkeys(index, run), "index", INDEX_SCHEMA)
+        judged = asked.join(arrived, ["space", "key"], "left").select(*REF, "space", "key", "seen_at", "since", verdict.alias("reason"))
+        self._write(judged.withColumns({"state": F.when(F.col("reason").isNull(), RESOLVED).otherwise(PENDING), "bucket": bucket}), f"references/{run}", "state", "bucket")
+        after = {"delivery": n, "buckets": self.state["buckets"], "index": self.state["index"] | dict.fromkeys(index, run), "reports": [*self.state["reports"], run]}
+        for state in (PENDING, RESOLVED):
+            kept = {b: g for b, g in self.state[state].items() if touched is not None and int(b) not in touched}
+            after[state] = kept | dict.fromkeys(self._written(f"references/{run}/state={state}"), run)
+        ledger = OrphanLedger(self.spark, self.folder, after)
+        ledger.report().write.mode("overwrite").parquet(f"{self.folder}/reports/{run}")
+        Files(self.spark).create(f"{self.folder}/manifest-{n:09d}.json", json.dumps(after))
+        return ledger
+
+    def _write(self, df: DataFrame, where: str, *by: str) -> list[str]:
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{self.folder}/{where}")
+        return self._written(where)
+
+    def _written(self, where: str) -> list[str]:
+        return [n.removeprefix("bucket=") for n in Files(self.spark).names(f"{self.folder}/{where}") if n.startswith("bucket=")]
+
+    def _at(self, buckets: dict, where: str, schema: str, state: str = "") -> DataFrame:
+        paths = [f"{self.folder}/{where}/{g}/{state}bucket={b}" for b, g in sorted(buckets.items())]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _index(self, touched: list[int] | None) -> DataFrame:
+        return self._at({b: g for b, g in self.state["index"].items() if touched is None or int(b) in touched}, "index", INDEX_SCHEMA)
+
+    def _references(self, touched: list[int] | None, *states: str) -> DataFrame:
+        parts = [self._at({b: g for b, g in self.state[s].items() if touched is None or int(b) in touched}, "references", REF_SCHEMA, f"state={s}/") for s in states]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def orphans(self) -> DataFrame:
         """The references now pending: (ref_table, ref_field, row_id, reason, ref_month)."""
-        return self.refs.where("reason is not null").select("ref_table", "ref_field", "row_id", "reason", "ref_month").distinct()
+        return self._references(None, PENDING).select("ref_table", "ref_field", "row_id", "reason", "ref_month").distinct()
 
     def report(self) -> DataFrame:
         """Snapshot counts per table, field, month and reason."""
         return self.orphans().groupBy("ref_table", "ref_field", "ref_month", "reason").agg(F.count(F.lit(1)).alias("n"))
 
+    def history(self) -> DataFrame:
+        """The snapshot counts after each delivery: (delivery, ref_table, ref_field, ref_month, reason, n)."""
+        if not self.state["delivery"]:
+            return self.spark.createDataFrame([], "delivery int, " + REPORT_SCHEMA)
+        got = self.spark.read.option("basePath", f"{self.folder}/reports").schema(REPORT_SCHEMA + ", delivery int").parquet(*[f"{self.folder}/reports/{run}" for run in self.state["reports"]])
+        return got.select("delivery", "ref_table", "ref_field", "ref_month", "reason", "n")
+
 
 def _ends(df: DataFrame, table: str, *cols) -> DataFrame:
     end = lambda f: F.struct(F.lit(f).alias("ref_field"), F.col(f).alias("key"))
@@ -124,10 +171,10 @@ def ledger_of(links, nodes, shared, snapshot_links, snapshot_nodes, versions, cu
     """The ledger after delivering all tables in ``len(cuts) + 1`` steps split by arrival time."""
     ledger = OrphanLedger.empty(links.sparkSession)
     edges = [None, *sorted(cuts), None]
-    for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+    for lo, hi in zip(edges, edges[1:]):
         references = link_references(_between(links, "ingested_at", lo, hi)).unionByName(snapshot_references(_between(snapshot_links, "delivered_at", lo, hi), versions))
         parents = parent_events(_between(nodes, "ingested_at", lo, hi), _between(shared, "ingested_at", lo, hi), _between(snapshot_nodes, "delivered_at", lo, hi))
-        ledger = ledger.advance(references, parents, last=k == len(cuts))
+        ledger = ledger.advance(references, parents)
     return ledger
 
 

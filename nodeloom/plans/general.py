@@ -22,6 +22,10 @@ def p1_descendants(spark, d):
     return hierarchy.descendants(out)
 
 
+def p1_conflicts(spark, d):
+    return hierarchy.conflicts(hierarchy.link_hierarchies(table(spark, d, "graph_links")))
+
+
 def _changes(spark, d, what):
     return snapshots.snapshot_changes(table(spark, d, f"snapshot_{what}"), table(spark, d, "graph_versions"))
 
@@ -35,8 +39,11 @@ def p2_counts(spark, d):
     """Exact counts over nodes and links per version, next to those the source reported."""
     both = _changes(spark, d, "nodes").unionByName(_changes(spark, d, "links"))
     exact = snapshots.change_counts(both, "repo", "version_no")
-    said = table(spark, d, "graph_versions").select("repo", "version_no", *[F.col(c).alias(f"reported_{c}") for c in ("added", "removed", "changed")])
-    return exact.join(said, ["repo", "version_no"], "left")
+    kinds = ("added", "removed", "changed")
+    listed = table(spark, d, "graph_versions").groupBy("repo", "version_no").agg(*[F.max(c).alias(f"reported_{c}") for c in kinds])
+    first = listed.groupBy("repo").agg(F.min("version_no").alias("first"))
+    later = listed.join(first, "repo").where("version_no > first")  # a version without changes has a row too
+    return later.join(exact, ["repo", "version_no"], "left").select("repo", "version_no", *[F.coalesce(c, F.lit(0)).alias(c) for c in kinds], *[f"reported_{c}" for c in kinds])
 
 
 def _owners(spark, d):
@@ -92,8 +99,12 @@ def p6_report(spark, d):
     return _ledger(spark, d, True).report()
 
 
+def p6_history(spark, d):
+    return _ledger(spark, d, True).history()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_counts, p3_found, p3_bridge, p3_objects, p3_unreadable, p4_found, p4_profiles, p4_joined, p6_found, p6_report)}
+    return {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_conflicts, p2_found, p2_counts, p3_found, p3_bridge, p3_objects, p3_unreadable, p4_found, p4_profiles, p4_joined, p6_found, p6_report, p6_history)}
 
 
 _TREE = """
@@ -133,6 +144,9 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _TREE + "SELECT h AS hierarchy, v AS node_id, root_id, node_depth FROM down UNION ALL SELECT h, v, root_id, -1 FROM rings",
         "p1_paths": _TREE + "SELECT h AS hierarchy, v AS node_id, root_id, node_depth, to_json(path)::VARCHAR AS path FROM down UNION ALL SELECT h, v, root_id, -1, NULL FROM rings",
         "p1_descendants": _TREE + "SELECT h AS hierarchy, path[i] AS ancestor_id, v AS node_id, node_depth - i + 1 AS steps FROM down, unnest(range(1, node_depth + 1)) AS u(i) WHERE node_depth > 0",
+        "p1_conflicts": """WITH g AS (SELECT DISTINCT lower(trim(kind)) AS h, CASE WHEN lower(trim(kind)) = 'contains' THEN target ELSE source END AS v, CASE WHEN lower(trim(kind)) = 'contains' THEN source ELSE target END AS p
+          FROM graph_links WHERE lower(trim(kind)) IN ('contains', 'extends') AND source IS NOT NULL AND target IS NOT NULL), k AS (SELECT *, min(p) OVER (PARTITION BY h, v) AS low FROM g)
+          SELECT h AS hierarchy, v AS node_id, low AS kept_parent_id, p AS dropped_parent_id FROM k WHERE p <> low""",
         "p4_found": _ENDS + "SELECT side, node_id FROM e WHERE node_id IS NOT NULL GROUP BY side, node_id HAVING count(*) >= 0.01 * (SELECT count(*) FROM graph_links)",
         "p4_profiles": _ENDS
         + """, k AS (SELECT id, count(*) AS c FROM graph_nodes GROUP BY id),

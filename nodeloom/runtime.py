@@ -16,13 +16,19 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset a local session gets a temporary folder of its own (tests); on a
+    cluster, whose executors would each write to their own disk, that is an error.
+    """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="nodeloom-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -78,6 +84,44 @@ class Workspace:
         self._files(where).delete(where, True)
 
 
+class Files:
+    """Small files of the shared folder, by way of the file system that its address names."""
+
+    def __init__(self, spark: SparkSession):
+        self.context = spark.sparkContext
+        self.java = spark.sparkContext._jvm
+
+    def _at(self, path: str):
+        where = self.java.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.context._jsc.hadoopConfiguration()), where
+
+    def names(self, folder: str) -> list[str]:
+        """Names of what lies in a folder; none if there is no such folder."""
+        files, where = self._at(folder)
+        return sorted(x.getPath().getName() for x in files.listStatus(where)) if files.exists(where) else []
+
+    def read(self, path: str) -> str:
+        files, where = self._at(path)
+        stream = files.open(where)
+        try:
+            return self.java.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, path: str, text: str) -> None:
+        """Write a new file; an error if it exists, so of two writers one is refused."""
+        files, where = self._at(path)
+        stream = files.create(where, False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def remove(self, path: str) -> None:
+        files, where = self._at(path)
+        files.delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,6 +1,6 @@
 import random
 
-from nodeloom.operators.hierarchy import descendants, link_hierarchies, resolve_hierarchy
+from nodeloom.operators.hierarchy import conflicts, descendants, link_hierarchies, resolve_hierarchy
 
 
 def brute(edges):
@@ -61,3 +61,10 @@ def test_descendants_and_kinds(spark):
     assert {tuple(r) for r in link_hierarchies(links).collect()} == {("contains", "b", "a"), ("extends", "c", "d")}
     got = {tuple(r) for r in descendants(run(spark, [("t", "b", "a"), ("t", "c", "b")])).collect()}
     assert got == {("t", "a", "b", 1), ("t", "a", "c", 2), ("t", "b", "c", 1)}
+
+
+def test_conflicts(spark):
+    edges = [("t", "m", "z"), ("t", "m", "b"), ("t", "m", "b"), ("t", "m", "k"), ("u", "m", "a"), ("t", "n", "a"), ("t", None, "a"), ("t", "n", None)]
+    df = spark.createDataFrame(edges, "hierarchy string, node_id string, parent_id string")
+    assert {tuple(r) for r in conflicts(df).collect()} == {("t", "m", "b", "z"), ("t", "m", "b", "k")}
+    assert conflicts(df.limit(0)).count() == 0

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from nodeloom import runtime
@@ -12,6 +13,22 @@ def test_staging_reads_the_session_setting(spark, tmp_path, monkeypatch):
     assert shared_dir(spark) == f"file://{tmp_path}"
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        def __init__(self, master):
+            self.master = master
+            self._jsc = self
+
+        getConf = sc = lambda self: self
+        get = lambda self, *_: None
+        getCheckpointDir = lambda self: type("None", (), {"isDefined": staticmethod(lambda: False)})
+
+    for master in ("spark://a:7077", "yarn", "k8s://x", "local-cluster[3,2,1024]"):
+        session = type("Session", (), {"conf": Context(master), "sparkContext": Context(master)})
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session)
+
+
 def test_staging_and_dropping(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(runtime, "shared_dir", lambda s: f"file://{tmp_path}")
     work = Workspace(spark, "t")

@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+import pytest
+
 from nodeloom.operators import references, skew
 from nodeloom.runtime import table
 
@@ -73,6 +75,36 @@ def test_ledger_states(spark):
     assert sum(x.n for x in ledger.report().collect()) == 2
 
 
+REFS = "ref_table string, ref_field string, row_id string, ref_month string, space string, key string, seen_at timestamp_ntz, since timestamp_ntz"
+PARENTS = "space string, key string, first_at timestamp_ntz, gone_at timestamp_ntz"
+
+
+def test_a_small_delivery_rewrites_its_buckets_only(spark, tmp_path):
+    import os
+
+    ref = lambda rows: spark.createDataFrame([("l", "source", i, "m", "s", k, T0, T0) for i, k in rows], REFS)
+    par = lambda keys: spark.createDataFrame([("s", k, T0, None) for k in keys], PARENTS)
+    files = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(tmp_path) for f in fs}
+    ledger = references.OrphanLedger.open(spark, f"file://{tmp_path}", 32)
+    ledger = ledger.advance(ref([(str(i), f"k{i}") for i in range(200)]), par([f"k{i}" for i in range(0, 200, 2)]))
+    before, state = files(), ledger.state
+    assert ledger.orphans().count() == 100
+    again = references.OrphanLedger.open(spark, f"file://{tmp_path}").advance(ref([]), par(["k1"]))
+    assert {r.row_id for r in again.orphans().collect()} == {str(i) for i in range(3, 200, 2)}
+    assert all(files()[f] == t for f, t in before.items())
+    assert sum(g.startswith("delivery=2/") for g in again.state["index"].values()) == 1 and sum(again.state["pending"].get(b) != g for b, g in state["pending"].items()) == 1
+    assert len({d for d in map(os.path.dirname, files()) if "references/delivery=2" in d and "bucket" in d}) <= 2
+    assert {(r.delivery, r.n) for r in again.history().collect()} == {(1, 100), (2, 99)}
+    # redelivered references stand in the state once, and a second writer of one delivery is refused
+    third = again.advance(ref([("3", "k3"), ("3", "k3"), ("0", "k0")]), par([]))
+    assert third._references(None, "pending", "resolved").count() == 200
+    with pytest.raises(Exception, match="already exists"):
+        again.advance(ref([]), par(["k5"]))
+    # a manifest cut short does not count
+    (tmp_path / "manifest-000000009.json").write_text("{")
+    assert references.OrphanLedger.open(spark, f"file://{tmp_path}").state == third.state
+
+
 def test_ledger_of_empty_tables(spark, data):
     t = [table(spark, data, n).limit(0) for n in ("graph_links", "graph_nodes", "shared_nodes", "snapshot_links", "snapshot_nodes", "graph_versions")]
     assert references.middle_of(t[0]) == () and references.ledger_of(*t).orphans().count() == 0
