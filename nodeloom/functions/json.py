@@ -209,6 +209,42 @@ def digest(text: str) -> str:
     return hashlib.sha256(canonical_text(text).encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def without(value, fields: frozenset[str], root: frozenset[str] = frozenset()):
+    """A decoded value without the members of these names at any depth, and of those of ``root`` at the top."""
+    drop = fields | root
+    held = [None]
+    todo = [(value, held, 0)]
+    while todo:
+        v, into, key = todo.pop()
+        if isinstance(v, dict):
+            into[key] = new = {k: None for k in v if k not in drop}
+            todo.extend((v[k], new, k) for k in new)
+        elif isinstance(v, list):
+            into[key] = new = [None] * len(v)
+            todo.extend((x, new, i) for i, x in enumerate(v))
+        else:
+            into[key] = v
+        drop = fields
+    return held[0]
+
+
+def projected_json(fields: frozenset[str], root: frozenset[str] = frozenset()):
+    """A function of a JSON column: its canonical form :func:`without` these members."""
+
+    @F.pandas_udf(T.StringType())
+    def project(texts: pd.Series) -> pd.Series:
+        seen: dict = {}
+        for t in texts:
+            if t is not None and t not in seen:
+                try:
+                    seen[t] = write(without(decode(t), fields, root))
+                except ValueError:
+                    seen[t] = "!" + t
+        return pd.Series([seen.get(t) for t in texts], dtype=object)
+
+    return project
+
+
 @F.pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     seen: dict = {}

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Workspace, table
+from .runtime import Files, Workspace, table
 
 NODE_FIELDS = ("id", "label")
 EDGE_FIELDS = ("eid", "src", "dst", "type")
@@ -89,22 +89,73 @@ def with_index(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
     return staged.select(*df.columns, (at + F.col("_m").bitwiseAND((1 << 33) - 1)).alias(name))
 
 
-def code_graph(spark, sf_dir: str) -> PropertyGraph:
-    """The live code graph: each node and link once, deleted nodes left out, dangling links dropped.
+#: How firmly evidence states what it tells, from firm to weak.
+CONFIDENCE = ("EXTRACTED", "INFERRED", "AMBIGUOUS")
+
+
+def evidence_of(attributes) -> F.Column:
+    """The entries of ``evidence`` in a record's JSON: array of (confidence, origin, rule); null without any.
 
-    The latest delivery of a node that still has contents stands for it; shared builtin
-    symbols are nodes too. Of a link delivered again the first delivery counts.
+    A single object counts as a list of one and a string that holds JSON as that value;
+    unreadable JSON has no evidence.
     """
-    raw = table(spark, sf_dir, "graph_nodes")
-    cols = ("repo", "kind", "node_label", "qualified_name", "lang", "source_file", "start_line", "end_line", "community_id")
+    text = F.from_json(attributes, "evidence string")["evidence"]
+    return F.from_json(text, "array<struct<confidence:string,origin:string,rule:string>>")
+
+
+def evidence_confidence(attributes) -> F.Column:
+    """The weakest confidence among a record's evidence, null without evidence; ``exact`` is EXTRACTED."""
+    said = F.transform(evidence_of(attributes), lambda x: F.lower(x["confidence"]))
+    return F.when(F.array_contains(said, "ambiguous"), CONFIDENCE[2]).when(F.array_contains(said, "inferred"), CONFIDENCE[1]).when(F.array_contains(said, "exact"), CONFIDENCE[0])
+
+
+def _latest_nodes(raw: DataFrame) -> DataFrame:
+    cols = ("repo", "kind", "node_label", "qualified_name", "lang", "source_file", "start_line", "end_line", "community_id", "attributes")
     latest = raw.groupBy("id").agg(F.max_by(F.struct(*cols), F.when(F.col("deleted_at").isNull(), F.col("ingested_at"))).alias("r"), F.max("deleted_at").alias("gone"))
     own = latest.where("gone is null and r is not null").select("id", "r.*")
-    shared = table(spark, sf_dir, "shared_nodes").select("id", F.lit(None).cast("string").alias("repo"), "kind", "node_label", F.lit(None).cast("string").alias("qualified_name"), "lang", F.lit(None).cast("string").alias("source_file"), *[F.lit(None).cast("int").alias(c) for c in ("start_line", "end_line", "community_id")])
-    nodes = own.unionByName(shared).withColumn("label", node_label("kind"))
-    links = table(spark, sf_dir, "graph_links").where("source is not null and target is not null")
-    first = links.groupBy("id").agg(F.min_by(F.struct("source", "target", "kind", "weight", "context", "is_deferred", "observed_at"), F.col("ingested_at")).alias("r")).select("id", "r.*")
-    edges = first.select(F.col("id").alias("eid"), F.col("source").alias("src"), F.col("target").alias("dst"), relation_type(F.trim("kind")).alias("type"), "weight", "context", "is_deferred", "observed_at")
-    return PropertyGraph(nodes, edges).drop_dangling()
+    return own.withColumn("confidence", evidence_confidence(F.col("attributes"))).drop("attributes")
+
+
+def _first_links(raw: DataFrame) -> DataFrame:
+    cols = ("source", "target", "kind", "weight", "context", "is_deferred", "observed_at", "attributes")
+    links = raw.where("source is not null and target is not null")
+    first = links.groupBy("id").agg(F.min_by(F.struct(*cols), F.col("ingested_at")).alias("r")).select("id", "r.*")
+    external = F.exists(evidence_of(F.col("attributes")), lambda x: (F.lower(x["origin"]) == "ast") & (F.lower(x["confidence"]) == "inferred") & x["rule"].endswith("qualified-external"))
+    return first.select(
+        F.col("id").alias("eid"), F.col("source").alias("src"), F.col("target").alias("dst"), relation_type(F.trim("kind")).alias("type"), "weight", "context", "is_deferred", "observed_at",
+        evidence_confidence(F.col("attributes")).alias("confidence"), F.coalesce(external, F.lit(False)).alias("qualified_external"),
+    )
+
+
+def evidence_graph(spark, sf_dir: str) -> PropertyGraph:
+    """The live code graph with the ``confidence`` of each node's and link's evidence.
+
+    Each node and link stands once, deleted nodes are left out, dangling links dropped. The
+    latest delivery of a node that still has contents stands for it; shared builtin symbols
+    are nodes too. Of a link delivered again the first delivery counts.
+
+    The cleaned graph is written once a session and state of its tables, ordered by label and
+    type within its files, so that later plans read columns and row groups instead of
+    cleaning the deliveries again.
+    """
+    names = ("graph_nodes", "graph_links", "shared_nodes")
+    files = Files(spark)
+    state = tuple(files.state(f"{sf_dir}/{n}.parquet") for n in names)
+    kept = spark.__dict__.setdefault("_nodeloom_graphs", {})
+    if (sf_dir, state) not in kept:
+        work = Workspace(spark, "graph")
+        shared = table(spark, sf_dir, "shared_nodes").select("id", "kind", "node_label", "lang")
+        nodes = _latest_nodes(table(spark, sf_dir, "graph_nodes")).unionByName(shared, allowMissingColumns=True).withColumn("label", node_label("kind"))
+        nodes = work.stage(nodes.sortWithinPartitions("label"))
+        live = PropertyGraph(nodes, _first_links(table(spark, sf_dir, "graph_links"))).drop_dangling()
+        kept[sf_dir, state] = PropertyGraph(nodes, work.stage(live.edges.sortWithinPartitions("type")), closed=True)
+    return kept[sf_dir, state]
+
+
+def code_graph(spark, sf_dir: str) -> PropertyGraph:
+    """The live code graph as the language sees it: :func:`evidence_graph` without evidence."""
+    g = evidence_graph(spark, sf_dir)
+    return PropertyGraph(g.nodes.drop("confidence"), g.edges.drop("confidence", "qualified_external"), closed=True)
 
 
 def trade_graph(spark, sf_dir: str) -> PropertyGraph:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.json import projected_json
 from ..operators.snapshots import snapshot_changes
 
 #: Points per finding and their cap, by factor.
@@ -20,13 +21,18 @@ RISK = {
 }
 #: Base of the review priority by finding.
 PRIORITY = {"contract": 1000, "behavior": 900, "dependency": 750, "impact": 700, "verification_gap": 300, "structural": 200}
-#: Fields that do not change what a record is: places, communities, digests.
-IGNORED = ("source_file", "start_line", "end_line", "community_id", "attributes")
+#: Fields that do not change what a record means, at any depth: places, clustering, looks, digests.
+IGNORED_FIELDS = frozenset((
+    "anchor", "anchors", "color", "community", "communityName", "community_name", "endByte", "endColumn", "endLine", "end_byte", "end_column", "line_end", "line_start", "norm_label", "relationshipSite", "relationship_site",
+    "sourceDigest", "source_file", "source_hash", "source_location", "startByte", "startColumn", "startLine", "start_byte", "start_column", "wiringSite", "wiring_site",
+))
+#: The columns that hold such fields.
+IGNORED = ("source_file", "start_line", "end_line", "community_id")
 
 
 def structural_changes(snapshots: DataFrame, versions: DataFrame) -> DataFrame:
-    """Changes of records without the ignored fields."""
-    return snapshot_changes(snapshots.drop(*IGNORED), versions, json_columns=())
+    """Changes of records without the ignored columns, and without the ignored fields inside ``attributes``."""
+    return snapshot_changes(snapshots.drop(*IGNORED), versions, json_form=projected_json(IGNORED_FIELDS))
 
 
 def sharing(snapshots: DataFrame, versions: DataFrame, content: list[str]) -> DataFrame:

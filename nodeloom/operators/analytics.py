@@ -2,23 +2,51 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph, with_index
 from ..runtime import Workspace
 
-#: Labels that every language brings and that tell nothing about a project.
-NOISE_LABELS = ("str", "int", "float", "bool", "list", "dict", "set", "tuple", "object", "None", "string", "number", "boolean", "any", "void", "self", "print", "len")
+#: Labels that every program brings and that tell nothing about a project.
+NOISE_LABELS = (
+    "str", "int", "float", "bool", "bytes", "bytearray", "complex", "object", "True", "False", "MagicMock", "Mock", "AsyncMock", "NonCallableMock", "NonCallableMagicMock", "PropertyMock", "patch", "sentinel",
+    "Path", "Any", "Optional", "List", "Dict", "Set", "Tuple", "Union", "Callable", "Type", "ClassVar", "Final", "Literal", "Protocol", "Counter", "defaultdict", "OrderedDict", "datetime", "Enum", "os", "sys", "re", "json", "io", "abc", "typing",
+)
+#: Keys that every JSON file brings.
+JSON_LABELS = (
+    "start", "end", "name", "id", "type", "properties", "value", "key", "data", "items", "title", "description", "version",
+    "dependencies", "devdependencies", "peerdependencies", "optionaldependencies", "bundleddependencies", "bundledependencies",
+)
+#: Relationships that wire a graph together: those that no surprise lies in, and those that say nothing about topics.
+WIRING = ("CONTAINS", "IMPORTS", "IMPORTS_FROM", "METHOD")
+GAP_WIRING = ("CONTAINS", "DECLARES", "DEFINES", "IMPORTS", "IMPORTS_FROM", "MEMBER_OF", "METHOD", "RE_EXPORTS")
+
+
+def topical(graph: PropertyGraph) -> DataFrame:
+    """Nodes with their degree and what they stand for: ``is_file``, ``is_concept``, ``is_json_key``, ``real``.
+
+    A file's node bears the file's name (or is a bare call target); a concept has no file
+    with an ending behind it; a JSON key is one of the usual ones in a JSON file; the rest is
+    ``real``. A node without a label is no file.
+    """
+    name, file = F.coalesce("node_label", F.lit("")), F.coalesce("source_file", F.lit(""))
+    last = F.substring_index(file, "/", -1)
+    is_file = (name != "") & (((file != "") & (last == name)) | (name.startswith(".") & name.endswith("()")) | (name.endswith("()") & (F.col("degree") <= 1)))
+    is_key = F.lower(file).endswith(".json") & F.lower(F.trim(name)).isin(*JSON_LABELS)
+    n = graph.nodes.join(graph.degrees(), "id")
+    return n.withColumns({"is_file": is_file, "is_concept": (file == "") | ~last.contains("."), "is_json_key": is_key}).withColumn("real", ~F.col("is_file") & ~F.col("is_concept") & ~F.col("is_json_key"))
 
 
 def god_nodes(graph: PropertyGraph, top: int = 10) -> DataFrame:
-    """Nodes of the highest degree, without files, concepts, config keys and builtin names."""
-    shown = graph.nodes.where(~F.col("label").isin("File", "Concept", "Config_key") & ~F.col("node_label").isin(*NOISE_LABELS)).select("id", "node_label")
-    return graph.degrees().join(shown, "id").orderBy(F.desc("degree"), "id").limit(top).select("id", F.col("node_label").alias("name"), "degree")
+    """Nodes of the highest degree, without files, concepts, JSON keys and builtin names."""
+    shown = topical(graph).where(F.col("real") & ~F.coalesce("node_label", F.lit("")).isin(*NOISE_LABELS))
+    return shown.orderBy(F.desc("degree"), "id").limit(top).select("id", F.col("node_label").alias("name"), "degree")
 
 
 def communities(graph: PropertyGraph) -> DataFrame:
@@ -57,13 +85,32 @@ def community_order(members: DataFrame) -> DataFrame:
     """Stable numbers: larger communities first, then by their smallest member; and a signature.
 
     The signature is the first 16 hex digits of SHA-256 over the sorted members, each
-    followed by NUL.
+    followed by NUL. The members of a community are hashed as a stream in their order, so
+    that the largest one needs no more memory than the smallest.
     """
-    nul = F.lit("\0")
-    per = members.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"), F.sort_array(F.collect_list("id")).alias("ids"))
-    sig = F.substring(F.sha2(F.concat(F.array_join("ids", "\0"), nul), 256), 1, 16)
-    ranked = per.select("community", "size", "first", sig.alias("signature"), (-F.col("size")).alias("_smaller"))
-    return with_index(ranked, "_smaller", "first", name="rank").drop("_smaller")
+
+    def sign(batches):
+        at, sha, size, first = None, None, 0, None
+        out: list[tuple] = []
+        for batch in batches:
+            for community, member in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if sha is None or community != at:
+                    if sha is not None:
+                        out.append((at, size, first, sha.hexdigest()[:16]))
+                    at, sha, size, first = community, hashlib.sha256(), 0, member
+                sha.update(member.encode() + b"\0")
+                size += 1
+        if sha is not None:
+            out.append((at, size, first, sha.hexdigest()[:16]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (kind, pa.int64(), pa.string(), pa.string()))], names=["community", "size", "first", "signature"])
+
+    kind = pa.int64() if dict(members.dtypes)["community"] in ("int", "bigint") else pa.string()
+    name = "bigint" if kind == pa.int64() else "string"
+    streams = members.select(F.col("community").cast(name).alias("community"), "id").repartition("community").sortWithinPartitions("community", "id")
+    per = streams.mapInArrow(sign, f"community {name}, size bigint, first string, signature string")
+    per = per.select(F.col("community").cast(dict(members.dtypes)["community"]).alias("community"), "size", "first", "signature", (-F.col("size")).alias("_smaller"))
+    return with_index(per, "_smaller", "first", name="rank").drop("_smaller")
 
 
 def community_hubs(graph: PropertyGraph, members: DataFrame) -> DataFrame:
@@ -74,26 +121,48 @@ def community_hubs(graph: PropertyGraph, members: DataFrame) -> DataFrame:
 
 
 def remap_communities(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(community, stable_id): each old id goes to the new community that shares most members.
+    """(community, stable_id): old ids go greedily to the new communities that share most members.
 
-    Mutual best matches are taken; communities without one get ids after all old ones.
+    Overlaps are taken from the largest down (ties: smaller old, then smaller new id), each
+    id once. In a round every overlap that is the best left for both its ends is taken, which
+    gives what taking them one by one would. New communities without an old one get the least
+    ids not in use, larger communities first, then by their smallest member.
     """
-    overlap = new.join(old.select("id", F.col("community").alias("before")), "id").groupBy("community", "before").agg(F.count(F.lit(1)).alias("n"))
-    r = lambda p, o: F.row_number().over(Window.partitionBy(p).orderBy(F.desc("n"), o))
-    mutual = overlap.withColumns({"x": r("community", "before"), "y": r("before", "community")}).where("x = 1 and y = 1").select("community", "before")
-    all_new = new.select("community").distinct().join(mutual, "community", "left")
-    top = old.agg(F.coalesce(F.max("community"), F.lit(-1)).alias("m")).scalar()
-    fresh = with_index(all_new.where("before is null").select("community"), "community").select("community", (top + 1 + F.col("idx")).cast("bigint").alias("stable_id"))
-    return all_new.where("before is not null").select("community", F.col("before").cast("bigint").alias("stable_id")).unionByName(fresh)
+    work = Workspace(new.sparkSession, "remap")
+    left = new.join(old.select("id", F.col("community").cast("bigint").alias("before")), "id").groupBy("community", "before").agg(F.count(F.lit(1)).alias("n"))
+    left, seen = work.stage_counted(left, n=F.count(F.lit(1)))
+    taken = left.select("community", F.col("before").alias("stable_id")).limit(0)
+    best = lambda end: F.max(F.struct("n", (-F.col("before")).alias("b"), F.col("code").alias("c"))).over(Window.partitionBy(end))
+    order = with_index(new.select("community").distinct(), "community", name="code")
+    while seen["n"]:
+        own = F.struct("n", (-F.col("before")).alias("b"), F.col("code").alias("c"))
+        ranked = left.join(order.withColumn("code", -F.col("code")), "community").select("*", best("community").alias("x"), best("before").alias("y"))
+        won = work.stage(ranked.where((own == F.col("x")) & (own == F.col("y"))).select("community", "before"))
+        taken = taken.unionByName(won.select("community", F.col("before").alias("stable_id")))
+        left, seen = work.stage_counted(left.join(won.select("community"), "community", "left_anti").join(won.select("before"), "before", "left_anti").select("community", "before", "n"), n=F.count(F.lit(1)))
+    sizes = new.groupBy("community").agg((-F.count(F.lit(1))).alias("smaller"), F.min("id").alias("first"))
+    rest = with_index(sizes.join(taken, "community", "left_anti"), "smaller", "first", name="k")
+    # the k-th of them gets the k-th id that is not taken: used ids below it shift it up
+    used = with_index(taken.select("stable_id"), "stable_id", name="r").select((F.col("stable_id") - F.col("r")).alias("free"))
+    ahead = used.groupBy("free").agg(F.count(F.lit(1)).alias("m"))
+    steps = ahead.select("free", F.sum("m").over(Window.orderBy("free").rowsBetween(Window.unboundedPreceding, 0)).alias("shift"))  # one row a gap among communities
+    shifted = rest.join(steps, F.col("free") <= F.col("k"), "left").groupBy("community", "k").agg(F.coalesce(F.max("shift"), F.lit(0)).alias("shift"))
+    return taken.unionByName(shifted.select("community", (F.col("k") + F.col("shift")).alias("stable_id")))
 
 
 def exclude_hubs(graph: PropertyGraph, members: DataFrame, percentile: int = 99) -> DataFrame:
     """Hubs above a degree percentile and the community most of their neighbours are in.
 
-    (id, community): ties fall to the smaller community, a hub without voters has null.
+    (id, community): the percentile is the degree at place n * percentile / 100 (rounded
+    down) of the n degrees in order; ties among communities fall to the smaller one. A hub
+    without voters has null: it is a community of its own.
     """
     degrees = graph.degrees()
-    cut = degrees.agg(F.percentile("degree", F.lit(percentile / 100)).alias("c"))
+    # counts per degree in order stand for the sorted list of all degrees
+    per = degrees.groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
+    upto = per.withColumn("upto", F.sum("n").over(Window.orderBy("degree").rowsBetween(Window.unboundedPreceding, 0)))
+    place = per.agg(F.greatest(F.floor(F.sum("n") * F.lit(percentile) / 100), F.lit(1)).alias("place")).scalar()
+    cut = upto.where(F.col("upto") >= place).agg(F.min("degree").alias("c"))
     hubs = degrees.where(F.col("degree") > cut.scalar()).select("id")
     e = simple_edges(graph)
     both = e.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("x")).select("x.*")
@@ -102,58 +171,108 @@ def exclude_hubs(graph: PropertyGraph, members: DataFrame, percentile: int = 99)
     return hubs.join(best, "id", "left").select("id", F.col("m.community").alias("community"))
 
 
+#: File endings of code, papers and images; all others are documents.
+CODE_ENDINGS = (
+    "py", "ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs", "ejs", "ets", "go", "rs", "java", "groovy", "gradle", "cpp", "cc", "cxx", "c", "h", "hpp", "cu", "cuh", "metal", "rb", "rake", "swift", "kt", "kts", "cs", "scala", "php", "lua", "luau", "toc", "zig", "ps1", "psm1", "psd1",
+    "ex", "exs", "m", "mm", "jl", "vue", "svelte", "astro", "dart", "v", "sv", "svh", "sql", "r", "f", "f90", "f95", "f03", "f08", "pas", "pp", "dpr", "dpk", "lpr", "inc", "dfm", "lfm", "lpk", "sh", "bash", "json", "tf", "tfvars", "hcl", "dm", "dme", "dmi", "dmm", "dmf", "sln", "slnx",
+    "csproj", "fsproj", "vbproj", "xaml", "razor", "cshtml", "cls", "trigger",
+)
+IMAGE_ENDINGS = ("png", "jpg", "jpeg", "gif", "webp", "svg")
+#: Families of languages by file ending, across which an inferred call is no surprise.
+LANGUAGES = {
+    "python": ("py", "pyw"), "js": ("js", "jsx", "mjs", "cjs", "ejs", "ts", "tsx", "mts", "cts", "vue", "svelte"), "go": ("go",), "rust": ("rs",), "jvm": ("java", "kt", "kts", "scala"),
+    "c": ("c", "h", "cpp", "cc", "cxx", "hpp"), "ruby": ("rb", "rake"), "swift": ("swift",), "dotnet": ("cs",), "php": ("php",), "r": ("r",),
+}
+
+
+def _ending(c) -> F.Column:
+    return F.lower(F.regexp_extract(c, r"\.([^./]*)$", 1))
+
+
 def _file_category(c) -> F.Column:
-    ext = F.lower(F.regexp_extract(c, r"\.([A-Za-z0-9]+)$", 1))
-    return F.when(ext.isin("md", "rst", "txt", "adoc"), "doc").when(ext.isin("json", "yaml", "yml", "toml", "ini", "cfg", "xml"), "config").otherwise("code")
+    return F.when(_ending(c).isin(*CODE_ENDINGS), "code").when(_ending(c) == "pdf", "paper").when(_ending(c).isin(*IMAGE_ENDINGS), "image").otherwise("doc")
 
 
-def surprises(graph: PropertyGraph) -> DataFrame:
-    """Cross-file links scored by how unexpected they are: (eid, src, dst, type, score).
+def _family(c) -> F.Column:
+    family = F.lit(None).cast("string")
+    for name, endings in LANGUAGES.items():
+        family = F.when(_ending(c).isin(*endings), name).otherwise(family)
+    return family
+
+
+def surprises(graph: PropertyGraph, top: int | None = None) -> DataFrame:
+    """Cross-file links scored by how unexpected they are: (eid, src, dst, type, confidence, score).
 
     Points: confidence 1 to 3 (edges without one count as extracted), 2 across kinds of
     files, 2 across top directories, 1 across communities, 1 from a peripheral node to a
-    hub; similarity links weigh half as much again.
+    hub; similarity links weigh half as much again. Inferred calls across languages, or
+    between code and documents, score for the last point only. ``top`` keeps the best ones,
+    ties by edge id.
     """
-    d = graph.degrees()
-    n = graph.nodes.join(d, "id").where("label not in ('File', 'Concept') and source_file is not null and source_file != ''").select("id", "source_file", "community_id", "degree")
+    n = topical(graph).where("not is_file and not is_concept").select("id", "source_file", "community_id", "degree")
     side = lambda p, k: n.select(F.col("id").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in ("source_file", "community_id", "degree")])
-    e = graph.edges.where(~F.col("type").isin("IMPORTS", "IMPORTS_FROM", "CONTAINS", "METHOD"))
+    e = graph.edges.where(~F.col("type").isin(*WIRING))
     both = e.join(side("l", "src"), "src").join(side("r", "dst"), "dst").where("l_source_file != r_source_file")
-    top = lambda c: F.split(c, "/")[0]
-    confidence = F.col("confidence") if "confidence" in graph.edges.columns else F.lit("EXTRACTED")
-    score = F.when(confidence == "AMBIGUOUS", 3).when(confidence == "INFERRED", 2).otherwise(1)
-    score = score + F.when(_file_category(F.col("l_source_file")) != _file_category(F.col("r_source_file")), 2).otherwise(0)
-    score = score + F.when(top("l_source_file") != top("r_source_file"), 2).otherwise(0)
-    score = score + F.when(F.col("l_community_id") != F.col("r_community_id"), 1).otherwise(0)
+    first = lambda c: F.split(c, "/")[0]
+    confidence = F.coalesce(F.col("confidence") if "confidence" in graph.edges.columns else F.lit(None).cast("string"), F.lit("EXTRACTED"))
+    kinds = [_file_category(F.col(f"{p}_source_file")) for p in ("l", "r")]
+    families = [_family(F.col(f"{p}_source_file")) for p in ("l", "r")]
+    quiet = (confidence == "INFERRED") & F.col("type").isin("CALLS", "USES") & (F.coalesce(families[0] != families[1], F.lit(False)) | ((kinds[0] != kinds[1]) & kinds[0].isin("code", "doc") & kinds[1].isin("code", "doc")))
+    points = F.when(confidence == "AMBIGUOUS", 3).when(confidence == "INFERRED", 2).otherwise(1)
+    points = points + F.when(kinds[0] != kinds[1], 2).otherwise(0)
+    points = points + F.when(first("l_source_file") != first("r_source_file"), 2).otherwise(0)
+    points = points + F.when(F.col("l_community_id") != F.col("r_community_id"), 1).otherwise(0)
+    score = F.when(quiet, 0).otherwise(points)
     score = F.when(F.col("type") == "SEMANTICALLY_SIMILAR_TO", F.floor(score * 1.5).cast("int")).otherwise(score)
     score = score + F.when((F.least("l_degree", "r_degree") <= 2) & (F.greatest("l_degree", "r_degree") >= 5), 1).otherwise(0)
-    return both.select("eid", "src", "dst", "type", score.alias("score"))
+    out = both.select("eid", "src", "dst", "type", confidence.alias("confidence"), score.alias("score"))
+    return out if top is None else out.orderBy(F.desc("score"), "eid").limit(top)
 
 
 def cross_community(graph: PropertyGraph) -> DataFrame:
-    """One edge per pair of communities, the first by edge id: (left, right, eid, edges)."""
-    m = communities(graph)
-    both = graph.edges.join(m.select(F.col("id").alias("src"), F.col("community").alias("x")), "src").join(m.select(F.col("id").alias("dst"), F.col("community").alias("y")), "dst").where("x != y")
-    return both.groupBy(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).agg(F.min("eid").alias("eid"), F.count(F.lit(1)).alias("edges"))
+    """One edge per pair of communities: (left, right, eid, confidence, edges).
+
+    Ambiguous edges come first, then inferred, extracted and others; ties fall to the smaller
+    edge id. Wiring and the nodes of files do not count.
+    """
+    m = topical(graph).where("community_id is not null and not is_file").select("id", F.col("community_id").alias("community"))
+    e = graph.edges.where(~F.col("type").isin(*WIRING))
+    both = e.join(m.select(F.col("id").alias("src"), F.col("community").alias("x")), "src").join(m.select(F.col("id").alias("dst"), F.col("community").alias("y")), "dst").where("x != y")
+    confidence = F.coalesce(F.col("confidence") if "confidence" in graph.edges.columns else F.lit(None).cast("string"), F.lit("EXTRACTED"))
+    order = F.when(confidence == "AMBIGUOUS", 0).when(confidence == "INFERRED", 1).when(confidence == "EXTRACTED", 2).otherwise(3)
+    per = both.groupBy(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).agg(F.min(F.struct(order.alias("o"), "eid", confidence.alias("confidence"))).alias("m"), F.count(F.lit(1)).alias("edges"))
+    return per.select("left", "right", F.col("m.eid").alias("eid"), F.col("m.confidence").alias("confidence"), "edges")
+
 
+#: Real members and inner links per member that a community needs to have a blind spot; communities a node may lie beside.
+GAP_MEMBERS, GAP_CONNECTANCE, GAP_BESIDE = 4, 1.2, 32
 
-def blind_spots(graph: PropertyGraph, wiring: tuple[str, ...] = ("CONTAINS", "IMPORTS", "IMPORTS_FROM"), most: int = 32) -> DataFrame:
+
+def blind_spots(graph: PropertyGraph) -> DataFrame:
     """Pairs of communities that share neighbours but hardly link: (left, right, proximity, direct, score).
 
-    Each node beside 2 to ``most`` communities adds 1/sqrt(degree) to each pair of them;
-    score = proximity / (1 + direct links). ``most`` keeps hubs from relating everything, and
-    bounds the pairs a node may emit; 32 is the reference's rule.
+    Communities of at least 4 real nodes and 1.2 link ends a node inside are looked at. Each
+    real node beside 2 to 32 of them adds 1/sqrt(degree) to each pair of them; score =
+    proximity / (1 + direct links). The bound of 32 is part of the definition: it keeps hubs
+    from relating everything, and a node from emitting more than 496 pairs.
     """
-    m = communities(graph)
-    real = graph.nodes.where("label not in ('File', 'Concept')").select("id")
-    e = simple_edges(PropertyGraph(graph.nodes, graph.edges.where(~F.col("type").isin(*wiring))))
-    both = e.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("x")).select("x.*")
-    near = both.join(real.withColumnRenamed("id", "other"), "other", "left_semi").join(m.select(F.col("id").alias("other"), "community"), "other").join(real, "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("community")).alias("cs"))
-    near = near.where((F.size("cs") >= 2) & (F.size("cs") <= most)).join(graph.degrees(), "id")
+    work = Workspace(graph.spark, "gaps")
+    real = work.stage(topical(graph).where("real").select("id", "degree", F.col("community_id").alias("community")))
+    e = simple_edges(PropertyGraph(graph.nodes, graph.edges.where(~F.col("type").isin(*GAP_WIRING))))
+    end = lambda k, c: real.select(F.col("id").alias(k), F.col("community").alias(c))
+    e = work.stage(e.join(end("a", "x"), "a").join(end("b", "y"), "b"))
+    inner = e.where("x = y").groupBy(F.col("x").alias("community")).agg(F.count(F.lit(1)).alias("links"))
+    sizes = real.where("community is not null").groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    dense = F.coalesce("links", F.lit(0)) * 2.0 / F.col("size") >= GAP_CONNECTANCE
+    eligible = work.stage(sizes.join(inner, "community", "left").where(dense & (F.col("size") >= GAP_MEMBERS)).select("community"))
+    both = e.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("y").alias("community")), F.struct(F.col("b").alias("id"), F.col("x").alias("community")))).alias("n")).select("n.*")
+    beside = work.stage(both.where("community is not null").distinct().join(eligible, "community"))
+    few = beside.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= 2) & (F.col("n") <= GAP_BESIDE)).select("id")
+    near = beside.join(few, "id").groupBy("id").agg(F.sort_array(F.collect_set("community")).alias("cs")).join(real.select("id", "degree"), "id")
     w = 1 / F.sqrt(F.greatest("degree", F.lit(1)))
     pairs = near.select(w.alias("w"), "cs", F.posexplode("cs").alias("i", "left")).select("w", "left", F.explode(F.slice("cs", F.col("i") + 2, F.size("cs"))).alias("right"))
     near_pairs = pairs.groupBy("left", "right").agg(F.sum("w").alias("proximity"))
-    direct = e.join(m.select(F.col("id").alias("a"), F.col("community").alias("x")), "a").join(m.select(F.col("id").alias("b"), F.col("community").alias("y")), "b").where("x != y").groupBy(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).agg(F.count(F.lit(1)).alias("direct"))
+    direct = e.where("x != y").groupBy(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).agg(F.count(F.lit(1)).alias("direct"))
     d = F.coalesce("direct", F.lit(0))
     return near_pairs.join(direct, ["left", "right"], "left").select("left", "right", F.round("proximity", 6).alias("proximity"), d.alias("direct"), F.round(F.col("proximity") / (1 + d), 6).alias("score"))
 
@@ -180,14 +299,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if last == seen:
             break
         last = seen
+    else:
+        raise RuntimeError("the components did not settle")
     return ids.join(pairs.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def disconnected(graph: PropertyGraph) -> DataFrame:
-    """Components with at least two nodes that are no files or concepts: (component, size, real)."""
+    """Components with at least two real nodes (see :func:`topical`): (component, size, real)."""
     loops = graph.nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))
     c = components(simple_edges(graph).unionByName(loops))
-    real = graph.nodes.select("id", F.when(F.col("label").isin("File", "Concept"), 0).otherwise(1).alias("real"))
+    real = topical(graph).select("id", F.col("real").cast("int").alias("real"))
     per = c.join(real, "id").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("real").alias("real"))
     return per.where("real >= 2").select(F.concat(F.lit("component:"), "component").alias("component"), "size", "real")
 
@@ -230,6 +351,8 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
         found.append(work.stage(inside.join(gone("src"), "src", "left_semi").join(gone("dst"), "dst", "left_semi").select("src", "dst", F.col("m").alias("component"))))
         rest, n = work.stage_counted(rest.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti").select("src", "dst"), n=F.count(F.lit(1)))
         left = n["n"]
+    else:
+        raise RuntimeError("the search for cycles did not end")
     return reduce(DataFrame.unionByName, found).distinct()
 
 
@@ -263,12 +386,13 @@ def import_cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
 
 
 def edge_betweenness(edges: DataFrame, block: int = 512) -> DataFrame:
-    """(a, b, score) over shortest paths from all nodes, not normalised; about ``block`` sources at once."""
+    """(a, b, score) over shortest paths from all n nodes, divided by n (n - 1); about ``block`` sources at once."""
     work = Workspace(edges.sparkSession, "edge-betweenness")
     edges = work.stage(edges.select("a", "b"))
     ids = work.stage(ends(edges))
     total = edges.select("a", "b", F.lit(0.0).alias("f"))
-    blocks = -(-ids.count() // block)
+    n = ids.count()
+    blocks = -(-n // block)
     for k in range(blocks):
         inner = Workspace(edges.sparkSession, "betweenness")
         _, links = _dependencies(inner, edges, ids.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k))
@@ -277,7 +401,30 @@ def edge_betweenness(edges: DataFrame, block: int = 512) -> DataFrame:
         inner.clear()
         work.drop(total)
         total = after
-    return total.select("a", "b", F.round("f", 6).alias("score"))
+    return total.select("a", "b", F.round(F.col("f") / max(1, n * (n - 1)), 12).alias("score"))
+
+
+#: From how many nodes on betweenness is estimated, and from how many sources.
+EXACT_NODES, SOURCES = 1000, 100
+
+
+def node_betweenness(edges: DataFrame, exact: int = EXACT_NODES, sources: int = SOURCES) -> DataFrame:
+    """(id, score) of every node of (a, b) edges: its share of the shortest paths between others.
+
+    Up to ``exact`` nodes every node is a source and scores are divided by (n - 1)(n - 2).
+    Beyond, ``sources`` nodes, drawn from all by a hash of their id, stand for all; a score is
+    divided by n - 2 and by the number of sources that the node itself is not. No path is cut
+    by its length.
+    """
+    work = Workspace(edges.sparkSession, "betweenness")
+    ids = work.stage(ends(edges))
+    n = ids.count()
+    few = ids if n <= exact else work.stage(ids.orderBy(F.xxhash64("id"), "id").limit(sources))
+    score, _ = betweenness(edges, few)
+    s = n if n <= exact else sources
+    own = F.when(F.col("source"), s - 1).otherwise(s)
+    share = F.when((own > 0) & (n > 2), F.coalesce("score", F.lit(0.0)) / (own * (n - 2))).otherwise(0.0)
+    return ids.join(score, "id", "left").join(few.select("id", F.lit(True).alias("source")), "id", "left").withColumn("source", F.coalesce("source", F.lit(False))).select("id", F.round(share, 12).alias("score"))
 
 
 def ends(edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..graph import PropertyGraph
 from ..runtime import Workspace
 from ..text import tokens as tk
 from .analytics import components
@@ -55,11 +56,31 @@ def prune_orphans(nodes: DataFrame, edges: DataFrame, keep: tuple[str, ...] = ("
     return nodes.join(ends, "id", "left").where(F.col("hit") | F.col("label").isin(*keep)).drop("hit")
 
 
-def inference_level(edges: DataFrame, level: str) -> DataFrame:
-    """Edges up to a level of inference: low keeps firm ones, medium adds deferred, high and max all."""
-    if level == "low":
-        return edges.where("not coalesce(is_deferred, false)")
-    return edges if level in ("high", "max") else edges.where("not coalesce(is_deferred, false) or weight >= 0.5")
+#: Levels of inference, each admitting what those before it admit.
+LEVELS = ("low", "medium", "high", "max")
+
+
+def inference_level(graph: PropertyGraph, level: str) -> PropertyGraph:
+    """The part of a graph that a level of inference admits; needs ``confidence`` on nodes and edges.
+
+    Edges with exact evidence are always admitted. Inferred ones need a source file at both
+    ends from ``medium`` on, or from ``high`` on a qualified external name in their evidence;
+    ``max`` admits all edges, ambiguous ones and ones without evidence too. Nodes stay if an
+    admitted edge ends at them, if their own evidence is exact, or from ``medium`` on if it
+    is inferred and they have a source file; ``max`` keeps all.
+    """
+    at = LEVELS.index(level)
+    if level == "max":
+        return graph
+    backed = graph.nodes.where("source_file is not null").select("id")
+    end = lambda k: backed.select(F.col("id").alias(k), F.lit(True).alias(f"_{k}"))
+    known = F.col("_src").isNotNull() & F.col("_dst").isNotNull()
+    inferred = {"low": F.lit(False), "medium": known, "high": known | F.col("qualified_external")}[level]
+    edges = graph.edges.join(end("src"), "src", "left").join(end("dst"), "dst", "left").where((F.col("confidence") == "EXTRACTED") | ((F.col("confidence") == "INFERRED") & inferred)).select(*graph.edges.columns)
+    hit = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("_hit", F.lit(True))
+    alone = (F.col("confidence") == "EXTRACTED") | ((F.col("confidence") == "INFERRED") & F.lit(at >= 1) & F.col("source_file").isNotNull())
+    nodes = graph.nodes.join(hit, "id", "left").where(F.col("_hit") | F.coalesce(alone, F.lit(False))).select(*graph.nodes.columns)
+    return PropertyGraph(nodes, edges, graph.closed)
 
 
 def backfill_source(nodes: DataFrame, edges: DataFrame) -> DataFrame:

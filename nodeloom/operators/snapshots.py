@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.json import canonical_json
 
 
-def content_hash(df: DataFrame, columns: list[str], json_columns: tuple[str, ...] = ()) -> F.Column:
+def content_hash(df: DataFrame, columns: list[str], json_columns: tuple[str, ...] = (), json_form=canonical_json) -> F.Column:
     """64-bit hash of ``columns``; nulls hash by position, JSON columns by their canonical form."""
     parts = []
     for c in columns:
-        value = canonical_json(F.col(c)) if c in json_columns else F.col(c)
+        value = json_form(F.col(c)) if c in json_columns else F.col(c)
         parts += [value, F.col(c).isNull()]
     return F.xxhash64(*parts) if parts else F.lit(0).cast("bigint")
 
@@ -26,6 +26,7 @@ def snapshot_changes(
     key: str = "id",
     delivered: str = "delivered_at",
     json_columns: tuple[str, ...] = ("attributes",),
+    json_form=canonical_json,
 ) -> DataFrame:
     """Added, removed and changed records of each version against the version listed before it.
 
@@ -39,13 +40,14 @@ def snapshot_changes(
     Defined results: rows with a null scope, version or key are ignored, as are versions
     that are not listed; among deliveries of one record the latest ``delivered`` counts (a
     null one is the oldest; ties fall to the larger hash); columns other than scope,
-    version, key and ``delivered`` all count as content; empty tables give no rows.
+    version, key and ``delivered`` all count as content, those of ``json_columns`` by what
+    ``json_form`` makes of them; empty tables give no rows.
     """
     content = sorted(c for c in snapshots.columns if c not in (scope, version, key, delivered))
     ordered = versions.select(F.col(scope).alias("s"), F.col(version).alias("n")).where("s is not null and n is not null").distinct()
     by = Window.partitionBy("s").orderBy("n")
     ordered = ordered.select("s", "n", F.lag("n").over(by).alias("before"), F.lead("n").over(by).alias("after"))
-    rows = snapshots.where(F.col(key).isNotNull()).select(F.col(scope).alias("s"), F.col(version).alias("n"), F.col(key).alias("k"), F.struct(F.col(delivered).alias("at"), content_hash(snapshots, content, json_columns).alias("h")).alias("row"))
+    rows = snapshots.where(F.col(key).isNotNull()).select(F.col(scope).alias("s"), F.col(version).alias("n"), F.col(key).alias("k"), F.struct(F.col(delivered).alias("at"), content_hash(snapshots, content, json_columns, json_form).alias("h")).alias("row"))
     side = F.explode(
         F.filter(
             F.array(

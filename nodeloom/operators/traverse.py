@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import PropertyGraph
+from ..graph import CONFIDENCE, PropertyGraph
 from ..runtime import Workspace
 
 #: Relationship sets of the structural queries, as canonical types.
@@ -49,27 +50,31 @@ def callees(graph: PropertyGraph) -> DataFrame:
     return neighbours(graph, CALLEE_TYPES, "out")
 
 
-def closure(adjacency: DataFrame, seeds: DataFrame, max_depth: int | None, *, hubs: DataFrame | None = None) -> DataFrame:
+def closure(adjacency: DataFrame, seeds: DataFrame, max_depth: int | None, *, hubs: DataFrame | None = None, worst: str | None = None) -> DataFrame:
     """Breadth-first closure from all seeds at once: (root, node, depth, parent, eid, type).
 
     ``seeds`` is (root, node). One staged level a step; a node keeps the least edge id that
     reaches it at its least depth, which is its witness. ``hubs`` (id) are reached but not
-    expanded, unless they are seeds. The loop stops at the first empty level; a ``max_depth``
-    of None sets no other end.
+    expanded, unless they are seeds. ``worst`` names a number of the adjacency; its largest
+    value along the witnesses comes out under that name (0 for a seed). The loop stops at the
+    first empty level; a ``max_depth`` of None sets no other end.
     """
     work = Workspace(adjacency.sparkSession, "closure")
+    more = [worst] if worst else []
     if max_depth is None or max_depth > 1:
-        adjacency = work.stage(adjacency.select("here", "there", "eid", "type"))  # each step reads it again
+        adjacency = work.stage(adjacency.select("here", "there", "eid", "type", *more))  # each step reads it again
     none = F.lit(None).cast("string")
-    level = work.stage(seeds.select("root", "node").where("root is not null and node is not null").distinct().select("root", "node", F.lit(0).alias("depth"), none.alias("parent"), none.alias("eid"), none.alias("type")))
+    start = seeds.select("root", "node").where("root is not null and node is not null").distinct()
+    level = work.stage(start.select("root", "node", F.lit(0).alias("depth"), none.alias("parent"), none.alias("eid"), none.alias("type"), *[F.lit(0).alias(c) for c in more]))
     seen = level
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         front = level
         if hubs is not None and depth > 1:
             front = front.join(hubs.select(F.col("id").alias("node")), "node", "left_anti")
-        step = front.select("root", F.col("node").alias("here")).join(adjacency, "here")
-        found = step.groupBy("root", F.col("there").alias("node")).agg(F.min(F.struct("eid", "here", "type")).alias("m"))
-        fresh = found.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth"), F.col("m.here").alias("parent"), F.col("m.eid").alias("eid"), F.col("m.type").alias("type"))
+        step = front.select("root", F.col("node").alias("here"), *[F.col(c).alias("_before") for c in more]).join(adjacency, "here")
+        witness = F.min(F.struct("eid", "here", "type", *[F.greatest(c, "_before").alias(c) for c in more])).alias("m")
+        found = step.groupBy("root", F.col("there").alias("node")).agg(witness)
+        fresh = found.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth"), F.col("m.here").alias("parent"), F.col("m.eid").alias("eid"), F.col("m.type").alias("type"), *[F.col(f"m.{c}").alias(c) for c in more])
         level, n = work.stage_counted(fresh, n=F.count(F.lit(1)))
         if not n["n"]:
             break
@@ -84,6 +89,19 @@ def impact(graph: PropertyGraph, seeds: DataFrame, max_depth: int = 8) -> DataFr
     return closure(directed(graph, IMPACT_TYPES, "in"), seeds, max_depth)
 
 
+def weakest_links(graph: PropertyGraph, seeds: DataFrame, max_depth: int = 8, types: tuple[str, ...] = IMPACT_TYPES, direction: str = "in") -> DataFrame:
+    """Closure from each seed with the weakest confidence along each node's witness path.
+
+    (root, node, depth, weakest, resolution): ``confidence`` of an edge is EXTRACTED where it
+    has no evidence; a path is exact, unresolved (something inferred) or ambiguous.
+    """
+    rank = F.when(F.col("confidence") == CONFIDENCE[2], 2).when(F.col("confidence") == CONFIDENCE[1], 1).otherwise(0)
+    links = directed(graph, types, direction).join(graph.edges.select("eid", rank.alias("_rank")), "eid")
+    reach = closure(links, seeds, max_depth, worst="_rank")
+    at = F.col("_rank") + 1
+    return reach.select("root", "node", "depth", F.element_at(F.array(*map(F.lit, CONFIDENCE)), at).alias("weakest"), F.element_at(F.array(F.lit("exact"), F.lit("unresolved"), F.lit("ambiguous")), at).alias("resolution"))
+
+
 def affected(graph: PropertyGraph, seeds: DataFrame, max_depth: int = 8, types: tuple[str, ...] = AFFECTED_TYPES) -> DataFrame:
     """Reverse closure from each seed and the members it contains, which count as depth 0."""
     members = graph.edges.where(F.col("type").isin("METHOD", "CONTAINS")).select(F.col("src").alias("node"), F.col("dst").alias("member"))
@@ -174,9 +192,36 @@ def explain(graph: PropertyGraph) -> DataFrame:
     return ends.groupBy("e.id", "e.direction", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def token_pages(items: DataFrame, budget: int, by: str, order: str, tokens: str) -> DataFrame:
-    """Pages of a listing by a running sum of tokens; an item larger than the budget has its own page."""
-    from pyspark.sql import Window
+def greedy_cuts(items: DataFrame, capacity: int, by: str, order: str, size: str, *, separator: int = 0, name: str = "page") -> DataFrame:
+    """Numbers of greedily filled pages: an item that no longer fits opens the next page of its group.
 
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("page", F.floor((F.sum(tokens).over(w) - 1) / budget))
+    Sizes are summed in the order of ``order`` (ties: the smaller size first), ``separator``
+    lying between two items of a page; an item larger than ``capacity`` has a page of its
+    own. Where a page ends depends on all before it, so a group is one stream: its rows are
+    sorted on disk by the shuffle and pass through in Arrow batches, of which a task keeps a
+    running sum and no rows. Null sizes count as 0; columns but the three named are dropped.
+    """
+    kinds = dict(items.dtypes)
+
+    def cut(batches):
+        at, used, page = (), 0, 0
+        for batch in batches:
+            pages = []
+            for group, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                n = n or 0
+                if (group,) != at:
+                    at, used, page = (group,), n, 0
+                elif used + separator + n > capacity:
+                    used, page = n, page + 1
+                else:
+                    used += separator + n
+                pages.append(page)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pages, pa.int64())], names=[by, order, size, name])
+
+    streams = items.select(by, order, size).repartition(by).sortWithinPartitions(by, order, size)
+    return streams.mapInArrow(cut, ", ".join(f"`{c}` {kinds[c]}" for c in (by, order, size)) + f", `{name}` bigint")
+
+
+def text_pages(lines: DataFrame, budget: int, by: str, order: str, chars: str, *, overhead: int = 0) -> DataFrame:
+    """Pages of a listing within a budget of tokens: three characters a token, less ``overhead``, a break between lines."""
+    return greedy_cuts(lines, max(1, budget * 3 - overhead), by, order, chars, separator=1)

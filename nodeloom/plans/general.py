@@ -139,11 +139,38 @@ o AS (SELECT * FROM live WHERE reason IS NOT NULL UNION SELECT * FROM snap)
 _ENDS = "WITH e AS (SELECT 'source' AS side, source AS node_id, target AS other_id, weight, observed_at, id FROM graph_links UNION ALL SELECT 'target', target, source, weight, observed_at, id FROM graph_links)"
 
 
+def json_facts(table_name: str, ignored: tuple[str, ...] = ()) -> str:
+    """CTE jf(rid, facts): what a JSON text says, as the sorted list of its members, null ones and ``ignored`` left out."""
+    skip = "AND NOT regexp_matches(t.fullkey, '[.]\"?(" + "|".join(sorted(ignored)) + ")\"?([.\\[]|$)')" if ignored else ""
+    return f"""jf AS (SELECT s.rowid AS rid, list(t.fullkey || ':' || CASE WHEN t.type IN ('OBJECT', 'ARRAY') THEN t.type WHEN t.type = 'VARCHAR' THEN t.atom::VARCHAR WHEN t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN (t.atom::VARCHAR::DOUBLE)::VARCHAR ELSE t.type || t.atom::VARCHAR END ORDER BY t.fullkey) AS facts
+      FROM (SELECT row_number() OVER () AS rowid, * FROM {table_name}) s, json_tree(CASE WHEN json_valid(s.attributes) THEN s.attributes END) t WHERE NOT (t.type = 'NULL' AND t.key IS NOT NULL AND NOT ends_with(t.fullkey, ']')) {skip} GROUP BY s.rowid)"""
+
+
+def snapshot_sql(table_name: str, columns: tuple[str, ...], ignored: tuple[str, ...] = ()) -> str:
+    """Changes between consecutive listed versions of a snapshot table, as a query."""
+    return f"""SELECT * FROM (WITH v AS (SELECT repo, version_no, lag(version_no) OVER w AS before FROM (SELECT DISTINCT repo, version_no FROM graph_versions) WINDOW w AS (PARTITION BY repo ORDER BY version_no)),
+      {json_facts(table_name, ignored)},
+      l AS (SELECT repo, version_no, id, row({", ".join(columns)}, coalesce(facts::VARCHAR, attributes)) AS body FROM (SELECT *, row_number() OVER () AS rid FROM {table_name}) LEFT JOIN jf USING (rid)
+        WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo, version_no, id ORDER BY delivered_at DESC NULLS LAST) = 1),
+      n AS (SELECT v.repo, v.version_no, l.id, l.body FROM v JOIN l USING (repo, version_no) WHERE before IS NOT NULL), o AS (SELECT v.repo, v.version_no, l.id, l.body FROM v JOIN l ON l.repo = v.repo AND l.version_no = v.before),
+      c AS (SELECT coalesce(n.repo, o.repo) AS repo, coalesce(n.version_no, o.version_no) AS version_no, coalesce(n.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN n.body IS DISTINCT FROM o.body THEN 'changed' END AS change_kind
+        FROM n FULL JOIN o ON o.repo = n.repo AND o.version_no = n.version_no AND o.id = n.id)
+      SELECT repo, version_no, id, change_kind FROM c WHERE change_kind IS NOT NULL)"""
+
+
+NODE_COLUMNS = ("kind", "node_label", "source_file", "start_line", "end_line", "community_id")
+LINK_COLUMNS = ("source", "target", "kind", "weight", "context")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _TREE + "SELECT h AS hierarchy, v AS node_id, root_id, node_depth FROM down UNION ALL SELECT h, v, root_id, -1 FROM rings",
         "p1_paths": _TREE + "SELECT h AS hierarchy, v AS node_id, root_id, node_depth, to_json(path)::VARCHAR AS path FROM down UNION ALL SELECT h, v, root_id, -1, NULL FROM rings",
         "p1_descendants": _TREE + "SELECT h AS hierarchy, path[i] AS ancestor_id, v AS node_id, node_depth - i + 1 AS steps FROM down, unnest(range(1, node_depth + 1)) AS u(i) WHERE node_depth > 0",
+        "p2_found": " UNION ALL ".join(f"SELECT '{w}' AS record_root, id AS record_id, version_no::BIGINT AS version_no, change_kind FROM ({snapshot_sql(f'snapshot_{w}', c)})" for w, c in (("nodes", NODE_COLUMNS), ("links", LINK_COLUMNS))),
+        "p2_counts": f"""WITH c AS ({snapshot_sql('snapshot_nodes', NODE_COLUMNS)} UNION ALL {snapshot_sql('snapshot_links', LINK_COLUMNS)})
+          SELECT v.repo, v.version_no, count(*) FILTER (change_kind = 'added') AS added, count(*) FILTER (change_kind = 'removed') AS removed, count(*) FILTER (change_kind = 'changed') AS changed, any_value(v.added) AS reported_added, any_value(v.removed) AS reported_removed, any_value(v.changed) AS reported_changed
+          FROM graph_versions v LEFT JOIN c ON c.repo = v.repo AND c.version_no = v.version_no WHERE v.version_no > (SELECT min(version_no) FROM graph_versions f WHERE f.repo = v.repo) GROUP BY v.repo, v.version_no""",
         "p1_conflicts": """WITH g AS (SELECT DISTINCT lower(trim(kind)) AS h, CASE WHEN lower(trim(kind)) = 'contains' THEN target ELSE source END AS v, CASE WHEN lower(trim(kind)) = 'contains' THEN source ELSE target END AS p
           FROM graph_links WHERE lower(trim(kind)) IN ('contains', 'extends') AND source IS NOT NULL AND target IS NOT NULL), k AS (SELECT *, min(p) OVER (PARTITION BY h, v) AS low FROM g)
           SELECT h AS hierarchy, v AS node_id, low AS kept_parent_id, p AS dropped_parent_id FROM k WHERE p <> low""",

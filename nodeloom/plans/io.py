@@ -60,8 +60,8 @@ def sc32_url_kinds(spark, d):
 
 
 def sc35_batches(spark, d):
-    items = table(spark, d, "eval_items").select("suite", "item_id", F.length("text").cast("bigint").alias("tokens"))
-    return so.token_batches(items, 2000, "item_id", "tokens", "suite")
+    items = table(spark, d, "eval_items").select("suite", "item_id", F.floor((F.length("text") + 160) / 4).alias("tokens"))
+    return so.token_batches(items, 500, "item_id", "tokens", "suite")
 
 
 def sk4_node_link(spark, d):
@@ -122,7 +122,9 @@ def oracle_sql() -> dict[str, str]:
         "sc20_uncached": both + "SELECT path, digest FROM n WHERE (path, digest) NOT IN (SELECT (path, digest) FROM o)",
         "sc24_markdown": md,
         "sc32_url_kinds": "SELECT doc_id, CASE WHEN doc_kind = 'readme' THEN 'github' WHEN doc_kind = 'note' THEN 'arxiv' WHEN ends_with(lower(doc_path), '.pdf') THEN 'pdf' WHEN regexp_matches(lower(doc_path), '\\.(png|jpe?g|gif|webp)$') THEN 'image' ELSE 'web' END AS kind FROM documents WHERE doc_path IS NOT NULL",
-        "sc35_batches": "SELECT suite, item_id, length(text) AS tokens, floor((sum(length(text)) OVER (PARTITION BY suite ORDER BY item_id ROWS UNBOUNDED PRECEDING) - 1) / 2000)::BIGINT AS batch FROM eval_items",
+        "sc35_batches": """WITH RECURSIVE x AS (SELECT suite, item_id, (length(text) + 160) // 4 AS tokens, row_number() OVER (PARTITION BY suite ORDER BY item_id) AS k FROM eval_items),
+          w AS (SELECT suite, item_id, tokens, k, tokens AS used, 0 AS batch FROM x WHERE k = 1 UNION ALL SELECT x.suite, x.item_id, x.tokens, x.k, CASE WHEN w.used + x.tokens > 500 THEN x.tokens ELSE w.used + x.tokens END, w.batch + CASE WHEN w.used + x.tokens > 500 THEN 1 ELSE 0 END
+            FROM w JOIN x ON x.suite = w.suite AND x.k = w.k + 1) SELECT suite, item_id, tokens, batch::BIGINT AS batch FROM w""",
         "sk5_graphml": CODE_SQL + f"SELECT 1 AS ord, id AS key, '<node id=\"' || {xml('id')} || '\"><data key=\"label\">' || {xml('coalesce(node_label, id)')} || '</data></node>' AS line FROM cn UNION ALL SELECT 2, eid, '<edge id=\"' || {xml('eid')} || '\" source=\"' || {xml('src')} || '\" target=\"' || {xml('dst')} || '\"><data key=\"relation\">' || lower(type) || '</data></edge>' FROM ce",
         "sk6_cypher": CODE_SQL + f"SELECT 1 AS ord, id AS key, 'MERGE (n:' || label || ' {{id: ' || {quote('id')} || '}}) SET n.label = ' || {quote('coalesce(node_label, id)')} || ';' AS line FROM cn UNION ALL SELECT 2, eid, 'MATCH (a {{id: ' || {quote('src')} || '}}), (b {{id: ' || {quote('dst')} || '}}) MERGE (a)-[:' || type || ']->(b);' FROM ce",
         "sk9_view_model": CODE_SQL + ", se AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ce WHERE src <> dst), m AS (SELECT id, community_id AS c FROM cn WHERE community_id IS NOT NULL), dg AS (SELECT x AS id, count(*) AS k FROM (SELECT src AS x FROM ce UNION ALL SELECT dst FROM ce) GROUP BY x), i AS (SELECT x.c, count(*) AS k FROM se JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.c = y.c GROUP BY x.c) SELECT m.c AS community, count(*) AS nodes, coalesce(any_value(i.k), 0) AS edges, arg_min(m.id, (-coalesce(dg.k, 0), m.id)) AS hub FROM m LEFT JOIN dg ON dg.id = m.id LEFT JOIN i ON i.c = m.c GROUP BY m.c",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import history as hi
-from ..graph import code_graph
+from ..graph import code_graph, evidence_graph
 from ..operators import analytics as an
 from ..operators import review as rv
 from ..operators import traverse as tr
@@ -74,11 +74,10 @@ def q1_search(spark, d):
 
 
 def q9_weakest_links(spark, d):
-    """Impact witnesses of every interface with the least weight among the edges that reach each depth."""
-    g = code_graph(spark, d)
+    """The weakest confidence along the witness path from every interface to what it impacts."""
+    g = evidence_graph(spark, d)
     seeds = g.nodes.where("label = 'Interface'").select(F.col("id").alias("root"), F.col("id").alias("node"))
-    reach = tr.impact(g, seeds)
-    return reach.where("depth > 0").join(g.edges.select("eid", "weight"), "eid").groupBy("root", "depth").agg(F.min("weight").alias("weakest"), F.count(F.lit(1)).alias("n"))
+    return tr.weakest_links(g, seeds).where("depth > 0")
 
 
 def an5_split_communities(spark, d):
@@ -113,7 +112,7 @@ def oracle_sql() -> dict[str, str]:
         "ir4_call_resolution": CODE_SQL + ", k AS (SELECT id, min(target) AS t, bool_or(is_deferred) AS d FROM graph_links WHERE lower(trim(kind)) = 'calls' AND target IS NOT NULL GROUP BY id) SELECT k.id, CASE WHEN cn.id IS NULL THEN 'unresolved' WHEN d THEN 'inferred' ELSE 'resolved' END AS resolution FROM k LEFT JOIN cn ON cn.id = t",
         "w6_majority_community": CODE_SQL + ", k AS (SELECT source_file, community_id, count(*) AS n FROM cn WHERE source_file IS NOT NULL AND community_id IS NOT NULL GROUP BY ALL) SELECT source_file, arg_min(community_id, (-n, community_id)) AS community_id, max(n) AS n FROM k GROUP BY source_file",
         "sd5_priorities": changes + ", k AS (SELECT target AS id, count(DISTINCT source) AS n FROM snapshot_links WHERE kind = 'calls' GROUP BY target) SELECT repo, version_no, c.id, CASE change_kind WHEN 'changed' THEN 1000 WHEN 'removed' THEN 700 ELSE 200 END + least(coalesce(n, 0), 100) AS priority FROM c LEFT JOIN k ON k.id = c.id WHERE change_kind IS NOT NULL",
-        "sd6_features": changes.replace("WITH v", "WITH RECURSIVE v") + ", f AS (SELECT DISTINCT s.id, s.source_file AS f FROM snapshot_nodes s JOIN c ON c.id = s.id WHERE c.change_kind IS NOT NULL AND s.source_file IS NOT NULL), p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM f x JOIN f y ON y.f = x.f), r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b) SELECT a AS id, min(b) AS feature FROM r GROUP BY a",
+        "sd6_features": changes.replace("WITH c", "WITH RECURSIVE c", 1) + ", f AS (SELECT DISTINCT s.id, s.source_file AS f FROM snapshot_nodes s JOIN c ON c.id = s.id WHERE c.change_kind IS NOT NULL AND s.source_file IS NOT NULL), p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM f x JOIN f y ON y.f = x.f), r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b) SELECT a AS id, min(b) AS feature FROM r GROUP BY a",
         "sd7_verification_gaps": changes + " SELECT DISTINCT id FROM c WHERE change_kind IS NOT NULL AND id NOT IN (SELECT target FROM snapshot_links WHERE upper(kind) = 'TESTS' AND target IS NOT NULL)",
         "sd9_change_classes": "SELECT doc_id, CASE WHEN regexp_matches(t, '^(fix|bug|hotfix)') THEN 'fix' WHEN regexp_matches(t, '^(feat|add|implement)') THEN 'feature' WHEN regexp_matches(t, '^(refactor|clean|rename|move)') THEN 'refactor' WHEN regexp_matches(t, '^(doc|readme)') THEN 'docs' WHEN regexp_matches(t, '^(test|spec)') THEN 'test' ELSE 'other' END AS class FROM (SELECT doc_id, lower(trim(text)) AS t FROM documents WHERE doc_kind = 'commit')",
         "r6_lexical_score": CODE_SQL + f"SELECT * FROM (SELECT id, round({tier('node_label', rv.NAME)} + {tier('qualified_name', rv.QUALIFIED)} + CASE WHEN {low('id')} = 'render_lexer' THEN {rv.IDENTITY} ELSE 0 END + ({' + '.join(map(hit, terms))}) / 3 * {rv.COVERAGE} + {' + '.join(map(src, terms))}, 6)::DOUBLE AS score FROM cn) WHERE score > 0",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..graph import code_graph, with_index
+from ..graph import code_graph, evidence_graph, with_index
 from ..operators import analytics as an
 from ..operators import traverse as tr
 from ..runtime import table
@@ -57,7 +57,7 @@ def q7_node_trail(spark, d):
 
 def q10_affected(spark, d):
     g = code_graph(spark, d)
-    return tr.affected(g, _seeds(g, "Class"), 2).select("root", "node", "depth")
+    return tr.affected(g, _seeds(g, "Class")).select("root", "node", "depth")
 
 
 def q12_find_node(spark, d):
@@ -69,8 +69,8 @@ def q14_explain(spark, d):
 
 
 def q17_pages(spark, d):
-    n = code_graph(spark, d).nodes.where("source_file is not null").select("source_file", "id", F.char_length("qualified_name").cast("bigint").alias("tokens"))
-    return tr.token_pages(n, 60, "source_file", "id", "tokens")
+    n = code_graph(spark, d).nodes.where("source_file is not null").select("source_file", "id", F.char_length("qualified_name").cast("bigint").alias("chars"))
+    return tr.text_pages(n, 20, "source_file", "id", "chars")
 
 
 def sc14_incident(spark, d):
@@ -144,9 +144,7 @@ def an11_community_hubs(spark, d):
 
 
 def an13_betweenness(spark, d):
-    g = code_graph(spark, d)
-    e = an.simple_edges(g)
-    return an.betweenness(e, an.ends(e).orderBy(F.xxhash64("id"), "id").limit(100))[0]
+    return an.node_betweenness(an.simple_edges(code_graph(spark, d)))
 
 
 def an14_edge_betweenness(spark, d):
@@ -155,11 +153,11 @@ def an14_edge_betweenness(spark, d):
 
 
 def an15_surprises(spark, d):
-    return an.surprises(code_graph(spark, d))
+    return an.surprises(evidence_graph(spark, d))
 
 
 def an16_cross_community(spark, d):
-    return an.cross_community(code_graph(spark, d))
+    return an.cross_community(evidence_graph(spark, d))
 
 
 def an17_import_cycles(spark, d):
@@ -200,7 +198,20 @@ _BOTH = ", bo AS (SELECT src AS h, dst AS t FROM ce UNION ALL SELECT dst, src FR
 _PAIRS = ", pr AS (SELECT min(e.src) AS a, max(e.dst) AS b FROM ce e JOIN cn n ON n.id = e.src WHERE e.type = 'CALLS' AND n.repo IS NOT NULL GROUP BY n.repo)"
 _SIMPLE = ", se AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ce WHERE src <> dst), m AS (SELECT id, community_id AS c FROM cn WHERE community_id IS NOT NULL)"
 _DEGREE = ", dg AS (SELECT id, (SELECT 0) + coalesce(k, 0) AS degree FROM cn LEFT JOIN (SELECT x, count(*) AS k FROM (SELECT src AS x FROM ce UNION ALL SELECT dst FROM ce) GROUP BY x) ON x = id)"
-_CAT = "CASE WHEN regexp_matches(lower({0}), '\\.(md|rst|txt|adoc)$') THEN 'doc' WHEN regexp_matches(lower({0}), '\\.(json|yaml|yml|toml|ini|cfg|xml)$') THEN 'config' ELSE 'code' END"
+_END = "lower(regexp_extract({0}, '\\.([^./]*)$', 1))"
+_CAT = "CASE WHEN {0} IN " + "(" + ", ".join(f"'{x}'" for x in an.CODE_ENDINGS) + ") THEN 'code' WHEN {0} = 'pdf' THEN 'paper' WHEN {0} IN (" + ", ".join(f"'{x}'" for x in an.IMAGE_ENDINGS) + ") THEN 'image' ELSE 'doc' END"
+_FAM = "CASE " + " ".join(f"WHEN {{0}} IN ({', '.join(repr(x) for x in xs)}) THEN '{n}'" for n, xs in an.LANGUAGES.items()) + " END"
+#: tn(id, label, file, community, degree, is_file, is_concept, is_real); needs dg.
+_TOPICAL = f""", t0 AS (SELECT id, coalesce(node_label, '') AS nm, coalesce(source_file, '') AS f, community_id AS c, degree FROM cn JOIN dg USING (id)),
+ t1 AS (SELECT *, nm <> '' AND ((f <> '' AND split_part(f, '/', -1) = nm) OR (starts_with(nm, '.') AND ends_with(nm, '()')) OR (ends_with(nm, '()') AND degree <= 1)) AS is_file,
+  f = '' OR NOT contains(split_part(f, '/', -1), '.') AS is_concept, ends_with(lower(f), '.json') AND lower(trim(nm)) IN {_types(an.JSON_LABELS)} AS is_key FROM t0),
+ tn AS (SELECT *, NOT is_file AND NOT is_concept AND NOT is_key AS is_real FROM t1)"""
+#: cf(eid, conf): the weakest confidence in a link's evidence, EXTRACTED where there is none.
+CONFIDENCE_SQL = """, e0 AS (SELECT id AS eid, CASE WHEN json_valid(attributes) THEN attributes->'$.evidence' END AS e FROM fl WHERE rn = 1),
+ e1 AS (SELECT eid, CASE WHEN json_type(e) = 'VARCHAR' AND json_valid(e->>'$') THEN (e->>'$')::JSON ELSE e END AS e FROM e0),
+ e2 AS (SELECT eid, e, lower(CASE WHEN json_type(e) = 'ARRAY' THEN array_to_string(e->>'$[*].confidence', ',') ELSE e->>'$.confidence' END) AS s FROM e1),
+ cf AS (SELECT eid, e, s, CASE WHEN contains(s, 'ambiguous') THEN 'AMBIGUOUS' WHEN contains(s, 'inferred') THEN 'INFERRED' ELSE 'EXTRACTED' END AS conf FROM e2)"""
+_CONF = CONFIDENCE_SQL
 
 
 def _closure(kind, seeds, types, depth, src="dst", dst="src"):
@@ -209,7 +220,7 @@ def _closure(kind, seeds, types, depth, src="dst", dst="src"):
 
 def oracle_sql() -> dict[str, str]:
     norm = "lower(regexp_replace(regexp_replace(trim({0}), '\\(\\)$', ''), '^\\.', ''))"
-    walk = lambda rel: f", r(a, node, depth) AS (SELECT a, a, 0 FROM pr UNION SELECT r.a, e.t, r.depth + 1 FROM r JOIN {rel} e ON e.h = r.node WHERE r.depth < 4)"
+    walk = lambda rel: f", r(a, node, depth) AS (SELECT a, a, 0 FROM pr UNION SELECT r.a, e.t, r.depth + 1 FROM r JOIN {rel} e ON e.h = r.node WHERE r.depth < 8)"
     lens = " UNION ALL ".join(f"SELECT '{n}' AS lens, type, count(*) AS n FROM ce WHERE type IN {_types(t)} GROUP BY type" for n, t in tr.LENSES.items())
     reach = """, th AS (SELECT greatest(50, floor(quantile_cont(degree, 0.99))) AS cut FROM dg), hub AS (SELECT id FROM dg, th WHERE degree >= cut),
       s AS (SELECT id AS root, id AS node FROM cn WHERE label = 'Interface'), one AS (SELECT DISTINCT root, t AS node FROM s JOIN bo ON h = node WHERE t <> root),
@@ -221,13 +232,15 @@ def oracle_sql() -> dict[str, str]:
         "q2_resolve_symbol": CODE_SQL + f", w AS (SELECT DISTINCT node_label AS symbol FROM cn WHERE label = 'Class'), nm AS (SELECT {norm.format('node_label')} AS name, count(*) AS n, min(id) AS named FROM cn GROUP BY 1) SELECT symbol, CASE WHEN symbol IN (SELECT id FROM cn) THEN symbol WHEN n = 1 THEN named END AS id, CASE WHEN symbol IN (SELECT id FROM cn) THEN 'id' WHEN n = 1 THEN 'name' WHEN n > 1 THEN 'ambiguous' ELSE 'unknown' END AS how FROM w LEFT JOIN nm ON nm.name = {norm.format('symbol')}",
         "q3_callers": CODE_SQL + f"SELECT dst AS symbol, src AS neighbour, eid, type FROM ce WHERE type IN {_types(tr.CALLER_TYPES)}",
         "q4_callees": CODE_SQL + "SELECT src AS symbol, dst AS neighbour, eid, type FROM ce WHERE type = 'CALLS'",
-        "q5_impact": _closure("impact", "SELECT id AS root, id AS node FROM cn WHERE label = 'Interface'", tr.IMPACT_TYPES, 3),
-        "q6_explore": CODE_SQL + _PAIRS + _BOTH + walk("bo").replace("< 4", "< 3") + " SELECT pr.a, pr.b, min(depth) AS hops FROM pr LEFT JOIN r ON r.a = pr.a AND r.node = pr.b GROUP BY pr.a, pr.b",
+        "q5_impact": _closure("impact", "SELECT id AS root, id AS node FROM cn WHERE label = 'Interface'", tr.IMPACT_TYPES, 8),
+        "q6_explore": CODE_SQL + _PAIRS + _BOTH + walk("bo") + " SELECT pr.a, pr.b, min(depth) AS hops FROM pr LEFT JOIN r ON r.a = pr.a AND r.node = pr.b GROUP BY pr.a, pr.b",
         "q7_node_trail": CODE_SQL + _PAIRS + _BOTH + ", ou AS (SELECT src AS h, dst AS t FROM ce)" + walk("ou") + walk("bo").replace("r(a", "r2(a").replace("FROM r JOIN", "FROM r2 AS r JOIN") + ", x AS (SELECT pr.a, pr.b, min(depth) AS hops FROM pr LEFT JOIN r ON r.a = pr.a AND r.node = pr.b GROUP BY pr.a, pr.b) SELECT a, b, hops, CASE WHEN hops IS NULL AND EXISTS (SELECT 1 FROM r2 WHERE r2.a = x.a AND r2.node = x.b) THEN 'direction_mismatch' END AS diagnostic FROM x",
-        "q10_affected": _closure("affected", "SELECT id AS root, id AS node FROM cn WHERE label = 'Class' UNION SELECT c.id, e.dst FROM cn c JOIN ce e ON e.src = c.id WHERE c.label = 'Class' AND e.type IN ('METHOD', 'CONTAINS')", tr.AFFECTED_TYPES, 2),
+        "q10_affected": _closure("affected", "SELECT id AS root, id AS node FROM cn WHERE label = 'Class' UNION SELECT c.id, e.dst FROM cn c JOIN ce e ON e.src = c.id WHERE c.label = 'Class' AND e.type IN ('METHOD', 'CONTAINS')", tr.AFFECTED_TYPES, 8),
         "q12_find_node": CODE_SQL + "SELECT * FROM (SELECT id, node_label, source_file, CASE WHEN lower(source_file) = 'parser' THEN 0 WHEN lower(node_label) = 'parser' THEN 1 WHEN starts_with(lower(node_label), 'parser') THEN 2 WHEN contains(lower(node_label), 'parser') THEN 3 END AS tier FROM cn) WHERE tier IS NOT NULL",
         "q14_explain": CODE_SQL + "SELECT id, direction, type, count(*) AS n FROM (SELECT src AS id, 'out' AS direction, type FROM ce UNION ALL SELECT dst, 'in', type FROM ce) GROUP BY ALL",
-        "q17_pages": CODE_SQL + "SELECT source_file, id, length(qualified_name) AS tokens, floor((sum(length(qualified_name)) OVER (PARTITION BY source_file ORDER BY id ROWS UNBOUNDED PRECEDING) - 1) / 60)::BIGINT AS page FROM cn WHERE source_file IS NOT NULL",
+        "q17_pages": CODE_SQL + """, x AS (SELECT source_file, id, length(qualified_name) AS n, row_number() OVER (PARTITION BY source_file ORDER BY id) AS k FROM cn WHERE source_file IS NOT NULL),
+          w AS (SELECT source_file, id, n, k, n AS used, 0 AS page FROM x WHERE k = 1 UNION ALL SELECT x.source_file, x.id, x.n, x.k, CASE WHEN w.used + 1 + x.n > 60 THEN x.n ELSE w.used + 1 + x.n END, w.page + CASE WHEN w.used + 1 + x.n > 60 THEN 1 ELSE 0 END
+            FROM w JOIN x ON x.source_file = w.source_file AND x.k = w.k + 1) SELECT source_file, id, n AS chars, page::BIGINT AS page FROM w""",
         "sc14_incident": CODE_SQL + f"SELECT src AS symbol, dst AS neighbour, eid FROM ce WHERE type IN {_types(tr.LENSES['data'])} UNION ALL SELECT dst, src, eid FROM ce WHERE type IN {_types(tr.LENSES['data'])} AND src <> dst",
         "sc16_contexts": CODE_SQL + "SELECT eid, src, dst, type, context FROM ce WHERE context IN ('call', 'import')",
         "sk14_lenses": CODE_SQL + lens,
@@ -235,28 +248,42 @@ def oracle_sql() -> dict[str, str]:
         "d6_induced_edges": CODE_SQL + _BOTH + _DEGREE + reach + " SELECT root, eid FROM (SELECT x.root, eid, row_number() OVER (PARTITION BY x.root ORDER BY eid) AS k FROM ce JOIN nb x ON x.node = src JOIN nb y ON y.node = dst AND y.root = x.root) WHERE k <= 128",
         "f14_node_index": CODE_SQL + "SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM cn",
         "an1_degree": CODE_SQL + _DEGREE + " SELECT id, degree FROM dg",
-        "an2_god_nodes": CODE_SQL + _DEGREE + f" SELECT id, node_label AS name, degree FROM dg JOIN cn USING (id) WHERE label NOT IN ('File', 'Concept', 'Config_key') AND node_label NOT IN {_types(an.NOISE_LABELS)} ORDER BY degree DESC, id LIMIT 25",
+        "an2_god_nodes": CODE_SQL + _DEGREE + _TOPICAL + f" SELECT id, nm AS name, degree FROM tn WHERE is_real AND nm NOT IN {_types(an.NOISE_LABELS)} ORDER BY degree DESC, id LIMIT 25",
         "an4_modularity": CODE_SQL + _SIMPLE + ", n AS (SELECT count(*) AS m FROM se), p AS (SELECT x.c AS ca, y.c AS cb FROM se LEFT JOIN m x ON x.id = a LEFT JOIN m y ON y.id = b), q AS (SELECT c, count(*) AS k, sum(i) AS i FROM (SELECT ca AS c, (ca = cb)::INT AS i FROM p UNION ALL SELECT cb, 0 FROM p) WHERE c IS NOT NULL GROUP BY c) SELECT round(sum(coalesce(i, 0) / m - (k / (2 * m)) ** 2), 6) AS modularity FROM q, n",
-        "an6_hubs": CODE_SQL + _SIMPLE + _DEGREE + ", h AS (SELECT id FROM dg WHERE degree > (SELECT quantile_cont(degree, 0.99) FROM dg)), bb AS (SELECT a AS id, b AS o FROM se UNION ALL SELECT b, a FROM se), v AS (SELECT h.id, m.c, count(*) AS n FROM h JOIN bb ON bb.id = h.id JOIN m ON m.id = bb.o WHERE bb.o NOT IN (SELECT id FROM h) GROUP BY ALL) SELECT h.id, arg_min(c, (-n, c)) AS community FROM h LEFT JOIN v ON v.id = h.id GROUP BY h.id",
+        "an6_hubs": CODE_SQL + _SIMPLE + _DEGREE + ", so AS (SELECT list(degree ORDER BY degree) AS ds FROM dg), h AS (SELECT id FROM dg, so WHERE degree > ds[greatest(floor(len(ds) * 0.99)::BIGINT, 1)]), bb AS (SELECT a AS id, b AS o FROM se UNION ALL SELECT b, a FROM se), v AS (SELECT h.id, m.c, count(*) AS n FROM h JOIN bb ON bb.id = h.id JOIN m ON m.id = bb.o WHERE bb.o NOT IN (SELECT id FROM h) GROUP BY ALL) SELECT h.id, arg_min(c, (-n, c)) AS community FROM h LEFT JOIN v ON v.id = h.id GROUP BY h.id",
         "an7_cohesion": CODE_SQL + _SIMPLE + ", s AS (SELECT c, count(*) AS n FROM m GROUP BY c), i AS (SELECT x.c, count(*) AS k FROM se JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.c = y.c GROUP BY x.c) SELECT s.c AS community, n AS size, coalesce(k, 0) AS edges, round(CASE WHEN n <= 1 THEN 1.0 ELSE coalesce(k, 0) / (n * (n - 1) / 2) END, 6) AS cohesion FROM s LEFT JOIN i ON i.c = s.c",
         "an8_community_order": CODE_SQL + _SIMPLE + " SELECT c AS community, count(*) AS size, min(id) AS first, sha256(string_agg(id || chr(0), '' ORDER BY id))[1:16] AS signature, row_number() OVER (ORDER BY count(*) DESC, min(id)) - 1 AS rank FROM m GROUP BY c",
         "an11_community_hubs": CODE_SQL + _SIMPLE + _DEGREE + ", b AS (SELECT c, arg_min(id, (-degree, id)) AS hub FROM m JOIN dg USING (id) GROUP BY c) SELECT b.c AS community, hub, node_label AS name FROM b JOIN cn ON cn.id = hub",
         "an15_surprises": CODE_SQL
         + _DEGREE
-        + f", n AS (SELECT id, source_file AS f, community_id AS c, degree AS g FROM cn JOIN dg USING (id) WHERE label NOT IN ('File', 'Concept') AND source_file <> '') SELECT eid, src, dst, type, 1 + CASE WHEN {_CAT.format('x.f')} <> {_CAT.format('y.f')} THEN 2 ELSE 0 END + CASE WHEN split_part(x.f, '/', 1) <> split_part(y.f, '/', 1) THEN 2 ELSE 0 END + CASE WHEN x.c <> y.c THEN 1 ELSE 0 END + CASE WHEN least(x.g, y.g) <= 2 AND greatest(x.g, y.g) >= 5 THEN 1 ELSE 0 END AS score FROM ce JOIN n x ON x.id = src JOIN n y ON y.id = dst WHERE type NOT IN ('IMPORTS', 'IMPORTS_FROM', 'CONTAINS', 'METHOD') AND x.f <> y.f",
-        "an16_cross_community": CODE_SQL + _SIMPLE + ' SELECT least(x.c, y.c) AS "left", greatest(x.c, y.c) AS "right", min(eid) AS eid, count(*) AS edges FROM ce JOIN m x ON x.id = src JOIN m y ON y.id = dst WHERE x.c <> y.c GROUP BY 1, 2',
-        "an17_import_cycles": CODE_SQL + files + """, w(c, f, n) AS (SELECT [src], src, 1 FROM (SELECT DISTINCT src FROM fg) UNION ALL SELECT list_append(c, dst), dst, n + 1 FROM w JOIN fg ON fg.src = f WHERE n < 4 AND dst > c[1] AND NOT list_contains(c, dst))
+        + _TOPICAL
+        + _CONF
+        + f""", p AS (SELECT eid, src, dst, type, conf, x.f AS xf, y.f AS yf, x.c AS xc, y.c AS yc, least(x.degree, y.degree) <= 2 AND greatest(x.degree, y.degree) >= 5 AS hub, {_END.format('x.f')} AS xe, {_END.format('y.f')} AS ye
+          FROM ce JOIN cf USING (eid) JOIN tn x ON x.id = src JOIN tn y ON y.id = dst WHERE type NOT IN {_types(an.WIRING)} AND NOT x.is_file AND NOT y.is_file AND NOT x.is_concept AND NOT y.is_concept AND x.f <> y.f),
+        q AS (SELECT *, {_CAT.format('xe')} AS xk, {_CAT.format('ye')} AS yk, coalesce({_FAM.format('xe')} <> {_FAM.format('ye')}, false) AS far FROM p)
+        SELECT eid, src, dst, type, conf AS confidence, CASE WHEN conf = 'INFERRED' AND type IN ('CALLS', 'USES') AND (far OR (xk = 'code' AND yk = 'doc') OR (xk = 'doc' AND yk = 'code')) THEN 0
+          ELSE CASE conf WHEN 'AMBIGUOUS' THEN 3 WHEN 'INFERRED' THEN 2 ELSE 1 END + CASE WHEN xk <> yk THEN 2 ELSE 0 END + CASE WHEN split_part(xf, '/', 1) <> split_part(yf, '/', 1) THEN 2 ELSE 0 END + CASE WHEN xc <> yc THEN 1 ELSE 0 END END
+          + CASE WHEN hub THEN 1 ELSE 0 END AS score FROM q""",
+        "an16_cross_community": CODE_SQL
+        + _DEGREE
+        + _TOPICAL
+        + _CONF
+        + f""", k AS (SELECT least(x.c, y.c) AS l, greatest(x.c, y.c) AS r, eid, conf, CASE conf WHEN 'AMBIGUOUS' THEN 0 WHEN 'INFERRED' THEN 1 ELSE 2 END AS o FROM ce JOIN cf USING (eid) JOIN tn x ON x.id = src JOIN tn y ON y.id = dst
+          WHERE x.c <> y.c AND NOT x.is_file AND NOT y.is_file AND type NOT IN {_types(an.WIRING)}) SELECT l AS "left", r AS "right", arg_min(eid, (o, eid)) AS eid, arg_min(conf, (o, eid)) AS confidence, count(*) AS edges FROM k GROUP BY l, r""",
+        "an17_import_cycles": CODE_SQL + files + """, w(c, f, n) AS (SELECT [src], src, 1 FROM (SELECT DISTINCT src FROM fg) UNION ALL SELECT list_append(c, dst), dst, n + 1 FROM w JOIN fg ON fg.src = f WHERE n < 5 AND dst > c[1] AND NOT list_contains(c, dst))
           SELECT DISTINCT array_to_string(c, ' -> ') AS cycle, n AS length FROM w JOIN fg ON fg.src = f AND fg.dst = c[1]""",
         "an18_blind_spots": CODE_SQL
-        + _SIMPLE
         + _DEGREE
-        + """, te AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ce WHERE src <> dst AND type NOT IN ('CONTAINS', 'IMPORTS', 'IMPORTS_FROM')), re AS (SELECT id FROM cn WHERE label NOT IN ('File', 'Concept')),
-        nr AS (SELECT DISTINCT x.h AS id, m.c FROM (SELECT a AS h, b AS t FROM te UNION ALL SELECT b, a FROM te) x JOIN re ON re.id = x.h JOIN re r2 ON r2.id = x.t JOIN m ON m.id = x.t),
-        ok AS (SELECT id, count(*) AS k FROM nr GROUP BY id HAVING count(*) BETWEEN 2 AND 8),
+        + _TOPICAL
+        + f""", te AS (SELECT a, b, x.c AS x, y.c AS y FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ce WHERE src <> dst AND type NOT IN {_types(an.GAP_WIRING)}) JOIN tn x ON x.id = a AND x.is_real JOIN tn y ON y.id = b AND y.is_real),
+        sz AS (SELECT c, count(*) AS n FROM tn WHERE is_real AND c IS NOT NULL GROUP BY c), il AS (SELECT x AS c, count(*) AS k FROM te WHERE x = y GROUP BY x),
+        el AS (SELECT c FROM sz LEFT JOIN il USING (c) WHERE n >= 4 AND coalesce(k, 0) * 2.0 / n >= 1.2),
+        nr AS (SELECT DISTINCT id, c FROM (SELECT a AS id, y AS c FROM te UNION ALL SELECT b, x FROM te) WHERE c IN (SELECT c FROM el)),
+        ok AS (SELECT id FROM nr GROUP BY id HAVING count(*) BETWEEN 2 AND 32),
         px AS (SELECT p.c AS l, q.c AS r, sum(1 / sqrt(greatest(degree, 1))) AS w FROM nr p JOIN nr q ON q.id = p.id AND p.c < q.c JOIN ok ON ok.id = p.id JOIN dg ON dg.id = p.id GROUP BY ALL),
-        dr AS (SELECT least(x.c, y.c) AS l, greatest(x.c, y.c) AS r, count(*) AS n FROM te JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.c <> y.c GROUP BY ALL)
+        dr AS (SELECT least(x, y) AS l, greatest(x, y) AS r, count(*) AS n FROM te WHERE x <> y GROUP BY ALL)
         SELECT px.l AS "left", px.r AS "right", round(w, 6) AS proximity, coalesce(n, 0) AS direct, round(w / (1 + coalesce(n, 0)), 6) AS score FROM px LEFT JOIN dr ON dr.l = px.l AND dr.r = px.r""",
-        "an19_components": CODE_SQL + _BOTH + ", r(id, o) AS (SELECT id, id FROM cn UNION SELECT r.id, bo.t FROM r JOIN bo ON bo.h = r.o), c AS (SELECT id, min(o) AS comp FROM r GROUP BY id) SELECT 'component:' || comp AS component, count(*) AS size, count(*) FILTER (label NOT IN ('File', 'Concept')) AS real FROM c JOIN cn USING (id) GROUP BY comp HAVING count(*) FILTER (label NOT IN ('File', 'Concept')) >= 2",
+        "an19_components": CODE_SQL + _BOTH + _DEGREE + _TOPICAL + ", r(id, o) AS (SELECT id, id FROM cn UNION SELECT r.id, bo.t FROM r JOIN bo ON bo.h = r.o), c AS (SELECT id, min(o) AS comp FROM r GROUP BY id) SELECT 'component:' || comp AS component, count(*) AS size, count(*) FILTER (is_real) AS real FROM c JOIN tn USING (id) GROUP BY comp HAVING count(*) FILTER (is_real) >= 2",
         "an22_cycle_edges": CODE_SQL + ", de AS (SELECT DISTINCT src, dst FROM ce WHERE type IN ('CALLS', 'IMPORTS', 'EXTENDS', 'DEPENDS_ON') AND NOT coalesce(is_deferred, false)), r(a, b) AS (SELECT src, dst FROM de UNION SELECT r.a, de.dst FROM r JOIN de ON de.src = r.b) SELECT src, dst FROM de WHERE src = dst OR EXISTS (SELECT 1 FROM r WHERE r.a = de.dst AND r.b = de.src)",
         "a11_graph_stats": CODE_SQL + "SELECT 'nodes' AS what, count(*) AS n FROM cn UNION ALL SELECT 'edges', count(*) FROM ce UNION ALL SELECT 'communities', count(DISTINCT community_id) FROM cn",
     }

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import history as hi
-from ..graph import code_graph
+from ..graph import code_graph, evidence_graph
 from ..operators import cleaning as cl
 from ..operators import snapshots
 from ..runtime import table
 from ..text import rank as rk
 from ..text import tokens as tk
+from .general import snapshot_sql
 from .patterns import CODE_SQL
+from .structure import CONFIDENCE_SQL
 
 QUESTIONS = ((1, "where is update_snapshot and its scanner resolved"), (2, "how does pick_anchor reach validate_constraint"), (3, "filter_operator or render_lexer in ledger"))
 
@@ -106,9 +108,13 @@ def g8_backfill(spark, d):
 
 
 def g10_inference(spark, d):
-    g = code_graph(spark, d)
-    firm = cl.inference_level(g.edges, "low")
-    return cl.prune_orphans(g.nodes, firm).select("id", "label")
+    """Nodes and edges that each level of inference admits."""
+    out = None
+    for level in cl.LEVELS:
+        g = cl.inference_level(evidence_graph(spark, d), level)
+        both = g.nodes.select(F.lit(level).alias("level"), F.lit("node").alias("what"), "id").unionByName(g.edges.select(F.lit(level).alias("level"), F.lit("edge").alias("what"), F.col("eid").alias("id")))
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 def g12_exact_merges(spark, d):
@@ -242,6 +248,8 @@ def oracle_sql() -> dict[str, str]:
       c AS (SELECT coalesce(n.repo, o.repo) AS repo, coalesce(n.version_no, o.next) AS version_no, coalesce(n.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN {differs} THEN 'changed' END AS change_kind
         FROM n FULL JOIN o ON o.repo = n.repo AND o.next = n.version_no AND o.id = n.id)"""
 
+    meaning = lambda t, cols: f"WITH c AS ({snapshot_sql(t, cols, tuple(hi.IGNORED_FIELDS))})"
+
     def diff(t, cols):
         return changed.format(t=t, content=", ".join(cols), differs=" OR ".join(f"n.{c} IS DISTINCT FROM o.{c}" for c in cols))
 
@@ -273,19 +281,27 @@ def oracle_sql() -> dict[str, str]:
         "g4_occurrences": CODE_SQL + "SELECT eid, sha256(concat_ws(chr(31), src, dst, type, coalesce(context, chr(0)))) AS key FROM ce",
         "g5_evidence": CODE_SQL + "SELECT src, dst, type, string_agg(DISTINCT context, '|' ORDER BY context) AS evidence FROM ce WHERE context IS NOT NULL GROUP BY ALL",
         "g8_backfill": CODE_SQL + ", h AS (SELECT e.dst AS id, min(n.source_file) AS f FROM ce e JOIN cn n ON n.id = e.src WHERE e.type = 'CONTAINS' GROUP BY 1) SELECT cn.id, replace(coalesce(source_file, f), '\\', '/') AS source_file FROM cn LEFT JOIN h ON h.id = cn.id",
-        "g10_inference": CODE_SQL + ", k AS (SELECT unnest([src, dst]) AS id FROM ce WHERE NOT coalesce(is_deferred, false)) SELECT id, label FROM cn WHERE label = 'File' OR id IN (SELECT id FROM k)",
+        "g10_inference": CODE_SQL + CONFIDENCE_SQL + """, n0 AS (SELECT id, source_file, CASE WHEN json_valid(attributes) THEN attributes->'$.evidence' END AS e FROM alive WHERE rn = 1),
+          n1 AS (SELECT id, CASE WHEN json_type(e) = 'VARCHAR' AND json_valid(e->>'$') THEN (e->>'$')::JSON ELSE e END AS e FROM n0), n2 AS (SELECT id, lower(CASE WHEN json_type(e) = 'ARRAY' THEN array_to_string(e->>'$[*].confidence', ',') ELSE e->>'$.confidence' END) AS s FROM n1),
+          nc AS (SELECT cn.id, source_file IS NOT NULL AS backed, CASE WHEN contains(s, 'ambiguous') THEN 3 WHEN contains(s, 'inferred') THEN 2 WHEN contains(s, 'exact') THEN 1 END AS r FROM cn LEFT JOIN n2 USING (id)),
+          ec AS (SELECT eid, src, dst, x.backed AND y.backed AS backed, CASE WHEN contains(cf.s, 'ambiguous') THEN 3 WHEN contains(cf.s, 'inferred') THEN 2 WHEN contains(cf.s, 'exact') THEN 1 END AS r,
+            contains(e::VARCHAR, 'qualified-external"') AND contains(lower(e::VARCHAR), '"ast"') AS ext FROM ce JOIN cf USING (eid) JOIN nc x ON x.id = src JOIN nc y ON y.id = dst),
+          lv(level, k) AS (VALUES ('low', 0), ('medium', 1), ('high', 2), ('max', 3)),
+          ae AS (SELECT level, k, eid, src, dst FROM ec, lv WHERE r = 1 OR (r = 2 AND ((k >= 1 AND backed) OR (k >= 2 AND ext))) OR k = 3)
+          SELECT level, 'edge' AS what, eid AS id FROM ae UNION ALL
+          SELECT level, 'node', id FROM nc, lv WHERE k = 3 OR r = 1 OR (r = 2 AND k >= 1 AND backed) OR EXISTS (SELECT 1 FROM ae WHERE ae.level = lv.level AND (src = id OR dst = id))""",
         "g12_exact_merges": CODE_SQL + f", k AS (SELECT id, source_file, {norm.format('node_label')} AS name FROM cn WHERE source_file IS NOT NULL), w AS (SELECT source_file, name, arg_min(id, (regexp_matches(id, '_c[0-9]+$'), length(id), id)) AS winner FROM k WHERE name <> '' GROUP BY ALL HAVING count(*) > 1) SELECT id, winner FROM k JOIN w USING (source_file, name)",
         "g14_rewired": CODE_SQL + f", k AS (SELECT id, source_file, {norm.format('node_label')} AS name FROM cn WHERE source_file IS NOT NULL), w AS (SELECT source_file, name, arg_min(id, (regexp_matches(id, '_c[0-9]+$'), length(id), id)) AS winner FROM k WHERE name <> '' GROUP BY ALL HAVING count(*) > 1), m AS (SELECT id, winner FROM k JOIN w USING (source_file, name)) SELECT eid, coalesce(a.winner, src) AS src, coalesce(b.winner, dst) AS dst, type FROM ce LEFT JOIN m a ON a.id = src LEFT JOIN m b ON b.id = dst WHERE coalesce(a.winner, src) <> coalesce(b.winner, dst) OR src = dst OR type = 'CALLS'",
         "u3_graph_diff": "WITH v AS (SELECT repo, min(version_no) AS a, max(version_no) AS b FROM graph_versions GROUP BY repo), x AS (SELECT DISTINCT repo, source, target, kind FROM snapshot_links JOIN v USING (repo) WHERE version_no = a AND source IS NOT NULL AND target IS NOT NULL), y AS (SELECT DISTINCT repo, source, target, kind FROM snapshot_links JOIN v USING (repo) WHERE version_no = b AND source IS NOT NULL AND target IS NOT NULL) SELECT *, 'new' AS change FROM (FROM y EXCEPT FROM x) UNION ALL SELECT *, 'removed' FROM (FROM x EXCEPT FROM y)",
         "u4_merged_graphs": CODE_SQL + "SELECT id, min(tag) AS tag FROM (SELECT CASE WHEN starts_with(id, 'std:') THEN id ELSE 'left::' || id END AS id, 'left' AS tag FROM cn UNION ALL SELECT CASE WHEN starts_with(id, 'std:') THEN id ELSE 'right::' || id END, 'right' FROM cn WHERE starts_with(id, 'std:') OR contains(id, 'parser')) GROUP BY id",
-        "h2_structural_diff": diff("snapshot_nodes", node_cols) + " SELECT repo, version_no, id, change_kind FROM c WHERE change_kind IS NOT NULL",
-        "h3_change_counts": "SELECT 'nodes' AS record_root, * FROM (" + diff("snapshot_nodes", node_cols) + " SELECT repo, version_no, count(*) FILTER (change_kind = 'added') AS added, count(*) FILTER (change_kind = 'removed') AS removed, count(*) FILTER (change_kind = 'changed') AS changed FROM c WHERE change_kind IS NOT NULL GROUP BY ALL) UNION ALL SELECT 'links', * FROM (" + diff("snapshot_links", link_cols) + " SELECT repo, version_no, count(*) FILTER (change_kind = 'added'), count(*) FILTER (change_kind = 'removed'), count(*) FILTER (change_kind = 'changed') FROM c WHERE change_kind IS NOT NULL GROUP BY ALL)",
+        "h2_structural_diff": meaning("snapshot_nodes", node_cols) + " SELECT repo, version_no, id, change_kind FROM c WHERE change_kind IS NOT NULL",
+        "h3_change_counts": "SELECT 'nodes' AS record_root, * FROM (" + meaning("snapshot_nodes", node_cols) + " SELECT repo, version_no, count(*) FILTER (change_kind = 'added') AS added, count(*) FILTER (change_kind = 'removed') AS removed, count(*) FILTER (change_kind = 'changed') AS changed FROM c WHERE change_kind IS NOT NULL GROUP BY ALL) UNION ALL SELECT 'links', * FROM (" + meaning("snapshot_links", link_cols) + " SELECT repo, version_no, count(*) FILTER (change_kind = 'added'), count(*) FILTER (change_kind = 'removed'), count(*) FILTER (change_kind = 'changed') FROM c WHERE change_kind IS NOT NULL GROUP BY ALL)",
         "h4_sharing": diff("snapshot_nodes", node_cols) + ", w AS (SELECT l.repo, l.version_no, l.id, l.kind, l.node_label, v.before FROM l JOIN v USING (repo, version_no)) SELECT w.repo, w.version_no, count(o.id) AS shared, count(*) AS total FROM w LEFT JOIN l o ON o.repo = w.repo AND o.version_no = w.before AND o.id = w.id AND o.kind IS NOT DISTINCT FROM w.kind AND o.node_label IS NOT DISTINCT FROM w.node_label GROUP BY ALL",
         "h5_ancestry": "SELECT repo, version_no, commit_id, lag(commit_id) OVER (PARTITION BY repo ORDER BY version_no) AS parent, row_number() OVER (PARTITION BY repo ORDER BY version_no DESC) AS newest FROM graph_versions",
         "h8_trend": "WITH s AS (SELECT DISTINCT repo, version_no, id FROM snapshot_nodes), m AS (SELECT repo, max(version_no) AS newest FROM s GROUP BY repo) SELECT repo, id, min(version_no) AS first_seen, max(version_no) AS last_seen, count(*) AS n, max(version_no) = any_value(newest) AS active FROM s JOIN m USING (repo) GROUP BY repo, id",
-        "sd4_invalidated": diff("snapshot_nodes", node_cols).replace("WITH v", "WITH RECURSIVE v") + ", ca AS (SELECT DISTINCT source AS src, target AS dst FROM snapshot_links WHERE kind = 'calls' AND source IS NOT NULL AND target IS NOT NULL), r(id, depth) AS (SELECT DISTINCT id, 0 FROM c WHERE change_kind IS NOT NULL UNION SELECT src, depth + 1 FROM r JOIN ca ON dst = r.id WHERE depth < 8) SELECT id, min(depth) AS depth FROM r GROUP BY id",
+        "sd4_invalidated": meaning("snapshot_nodes", node_cols).replace("WITH c", "WITH RECURSIVE c", 1) + ", ca AS (SELECT DISTINCT source AS src, target AS dst FROM snapshot_links WHERE kind = 'calls' AND source IS NOT NULL AND target IS NOT NULL), r(id, depth) AS (SELECT DISTINCT id, 0 FROM c WHERE change_kind IS NOT NULL UNION SELECT src, depth + 1 FROM r JOIN ca ON dst = r.id WHERE depth < 64) SELECT id, min(depth) AS depth FROM r GROUP BY id",
         "sd8_changed_files": CODE_SQL + ", f AS (SELECT DISTINCT source_file FROM cn WHERE source_file IS NOT NULL), p AS (SELECT split_part(source_file, '/', -1) AS path FROM f WHERE contains(split_part(source_file, '/', -1), '_1') UNION SELECT 'src/main/' || source_file FROM f WHERE contains(source_file, '_2')) SELECT DISTINCT path AS changed, source_file FROM p, f WHERE path = source_file OR ends_with(path, '/' || source_file) OR ends_with(source_file, '/' || path)",
-        "sd10_risk": diff("snapshot_nodes", node_cols) + f", fa AS (SELECT concat_ws('@', repo, version_no) AS version, CASE change_kind WHEN 'changed' THEN 'public_contract_change' WHEN 'removed' THEN 'affected_consumer' ELSE 'verification_gap' END AS factor, count(*) // 40 AS n FROM c WHERE change_kind IS NOT NULL GROUP BY ALL), s AS (SELECT version, least(sum({risk_points}), 100)::BIGINT AS score FROM fa GROUP BY version) SELECT version, score, CASE WHEN score <= 19 THEN 'low' WHEN score <= 44 THEN 'moderate' WHEN score <= 69 THEN 'high' ELSE 'critical' END AS band FROM s",
+        "sd10_risk": meaning("snapshot_nodes", node_cols) + f", fa AS (SELECT concat_ws('@', repo, version_no) AS version, CASE change_kind WHEN 'changed' THEN 'public_contract_change' WHEN 'removed' THEN 'affected_consumer' ELSE 'verification_gap' END AS factor, count(*) // 40 AS n FROM c WHERE change_kind IS NOT NULL GROUP BY ALL), s AS (SELECT version, least(sum({risk_points}), 100)::BIGINT AS score FROM fa GROUP BY version) SELECT version, score, CASE WHEN score <= 19 THEN 'low' WHEN score <= 44 THEN 'moderate' WHEN score <= 69 THEN 'high' ELSE 'critical' END AS band FROM s",
         "m1_feedback": "WITH w AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS s, pow(0.5, greatest((epoch_us(TIMESTAMP '2025-01-01') - epoch_us(ts)) / 86400e6, 0) / 30) AS d FROM events), g AS (SELECT user_id, round(sum(s * d), 6) AS score, count(*) FILTER (s > 0) AS p, count(*) FILTER (s < 0) AS n FROM w GROUP BY user_id) SELECT user_id AS subject, score, CASE WHEN p > 0 AND n > 0 THEN 'contested' WHEN p >= 2 THEN 'preferred' WHEN p > 0 THEN 'tentative' WHEN n > 0 THEN 'avoid' ELSE 'neutral' END AS status FROM g",
         "st2_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS first, count(*) AS n FROM s GROUP BY user_id, k",
         "st_tumbling": "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",

@@ -100,6 +100,11 @@ class Files:
         files, where = self._at(folder)
         return sorted(x.getPath().getName() for x in files.listStatus(where)) if files.exists(where) else []
 
+    def state(self, path: str) -> tuple:
+        """Sizes and times of a table's files, which tell whether it has changed."""
+        files, where = self._at(path)
+        return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in files.listStatus(where)))
+
     def read(self, path: str) -> str:
         files, where = self._at(path)
         stream = files.open(where)

@@ -175,8 +175,7 @@ def read_table(spark: SparkSession, url: str, **options) -> DataFrame:
 
 
 def token_batches(items: DataFrame, budget: int, order: str, tokens: str, by: str) -> DataFrame:
-    """Greedy batches in order within a group: a running sum of tokens cut by the budget."""
-    from ..operators.traverse import token_pages
-
-    return token_pages(items, budget, by, order, tokens).withColumnRenamed("page", "batch")
+    """Greedy batches within a group (a directory): no batch of several items exceeds the budget."""
+    from ..operators.traverse import greedy_cuts
 
+    return greedy_cuts(items, budget, by, order, tokens, name="batch")

@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -95,10 +96,51 @@ def test_louvain_finds_cliques(spark):
     assert {frozenset(r.id for r in got if r.community == c) for c in {r.community for r in got}} == {frozenset(f"{g}{i}" for i in range(6)) for g in "xyz"}
 
 
+def test_remap_is_greedy(spark):
+    rng = random.Random(4)
+    new = [(f"n{i:03}", rng.randrange(12)) for i in range(200)]
+    old = [(i, rng.randrange(9) * 2) for i, _ in new[:150]]
+    was, overlap = dict(old), {}
+    for i, c in new:
+        if i in was:
+            overlap[was[i], c] = overlap.get((was[i], c), 0) + 1
+    want = {}
+    for o, c in sorted(overlap, key=lambda x: (-overlap[x], *x)):
+        if o not in want.values() and c not in want:
+            want[c] = o
+    members = {}
+    for i, c in new:
+        members.setdefault(c, []).append(i)
+    free = (k for k in range(999) if k not in set(want.values()))
+    for c in sorted(set(members) - set(want), key=lambda c: (-len(members[c]), min(members[c]))):
+        want[c] = next(free)
+    frames = (spark.createDataFrame(x, "id string, community int") for x in (new, old))
+    assert {r.community: r.stable_id for r in an.remap_communities(*frames).collect()} == want
+
+
+def test_pages_never_exceed_their_capacity(spark):
+    rng = random.Random(6)
+    rows = [(f"g{rng.randrange(5)}", f"{i:04}", rng.choice((None, 0, 1, 7, 30, 61, 200)), "clash") for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, k string, n int, page string")
+    got = tr.greedy_cuts(df, 60, "g", "k", "n", separator=1).collect()
+    assert len(got) == 600
+    pages, order = {}, {}
+    for r in sorted(got, key=lambda r: (r.g, r.k)):
+        pages.setdefault((r.g, r.page), []).append(r.n or 0)
+        order.setdefault(r.g, []).append(r.page)
+    room = lambda p: sum(p) + len(p) - 1
+    assert all(len(p) == 1 or room(p) <= 60 for p in pages.values())
+    assert all(o == sorted(o) and set(o) == set(range(o[-1] + 1)) for o in order.values())
+    for g, page in pages:
+        if page:
+            assert room(pages[g, page - 1]) + 1 + pages[g, page][0] > 60
+    assert tr.greedy_cuts(df.limit(0), 60, "g", "k", "n").count() == 0
+
+
 def test_remap_and_modularity(spark):
     new = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", 2)], "id string, community int")
     old = spark.createDataFrame([("a", 7), ("b", 7), ("c", 3)], "id string, community int")
-    assert {(r.community, r.stable_id) for r in an.remap_communities(new, old).collect()} == {(0, 7), (1, 3), (2, 8)}
+    assert {(r.community, r.stable_id) for r in an.remap_communities(new, old).collect()} == {(0, 7), (1, 3), (2, 0)}
     assert an.modularity(pairs(spark, [("a", "b"), ("c", "d")]), spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 2)], "id string, community int")).first()[0] == 0.5
 
 
