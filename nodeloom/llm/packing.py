@@ -232,3 +232,17 @@ def window_fill(packed: DataFrame) -> DataFrame:
     """Per budget: windows, tokens placed, and the share of unused space."""
     by = packed.groupBy("budget_id", "capacity").agg(F.countDistinct("window_id").alias("windows"), F.sum("n_tokens").alias("tokens"))
     return by.select("*", F.round(1 - F.col("tokens") / (F.col("windows") * F.col("capacity")), 6).alias("unused"))
+
+
+def invariants(packed: DataFrame, least_use: float = 0.99) -> DataFrame:
+    """Per budget: documents placed, windows overfull or with gaps, documents split in vain, and whether ``least_use`` of the space is used.
+
+    A placement by the rules has all documents, 0, 0 and true. One window may be left over
+    beyond that share.
+    """
+    windows = packed.groupBy("budget_id", "capacity", "window_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("window_offset") + F.col("n_tokens")).alias("end"))
+    w = windows.groupBy("budget_id", "capacity").agg(F.count_if((F.col("n") > F.col("capacity")) | (F.col("n") != F.col("end"))).alias("bad_windows"), (F.sum("n") >= (F.count(F.lit(1)) - 1) * F.col("capacity") * least_use).alias("tight"))
+    docs = packed.groupBy("budget_id", "capacity", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"))
+    fair = F.when(F.col("n") <= F.col("capacity"), 1).otherwise(F.ceil(F.col("n") / F.col("capacity")))
+    d = docs.groupBy("budget_id", "capacity").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("pieces") != fair).alias("bad_splits"))
+    return d.join(w, ["budget_id", "capacity"]).select("budget_id", "capacity", "documents", "bad_windows", "bad_splits", "tight")

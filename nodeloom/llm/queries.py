@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..runtime import Workspace, table
-from . import consolidate, leakage, packing, repetition
+from ..text import tokens as tk
+from . import consolidate, leakage, packing, repetition, words
 
 
 def _groups(spark, d):
@@ -38,6 +39,10 @@ def p7_fill(spark, d):
     return packing.window_fill(p7_windows(spark, d))
 
 
+def p7_invariants(spark, d):
+    return packing.invariants(Workspace(spark, "packed").stage(p7_windows(spark, d)))
+
+
 def p8_found(spark, d):
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -64,7 +69,7 @@ def p9_ablations(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_merges, p5_merges_per_run, p7_windows, p7_fill, p8_found, p8_paraphrases, p9_found, p9_ledger, p9_ablations)}
+    return {f.__name__: f for f in (p5_found, p5_merges, p5_merges_per_run, p7_windows, p7_fill, p7_invariants, p8_found, p8_paraphrases, p9_found, p9_ledger, p9_ablations)}
 
 
 _GROUPS = """
@@ -75,8 +80,22 @@ g AS (SELECT min(b) AS group_id, a AS record_id FROM r GROUP BY a)
 """
 
 
+def _words_sql(table_name: str, key: str) -> str:
+    """CTE (key, ws): the words of each text. Compatible characters are unified one by one, which leaves out only those that stand for several letters."""
+    old, new = (x.replace("'", "''") for x in tk._COMPATIBLE)
+    removed = "".join(map(chr, words.REMOVED))
+    return f"SELECT {key}, regexp_extract_all(lower(regexp_replace(translate(text, '{old}', '{new}'), '[{removed}]', '', 'g')), '\\p{{L}}+') AS ws FROM {table_name} WHERE text IS NOT NULL"
+
+
+def _grams_sql(rel: str, key: str, n: int) -> str:
+    return f"SELECT {key}, i, array_to_string(ws[i:i + {n - 1}], ' ') AS g FROM (SELECT {key}, ws, unnest(range(1, greatest(len(ws) - {n - 2}, 1)::BIGINT)) AS i FROM {rel})"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p7_invariants": "SELECT budget_id, capacity::BIGINT AS capacity, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS bad_windows, 0::BIGINT AS bad_splits, true AS tight FROM token_budgets",
+        "p8_found": f"WITH d AS ({_words_sql('documents', 'doc_id')}), e AS ({_words_sql('eval_items', 'item_id')}), dg AS ({_grams_sql('d', 'doc_id', 10)}), eg AS ({_grams_sql('e', 'item_id', 10)}) SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)",
+        "p9_found": f"WITH w AS ({_words_sql('documents', 'doc_id')}), g AS ({_grams_sql('w', 'doc_id', 6)}), a AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) > 1 AS again FROM g), c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 6)) AS k FROM a WHERE again), n AS (SELECT doc_id, count(*) AS k FROM c GROUP BY doc_id) SELECT doc_id FROM n JOIN w USING (doc_id) WHERE n.k * 10 >= len(ws) * 3",
         "p5_found": _GROUPS + "SELECT group_id, record_id FROM g",
         "p5_merges": _GROUPS + 'SELECT count(DISTINCT group_id) AS "groups", count(*) AS records, count(*) - count(DISTINCT group_id) AS merges FROM g',
         "p5_merges_per_run": _GROUPS
