@@ -310,6 +310,9 @@ class Compiler:
         outside = [F.col(f"{n}__id") for n in names if n in scope.vars]
         depth = F.size(rb.cols["eids"])
         if path.shortest == "all":
+            if not outside:  # the least depth of all matches, by an aggregate with partial sums
+                least = df.agg(F.min(depth).alias("_m")).scalar()
+                return df.where(depth == least)
             w = Window.partitionBy(*outside).orderBy(depth)
             return df.withColumn("_k", F.rank().over(w)).where("_k = 1").drop("_k")
         order = [depth, *[F.col(f"{n}__id") for n in dict.fromkeys(names)], F.col(rb.cols["eids"])]

@@ -35,6 +35,23 @@ def structural_changes(snapshots: DataFrame, versions: DataFrame) -> DataFrame:
     return snapshot_changes(snapshots.drop(*IGNORED), versions, json_form=projected_json(IGNORED_FIELDS))
 
 
+def graph_delta(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(repo, part, id, target, kind, change): new and removed nodes and edges.
+
+    Each side is (nodes(repo, id), edges(repo, source, target, kind)) without repeats. Both
+    sides meet in one aggregation; null ends and kinds equal each other.
+    """
+    none = F.lit(None).cast("string")
+
+    def rows(side, mark):
+        n, e = side
+        parts = n.select("repo", F.lit("node").alias("part"), "id", none.alias("target"), none.alias("kind")).unionByName(e.select("repo", F.lit("edge").alias("part"), F.col("source").alias("id"), "target", "kind"))
+        return parts.withColumn("mark", F.lit(mark))
+
+    both = rows(before, -1).unionByName(rows(after, 1)).groupBy("repo", "part", "id", "target", "kind").agg(F.sum("mark").alias("d"))
+    return both.where("d != 0").select("repo", "part", "id", "target", "kind", F.when(F.col("d") > 0, "new").otherwise("removed").alias("change"))
+
+
 def sharing(snapshots: DataFrame, versions: DataFrame, content: list[str]) -> DataFrame:
     """(repo, version_no, shared, total): records that the version before also holds unchanged."""
     last = snapshots.groupBy("repo", "version_no", "id").agg(F.max_by(F.xxhash64(*[x for c in content for x in (F.col(c), F.col(c).isNull())]), F.col("delivered_at")).alias("h"))
@@ -128,7 +145,8 @@ def function_summaries(functions: DataFrame) -> DataFrame:
 
 
 def reverse_calls(summaries: DataFrame) -> DataFrame:
-    return summaries.select("symbol_id", F.explode("resolved").alias("callee")).groupBy("callee").agg(F.array_sort(F.collect_set("symbol_id")).alias("callers"))
+    """(callee, caller) of resolved calls, a row a pair, so that a hub is spread over its callers."""
+    return summaries.select(F.col("symbol_id").alias("caller"), F.explode("resolved").alias("callee")).select("callee", "caller").distinct()
 
 
 def contract_changes(old: DataFrame, new: DataFrame) -> DataFrame:

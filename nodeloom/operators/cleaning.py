@@ -37,8 +37,8 @@ def occurrence_key(*cols: str) -> F.Column:
 
 
 def merge_evidence(edges: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
-    """Distinct evidence of colliding edges, sorted, as one list."""
-    return edges.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(value)), "|").alias("evidence"))
+    """Distinct evidence of colliding edges with how often it was given, a row each."""
+    return edges.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
 def rewire(edges: DataFrame, remap: DataFrame) -> DataFrame:
@@ -169,16 +169,26 @@ def fuzzy_names(nodes: DataFrame) -> DataFrame:
     return names.join(linked.withColumnsRenamed({"id": "name", "component": "class_name"}), "name", "left").select("name", F.coalesce("class_name", "name").alias("class_name"))
 
 
-def merge_graphs(parts: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """Several graphs as one: ids become ``tag::id``, shared ids without a repository stay."""
-    nodes = edges = None
-    for tag, (n, e) in parts.items():
-        pre = lambda c: F.when(F.startswith(c, F.lit("std:")), F.col(c)).otherwise(F.concat(F.lit(tag + "::"), c))  # noqa: B023, E731
-        n = n.select(pre("id").alias("id"), F.lit(tag).alias("tag"))
-        e = e.select(pre("src").alias("src"), pre("dst").alias("dst"), "type")
-        nodes = n if nodes is None else nodes.unionByName(n)
-        edges = e if edges is None else edges.unionByName(e)
-    return nodes.groupBy("id").agg(F.min("tag").alias("tag")), edges.distinct()
+def merge_tagged(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Graphs as one: ids become ``tag::id``; nodes without a tag are shared and keep their ids.
+
+    ``nodes(id, tag, ...)`` keep their other columns, each merged id once; ``edges(src, dst,
+    type, tag, ...)`` are those of the graph ``tag``, so an end that is not shared belongs to
+    it. Of edges that coincide one is kept, with the other columns of the first by ``eid``
+    where there is one.
+    """
+    pre = lambda c, tag: F.when(tag.isNull(), F.col(c)).otherwise(F.concat_ws("::", tag, c))
+    rest = [c for c in nodes.columns if c not in ("id", "tag")]
+    whole = nodes.withColumn("id", pre("id", F.col("tag")))
+    merged = whole.groupBy("id").agg(F.min_by(F.struct("tag", *rest), F.coalesce("tag", F.lit(""))).alias("r")).select("id", "r.*")
+    shared = nodes.where("tag is null").select(F.col("id").alias("_id"), F.lit(True).alias("_shared")).distinct()
+    for end in ("src", "dst"):
+        marked = edges.join(shared.withColumnRenamed("_id", end), end, "left")
+        edges = marked.withColumn(end, F.when(F.col("_shared"), F.col(end)).otherwise(F.concat_ws("::", "tag", end))).drop("_shared")
+    more = [c for c in edges.columns if c not in ("src", "dst", "type")]
+    order = F.col("eid") if "eid" in more else F.lit(0)
+    links = edges.groupBy("src", "dst", "type").agg(F.min_by(F.struct(*more), order).alias("r")).select("src", "dst", "type", "r.*")
+    return merged, links
 
 
 def best_of(df: DataFrame, by: list[str], order: list, take: int = 1) -> DataFrame:

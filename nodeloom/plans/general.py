@@ -164,6 +164,18 @@ LINK_COLUMNS = ("source", "target", "kind", "weight", "context")
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": """WITH RECURSIVE w(t, id, path, key, idx, v) AS (
+            SELECT t, id, '', '', 0::BIGINT, a::JSON FROM (SELECT DISTINCT 'graph_nodes' AS t, id, attributes AS a FROM graph_nodes UNION SELECT DISTINCT 'graph_links', id, attributes FROM graph_links) WHERE json_valid(a)
+            UNION ALL
+            SELECT w.t, w.id, CASE WHEN json_type(w.v) = 'VARCHAR' THEN w.path WHEN json_type(w.v) = 'ARRAY' THEN w.path || '[' || e.key || ']' WHEN w.path = '' THEN e.key ELSE w.path || '.' || e.key END || CASE WHEN json_type(w.v) = 'OBJECT' AND e.key IN ('evidence', 'stages', 'mergedFrom', 'candidates') AND json_type(CASE WHEN json_type(e.value) = 'VARCHAR' AND json_valid(e.value->>'$') THEN (e.value->>'$')::JSON ELSE e.value END) = 'OBJECT' THEN '[0]' ELSE '' END,
+              e.key, 0, CASE WHEN json_type(e.value) = 'VARCHAR' AND regexp_matches(e.value->>'$', '^\\s*[\\[{]') AND json_valid(e.value->>'$') THEN (e.value->>'$')::JSON ELSE e.value END
+            FROM w, json_each(w.v) e WHERE json_type(w.v) IN ('OBJECT', 'ARRAY')),
+          h AS (SELECT t, id, path, CASE WHEN json_type(c) = 'VARCHAR' AND json_valid(c->>'$') THEN (c->>'$')::JSON ELSE c END AS c FROM (SELECT t, id, path, v->'$.candidates' AS c FROM w WHERE json_type(v) = 'OBJECT')),
+          x AS (SELECT t, id, path, (unnest(range(json_array_length(c)::BIGINT)))::BIGINT AS idx, c FROM h WHERE json_type(c) = 'ARRAY'),
+          y AS (SELECT t, id, path, idx, c->idx AS c FROM x UNION ALL SELECT t, id, path, 0, c FROM h WHERE json_type(c) = 'OBJECT'),
+          z AS (SELECT t, id, path, idx, CASE WHEN json_type(c) = 'VARCHAR' AND regexp_matches(c->>'$', '^\\s*[\\[{]') AND json_valid(c->>'$') THEN (c->>'$')::JSON ELSE c END AS c FROM y)
+          SELECT DISTINCT t AS owner_table, id AS owner_id, path AS parent_path, idx, CASE WHEN json_type(c) = 'OBJECT' THEN coalesce(c->>'$.nodeId', c->>'$.node_id') ELSE c->>'$' END AS candidate_id FROM z WHERE json_type(c) IN ('OBJECT', 'VARCHAR')""",
+        "p3_unreadable": """SELECT DISTINCT t AS owner_table, id AS owner_id FROM (SELECT 'graph_nodes' AS t, id, attributes AS a FROM graph_nodes UNION ALL SELECT 'graph_links', id, attributes FROM graph_links) WHERE CASE WHEN a IS NULL THEN false WHEN json_valid(a) THEN json_type(a) NOT IN ('OBJECT', 'ARRAY') ELSE true END""",
         "p1_found": _TREE + "SELECT h AS hierarchy, v AS node_id, root_id, node_depth FROM down UNION ALL SELECT h, v, root_id, -1 FROM rings",
         "p1_paths": _TREE + "SELECT h AS hierarchy, v AS node_id, root_id, node_depth, to_json(path)::VARCHAR AS path FROM down UNION ALL SELECT h, v, root_id, -1, NULL FROM rings",
         "p1_descendants": _TREE + "SELECT h AS hierarchy, path[i] AS ancestor_id, v AS node_id, node_depth - i + 1 AS steps FROM down, unnest(range(1, node_depth + 1)) AS u(i) WHERE node_depth > 0",

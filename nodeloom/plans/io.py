@@ -33,7 +33,8 @@ def sc18_scope(spark, d):
 def _manifest(spark, d, pick):
     s = table(spark, d, "snapshot_nodes").where("source_file is not null")
     v = s.groupBy("repo").agg(pick("version_no").alias("version_no"))
-    return s.join(v, ["repo", "version_no"]).groupBy(F.concat_ws("/", "repo", "source_file").alias("path")).agg(F.sha2(F.array_join(F.array_sort(F.collect_set("id")), ","), 256).alias("digest"))
+    each = s.join(v, ["repo", "version_no"]).select("repo", "source_file", "id").distinct()  # a digest by sums, whatever the order and number of ids
+    return each.groupBy(F.concat_ws("/", "repo", "source_file").alias("path")).agg(F.concat_ws(":", F.count(F.lit(1)), F.sum(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint"))).alias("digest"))
 
 
 def sc19_manifest(spark, d):
@@ -53,10 +54,10 @@ def sc24_markdown(spark, d):
 
 
 def sc32_url_kinds(spark, d):
-    """Addresses made of a document's kind and path."""
-    host = F.when(F.col("doc_kind") == "readme", "https://github.com/").when(F.col("doc_kind") == "note", "https://arxiv.org/").otherwise("https://docs.example.org/")
-    docs = table(spark, d, "documents").where("doc_path is not null").select("doc_id", F.concat(host, "doc_path").alias("url"))
-    return docs.select("doc_id", so.url_kind(F.col("url")).alias("kind"))
+    """What addresses of many hosts and endings, made with every document's path, lead to."""
+    hosts = ("https://GitHub.com/", "http://arxiv.org/", "https://export.arxiv.org/", "https://x.com/", "https://www.twitter.com/", "https://youtu.be/", "https://www.youtube.com/", "https://docs.example.org/", "https://notgithub.com/", "ftp://github.com/", "")
+    docs = table(spark, d, "documents").where("doc_path is not null").select("doc_id", F.explode(F.array(*[F.concat(F.lit(h), "doc_path", F.lit(e)) for h in hosts for e in ("", ".PDF?x=1", ".png#a")])).alias("url"))
+    return docs.select("doc_id", "url", so.url_kind(F.col("url")).alias("kind"))
 
 
 def sc35_batches(spark, d):
@@ -65,7 +66,11 @@ def sc35_batches(spark, d):
 
 
 def sk4_node_link(spark, d):
-    return sk.node_link(code_graph(spark, d))
+    """The documents, read back and laid out by member."""
+    got = sk.node_link(code_graph(spark, d))
+    at = lambda part, *names: F.when(F.col("part") == part, F.array(*[F.get_json_object("document", f"$.{n}") for n in names]))
+    cells = F.coalesce(at("nodes", "id", "label", "kind", "source_file", "community"), at("links", "source", "target", "relation", "weight", "context"))
+    return got.select("part", "key", *[cells[i].alias(c) for i, c in enumerate("abcde")])
 
 
 def sk5_graphml(spark, d):
@@ -77,7 +82,13 @@ def sk6_cypher(spark, d):
 
 
 def sk3_result_lines(spark, d):
-    return sk.result_lines(table(spark, d, "region"))
+    """A result of the language as JSON lines, read back."""
+    from .. import cql
+
+    got = sk.result_lines(cql.query(code_graph(spark, d), "MATCH (a:Class)-[:CONTAINS]->(m:Method) RETURN a.id AS class, m.id AS method"))
+    cells = F.from_json(F.get_json_object("line", "$.values"), "array<string>")
+    value = lambda i: F.get_json_object(cells[i], "$.v")
+    return got.select("ord", F.when(F.col("ord") == 1, value(0)).when(F.col("ord") == 2, F.get_json_object("line", "$.rows")).alias("first"), F.when(F.col("ord") == 1, value(1)).alias("second"))
 
 
 def sk9_view_model(spark, d):
@@ -88,6 +99,12 @@ def sk11_notes(spark, d):
     return sk.notes(code_graph(spark, d))
 
 
+def sk11_canvas(spark, d):
+    """The canvas, read back."""
+    got = sk.canvas(code_graph(spark, d))
+    return got.select("part", "key", *[F.get_json_object("document", f"$.{n}").alias(n) for n in ("file", "y", "fromNode", "toNode", "label")])
+
+
 def sk12_report(spark, d):
     return sk.report(code_graph(spark, d))
 
@@ -107,7 +124,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     ends = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in so.LANGUAGES.items())
-    manifest = "SELECT concat_ws('/', repo, source_file) AS path, sha256(string_agg(DISTINCT id, ',' ORDER BY id)) AS digest FROM snapshot_nodes JOIN (SELECT repo, {0}(version_no) AS version_no FROM snapshot_nodes WHERE source_file IS NOT NULL GROUP BY repo) USING (repo, version_no) WHERE source_file IS NOT NULL GROUP BY 1"
+    manifest = "SELECT concat_ws('/', repo, source_file) AS path, concat_ws(':', count(DISTINCT id), sum(DISTINCT ('0x' || md5(id)[1:8])::BIGINT)) AS digest FROM snapshot_nodes JOIN (SELECT repo, {0}(version_no) AS version_no FROM snapshot_nodes WHERE source_file IS NOT NULL GROUP BY repo) USING (repo, version_no) WHERE source_file IS NOT NULL GROUP BY 1"
     both = f"WITH o AS ({manifest.format('min')}), n AS ({manifest.format('max')}) "
     text = "regexp_replace(text, '\\r\\n?', chr(10), 'g')"
     part = lambda k, rx, g: f"SELECT doc_id, '{k}' AS part, unnest(range(len(v))) AS pos, unnest(v) AS value FROM (SELECT doc_id, regexp_extract_all({text}, '{rx}', {g}) AS v FROM documents)"
@@ -115,20 +132,28 @@ def oracle_sql() -> dict[str, str]:
     xml = lambda c: f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
     quote = lambda c: f"'''' || replace(replace({c}, '\\', '\\\\'), '''', '\\''') || ''''"
     return {
+        "sk11_canvas": CODE_SQL + "SELECT 'nodes' AS part, id AS key, id || '.md' AS file, (coalesce(community_id, -1) * 400)::VARCHAR AS y, NULL::VARCHAR AS \"fromNode\", NULL::VARCHAR AS \"toNode\", NULL::VARCHAR AS label FROM cn UNION ALL SELECT 'edges', eid, NULL, NULL, src, dst, lower(type) FROM ce",
+        "sk3_result_lines": CODE_SQL + ", r AS (SELECT a.id AS x, m.id AS y FROM ce JOIN cn a ON a.id = src JOIN cn m ON m.id = dst WHERE type = 'CONTAINS' AND a.label = 'Class' AND m.label = 'Method') SELECT 0 AS ord, NULL::VARCHAR AS first, NULL::VARCHAR AS second UNION ALL SELECT 1, x, y FROM r UNION ALL SELECT 2, count(*)::VARCHAR, NULL FROM r",
+        "sk4_node_link": CODE_SQL + """SELECT 'nodes' AS part, id AS key, id AS a, node_label AS b, kind AS c, source_file AS d, community_id::VARCHAR AS e FROM cn UNION ALL SELECT 'links', eid, src, dst, lower(type), weight::VARCHAR, context FROM ce""",
+        "sc23_sql_objects": """WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?is)\\bcreate\\s+(?:or\\s+replace\\s+)?(?:unique\\s+|temporary\\s+|materialized\\s+)*(table|view|index|function|procedure|trigger|schema)\\s+(?:if\\s+not\\s+exists\\s+)?[`"\\[]?([A-Za-z_][A-Za-z0-9_.]*)', 1)) AS kind,
+          unnest(regexp_extract_all(text, '(?is)\\bcreate\\s+(?:or\\s+replace\\s+)?(?:unique\\s+|temporary\\s+|materialized\\s+)*(table|view|index|function|procedure|trigger|schema)\\s+(?:if\\s+not\\s+exists\\s+)?[`"\\[]?([A-Za-z_][A-Za-z0-9_.]*)', 2)) AS name FROM documents) SELECT doc_id, 'database_' || lower(kind) AS kind, name FROM m""",
         "sc12_page": CODE_SQL + "SELECT id, label FROM cn WHERE id > 'r000001:' AND starts_with(id, 'r000001:') ORDER BY id LIMIT 100",
         "sc17_languages": CODE_SQL + f"SELECT CASE lower(regexp_extract(source_file, '\\.([A-Za-z0-9]+)$', 1)) {ends} END AS by_ending, lang, count(*) AS n FROM cn WHERE source_file IS NOT NULL GROUP BY ALL",
         "sc18_scope": CODE_SQL + "SELECT id, source_file FROM cn WHERE (source_file LIKE '%.py' OR source_file LIKE '%.rs') AND NOT (source_file LIKE '%/parser\\_%' ESCAPE '\\' OR source_file LIKE 'docs/%')",
         "sc19_manifest": both + "SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n ON n.path = o.path WHERE o.digest IS DISTINCT FROM n.digest",
         "sc20_uncached": both + "SELECT path, digest FROM n WHERE (path, digest) NOT IN (SELECT (path, digest) FROM o)",
         "sc24_markdown": md,
-        "sc32_url_kinds": "SELECT doc_id, CASE WHEN doc_kind = 'readme' THEN 'github' WHEN doc_kind = 'note' THEN 'arxiv' WHEN ends_with(lower(doc_path), '.pdf') THEN 'pdf' WHEN regexp_matches(lower(doc_path), '\\.(png|jpe?g|gif|webp)$') THEN 'image' ELSE 'web' END AS kind FROM documents WHERE doc_path IS NOT NULL",
+        "sc32_url_kinds": """WITH h(h) AS (VALUES ('https://GitHub.com/'), ('http://arxiv.org/'), ('https://export.arxiv.org/'), ('https://x.com/'), ('https://www.twitter.com/'), ('https://youtu.be/'), ('https://www.youtube.com/'), ('https://docs.example.org/'), ('https://notgithub.com/'), ('ftp://github.com/'), ('')), e(e) AS (VALUES (''), ('.PDF?x=1'), ('.png#a')),
+          u AS (SELECT doc_id, h || doc_path || e AS url FROM documents, h, e WHERE doc_path IS NOT NULL), p AS (SELECT *, lower(split_part(split_part(url, '://', 2), '/', 1)) AS host, lower(split_part(split_part(url, '?', 1), '#', 1)) AS path FROM u)
+          SELECT doc_id, url, CASE WHEN NOT (starts_with(lower(url), 'http://') OR starts_with(lower(url), 'https://')) THEN 'invalid' WHEN host IN ('twitter.com', 'x.com', 'www.twitter.com', 'www.x.com') THEN 'tweet' WHEN host = 'arxiv.org' OR ends_with(host, '.arxiv.org') THEN 'arxiv' WHEN host = 'github.com' OR ends_with(host, '.github.com') THEN 'github'
+            WHEN host IN ('youtube.com', 'youtu.be') OR ends_with(host, '.youtube.com') OR ends_with(host, '.youtu.be') THEN 'youtube' WHEN ends_with(path, '.pdf') THEN 'pdf' WHEN ends_with(path, '.png') THEN 'image' ELSE 'web' END AS kind FROM p""",
         "sc35_batches": """WITH RECURSIVE x AS (SELECT suite, item_id, (length(text) + 160) // 4 AS tokens, row_number() OVER (PARTITION BY suite ORDER BY item_id) AS k FROM eval_items),
           w AS (SELECT suite, item_id, tokens, k, tokens AS used, 0 AS batch FROM x WHERE k = 1 UNION ALL SELECT x.suite, x.item_id, x.tokens, x.k, CASE WHEN w.used + x.tokens > 500 THEN x.tokens ELSE w.used + x.tokens END, w.batch + CASE WHEN w.used + x.tokens > 500 THEN 1 ELSE 0 END
             FROM w JOIN x ON x.suite = w.suite AND x.k = w.k + 1) SELECT suite, item_id, tokens, batch::BIGINT AS batch FROM w""",
         "sk5_graphml": CODE_SQL + f"SELECT 1 AS ord, id AS key, '<node id=\"' || {xml('id')} || '\"><data key=\"label\">' || {xml('coalesce(node_label, id)')} || '</data></node>' AS line FROM cn UNION ALL SELECT 2, eid, '<edge id=\"' || {xml('eid')} || '\" source=\"' || {xml('src')} || '\" target=\"' || {xml('dst')} || '\"><data key=\"relation\">' || lower(type) || '</data></edge>' FROM ce",
         "sk6_cypher": CODE_SQL + f"SELECT 1 AS ord, id AS key, 'MERGE (n:' || label || ' {{id: ' || {quote('id')} || '}}) SET n.label = ' || {quote('coalesce(node_label, id)')} || ';' AS line FROM cn UNION ALL SELECT 2, eid, 'MATCH (a {{id: ' || {quote('src')} || '}}), (b {{id: ' || {quote('dst')} || '}}) MERGE (a)-[:' || type || ']->(b);' FROM ce",
         "sk9_view_model": CODE_SQL + ", se AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ce WHERE src <> dst), m AS (SELECT id, community_id AS c FROM cn WHERE community_id IS NOT NULL), dg AS (SELECT x AS id, count(*) AS k FROM (SELECT src AS x FROM ce UNION ALL SELECT dst FROM ce) GROUP BY x), i AS (SELECT x.c, count(*) AS k FROM se JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.c = y.c GROUP BY x.c) SELECT m.c AS community, count(*) AS nodes, coalesce(any_value(i.k), 0) AS edges, arg_min(m.id, (-coalesce(dg.k, 0), m.id)) AS hub FROM m LEFT JOIN dg ON dg.id = m.id LEFT JOIN i ON i.c = m.c GROUP BY m.c",
-        "sk11_notes": CODE_SQL + ", o AS (SELECT src AS id, string_agg(DISTINCT '- ' || lower(type) || ' [[' || dst || ']]', chr(10) ORDER BY '- ' || lower(type) || ' [[' || dst || ']]') AS links FROM ce GROUP BY src) SELECT cn.id AS name, '# ' || coalesce(node_label, cn.id) || chr(10) || chr(10) || 'kind: ' || coalesce(kind, '') || chr(10) || chr(10) || coalesce(links, '') AS page FROM cn LEFT JOIN o ON o.id = cn.id",
+        "sk11_notes": CODE_SQL + "SELECT id AS name, 0 AS ord, '# ' || coalesce(node_label, id) AS line FROM cn UNION ALL SELECT id, 1, 'kind: ' || coalesce(kind, '') FROM cn UNION ALL SELECT DISTINCT src, 2, '- ' || lower(type) || ' [[' || dst || ']]' FROM ce",
         "sk12_report": CODE_SQL + "SELECT 0 AS ord, 'nodes: ' || count(*) AS line FROM cn UNION ALL SELECT 1, 'edges: ' || count(*) FROM ce UNION ALL SELECT 2, '- label ' || label || ': ' || count(*) FROM cn GROUP BY label UNION ALL SELECT 3, '- type ' || type || ': ' || count(*) FROM ce GROUP BY type",
         "st7_ingested": "SELECT id, kind, ingested_at, deleted_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM graph_nodes) WHERE rn = 1",
     }

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..graph import code_graph
 from ..operators import analytics as an
 from ..operators import traverse as tr
-from ..query import direction, plan
+from .. import history as hi
+from ..query import routes
 from ..runtime import table
 from ..text import rank as rk
 from ..text import tokens as tk
@@ -34,17 +35,19 @@ def w3_seeds(spark, d):
     return rk.seeds(rk.bm25(code_graph(spark, d).nodes, _questions(spark), 20), code_graph(spark, d).nodes)
 
 
-def d1_intents(spark, d):
-    """Intent and direction of every test item's first sentence."""
-    import pandas as pd
+#: Questions about a name, as people put them.
+ASKED = (
+    "Who calls {}?", "Callers of {}", "which methods call {}", "where is {} called", "What does {} call?", "what functions does {} invoke", "Calls made by {}.", "What breaks if {} changes?", "what depends on {}", "impact of {}!",
+    "If {} changes, what breaks?", "shortest path from {} to main", "How does {} reach the store?", "how is {} connected to parser", "where is {} defined", "Find {}", "search for {}", "{} and its callers and callees", "what uses {} in the write path", "how does {} work",
+    "architecture around {}", "who is affected by {}", "the implementation flow of {}",
+)
 
-    def run(batches):
-        for pdf in batches:
-            first = [(t or "").split(".")[0] for t in pdf["text"]]
-            plans = [plan(t) for t in first]
-            yield pd.DataFrame({"item_id": pdf["item_id"], "intent": [p.intent for p in plans], "confidence": [p.confidence for p in plans], "direction": [direction(t) for t in first]})
 
-    return table(spark, d, "eval_items").select("item_id", "text").mapInPandas(run, "item_id bigint, intent string, confidence bigint, direction string")
+def d1_intents(spark, d):
+    """Intent, confidence and direction of questions about every class."""
+    names = code_graph(spark, d).nodes.where("label = 'Class'").select("node_label").distinct()
+    asked = F.explode(F.array(*[F.concat(*[x for k, part in enumerate(q.split("{}")) for x in ((F.col("node_label"),) if k else ()) + (F.lit(part),)]) for q in ASKED]))
+    return routes(names.select(asked.alias("question"))).select("question", "intent", "confidence", "direction")
 
 
 def d7_hubs(spark, d):
@@ -57,15 +60,13 @@ def q11_seed_ladder(spark, d):
 
 
 def ir2_summaries(spark, d):
-    """What every node calls, reads and writes, as sorted lists."""
-    e = code_graph(spark, d).edges.where("type in ('CALLS', 'READS', 'WRITES')")
-    each = lambda t: F.array_join(F.array_sort(F.collect_set(F.when(F.col("type") == t, F.col("dst")))), ",")
-    return e.groupBy(F.col("src").alias("id")).agg(each("CALLS").alias("calls"), each("READS").alias("reads"), each("WRITES").alias("writes"))
+    """What every node calls, reads and writes: a row for each."""
+    return code_graph(spark, d).edges.where("type in ('CALLS', 'READS', 'WRITES')").groupBy(F.col("src").alias("id"), F.lower("type").alias("does"), F.col("dst").alias("to")).agg(F.count(F.lit(1)).alias("sites"))
 
 
 def ir3_reverse_calls(spark, d):
     e = code_graph(spark, d).edges.where("type = 'CALLS'")
-    return e.groupBy(F.col("dst").alias("callee")).agg(F.array_join(F.array_sort(F.collect_set("src")), ",").alias("callers"))
+    return hi.reverse_calls(e.select(F.col("src").alias("symbol_id"), F.array("dst").alias("resolved")))
 
 
 def u5_without_repository(spark, d):
@@ -103,6 +104,23 @@ def queries() -> dict:
     return {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and n[0] != "_" and n not in ("queries", "oracle_sql")}
 
 
+def _asked_sql() -> str:
+    """Intents by what a question starts and ends with, written from the rules."""
+    texts = " UNION ALL ".join("SELECT '" + q.replace("{}", "' || node_label || '").replace("'' || ", "", 0) + "' AS question FROM nl" for q in ASKED)
+    return f"""{CODE_SQL}, nl AS (SELECT DISTINCT node_label FROM cn WHERE label = 'Class'), qs AS ({texts}), q0 AS (SELECT question, lower(rtrim(trim(question), '?!.')) AS t FROM qs),
+      q1 AS (SELECT *, CASE WHEN regexp_matches(t, '^((shortest )?path|route|connection) from .+ to ') OR regexp_matches(t, '^how (does|can) .+ reach ') OR regexp_matches(t, '^how is .+ connected to ') THEN 'trail'
+        WHEN regexp_matches(t, '^((find |show )?callers of|who calls|what calls|what functions call|what methods call|which functions call|which methods call) ') THEN 'callers' WHEN starts_with(t, 'where is ') AND ends_with(t, ' called') THEN 'called'
+        WHEN regexp_matches(t, '^((find |show )?callees of|calls made by) ') OR regexp_matches(t, '^what (functions |methods )?does .+ (calls?|invokes?)$') THEN 'callees'
+        WHEN regexp_matches(t, '\\bcallers?\\b') AND regexp_matches(t, '\\bcallees?\\b') THEN 'fallback'
+        WHEN regexp_matches(t, '^(what is impacted by|what depends on|who depends on|what breaks if|what changes if|dependents of|impact of|what is the impact of|what would break if) ') THEN 'impact' WHEN regexp_matches(t, '^if .+ changes,? what breaks$') THEN 'impact_if'
+        WHEN regexp_matches(t, '^((find )?definition of|search for) ') THEN 'search' WHEN regexp_matches(t, '^(show me|where is|where are|find|search|show) ') THEN CASE WHEN ends_with(t, ' defined') OR len(string_split(regexp_replace(t, '^(show me|where is|where are|find|search|show) ', ''), ' ')) = 1 THEN 'search' ELSE 'search_vague' END
+        ELSE 'fallback' END AS i, ' ' || trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) || ' ' AS w FROM q0),
+      q2 AS (SELECT *, regexp_matches(w, 'caller|called by|used by|registered by|enforced at|affected by|referenced by|depends on this') AS inn, regexp_matches(w, ' calls | invokes | uses |implementation flow|writes to|calls from') OR (contains(w, 'depends on') AND NOT contains(w, 'depends on this')) AS ou,
+        regexp_matches(w, 'architecture|related|connected|coupling') OR (contains(w, 'flow') AND NOT contains(w, 'implementation flow')) AS ne FROM q1)
+      SELECT question, CASE i WHEN 'called' THEN 'callers' WHEN 'impact_if' THEN 'impact' WHEN 'search_vague' THEN 'search' ELSE i END AS intent, CASE i WHEN 'called' THEN 95 WHEN 'impact_if' THEN 95 WHEN 'search' THEN 90 WHEN 'search_vague' THEN 60 WHEN 'fallback' THEN 0 ELSE 100 END::INT AS confidence,
+        CASE WHEN inn AND ou THEN 'both' WHEN i IN ('callers', 'called', 'impact', 'impact_if') THEN 'in' WHEN i IN ('callees', 'trail') THEN 'out' WHEN ne THEN 'both' WHEN inn AND NOT starts_with(w, ' how does ') THEN 'in' WHEN NOT inn AND (ou OR starts_with(w, ' how does ')) THEN 'out' ELSE 'both' END AS direction FROM q2"""
+
+
 def oracle_sql() -> dict[str, str]:
     from .text_history import oracle_sql as others
 
@@ -115,14 +133,15 @@ def oracle_sql() -> dict[str, str]:
     joins = " ".join(f"LEFT JOIN {k}_ ON {k}_.wanted = w.wanted" for k in steps)
     each = lambda t: f"coalesce(string_agg(DISTINCT CASE WHEN type = '{t}' THEN dst END, ',' ORDER BY CASE WHEN type = '{t}' THEN dst END), '')"
     return {
+        "d1_intents": _asked_sql(),
         "sc15_version_scan": "SELECT repo, id, kind, delivered_at FROM snapshot_nodes WHERE version_no = 2",
         "t1_plain_names": "SELECT DISTINCT doc_kind, lang, strip_accents(lang) AS plain FROM documents",
         "w1_best_per_term": scored + " SELECT query_id, term, arg_min(id, (-part, id)) AS id, max(part) AS score FROM sc GROUP BY ALL",
         "w3_seeds": others()["r1_bm25"].replace("SELECT query_id, id, score, row_number()", ", rr AS (SELECT query_id, id, score, row_number()").rstrip() + "), lb AS (SELECT rr.*, lower(node_label) AS l, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS top FROM rr JOIN cn USING (id)), kk AS (SELECT *, row_number() OVER (PARTITION BY query_id, l ORDER BY rank) AS k FROM lb WHERE score >= 0.5 * top) SELECT query_id, id, seed FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS seed FROM kk WHERE k = 1) WHERE seed <= 3",
         "d7_hubs": CODE_SQL + ", dg AS (SELECT id, coalesce(k, 0) AS degree FROM cn LEFT JOIN (SELECT x, count(*) AS k FROM (SELECT src AS x FROM ce UNION ALL SELECT dst FROM ce) GROUP BY x) ON x = id) SELECT id FROM dg WHERE degree >= (SELECT greatest(50, floor(quantile_cont(degree, 0.99))) FROM dg)",
         "q11_seed_ladder": CODE_SQL + f", w(wanted) AS (VALUES {values}), {ladder} SELECT w.wanted, {ids} AS id, {hows} AS how FROM w {joins}",
-        "ir2_summaries": CODE_SQL + f"SELECT src AS id, {each('CALLS')} AS calls, {each('READS')} AS reads, {each('WRITES')} AS writes FROM ce WHERE type IN ('CALLS', 'READS', 'WRITES') GROUP BY src",
-        "ir3_reverse_calls": CODE_SQL + "SELECT dst AS callee, string_agg(DISTINCT src, ',' ORDER BY src) AS callers FROM ce WHERE type = 'CALLS' GROUP BY dst",
+        "ir2_summaries": CODE_SQL + "SELECT src AS id, lower(type) AS does, dst AS to, count(*) AS sites FROM ce WHERE type IN ('CALLS', 'READS', 'WRITES') GROUP BY ALL",
+        "ir3_reverse_calls": CODE_SQL + "SELECT DISTINCT dst AS callee, src AS caller FROM ce WHERE type = 'CALLS'",
         "u5_without_repository": CODE_SQL + ", g AS (SELECT min(repo) AS r FROM cn), l AS (SELECT cn.id, repo FROM cn, g WHERE repo IS NULL OR repo <> r), k AS (SELECT unnest([src, dst]) AS id FROM ce WHERE src IN (SELECT id FROM l) AND dst IN (SELECT id FROM l)) SELECT id FROM l WHERE repo IS NOT NULL OR id IN (SELECT id FROM k)",
         "g17_declarations": CODE_SQL + ", b AS (SELECT repo, node_label, min(id) AS winner FROM cn WHERE repo IS NOT NULL AND label IN ('Class', 'Struct', 'Function') GROUP BY ALL HAVING count(*) = 1) SELECT cn.id, winner FROM cn JOIN b ON b.repo = cn.repo AND b.node_label = cn.node_label WHERE label IN ('Interface', 'Trait', 'Method')",
         "an21_diff_summary": "WITH v AS (SELECT repo, min(version_no) AS a, max(version_no) AS b FROM graph_versions GROUP BY repo), s AS (SELECT repo, id, bool_or(version_no = a) AS o, bool_or(version_no = b) AS n FROM snapshot_nodes JOIN v USING (repo) GROUP BY repo, id) SELECT repo, count(*) FILTER (n AND NOT o) || ' new nodes, ' || count(*) FILTER (o AND NOT n) || ' nodes removed' AS summary FROM s GROUP BY repo",

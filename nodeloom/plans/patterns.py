@@ -66,7 +66,7 @@ TRADE = {
         {},
     ),
     "j7_shortest": ("MATCH p = shortestPath((a:Supplier {id: 'supplier:1'})-[*1..3]->(r:Region)) RETURN length(p) AS hops, r.name AS region", "SELECT 2 AS hops, r_name AS region FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_suppkey = 1", {}),
-    "j8_all_shortest": ("MATCH p = allShortestPaths((a:Customer {id: 'customer:1'})-[*1..4]-(b:Supplier {id: 'supplier:2'})) RETURN length(p) AS hops, count(*) AS n", None, {}),
+    "j8_all_shortest": ("MATCH p = allShortestPaths((a:Customer {id: 'customer:1'})-[*1..4]-(b:Supplier {id: 'supplier:2'})) RETURN length(p) AS hops, count(*) AS n", """SELECT 3 AS hops, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) s ON s.l_partkey = lineitem.l_partkey WHERE o_custkey = 1 AND s.l_suppkey = 2 HAVING count(*) > 0""", {}),
     "j11_path": ("MATCH p = (n:Nation)-[:IN_REGION]->(r:Region) RETURN nodes(p)[0] AS a, nodes(p)[1] AS b, length(p) AS n", "SELECT 'nation:' || n_nationkey AS a, 'region:' || n_regionkey AS b, 1 AS n FROM nation", {}),
     "pr2_wildcard": ("MATCH (r:Region) WITH r.name AS name, r.id AS id RETURN *", "SELECT 'region:' || r_regionkey AS id, r_name AS name FROM region", {}),
     "pr3_with_barrier": ("MATCH (c:Customer) WITH c.segment AS segment, c.acctbal AS bal WHERE bal > 5000.0 RETURN segment, count(*) AS n", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1", {}),

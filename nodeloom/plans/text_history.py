@@ -31,7 +31,7 @@ def t2_identifier_tokens(spark, d):
 
 
 def t3_canonical_tokens(spark, d):
-    words = table(spark, d, "documents").select(F.explode(tk.identifier_tokens(F.col("text"))).alias("word")).where("length(word) < 40").distinct()
+    words = table(spark, d, "documents").select(F.explode(tk.identifier_tokens(F.col("text"))).alias("word")).distinct()
     return words.select("word", tk.canonical_token(F.col("word")).alias("stem"))
 
 
@@ -140,19 +140,23 @@ def g16_resolved_calls(spark, d):
 
 
 def u4_merged_graphs(spark, d):
+    """The repositories of the live graph as graphs of their own, merged: nodes and edges."""
     g = code_graph(spark, d)
-    n = g.nodes.select("id")
-    nodes, _ = cl.merge_graphs({"left": (n, g.edges), "right": (n.where(F.startswith("id", F.lit("std:")) | F.contains("id", F.lit("parser"))), g.edges.where("type = 'EXTENDS'"))})
-    return nodes
+    home = g.nodes.select(F.col("id").alias("src"), F.col("repo").alias("tag"))
+    edges = g.edges.join(home, "src").where("tag is not null")
+    nodes, links = cl.merge_tagged(g.nodes.withColumn("tag", F.col("repo")), edges)
+    return nodes.select(F.lit("node").alias("part"), "id", F.lit(None).cast("string").alias("dst"), F.lit(None).cast("string").alias("type")).unionByName(links.select(F.lit("edge").alias("part"), F.col("src").alias("id"), "dst", "type"))
+
+
+def _first_and_last(spark, d):
+    v = table(spark, d, "graph_versions").groupBy("repo").agg(F.min("version_no").alias("lo"), F.max("version_no").alias("hi"))
+    of = lambda what, at, *cols: table(spark, d, f"snapshot_{what}").join(v.select("repo", F.col(at).alias("version_no")), ["repo", "version_no"]).select("repo", *cols).distinct()
+    return [(of("nodes", at, "id"), of("links", at, "source", "target", "kind")) for at in ("lo", "hi")]
 
 
 def u3_graph_diff(spark, d):
-    """New and removed links (source, target, kind) between the first and last version of each repository."""
-    v = table(spark, d, "graph_versions").groupBy("repo").agg(F.min("version_no").alias("a"), F.max("version_no").alias("b"))
-    s = table(spark, d, "snapshot_links").join(v, "repo").where("source is not null and target is not null")
-    pick = lambda c: s.where(F.col("version_no") == F.col(c)).select("repo", "source", "target", "kind").distinct()
-    new, gone = pick("b").exceptAll(pick("a")), pick("a").exceptAll(pick("b"))
-    return new.withColumn("change", F.lit("new")).unionByName(gone.withColumn("change", F.lit("removed")))
+    """New and removed nodes and edges between the first and the last version of each repository."""
+    return hi.graph_delta(*_first_and_last(spark, d))
 
 
 def h2_structural_diff(spark, d):
@@ -223,7 +227,9 @@ _SPLIT = "regexp_replace(regexp_replace({0}, '([\\p{{Ll}}\\p{{N}}])(\\p{{Lu}})',
 
 
 def _tokens(c: str) -> str:
-    return f"regexp_extract_all(lower({_SPLIT.format(c)}), '[\\p{{L}}\\p{{N}}_]+')"
+    old, new = (x.replace("'", "''") for x in tk._PLAIN)
+    plain = f"regexp_replace(translate({c}, '{old}', '{new}'), '\\p{{Mn}}+', '', 'g')"
+    return f"regexp_extract_all(lower({_SPLIT.format(plain)}), '[\\p{{L}}\\p{{N}}_]+')"
 
 
 def _terms(c: str) -> str:
@@ -257,7 +263,7 @@ def oracle_sql() -> dict[str, str]:
     risk_points = "CASE factor " + " ".join(f"WHEN '{k}' THEN least(n * {a}, {b})" for k, (a, b) in hi.RISK.items()) + " END"
     return {
         "t2_identifier_tokens": names + f"SELECT node_label, array_to_string({_tokens('node_label')}, ' ') AS tokens FROM nl",
-        "t3_canonical_tokens": f"SELECT word, {tk.canonical_sql('word', 'duckdb')} AS stem FROM (SELECT DISTINCT unnest({_tokens('text')}) AS word FROM documents) WHERE length(word) < 40",
+        "t3_canonical_tokens": f"SELECT word, {tk.canonical_sql('word', 'duckdb')} AS stem FROM (SELECT DISTINCT unnest({_tokens('text')}) AS word FROM documents)",
         "t4_query_terms": f"SELECT item_id, array_to_string({_terms('text')}, ' ') AS terms FROM eval_items",
         "t5_contexts": "SELECT item_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN list_has_any(regexp_split_to_array(lower(translate(text, '?,', '  ')), '\\s+'), {list(w)}) THEN '{k}' END" for k, w in tk.CONTEXT_HINTS.items()) + "], lambda x: x IS NOT NULL), ',') AS contexts FROM eval_items",
         "t7_labels": names + f"SELECT node_label, {norm.format('node_label')} AS norm, lower(regexp_replace(regexp_replace(trim(node_label), '\\(\\)$', ''), '^\\.', '')) AS symbol FROM nl",
@@ -279,7 +285,7 @@ def oracle_sql() -> dict[str, str]:
         "g2_dedupe_nodes": "SELECT id, kind, ingested_at, deleted_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM graph_nodes) WHERE rn = 1",
         "g3_dedupe_edges": "SELECT source, target, k AS kind, arg_min(id, (ingested_at, id)) AS id, count(*) AS merged FROM (SELECT *, lower(trim(kind)) AS k FROM graph_links WHERE source IS NOT NULL AND target IS NOT NULL) GROUP BY source, target, k",
         "g4_occurrences": CODE_SQL + "SELECT eid, sha256(concat_ws(chr(31), src, dst, type, coalesce(context, chr(0)))) AS key FROM ce",
-        "g5_evidence": CODE_SQL + "SELECT src, dst, type, string_agg(DISTINCT context, '|' ORDER BY context) AS evidence FROM ce WHERE context IS NOT NULL GROUP BY ALL",
+        "g5_evidence": CODE_SQL + "SELECT src, dst, type, context, count(*) AS n FROM ce WHERE context IS NOT NULL GROUP BY ALL",
         "g8_backfill": CODE_SQL + ", h AS (SELECT e.dst AS id, min(n.source_file) AS f FROM ce e JOIN cn n ON n.id = e.src WHERE e.type = 'CONTAINS' GROUP BY 1) SELECT cn.id, replace(coalesce(source_file, f), '\\', '/') AS source_file FROM cn LEFT JOIN h ON h.id = cn.id",
         "g10_inference": CODE_SQL + CONFIDENCE_SQL + """, n0 AS (SELECT id, source_file, CASE WHEN json_valid(attributes) THEN attributes->'$.evidence' END AS e FROM alive WHERE rn = 1),
           n1 AS (SELECT id, CASE WHEN json_type(e) = 'VARCHAR' AND json_valid(e->>'$') THEN (e->>'$')::JSON ELSE e END AS e FROM n0), n2 AS (SELECT id, lower(CASE WHEN json_type(e) = 'ARRAY' THEN array_to_string(e->>'$[*].confidence', ',') ELSE e->>'$.confidence' END) AS s FROM n1),
@@ -292,8 +298,13 @@ def oracle_sql() -> dict[str, str]:
           SELECT level, 'node', id FROM nc, lv WHERE k = 3 OR r = 1 OR (r = 2 AND k >= 1 AND backed) OR EXISTS (SELECT 1 FROM ae WHERE ae.level = lv.level AND (src = id OR dst = id))""",
         "g12_exact_merges": CODE_SQL + f", k AS (SELECT id, source_file, {norm.format('node_label')} AS name FROM cn WHERE source_file IS NOT NULL), w AS (SELECT source_file, name, arg_min(id, (regexp_matches(id, '_c[0-9]+$'), length(id), id)) AS winner FROM k WHERE name <> '' GROUP BY ALL HAVING count(*) > 1) SELECT id, winner FROM k JOIN w USING (source_file, name)",
         "g14_rewired": CODE_SQL + f", k AS (SELECT id, source_file, {norm.format('node_label')} AS name FROM cn WHERE source_file IS NOT NULL), w AS (SELECT source_file, name, arg_min(id, (regexp_matches(id, '_c[0-9]+$'), length(id), id)) AS winner FROM k WHERE name <> '' GROUP BY ALL HAVING count(*) > 1), m AS (SELECT id, winner FROM k JOIN w USING (source_file, name)) SELECT eid, coalesce(a.winner, src) AS src, coalesce(b.winner, dst) AS dst, type FROM ce LEFT JOIN m a ON a.id = src LEFT JOIN m b ON b.id = dst WHERE coalesce(a.winner, src) <> coalesce(b.winner, dst) OR src = dst OR type = 'CALLS'",
-        "u3_graph_diff": "WITH v AS (SELECT repo, min(version_no) AS a, max(version_no) AS b FROM graph_versions GROUP BY repo), x AS (SELECT DISTINCT repo, source, target, kind FROM snapshot_links JOIN v USING (repo) WHERE version_no = a AND source IS NOT NULL AND target IS NOT NULL), y AS (SELECT DISTINCT repo, source, target, kind FROM snapshot_links JOIN v USING (repo) WHERE version_no = b AND source IS NOT NULL AND target IS NOT NULL) SELECT *, 'new' AS change FROM (FROM y EXCEPT FROM x) UNION ALL SELECT *, 'removed' FROM (FROM x EXCEPT FROM y)",
-        "u4_merged_graphs": CODE_SQL + "SELECT id, min(tag) AS tag FROM (SELECT CASE WHEN starts_with(id, 'std:') THEN id ELSE 'left::' || id END AS id, 'left' AS tag FROM cn UNION ALL SELECT CASE WHEN starts_with(id, 'std:') THEN id ELSE 'right::' || id END, 'right' FROM cn WHERE starts_with(id, 'std:') OR contains(id, 'parser')) GROUP BY id",
+        "u3_graph_diff": """WITH v AS (SELECT repo, min(version_no) AS lo, max(version_no) AS hi FROM graph_versions GROUP BY repo),
+          n0 AS (SELECT DISTINCT repo, 'node' AS part, id, NULL::VARCHAR AS target, NULL::VARCHAR AS kind FROM snapshot_nodes JOIN v USING (repo) WHERE version_no = lo), n1 AS (SELECT DISTINCT repo, 'node' AS part, id, NULL::VARCHAR AS target, NULL::VARCHAR AS kind FROM snapshot_nodes JOIN v USING (repo) WHERE version_no = hi),
+          e0 AS (SELECT DISTINCT repo, 'edge' AS part, source AS id, target, kind FROM snapshot_links JOIN v USING (repo) WHERE version_no = lo), e1 AS (SELECT DISTINCT repo, 'edge' AS part, source AS id, target, kind FROM snapshot_links JOIN v USING (repo) WHERE version_no = hi),
+          b AS (SELECT * FROM n0 UNION ALL SELECT * FROM e0), a AS (SELECT * FROM n1 UNION ALL SELECT * FROM e1)
+          SELECT *, 'new' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
+        "u4_merged_graphs": CODE_SQL + """, t AS (SELECT id, CASE WHEN repo IS NULL THEN id ELSE repo || '::' || id END AS pid, repo FROM cn)
+          SELECT 'node' AS part, pid AS id, NULL::VARCHAR AS dst, NULL::VARCHAR AS type FROM t UNION ALL SELECT DISTINCT 'edge', x.pid, CASE WHEN y.repo IS NULL THEN y.id ELSE x.repo || '::' || y.id END, type FROM ce JOIN t x ON x.id = src JOIN t y ON y.id = dst WHERE x.repo IS NOT NULL""",
         "h2_structural_diff": meaning("snapshot_nodes", node_cols) + " SELECT repo, version_no, id, change_kind FROM c WHERE change_kind IS NOT NULL",
         "h3_change_counts": "SELECT 'nodes' AS record_root, * FROM (" + meaning("snapshot_nodes", node_cols) + " SELECT repo, version_no, count(*) FILTER (change_kind = 'added') AS added, count(*) FILTER (change_kind = 'removed') AS removed, count(*) FILTER (change_kind = 'changed') AS changed FROM c WHERE change_kind IS NOT NULL GROUP BY ALL) UNION ALL SELECT 'links', * FROM (" + meaning("snapshot_links", link_cols) + " SELECT repo, version_no, count(*) FILTER (change_kind = 'added'), count(*) FILTER (change_kind = 'removed'), count(*) FILTER (change_kind = 'changed') FROM c WHERE change_kind IS NOT NULL GROUP BY ALL)",
         "h4_sharing": diff("snapshot_nodes", node_cols) + ", w AS (SELECT l.repo, l.version_no, l.id, l.kind, l.node_label, v.before FROM l JOIN v USING (repo, version_no)) SELECT w.repo, w.version_no, count(o.id) AS shared, count(*) AS total FROM w LEFT JOIN l o ON o.repo = w.repo AND o.version_no = w.before AND o.id = w.id AND o.kind IS NOT DISTINCT FROM w.kind AND o.node_label IS NOT DISTINCT FROM w.node_label GROUP BY ALL",

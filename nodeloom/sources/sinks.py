@@ -75,10 +75,23 @@ def view_model(graph: PropertyGraph) -> DataFrame:
 
 
 def notes(graph: PropertyGraph) -> DataFrame:
-    """(name, page): a Markdown page per node with its links, for note collections and wikis."""
-    out = graph.edges.groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("- "), F.lower("type"), F.lit(" [["), F.col("dst"), F.lit("]]")))), "\n").alias("links"))
-    title = F.concat(F.lit("# "), F.coalesce("node_label", "id"), F.lit("\n\nkind: "), F.coalesce("kind", F.lit("")), F.lit("\n\n"))
-    return graph.nodes.join(out, "id", "left").select(F.col("id").alias("name"), F.concat(title, F.coalesce("links", F.lit(""))).alias("page"))
+    """(name, ord, line): the lines of a Markdown page per node, for note collections and wikis.
+
+    A title, the kind, then a link a line in order; the page of a hub is as long as its links
+    and never held as one value.
+    """
+    node = lambda n, line: graph.nodes.select(F.col("id").alias("name"), F.lit(n).alias("ord"), line.alias("line"))
+    links = graph.edges.select(F.col("src").alias("name"), F.lit(2).alias("ord"), F.concat(F.lit("- "), F.lower("type"), F.lit(" [["), F.col("dst"), F.lit("]]")).alias("line")).distinct()
+    return node(0, F.concat(F.lit("# "), F.coalesce("node_label", "id"))).unionByName(node(1, F.concat(F.lit("kind: "), F.coalesce("kind", F.lit(""))))).unionByName(links)
+
+
+def canvas(graph: PropertyGraph, spread: int = 400) -> DataFrame:
+    """(part, key, document): nodes and edges of a JSON canvas; nodes lie in rows by community, by a hash within."""
+    at = F.pmod(F.xxhash64("id"), F.lit(1000)) * spread
+    row = F.coalesce("community_id", F.lit(-1)) * spread
+    n = graph.nodes.select(F.lit("nodes").alias("part"), F.col("id").alias("key"), F.to_json(F.struct("id", F.lit("file").alias("type"), F.concat("id", F.lit(".md")).alias("file"), at.alias("x"), row.alias("y"))).alias("document"))
+    e = graph.edges.select(F.lit("edges").alias("part"), F.col("eid").alias("key"), F.to_json(F.struct(F.col("eid").alias("id"), F.col("src").alias("fromNode"), F.col("dst").alias("toNode"), F.lower("type").alias("label"))).alias("document"))
+    return n.unionByName(e)
 
 
 def report(graph: PropertyGraph) -> DataFrame:

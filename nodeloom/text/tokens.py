@@ -56,18 +56,34 @@ CONTEXT_HINTS = {
 }
 
 
-@F.pandas_udf(T.StringType())
-def strip_diacritics(texts: pd.Series) -> pd.Series:
-    """Decomposes compatibly and drops combining marks; ASCII texts pass through."""
-    def plain(t):
-        return t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+def _mapping(form: str, keep_marks: bool) -> tuple[str, str]:
+    """Characters that a normal form replaces by one other, and their replacements, by rule."""
+    old, new = [], []
+    for code in range(0x80, 0x10000):
+        if 0xAC00 <= code < 0xE000:  # Hangul syllables stay whole; surrogates are no characters
+            continue
+        c = chr(code)
+        plain = [x for x in unicodedata.normalize(form, c) if keep_marks or not unicodedata.combining(x)]
+        if len(plain) == 1 and plain[0] != c:
+            old.append(c)
+            new.append(plain[0])
+    return "".join(old), "".join(new)
 
-    return texts.map(plain)
+
+_PLAIN, _COMPATIBLE = _mapping("NFKD", False), _mapping("NFKC", True)
+
+
+def strip_diacritics(c: Column) -> Column:
+    """Letters without their marks, inside the JVM: composed ones are mapped to their base, loose marks dropped.
+
+    Characters that decompose into several letters (ligatures) stay as they are.
+    """
+    return F.regexp_replace(F.translate(c, *_PLAIN), r"\p{Mn}+", "")
 
 
 def identifier_tokens(c: Column) -> Column:
-    """Words of an identifier: camel case and acronyms split, lower case, underscores kept."""
-    split = F.regexp_replace(F.regexp_replace(c, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2"), r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
+    """Words of an identifier: marks stripped, camel case and acronyms split, lower case, underscores kept."""
+    split = F.regexp_replace(F.regexp_replace(strip_diacritics(c), r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2"), r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
     return F.regexp_extract_all(F.lower(split), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
@@ -135,9 +151,25 @@ def searchable(t: Column) -> Column:
     return (t != "") & ~t.rlike("^[a-z]{1,2}$")
 
 
+#: The block of characters whose words are searched by pairs.
+CHINESE = "[\u4e00-\u9fff]"
+
+
 def query_terms(c: Column) -> Column:
-    """Search terms of a question without stop words; if all are stop words, all of them."""
-    terms = F.filter(search_tokens(c), searchable)
+    """Search terms of a question without stop words; if all are stop words, all of them.
+
+    A word that holds a Chinese character gives its pairs of neighbouring characters and,
+    if it is none of them, itself.
+    """
+
+    def pairs(word):
+        n = F.length(word)
+        two = F.filter(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(word, i, F.lit(2))), searchable)
+        whole = F.filter(F.array(word), searchable)
+        return F.when(n < 2, whole).otherwise(F.concat(two, F.array_except(whole, two)))
+
+    by_word = F.transform(F.split(c, r"\s+"), lambda w: F.when(w.rlike(CHINESE), pairs(F.lower(w))).otherwise(F.filter(search_tokens(w), searchable)))
+    terms = F.when(c.rlike(CHINESE), F.flatten(by_word)).otherwise(F.filter(search_tokens(c), searchable))
     content = F.filter(terms, lambda t: ~t.isin(*STOP_WORDS))
     return F.when(F.size(content) == 0, terms).otherwise(content)
 
@@ -153,8 +185,9 @@ def normalize_symbol(c: Column) -> Column:
 
 
 def normalize_label(c: Column) -> Column:
-    """Lower case with every run of other characters than letters and digits as one space."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    """Compatible characters unified, case folded, every run of other characters than letters and digits as one space."""
+    folded = F.regexp_replace(F.lower(F.translate(c, *_COMPATIBLE)), "\u00df", "ss")
+    return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
 
 
 def entropy(c: Column) -> Column:

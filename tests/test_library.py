@@ -207,7 +207,7 @@ def test_summaries_and_behavior(spark):
     f = lambda **d: spark.createDataFrame([{"symbol_id": "s", **FN, **d}], hi.FUNCTION_SCHEMA)
     s = hi.function_summaries(f()).first()
     assert (s.resolved, s.unresolved, s.reads, s.writes) == (["s.f"], ["g"], ["p"], [])
-    assert [tuple(r) for r in hi.reverse_calls(hi.function_summaries(f())).collect()] == [("s.f", ["s"])]
+    assert [tuple(r) for r in hi.reverse_calls(hi.function_summaries(f())).collect()] == [("s.f", "s")]
     new = f(body_digest="2", operations=[("call", "f", ["s.f"]), ("write", "w", None)])
     assert [tuple(r) for r in hi.behavior_changes(f(), new).collect()] == [("s", "changed", ["write:w"], ["read:p"])]
     assert [r.verdict for r in hi.behavior_changes(f(), f(body_digest="2")).collect()] == ["indeterminate"]
