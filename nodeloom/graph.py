@@ -113,7 +113,7 @@ def _latest_nodes(raw: DataFrame) -> DataFrame:
     cols = ("repo", "kind", "node_label", "qualified_name", "lang", "source_file", "start_line", "end_line", "community_id", "attributes")
     latest = raw.groupBy("id").agg(F.max_by(F.struct(*cols), F.when(F.col("deleted_at").isNull(), F.col("ingested_at"))).alias("r"), F.max("deleted_at").alias("gone"))
     own = latest.where("gone is null and r is not null").select("id", "r.*")
-    return own.withColumn("confidence", evidence_confidence(F.col("attributes"))).drop("attributes")
+    return own.withColumns({"confidence": evidence_confidence(F.col("attributes")), "origin": F.try_element_at(evidence_of(F.col("attributes")), F.lit(1))["origin"]}).drop("attributes")
 
 
 def _first_links(raw: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def _first_links(raw: DataFrame) -> DataFrame:
 
 
 def evidence_graph(spark, sf_dir: str) -> PropertyGraph:
-    """The live code graph with the ``confidence`` of each node's and link's evidence.
+    """The live code graph with the ``confidence`` of each node's and link's evidence, and the ``origin`` of a node's first.
 
     Each node and link stands once, deleted nodes are left out, dangling links dropped. The
     latest delivery of a node that still has contents stands for it; shared builtin symbols
@@ -155,7 +155,7 @@ def evidence_graph(spark, sf_dir: str) -> PropertyGraph:
 def code_graph(spark, sf_dir: str) -> PropertyGraph:
     """The live code graph as the language sees it: :func:`evidence_graph` without evidence."""
     g = evidence_graph(spark, sf_dir)
-    return PropertyGraph(g.nodes.drop("confidence"), g.edges.drop("confidence", "qualified_external"), closed=True)
+    return PropertyGraph(g.nodes.drop("confidence", "origin"), g.edges.drop("confidence", "qualified_external"), closed=True)
 
 
 def trade_graph(spark, sf_dir: str) -> PropertyGraph:
