@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import history as hi
 from ..graph import code_graph
 from ..operators import analytics as an
 from ..operators import traverse as tr
-from .. import history as hi
 from ..query import routes
 from ..runtime import table
 from ..text import rank as rk
 from ..text import tokens as tk
 from .patterns import CODE_SQL
-from .text_history import _questions
+from .text_history import _questions, _terms, _tokens
 
 WANTED = ("r000001:none", "update_snapshot", "pick_anchor", "docs", "render_lexer")
 
@@ -50,6 +50,38 @@ def d1_intents(spark, d):
     return routes(names.select(asked.alias("question"))).select("question", "intent", "confidence", "direction")
 
 
+def _asked(spark):
+    """Questions that reach every channel."""
+    rows = [(1, "where is update_snapshot and its scanner resolved"), (2, "render_lexer"), (3, "how does reset save the posting"), (4, "reset_postin"), (5, "r000001:join_quota_4nk"), (6, "planner::parser_362::reset_posting"), (7, "zzzz"), (8, "load block and store snapshot")]
+    return spark.createDataFrame(rows, "query_id int, text string")
+
+
+def r4_seed_order(spark, d):
+    g = code_graph(spark, d)
+    scored = rk.bm25(g.nodes, _questions(spark), 50).select("query_id", "id", F.floor("score").cast("double").alias("score"))
+    return rk.order_seeds(scored, rk.seed_rank(g.nodes, g.edges), 20)
+
+
+def r5_typed_rank(spark, d):
+    g = code_graph(spark, d)
+    return rk.typed_rank(g.nodes, g.edges, _asked(spark))
+
+
+def r7_predicates(spark, d):
+    words = table(spark, d, "documents").select(F.explode(tk.search_tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", rk.predicate(F.col("word")).alias("meaning")).where("meaning is not null")
+
+
+def q1_channels(spark, d):
+    g = code_graph(spark, d)
+    return rk.recall(g.nodes, g.edges, _asked(spark), 5).select("query_id", "id", "channel", "priority")
+
+
+def d9_ambiguity(spark, d):
+    g = code_graph(spark, d)
+    return rk.ambiguity(rk.typed_rank(g.nodes, g.edges, _asked(spark), 100))
+
+
 def d7_hubs(spark, d):
     return tr.hub_threshold(code_graph(spark, d).degrees())
 
@@ -132,7 +164,24 @@ def oracle_sql() -> dict[str, str]:
     hows = "CASE " + " ".join(f"WHEN {k}_.n = 1 THEN '{k}'" for k in steps) + " END"
     joins = " ".join(f"LEFT JOIN {k}_ ON {k}_.wanted = w.wanted" for k in steps)
     each = lambda t: f"coalesce(string_agg(DISTINCT CASE WHEN type = '{t}' THEN dst END, ',' ORDER BY CASE WHEN type = '{t}' THEN dst END), '')"
+    rank = "CASE " + " ".join(f"WHEN lower(kind) IN ({', '.join(repr(x) for x in xs)}) THEN {k}" for k, xs in rk.SEED_KINDS.items()) + " ELSE 0 END"
+    file = "lower(coalesce(source_file, ''))"
+    seed_rank = f""", en AS (SELECT src AS id, dst AS o FROM ce UNION ALL SELECT dst, src FROM ce), dk AS (SELECT en.id, count(*) AS degree FROM en JOIN cn ON cn.id = o WHERE cn.source_file <> '' GROUP BY en.id),
+      sr AS (SELECT cn.id, {file} <> '' AS backed, {rank} AS kind_rank, list_has_any(string_split({file}, '/'), {list(rk.ASIDE)}) OR starts_with(split_part({file}, '/', -1), 'test_') OR ends_with({file}, '_test.go') AS aside, coalesce(degree, 0) AS degree, length(coalesce(node_label, '')) AS size FROM cn LEFT JOIN dk USING (id))"""
+    meaning = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rk.PREDICATES.items()) + " END"
+    texts = "(VALUES (1, 'where is update_snapshot and its scanner resolved'), (2, 'render_lexer'), (3, 'how does reset save the posting'), (4, 'reset_postin'), (5, 'r000001:join_quota_4nk'), (6, 'planner::parser_362::reset_posting'), (7, 'zzzz'), (8, 'load block and store snapshot')) v(query_id, text)"
+    stems = f"list_transform({_tokens('coalesce(node_label, chr(32))')}, lambda t: {tk.canonical_sql('t', 'duckdb')})"
+    recall = f""", qs AS (SELECT query_id, text, list_distinct({_terms('text')}) AS terms FROM {texts}), nn AS (SELECT id, lower(id) AS low, lower(regexp_replace(regexp_replace(trim(coalesce(node_label, '')), '\\(\\)$', ''), '^\\.', '')) AS name, lower(qualified_name) AS q, {stems} AS st FROM cn),
+      nt AS (SELECT DISTINCT id, unnest(st) AS term FROM nn), qt AS (SELECT query_id, unnest(terms) AS term FROM qs), bt AS (SELECT DISTINCT query_id, id FROM qt JOIN nt USING (term)),
+      po AS (SELECT query_id, id, 6 AS p FROM qs JOIN nn ON low = text UNION ALL SELECT query_id, id, 5 FROM qs JOIN nn ON name = text UNION ALL SELECT query_id, id, 4 FROM qs JOIN nn ON q = text UNION ALL SELECT query_id, src, 4 FROM qs JOIN nn ON name = text JOIN ce ON dst = id AND type = 'ALIASES' UNION ALL SELECT query_id, id, 3 FROM bt UNION ALL SELECT query_id, src, 2 FROM bt JOIN ce ON dst = id AND type = 'CALLS'),
+      be AS (SELECT query_id, id, max(p) AS p FROM po GROUP BY ALL), sm AS (SELECT qs.query_id, text FROM qs LEFT JOIN be USING (query_id) GROUP BY ALL HAVING count(id) < {{limit}}),
+      fz AS (SELECT query_id, id FROM sm JOIN nn ON abs(length(name) - length(text)) <= 1 AND levenshtein(name, text) = 1 AND length(text) > 2 AND length(name) > 1 WHERE NOT EXISTS (SELECT 1 FROM be WHERE be.query_id = sm.query_id AND be.id = nn.id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 16),
+      rc AS (SELECT query_id, id, p FROM be UNION ALL SELECT query_id, id, 1 FROM fz)"""
+    bm = others()["r1_bm25"]
     return {
+        "q1_channels": CODE_SQL + recall.replace("{limit}", "5") + " SELECT query_id, id, CASE p WHEN 6 THEN 'exact_id' WHEN 5 THEN 'exact_name' WHEN 4 THEN 'alias' WHEN 3 THEN 'term' WHEN 2 THEN 'relation' ELSE 'fuzzy' END AS channel, p AS priority FROM rc",
+        "r7_predicates": f"WITH w AS (SELECT DISTINCT unnest({stems.replace('coalesce(node_label, chr(32))', 'text')}) AS word FROM documents) SELECT word, {meaning.format('word')} AS meaning FROM w WHERE {meaning.format('word')} IS NOT NULL",
+        "r4_seed_order": bm.replace("WHERE k <= 20", "WHERE k <= 50").replace("SELECT query_id, id, score, row_number()", seed_rank + ", rr AS (SELECT query_id, id, score, row_number()").rstrip() + ") SELECT query_id, id, score, place AS rank FROM (SELECT query_id, id, floor(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY floor(score) DESC, backed DESC, kind_rank DESC, aside, degree DESC, size, id) AS place FROM rr JOIN sr USING (id)) WHERE place <= 20",
         "d1_intents": _asked_sql(),
         "sc15_version_scan": "SELECT repo, id, kind, delivered_at FROM snapshot_nodes WHERE version_no = 2",
         "t1_plain_names": "SELECT DISTINCT doc_kind, lang, strip_accents(lang) AS plain FROM documents",

@@ -138,3 +138,140 @@ def relevance(results: DataFrame, judged: DataFrame) -> DataFrame:
         F.round(z("at10") / 10, 6).alias("precision_10"),
         F.round(F.coalesce("dcg", F.lit(0.0)) / ideal, 6).alias("ndcg_10"),
     )
+
+
+# -- seeds, channels and typed ranking --------------------------------------------------------
+
+#: Words of one meaning, for ranking only.
+PREDICATES = {
+    "record": "persist", "save": "persist", "persist": "persist", "write": "persist", "written": "persist", "store": "persist", "storage": "persist", "put": "persist",
+    "acquire": "acquire", "add": "add", "contain": "check", "contains": "check", "check": "check", "ready": "check",
+    "build": "create", "construct": "create", "create": "create", "instantiate": "create", "change": "configure", "configure": "configure", "set": "configure",
+    "compact": "compact", "convert": "convert", "to": "convert", "decode": "decode", "delete": "delete", "discover": "discover", "dispatch": "dispatch", "detect": "detect", "drain": "drain",
+    "extract": "extract", "find": "find", "generate": "generate", "generated": "generate", "freeze": "freeze", "get": "read", "read": "read", "select": "read",
+    "increment": "update", "update": "update", "handle": "execute", "execute": "execute", "run": "execute", "schedule": "execute", "invoke": "invoke", "iter": "iterate", "iterate": "iterate",
+    "load": "load", "begin": "start", "enter": "start", "start": "start", "merge": "merge", "open": "open", "optimize": "optimize", "parse": "parse", "process": "process",
+    "recognize": "recognize", "register": "register", "refresh": "refresh", "represent": "represent", "resolve": "resolve", "raise": "raise", "restore": "restore", "send": "send",
+    "stop": "stop", "unfreeze": "unfreeze", "vacuum": "vacuum",
+}
+#: Rank of a node's kind as a seed.
+SEED_KINDS = {4: ("method", "function", "constructor"), 3: ("class", "interface", "struct", "trait", "type_alias"), 2: ("module", "package", "namespace", "file"), 1: ("field", "parameter", "variable", "constant")}
+#: Folders of tests and of what is not written by hand.
+ASIDE = ("test", "tests", "testing", "fixtures", "vendor", "generated")
+#: Priority of the channels by which a search recalls nodes, and the most that fuzzy names may bring.
+CHANNELS = {"exact_id": 6, "exact_name": 5, "alias": 4, "term": 3, "relation": 2, "fuzzy": 1}
+MOST_FUZZY = 16
+
+
+def predicate(term):
+    """The meaning that a term stands for, null if it is no predicate."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in PREDICATES.items() for x in kv]), term)
+
+
+def seed_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, backed, kind_rank, aside, degree, size): what tells seeds of equal score apart.
+
+    Whether a node has a source file, the rank of its kind, whether its file lies among tests
+    or generated files, its links to nodes with a source file, and the length of its name.
+    """
+    rank = F.lit(0)
+    for k, kinds in SEED_KINDS.items():
+        rank = F.when(F.lower("kind").isin(*kinds), k).otherwise(rank)
+    file = F.lower(F.coalesce("source_file", F.lit("")))
+    last = F.substring_index(file, "/", -1)
+    aside = F.arrays_overlap(F.split(file, "/"), F.array(*map(F.lit, ASIDE))) | last.startswith("test_") | last.endswith("_test.go")
+    backed = nodes.where("source_file != ''").select("id")
+    ends = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other")))
+    degree = ends.join(backed.withColumnRenamed("id", "other"), "other", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    return nodes.join(degree, "id", "left").select("id", (file != "").alias("backed"), rank.alias("kind_rank"), aside.alias("aside"), F.coalesce("degree", F.lit(0)).alias("degree"), F.length(F.coalesce("node_label", F.lit(""))).alias("size"))
+
+
+def order_seeds(scored: DataFrame, ranks: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, id, score, rank): by score, then source-backed, kind, not aside, degree, short names, id."""
+    order = [F.desc("score"), F.desc("backed"), F.desc("kind_rank"), "aside", F.desc("degree"), "size", "id"]
+    got = scored.join(ranks, "id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("bigint"))
+    return got.where(F.col("rank") <= limit).select("query_id", "id", "score", "rank")
+
+
+def recall(nodes: DataFrame, edges: DataFrame, queries: DataFrame, limit: int = 200) -> DataFrame:
+    """(query_id, id, channel, priority): what each of ``queries(query_id, text)`` recalls, by its best channel.
+
+    Exact id; exact name; alias (the whole qualified name, or the name of a node that an
+    ALIASES link leads to); a shared search term; a caller whose callees' names share a
+    term; and, while fewer than ``limit`` nodes are found, names one edit away, at most 16.
+    Names, ids and terms are joined by equality, edits through deletion neighbours.
+    """
+    q = queries.select("query_id", F.lower(F.trim("text")).alias("text"), F.array_distinct(tk.query_terms(F.col("text"))).alias("terms"))
+    name = tk.normalize_symbol(F.coalesce("node_label", F.lit("")))
+    n = nodes.select("id", F.lower("id").alias("low"), name.alias("name"), F.lower("qualified_name").alias("qualified"))
+    asked = lambda c: q.select("query_id", F.col("text").alias(c))
+    at = lambda df, c: df.select("query_id", "id", F.lit(c).alias("channel"))
+    named = asked("name").join(n, "name")
+    terms = q.select("query_id", F.explode("terms").alias("term"))
+    held = nodes.select("id", F.explode(F.array_distinct(tk.search_tokens(F.coalesce("node_label", F.lit(""))))).alias("term"))
+    by_term = terms.join(held, "term").select("query_id", "id").distinct()
+    alias = edges.where("type = 'ALIASES'").select(F.col("src").alias("alias"), F.col("dst").alias("id"))
+    parts = [
+        at(asked("low").join(n, "low"), "exact_id"),
+        at(named, "exact_name"),
+        at(asked("qualified").join(n, "qualified"), "alias"),
+        at(named.join(alias, "id").select("query_id", F.col("alias").alias("id")), "alias"),
+        at(by_term, "term"),
+        at(by_term.withColumnRenamed("id", "dst").join(edges.where("type = 'CALLS'").select("src", "dst").distinct(), "dst").select("query_id", F.col("src").alias("id")), "relation"),
+    ]
+    pool = parts[0]
+    for p in parts[1:]:
+        pool = pool.unionByName(p)
+    weight = F.create_map(*[F.lit(x) for kv in CHANNELS.items() for x in kv])
+    pool = pool.distinct().select("*", F.element_at(weight, F.col("channel")).alias("priority"))
+    pool = Workspace(nodes.sparkSession, "recall").stage(pool)
+    best = pool.groupBy("query_id", "id").agg(F.max(F.struct("priority", "channel")).alias("m")).select("query_id", "id", "m.channel", "m.priority")
+    small = q.select("query_id", "text").join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < limit)
+    close = fuzzy_variants(small.select(F.col("text").alias("term")), n.select(F.col("name").alias("term")))
+    fuzzy = small.select("query_id", F.col("text").alias("term")).join(close, "term").join(n.select(F.col("name").alias("variant"), "id"), "variant").join(best.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    fuzzy = fuzzy.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where(F.col("k") <= MOST_FUZZY)
+    return best.unionByName(fuzzy.select("query_id", "id", F.lit("fuzzy").alias("channel"), F.lit(CHANNELS["fuzzy"]).alias("priority")))
+
+
+def typed_rank(nodes: DataFrame, edges: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """(query_id, id, tier, evidence, score, rank) of recalled nodes.
+
+    Tiers: 6 exact id, 5 exact name, 4 two or more terms of the question in the name or in
+    the names of what it calls, 2 one term or an alias, 1 one term among its callees, 0
+    others. Within a tier the terms covered by callees count, then the BM25 score, then what
+    tells seeds apart. Predicates of one meaning count as one term.
+    """
+    work = Workspace(nodes.sparkSession, "typed")
+    found = work.stage(recall(nodes, edges, queries))
+    meaning = lambda t: F.coalesce(predicate(t), t)
+    terms = queries.select("query_id", F.explode(F.array_distinct(F.transform(tk.query_terms(F.col("text")), meaning))).alias("term"))
+    names = work.stage(nodes.select("id", F.explode(F.array_distinct(F.transform(tk.search_tokens(F.coalesce("node_label", F.lit(""))), meaning))).alias("term")))
+    direct = terms.join(names, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("direct"))
+    calls = edges.where("type = 'CALLS'").select("src", "dst").distinct()
+    below = terms.join(names.withColumnRenamed("id", "dst"), "term").join(calls, "dst").select("query_id", F.col("src").alias("id"), "term").distinct().groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("evidence"))
+    score = _term_scores(nodes, queries).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    z = lambda c: F.coalesce(c, F.lit(0))
+    all_ = found.join(direct, ["query_id", "id"], "left").join(below, ["query_id", "id"], "left").join(score, ["query_id", "id"], "left").join(seed_rank(nodes, edges), "id")
+    tier = F.when(F.col("channel") == "exact_id", 6).when(F.col("channel") == "exact_name", 5).when((z("direct") >= 2) | (z("evidence") >= 2), 4).when(F.col("channel").isin("alias", "term"), 2).when(z("evidence") == 1, 1).otherwise(0)
+    got = all_.select("query_id", "id", tier.alias("tier"), z("evidence").alias("evidence"), F.coalesce("score", F.lit(0.0)).alias("score"), "backed", "kind_rank", "aside", "degree", "size")
+    order = [F.desc("tier"), F.desc("evidence"), F.desc("score"), F.desc("backed"), F.desc("kind_rank"), "aside", F.desc("degree"), "size", "id"]
+    return got.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("bigint")).where(F.col("rank") <= limit).select("query_id", "id", "tier", "evidence", "score", "rank")
+
+
+#: Share of the larger score within which two candidates are not told apart, and alternatives shown per seed.
+MARGIN, ALTERNATIVES = 0.01, 8
+
+
+def ambiguity(ranked: DataFrame, seeds: int = 3) -> DataFrame:
+    """(query_id, id, seed, score, ambiguous, alternative, alternatives, omitted) of the first seeds of :func:`typed_rank`.
+
+    An alternative shares a seed's tier and evidence and lies within 1 % of the larger score
+    (1 at least). Each of the first 8, by rank, gives a row; a seed without any gives one row
+    with a null alternative. Scores are spelled with six decimals.
+    """
+    first = ranked.where(F.col("rank") <= seeds).select("query_id", F.col("id").alias("seed_id"), F.col("rank").alias("seed"), "tier", "evidence", F.col("score").alias("own"))
+    near = first.join(ranked, ["query_id", "tier", "evidence"]).where("id != seed_id").where(F.abs(F.col("own") - F.col("score")) <= F.greatest(F.abs("own"), F.abs("score"), F.lit(1.0)) * MARGIN)
+    counted = near.withColumns({"k": F.row_number().over(Window.partitionBy("query_id", "seed").orderBy("rank")), "n": F.count(F.lit(1)).over(Window.partitionBy("query_id", "seed"))}).where(F.col("k") <= ALTERNATIVES)
+    out = first.join(counted.select("query_id", "seed", F.col("id").alias("alternative"), "n"), ["query_id", "seed"], "left")
+    n = F.coalesce("n", F.lit(0))
+    return out.select("query_id", F.col("seed_id").alias("id"), "seed", F.format_string("%.6f", "own").alias("score"), (n > 0).alias("ambiguous"), "alternative", n.alias("alternatives"), F.greatest(n - ALTERNATIVES, F.lit(0)).alias("omitted"))
