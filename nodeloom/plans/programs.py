@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import history as hi
 from .. import program as pr
 from ..graph import code_graph, evidence_graph
+from ..history import compare as cm
 from ..operators import resolve as rs
 from ..operators import review as rv
 from ..runtime import table
@@ -95,6 +97,56 @@ def g19_routes(spark, d):
     return rs.resolve_routes(facts, code_graph(spark, d).nodes.where("repo is not null"))
 
 
+def _version(spark, d, pick):
+    """Contracts and operations of the first or the last version of each repository."""
+    v = table(spark, d, "graph_versions").groupBy("repo").agg(pick("version_no").alias("version_no"))
+    n = table(spark, d, "snapshot_nodes").join(v, ["repo", "version_no"]).where(F.col("id").isNotNull())
+    n = n.groupBy("repo", "id").agg(F.max_by(F.struct("kind", "attributes"), F.struct("delivered_at", "attributes")).alias("r")).select("repo", "id", "r.*").where(F.col("kind").isin(*pr.CALLABLE))
+    data = F.from_json(F.from_json("attributes", "details string")["details"], "data string")["data"]
+    mods = F.coalesce(F.from_json(F.get_json_object(data, "$.modifiers"), "array<string>"), F.array().cast("array<string>"))
+    names = F.filter(F.split(F.regexp_extract(F.get_json_object(data, "$.signature"), r"\(([^)]*)\)", 1), r"\s*,\s*"), lambda x: x != "")
+    parameter = lambda x: F.struct(x.alias("name"), F.lit("positional").alias("kind"), F.lit(True).alias("required"), F.lit(None).cast("string").alias("default_digest"))
+    functions = n.select(
+        F.concat_ws("@", "id", "repo").alias("symbol_id"), F.lit("any").alias("language"), F.when(F.array_contains(mods, "pub"), "public").otherwise("private").alias("visibility"), F.when(F.array_contains(mods, "async"), "async").otherwise("sync").alias("execution_mode"),
+        F.lit(None).cast("string").alias("return_type"), F.lit(True).alias("complete"), F.concat_ws("/", "kind", F.get_json_object(data, "$.arity")).alias("body_digest"), F.coalesce(F.transform(names, parameter), F.array().cast(f"array<{hi.PARAMETER}>")).alias("parameters"),
+    )
+    does = F.when(F.col("kind") == "calls", "call").when(F.col("kind") == "reads", "read").when(F.col("kind") == "writes", "write").when(F.col("kind").isin("imports", "depends_on"), "dependency")
+    links = table(spark, d, "snapshot_links").join(v, ["repo", "version_no"])
+    operations = links.select(F.concat_ws("@", "source", "repo").alias("symbol_id"), does.alias("kind"), F.concat_ws("@", "target", "repo").alias("path")).where("kind is not null and symbol_id is not null and path is not null").distinct()
+    tests = links.where("kind = 'tests' and target is not null").select(F.concat_ws("@", "target", "repo").alias("symbol_id"))
+    return functions, operations, tests
+
+
+def _compared(spark, d):
+    (old, before, _), (new, after, tests) = _version(spark, d, F.min), _version(spark, d, F.max)
+    return cm.compare(old, new, before, after, tests)
+
+
+def sd1_findings(spark, d):
+    return _compared(spark, d)
+
+
+def sd2_contracts(spark, d):
+    return hi.contract_changes(_version(spark, d, F.min)[0], _version(spark, d, F.max)[0])
+
+
+def sd3_behavior(spark, d):
+    (old, before, _), (new, after, _) = _version(spark, d, F.min), _version(spark, d, F.max)
+    return cm.behavior(old, new, before, after)
+
+
+def sk13_sarif(spark, d):
+    """The results of the log, read back."""
+    n = table(spark, d, "snapshot_nodes").groupBy("id", "repo").agg(F.min("source_file").alias("source_file"), F.min("start_line").alias("start_line"))
+    got = cm.sarif(_compared(spark, d), n.select(F.concat_ws("@", "id", "repo").alias("symbol_id"), "source_file", "start_line")).where("ord = 1")
+    line = F.regexp_replace("line", "^,", "")
+    return got.select(F.get_json_object(line, "$.ruleId").alias("rule"), F.get_json_object(line, "$.level").alias("level"), F.get_json_object(line, "$.message.text").alias("message"), F.get_json_object(line, "$.locations[0].physicalLocation.artifactLocation.uri").alias("uri"))
+
+
+def sk13_markdown(spark, d):
+    return cm.review_lines(_compared(spark, d), markdown=True)
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and n[0] != "_" and n not in ("queries", "oracle_sql")}
 
@@ -109,7 +161,28 @@ def oracle_sql() -> dict[str, str]:
     reach = """, ad AS ({ways}), r(root, node, depth) AS (SELECT id, id, 0 FROM cn WHERE label = 'Method' UNION SELECT r.root, t, depth + 1 FROM r JOIN ad ON h = node WHERE depth < {depth}), mi AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY root, node),
       nd AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY node) <= 16 OR node = root AS kept FROM mi)"""
     family = "CASE " + " ".join(f"WHEN lang = '{k}' THEN '{v}'" for k, v in rv.FAMILIES.items()) + " ELSE coalesce(lang, 'none') END"
+    vis = "CASE WHEN vis = 'public' THEN 2 ELSE 0 END"
+    side = """{p}v AS (SELECT repo, {pick}(version_no) AS version_no FROM graph_versions GROUP BY repo), {p}n AS (SELECT * FROM snapshot_nodes JOIN {p}v USING (repo, version_no) WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo, id ORDER BY delivered_at DESC, attributes DESC) = 1),
+      {p}d AS (SELECT id || '@' || repo AS sym, kind, CASE WHEN json_valid(attributes) THEN attributes->'$.details.data' END AS j FROM {p}n WHERE kind IN ('function', 'method', 'constructor', 'closure')),
+      {p}f AS (SELECT sym, CASE WHEN list_contains(coalesce(j->>'$.modifiers[*]', []), 'pub') THEN 'public' ELSE 'private' END AS vis, CASE WHEN list_contains(coalesce(j->>'$.modifiers[*]', []), 'async') THEN 'async' ELSE 'sync' END AS mode, concat_ws('/', kind, j->>'$.arity') AS body,
+        list_filter(regexp_split_to_array(coalesce(regexp_extract(j->>'$.signature', '\\(([^)]*)\\)', 1), ''), '\\s*,\\s*'), lambda x: x <> '') AS ps FROM {p}d),
+      {p}o AS (SELECT DISTINCT source || '@' || repo AS sym, CASE kind WHEN 'calls' THEN 'call' WHEN 'reads' THEN 'read' WHEN 'writes' THEN 'write' ELSE 'dependency' END AS kind, target || '@' || repo AS path FROM snapshot_links JOIN {p}v USING (repo, version_no) WHERE kind IN ('calls', 'reads', 'writes', 'imports', 'depends_on') AND source IS NOT NULL AND target IS NOT NULL)"""
+    compared = "WITH RECURSIVE " + side.format(p="a", pick="min") + ", " + side.format(p="b", pick="max") + f""",
+      ct AS (SELECT sym, CASE WHEN {vis.replace('vis', 'y.vis')} < {vis.replace('vis', 'x.vis')} OR x.mode <> y.mode OR len(x.ps) <> len(y.ps) THEN 'proven_break' WHEN x.ps <> y.ps THEN 'compatible' END AS c FROM af x JOIN bf y USING (sym)),
+      dl AS (SELECT *, 'gained' AS ch FROM (SELECT * FROM bo EXCEPT SELECT * FROM ao) UNION ALL SELECT *, 'lost' FROM (SELECT * FROM ao EXCEPT SELECT * FROM bo)), dc AS (SELECT sym, count(*) FILTER (ch = 'gained') AS gained, count(*) FILTER (ch = 'lost') AS lost FROM dl GROUP BY sym),
+      bh AS (SELECT x.sym, CASE WHEN x.sym IN (SELECT sym FROM ao) AND x.sym IN (SELECT sym FROM bo) AND coalesce(gained + lost, 0) > 0 THEN 'changed' ELSE 'indeterminate' END AS verdict, coalesce(gained, 0) AS gained, coalesce(lost, 0) AS lost FROM af x JOIN bf y USING (sym) LEFT JOIN dc ON dc.sym = x.sym WHERE x.body <> y.body),
+      fi AS (SELECT sym, 'structural' AS finding, 'compatible' AS compatibility FROM bf WHERE sym NOT IN (SELECT sym FROM af) UNION ALL SELECT sym, 'contract', CASE WHEN vis = 'public' THEN 'proven_break' ELSE 'possible_break' END FROM af WHERE sym NOT IN (SELECT sym FROM bf) UNION ALL SELECT sym, 'contract', c FROM ct WHERE c IS NOT NULL
+        UNION ALL SELECT sym, 'behavior', CASE verdict WHEN 'changed' THEN 'behavioral' ELSE 'indeterminate' END FROM bh UNION ALL SELECT DISTINCT sym, 'dependency', CASE ch WHEN 'gained' THEN 'compatible' ELSE 'possible_break' END FROM dl WHERE kind = 'dependency'),
+      cs AS (SELECT path AS h, sym AS t FROM ao WHERE kind = 'call' UNION SELECT path, sym FROM bo WHERE kind = 'call'), r(root, node) AS (SELECT sym, sym FROM fi UNION SELECT root, t FROM r JOIN cs ON h = node), cn AS (SELECT root AS sym, count(*) - 1 AS n FROM r GROUP BY root),
+      ts AS (SELECT DISTINCT target || '@' || repo AS sym FROM snapshot_links JOIN bv USING (repo, version_no) WHERE kind = 'tests' AND target IS NOT NULL), kn AS (SELECT fi.*, coalesce(n, 0) AS consumers, sym IN (SELECT sym FROM ts) AS tested FROM fi LEFT JOIN cn USING (sym)),
+      al AS (SELECT * FROM kn UNION ALL SELECT DISTINCT sym, 'verification_gap', 'not_applicable', consumers, tested FROM kn WHERE NOT tested),
+      re AS (SELECT sym AS symbol_id, finding, compatibility, consumers, tested, CASE finding {' '.join(f"WHEN '{k}' THEN {v}" for k, v in hi.PRIORITY.items())} END + least(consumers, 100) AS priority FROM al) """
     return {
+        "sd1_findings": compared + "SELECT * FROM re",
+        "sd2_contracts": compared + "SELECT sym AS symbol_id, c AS compatibility FROM ct WHERE c IS NOT NULL",
+        "sd3_behavior": compared + "SELECT sym AS symbol_id, verdict, gained, lost FROM bh",
+        "sk13_sarif": compared + ", pl AS (SELECT id || '@' || repo AS symbol_id, min(source_file) AS uri FROM snapshot_nodes GROUP BY 1) SELECT finding AS rule, CASE compatibility WHEN 'proven_break' THEN 'error' WHEN 'possible_break' THEN 'warning' WHEN 'behavioral' THEN 'warning' ELSE 'note' END AS level, symbol_id || ': ' || finding || ', ' || compatibility AS message, uri FROM re LEFT JOIN pl USING (symbol_id)",
+        "sk13_markdown": compared + "SELECT 0 AS ord, finding AS key, '- ' || finding || ': ' || count(*) AS line FROM re GROUP BY finding UNION ALL SELECT 1, printf('%05d', 99999 - priority) || '|' || symbol_id || '|' || finding, '- `' || symbol_id || '` ' || finding || ' (' || compatibility || ', ' || consumers || ' consumers' || CASE WHEN tested THEN '' ELSE ', untested' END || ')' FROM re",
         "j16_program_join": CODE_SQL + f""", lv AS (SELECT repo, max(version_no) AS version_no FROM graph_versions GROUP BY repo), f AS (SELECT DISTINCT id || '@' || repo AS symbol_id, node_label AS name, CASE WHEN start_line % 7 <> 0 THEN id END AS nid FROM snapshot_nodes JOIN lv USING (repo, version_no) WHERE kind IN {_list(pr.CALLABLE)} AND id IS NOT NULL)
           SELECT symbol_id, cn.id AS node_id, CASE WHEN nid IS NULL THEN 'orphan' WHEN cn.id IS NULL THEN 'absent' WHEN {bare.format('node_label')} IS NOT DISTINCT FROM {bare.format('name')} THEN 'joined' ELSE 'conflict' END AS state FROM f LEFT JOIN cn ON cn.id = nid""",
         "j17_call_sites": CODE_SQL + f""", s0 AS (SELECT l.id, n.source_file AS f, CASE WHEN json_valid(attributes) THEN attributes->'$.relationshipSite' END AS site FROM graph_links l JOIN cn n ON n.id = l.source WHERE lower(trim(l.kind)) = 'calls'),
