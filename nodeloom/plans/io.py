@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from .. import sources as so
 from ..graph import code_graph
 from ..runtime import Workspace, table
+from ..sources import manifests as mf
 from ..sources import sinks as sk
+from ..sources.store import KeyedStore
 from ..streaming import Ingest, watch
 from .patterns import CODE_SQL
 
@@ -118,6 +120,70 @@ def st7_ingested(spark, d):
     return job.state().select("id", "kind", "ingested_at", "deleted_at")
 
 
+def _depends(spark, d):
+    """Packages and what they depend on, as names."""
+    g = code_graph(spark, d)
+    name = lambda k, c: g.nodes.where("repo is not null").select(F.col("id").alias(k), F.col("node_label").alias(c), F.col("repo").alias(f"{c}_repo"))
+    return g.edges.where("type in ('DEPENDS_ON', 'IMPORTS')").join(name("src", "a"), "src").join(name("dst", "b"), "dst")
+
+
+def sc28_packages(spark, d):
+    """Manifests written for every dependency of a repository, read again."""
+    each = _depends(spark, d).select("a_repo", "b", "type").distinct()
+    version = F.create_map("b", F.concat(F.lit("^"), F.length("b")))
+    docs = each.select(F.to_json(F.struct(F.col("a_repo").alias("name"), F.when(F.col("type") != "IMPORTS", version).alias("dependencies"), F.when(F.col("type") == "IMPORTS", version).alias("devDependencies"))).alias("text"), F.lit(0).alias("k"))
+    return mf.package_dependencies(docs, "k", "text").drop("k")
+
+
+def sc27_terraform(spark, d):
+    """Blocks written for every database node, read again."""
+    n = code_graph(spark, d).nodes.where("label like 'Database%' and repo is not null")
+    text = F.concat(F.lit("# resource \"no\" \"no\" {\n/* variable \"gone\" { */\nresource \""), "kind", F.lit("\" \""), "node_label", F.lit("\" {\n  size = var."), "node_label", F.lit("\n}\noutput \""), "id", F.lit("\" {\n value = data."), "kind", F.lit(".x\n}\n"))
+    docs = n.select("id", text.alias("text"))
+    blocks = mf.terraform_blocks(docs, "id", "text").select("id", "kind", F.coalesce("type", F.lit("")).alias("type"), "name")
+    return blocks.unionByName(mf.terraform_references(docs, "id", "text").select("id", F.concat(F.lit("uses "), "kind").alias("kind"), F.lit("").alias("type"), "name"))
+
+
+def sc29_symbols(spark, d):
+    """Occurrences written for every file out of the nodes in it, read again."""
+    n = code_graph(spark, d).nodes.where("source_file is not null and start_line is not null and end_line is not null")
+    occurrence = F.struct(F.when(F.col("start_line") == F.col("end_line"), F.array("start_line", F.lit(0), F.lit(9))).otherwise(F.array("start_line", F.lit(0), "end_line", F.lit(9))).alias("range"), F.col("id").alias("symbol"), F.when(F.col("start_line") % 3 == 0, 1).otherwise(8).alias("symbol_roles"))
+    docs = n.select(F.to_json(F.struct(F.array(F.struct(F.col("source_file").alias("relative_path"), F.array(occurrence).alias("occurrences"))).alias("documents"))).alias("text"))
+    return mf.scip_occurrences(docs, "text")
+
+
+def sc31_cargo(spark, d):
+    """Manifests written for every dependency between named nodes, read again."""
+    each = _depends(spark, d).select("a", "b").distinct()
+    lines = F.concat_ws("\n", F.concat(F.lit('[package]\nname = "'), "a", F.lit('"\n[dependencies]')), F.concat(F.lit('other = { package = "'), "b", F.lit('", version = "1" }')), F.lit('serde = "1"'))
+    return mf.cargo_workspace(each.select(F.concat_ws("/", "a", "b").alias("path"), lines.alias("text")))
+
+
+def sc36_git_log(spark, d):
+    """A history written out of the delivered versions, read again."""
+    v = table(spark, d, "graph_versions")
+    head = F.concat_ws("|", F.sha1("commit_id"), F.lit(""), F.lit("dev"), F.unix_micros(F.col("captured_at").cast("timestamp")).cast("string"), F.concat(F.lit("version | "), "version_no"))
+    return mf.git_log(v.select("repo", F.concat(head, F.lit("\n\nsrc/"), "repo", F.lit(".py\nREADME.md\n")).alias("text")), "repo", "text").select("repo", "commit", "parent", "at", "subject", "path")
+
+
+def sk2_result_document(spark, d):
+    """Rows of a result document."""
+    from .. import cql
+
+    got = sk.result_document(cql.query(code_graph(spark, d), "MATCH (n:Class) RETURN n.id AS id, n.start_line AS line, n.lang AS lang"))
+    return got.where("ord = 1").select("key", "line")
+
+
+def sk16_stored(spark, d):
+    """The node table put into a keyed store in deliveries by month, with a deletion in between."""
+    t = table(spark, d, "graph_nodes").where("id is not null").select("id", "kind", "node_label", "ingested_at")
+    store = KeyedStore.open(spark, Workspace(spark, "store").root, t.schema, "id")
+    cut = F.lit("2025-06-01").cast("timestamp_ntz")
+    store = store.merge(t.where(F.col("ingested_at") < cut), "ingested_at", expected=0)
+    store = store.delete(t.where("kind = 'parameter'"), expected=1)
+    return store.merge(t.where((F.col("ingested_at") >= cut) | F.col("ingested_at").isNull()), "ingested_at", expected=2).table()
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and n[0] != "_" and n not in ("queries", "oracle_sql")}
 
@@ -132,6 +198,13 @@ def oracle_sql() -> dict[str, str]:
     xml = lambda c: f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
     quote = lambda c: f"'''' || replace(replace({c}, '\\', '\\\\'), '''', '\\''') || ''''"
     return {
+        "sk16_stored": "WITH t AS (SELECT id, kind, node_label, ingested_at FROM graph_nodes WHERE id IS NOT NULL), p AS (SELECT DISTINCT id FROM t WHERE kind = 'parameter'), l AS (SELECT * FROM t WHERE NOT (ingested_at < '2025-06-01' AND id IN (SELECT id FROM p))) SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, kind DESC, node_label DESC) = 1",
+        "sk2_result_document": CODE_SQL + "SELECT printf('%020d', row_number() OVER (ORDER BY id, start_line, lang) - 1) AS key, CASE WHEN row_number() OVER (ORDER BY id, start_line, lang) > 1 THEN ',' ELSE '' END || '[' || to_json(id) || ',' || coalesce(to_json(start_line)::VARCHAR, 'null') || ',' || coalesce(to_json(lang)::VARCHAR, 'null') || ']' AS line FROM cn WHERE label = 'Class'",
+        "sc36_git_log": "SELECT repo, sha1(commit_id) AS commit, NULL::VARCHAR AS parent, epoch_us(captured_at) AS at, 'version | ' || version_no AS subject, unnest(['src/' || repo || '.py', 'README.md']) AS path FROM graph_versions",
+        "sc31_cargo": CODE_SQL + ", e AS (SELECT DISTINCT a.node_label AS crate, b.node_label AS dependency FROM ce JOIN cn a ON a.id = src JOIN cn b ON b.id = dst WHERE type IN ('DEPENDS_ON', 'IMPORTS') AND a.repo IS NOT NULL AND b.repo IS NOT NULL) SELECT crate, dependency, 'normal' AS kind FROM e WHERE dependency IN (SELECT crate FROM e)",
+        "sc29_symbols": CODE_SQL + "SELECT source_file AS file, id AS symbol, CASE WHEN start_line % 3 = 0 THEN 'definition' ELSE 'reference' END AS role, start_line, 0 AS start_column, end_line, 9 AS end_column FROM cn WHERE source_file IS NOT NULL AND start_line IS NOT NULL AND end_line IS NOT NULL",
+        "sc27_terraform": CODE_SQL + ", n AS (SELECT * FROM cn WHERE label LIKE 'Database%' AND repo IS NOT NULL) SELECT id, 'resource' AS kind, kind AS type, node_label AS name FROM n UNION ALL SELECT id, 'output', '', id FROM n UNION ALL SELECT id, 'uses var', '', node_label FROM n UNION ALL SELECT id, 'uses data', '', kind || '.x' FROM n",
+        "sc28_packages": CODE_SQL + "SELECT DISTINCT a.repo AS package, CASE type WHEN 'IMPORTS' THEN 'devDependencies' ELSE 'dependencies' END AS section, b.node_label AS name, '^' || length(b.node_label) AS version FROM ce JOIN cn a ON a.id = src JOIN cn b ON b.id = dst WHERE type IN ('DEPENDS_ON', 'IMPORTS') AND a.repo IS NOT NULL AND b.repo IS NOT NULL",
         "sk11_canvas": CODE_SQL + "SELECT 'nodes' AS part, id AS key, id || '.md' AS file, (coalesce(community_id, -1) * 400)::VARCHAR AS y, NULL::VARCHAR AS \"fromNode\", NULL::VARCHAR AS \"toNode\", NULL::VARCHAR AS label FROM cn UNION ALL SELECT 'edges', eid, NULL, NULL, src, dst, lower(type) FROM ce",
         "sk3_result_lines": CODE_SQL + ", r AS (SELECT a.id AS x, m.id AS y FROM ce JOIN cn a ON a.id = src JOIN cn m ON m.id = dst WHERE type = 'CONTAINS' AND a.label = 'Class' AND m.label = 'Method') SELECT 0 AS ord, NULL::VARCHAR AS first, NULL::VARCHAR AS second UNION ALL SELECT 1, x, y FROM r UNION ALL SELECT 2, count(*)::VARCHAR, NULL FROM r",
         "sk4_node_link": CODE_SQL + """SELECT 'nodes' AS part, id AS key, id AS a, node_label AS b, kind AS c, source_file AS d, community_id::VARCHAR AS e FROM cn UNION ALL SELECT 'links', eid, src, dst, lower(type), weight::VARCHAR, context FROM ce""",

@@ -9,6 +9,7 @@ from ..graph import code_graph, evidence_graph
 from ..operators import cleaning as cl
 from ..operators import snapshots
 from ..runtime import table
+from ..streaming import debounced, reconcile
 from ..text import rank as rk
 from ..text import tokens as tk
 from .general import snapshot_sql
@@ -207,10 +208,16 @@ def m1_feedback(spark, d):
 
 
 def st2_sessions(spark, d):
-    """Bursts of events per user: a session ends when nothing follows for an hour."""
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    w = e.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return w.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("first"), "n")
+    """Batches of events per user: closed by a quiet hour, or after five."""
+    return debounced(table(spark, d, "events"), "ts", "user_id", 3_600_000_000, 1 << 60)
+
+
+def st5_reconciled(spark, d):
+    """What a full scan of the last versions finds to differ from the first."""
+    v = table(spark, d, "graph_versions").groupBy("repo").agg(F.min("version_no").alias("lo"), F.max("version_no").alias("hi"))
+    s = table(spark, d, "snapshot_nodes").where("id is not null")
+    of = lambda at: s.join(v.select("repo", F.col(at).alias("version_no")), ["repo", "version_no"]).groupBy(F.concat_ws("@", "id", "repo").alias("key")).agg(F.max_by(F.struct("kind", "node_label", "source_file"), F.struct("delivered_at", "kind")).alias("r")).select("key", "r.*")
+    return reconcile(of("lo"), of("hi"), "key", ["kind", "node_label", "source_file"])
 
 
 def st_tumbling(spark, d):
@@ -262,6 +269,9 @@ def oracle_sql() -> dict[str, str]:
     node_cols, link_cols = ("kind", "node_label"), ("source", "target", "kind", "weight", "context")
     risk_points = "CASE factor " + " ".join(f"WHEN '{k}' THEN least(n * {a}, {b})" for k, (a, b) in hi.RISK.items()) + " END"
     return {
+        "st5_reconciled": """WITH v AS (SELECT repo, min(version_no) AS lo, max(version_no) AS hi FROM graph_versions GROUP BY repo),
+          s AS (SELECT id || '@' || repo AS key, version_no = lo AS old, row(kind, node_label, source_file) AS body FROM snapshot_nodes JOIN v USING (repo) WHERE id IS NOT NULL AND version_no IN (lo, hi) QUALIFY row_number() OVER (PARTITION BY repo, version_no, id ORDER BY delivered_at DESC, kind DESC) = 1),
+          a AS (SELECT * FROM s WHERE old), b AS (SELECT * FROM s WHERE NOT old) SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'remove' WHEN a.key IS NULL THEN 'add' ELSE 'update' END AS action FROM a FULL JOIN b ON a.key = b.key WHERE a.body IS DISTINCT FROM b.body OR a.key IS NULL OR b.key IS NULL""",
         "t2_identifier_tokens": names + f"SELECT node_label, array_to_string({_tokens('node_label')}, ' ') AS tokens FROM nl",
         "t3_canonical_tokens": f"SELECT word, {tk.canonical_sql('word', 'duckdb')} AS stem FROM (SELECT DISTINCT unnest({_tokens('text')}) AS word FROM documents)",
         "t4_query_terms": f"SELECT item_id, array_to_string({_terms('text')}, ' ') AS terms FROM eval_items",
@@ -314,6 +324,9 @@ def oracle_sql() -> dict[str, str]:
         "sd8_changed_files": CODE_SQL + ", f AS (SELECT DISTINCT source_file FROM cn WHERE source_file IS NOT NULL), p AS (SELECT split_part(source_file, '/', -1) AS path FROM f WHERE contains(split_part(source_file, '/', -1), '_1') UNION SELECT 'src/main/' || source_file FROM f WHERE contains(source_file, '_2')) SELECT DISTINCT path AS changed, source_file FROM p, f WHERE path = source_file OR ends_with(path, '/' || source_file) OR ends_with(source_file, '/' || path)",
         "sd10_risk": meaning("snapshot_nodes", node_cols) + f", fa AS (SELECT concat_ws('@', repo, version_no) AS version, CASE change_kind WHEN 'changed' THEN 'public_contract_change' WHEN 'removed' THEN 'affected_consumer' ELSE 'verification_gap' END AS factor, count(*) // 40 AS n FROM c WHERE change_kind IS NOT NULL GROUP BY ALL), s AS (SELECT version, least(sum({risk_points}), 100)::BIGINT AS score FROM fa GROUP BY version) SELECT version, score, CASE WHEN score <= 19 THEN 'low' WHEN score <= 44 THEN 'moderate' WHEN score <= 69 THEN 'high' ELSE 'critical' END AS band FROM s",
         "m1_feedback": "WITH w AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS s, pow(0.5, greatest((epoch_us(TIMESTAMP '2025-01-01') - epoch_us(ts)) / 86400e6, 0) / 30) AS d FROM events), g AS (SELECT user_id, round(sum(s * d), 6) AS score, count(*) FILTER (s > 0) AS p, count(*) FILTER (s < 0) AS n FROM w GROUP BY user_id) SELECT user_id AS subject, score, CASE WHEN p > 0 AND n > 0 THEN 'contested' WHEN p >= 2 THEN 'preferred' WHEN p > 0 THEN 'tentative' WHEN n > 0 THEN 'avoid' ELSE 'neutral' END AS status FROM g",
-        "st2_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS first, count(*) AS n FROM s GROUP BY user_id, k",
+        "st2_sessions": """WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE ts IS NOT NULL),
+          w(user_id, k, first, last) AS (SELECT user_id, k, ts, ts FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, CASE WHEN e.ts >= w.last + INTERVAL 1 HOUR OR e.ts >= w.first + INTERVAL 5 HOUR THEN e.ts ELSE w.first END, e.ts FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1),
+          b AS (SELECT *, CASE WHEN first = last AND (k = 1 OR first <> lag(first) OVER (PARTITION BY user_id ORDER BY k)) THEN 1 ELSE 0 END AS opens FROM w)
+          SELECT user_id, first, count(*) AS n FROM w GROUP BY user_id, first""",
         "st_tumbling": "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     }

@@ -29,6 +29,23 @@ def read_graph_json(spark: SparkSession, path: str) -> PropertyGraph:
     return PropertyGraph(nodes, edges).drop_dangling()
 
 
+#: Bytes of a graph document that are read at most, by default.
+MOST_BYTES = 1 << 30
+
+
+def graph_artifact(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> tuple[PropertyGraph, DataFrame]:
+    """A graph document of bounded size, and (path, bytes, digest) of its files.
+
+    Sizes are asked of the file system before anything is read, and a larger document is an
+    error; the SHA-256 digests are computed where the bytes are.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    over = files.where(F.col("length") > most_bytes).select("path", "length").first()
+    if over:
+        raise ValueError(f"{over.path} has {over.length} bytes, more than {most_bytes}")
+    return read_graph_json(spark, path), files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
+
+
 def open_graph(spark: SparkSession, path: str) -> PropertyGraph:
     """A graph from a JSON document, or from a folder with ``nodes`` and ``edges`` tables."""
     if path.endswith(".json"):

@@ -6,11 +6,15 @@ A sink is first a DataFrame of (ord, line) or of documents, which scales and can
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import PropertyGraph
+from ..graph import PropertyGraph, with_index
 from ..operators import analytics as an
+from ..runtime import Files
+from .store import Conflict
 
 
 def _xml(c) -> Column:
@@ -51,14 +55,28 @@ def result_lines(df: DataFrame, name: str = "result") -> DataFrame:
     """A result as JSON lines: header with columns, a line per row, summary with the count."""
     spark = df.sparkSession
     cols = [{"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable} for f in df.schema]
-    import json
-
     head = spark.createDataFrame([(0, json.dumps({"schema": f"{name}/1", "columns": cols}))], "ord int, line string")
     rows = df.select(F.lit(1).alias("ord"), F.to_json(F.struct(F.lit("row").alias("kind"), F.array(*[F.to_json(F.struct(F.col(c).alias("v"))) for c in df.columns]).alias("values"))).alias("line"))
     tail = df.agg(F.lit(2).alias("ord"), F.to_json(F.struct(F.lit("summary").alias("kind"), F.count(F.lit(1)).alias("rows"))).alias("line"))
     return head.unionByName(rows).unionByName(tail)
 
 
+def result_document(df: DataFrame, name: str = "result", order: tuple[str, ...] = ()) -> DataFrame:
+    """(ord, key, line): a result as one JSON document, a row a line.
+
+    Lines joined in order are ``{"schema", "columns", "rows"}``; rows stand in the order of
+    ``order`` or, without one, of all columns, and hold JSON values in the columns' order.
+    """
+    cols = [{"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable} for f in df.schema]
+    # a null would vanish from a struct, so each value is written on its own
+    cell = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit(""))
+    row = F.concat(F.lit("["), F.concat_ws(",", *[F.when(F.col(c).isNull(), "null").otherwise(cell(c)) for c in df.columns]), F.lit("]"))
+    each = with_index(df.select(*[F.col(c) for c in (order or df.columns)], row.alias("_row")), *(order or df.columns), name="_k")
+    lines = each.select(F.lit(1).alias("ord"), F.format_string("%020d", "_k").alias("key"), F.concat(F.when(F.col("_k") > 0, ",").otherwise(""), "_row").alias("line"))
+    frame = df.sparkSession.createDataFrame([(0, "", json.dumps({"schema": f"{name}/1", "columns": cols})[:-1] + ', "rows": ['), (2, "", "]}")], "ord int, key string, line string")
+    return frame.unionByName(lines)
+
+
 def aligned(rows: list[tuple], columns: list[str]) -> str:
     """A small result as an aligned table."""
     cells = [[*columns], *[["" if v is None else str(v) for v in r] for r in rows]]
@@ -114,14 +132,59 @@ def save_graph(graph: PropertyGraph, path: str, bucket: str | None = None) -> No
     graph.edges.write.mode("overwrite").partitionBy("type").parquet(f"{path}/edges")
 
 
-def publish(df: DataFrame, root: str, version: str) -> None:
-    """Write a version beside the others, then move the pointer: readers see the old or the new one."""
+def _pointers(files: Files, root: str) -> tuple[int, str | None]:
+    """The number of the last publication, and the version of the last that is whole."""
+    names = sorted((n for n in files.names(root) if n.startswith("pointer-")), reverse=True)
+    for n in names:
+        try:
+            return int(names[0][8:17]), json.loads(files.read(f"{root}/{n}"))["version"]
+        except ValueError:  # its writer was lost before the pointer was whole
+            continue
+    return (int(names[0][8:17]) if names else 0), None
+
+
+def published(spark, root: str) -> str | None:
+    """The version that readers see now."""
+    return _pointers(Files(spark), root)[1]
+
+
+def prepare(df: DataFrame, root: str, version: str) -> None:
+    """Write a version beside the others; no reader sees it yet."""
     df.write.mode("errorifexists").parquet(f"{root}/versions/{version}")
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+
+
+def commit(spark, root: str, version: str, expected: str | None = None) -> None:
+    """Make a prepared version the one that readers see.
+
+    The pointer is a new file under the next number, created and never overwritten: of two
+    writers the second is refused, and a reader finds one version or the other. ``expected``
+    demands that this version is published now.
+    """
+    files = Files(spark)
+    if version not in files.names(f"{root}/versions"):
+        raise KeyError(f"version {version} has not been prepared")
+    number, now = _pointers(files, root)
+    if expected is not None and now != expected:
+        raise Conflict(f"{now} is published, not {expected}")
+    try:
+        files.create(f"{root}/pointer-{number + 1:09d}.json", json.dumps({"version": version}))
+    except Exception as refused:
+        if "exist" in str(refused).lower():
+            raise Conflict(f"publication {number + 1} has been made by another") from refused
+        raise
+
+
+def publish(df: DataFrame, root: str, version: str, expected: str | None = None) -> None:
+    """:func:`prepare` and :func:`commit` a version."""
+    prepare(df, root, version)
+    commit(df.sparkSession, root, version, expected)
 
 
 def current(spark, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/versions/{spark.read.schema('version string').json(f'{root}/current').first().version}")
+    version = published(spark, root)
+    if version is None:
+        raise KeyError("nothing has been published")
+    return spark.read.parquet(f"{root}/versions/{version}")
 
 
 def garbage(versions: DataFrame, kept: DataFrame) -> DataFrame:
