@@ -14,6 +14,11 @@ from . import syntax as s
 from .errors import QueryError
 
 #: Regular expressions with look-around or back-references are not supported.
+def failure(code: str, message: str):
+    """A column that ends the query with an error of this code when it is evaluated."""
+    return F.raise_error(F.lit(f"{code}: {message}"))
+
+
 _REJECTED = re.compile(r"\(\?(?:=|!|<=|<!)|\\[1-9]")
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _NUMERIC = (*_INTEGRAL, T.FloatType, T.DoubleType, T.DecimalType)
@@ -109,7 +114,10 @@ class Translator:
         if op == "=~":
             if isinstance(e.right, s.Literal) and (not isinstance(e.right.value, str) or len(e.right.value) > 16384 or _REJECTED.search(e.right.value)):
                 raise QueryError("CQL4018", "the regular expression is not supported")
-            return F.rlike(a, b)
+            if isinstance(e.right, s.Literal):
+                return F.rlike(a, b)
+            refused = b.rlike(_REJECTED.pattern) | (F.octet_length(b) > 16384)  # patterns known at run time only
+            return F.rlike(a, F.when(refused, failure("CQL4018", "the regular expression is not supported").cast("string")).otherwise(b))
         return self.arithmetic(op, e, a, b)
 
     def compare(self, op, e, a, b):
@@ -148,6 +156,9 @@ class Translator:
         whole = isinstance(ka, _INTEGRAL) and isinstance(kb, _INTEGRAL)
         if whole:
             a, b = a.cast("bigint"), b.cast("bigint")
+        if op in ("/", "%") and not (isinstance(e.right, s.Literal) and e.right.value):
+            code, why = ("CQL4006", "numeric result is outside the range") if whole else ("CQL4005", "division by zero")
+            b = F.when(b == 0, failure(code, why).cast("bigint" if whole else "double")).otherwise(b)
         if op == "/":
             return F.call_function("div", a, b) if whole else a.cast("double") / b.cast("double")
         if op == "^":
@@ -284,7 +295,8 @@ class Translator:
 
     def f_split(self, e, x, sep):
         quoted = F.concat(F.lit("\\Q"), self.column(sep), F.lit("\\E"))
-        return F.split(self.column(x), quoted, -1)
+        c = self.column(x)
+        return F.split(F.when(c.isNull(), failure("CQL4003", "split needs a string").cast("string")).otherwise(c), quoted, -1)
 
     def f_replace(self, e, x, a, b):
         return F.replace(self.column(x), self.column(a), self.column(b))

@@ -14,7 +14,7 @@ def graph(spark):
 
 
 def rows(graph, q, **p):
-    return cql.rows(graph, q, **p)
+    return cql.rows(graph, q, max_seconds=None, **p)
 
 
 @pytest.mark.parametrize(
@@ -63,6 +63,9 @@ def test_results(graph, query, want):
         ("RETURN x", "CQL2004"), ("RETURN foo(1)", "CQL2016"), ("RETURN $p", "CQL4001"), ("RETURN 1 AS a, 2 AS a", "CQL2015"), ("RETURN 1 AS a UNION RETURN 1 AS b", "CQL2014"),
         ("MATCH (n) WHERE n.num RETURN n", "CQL2006"), ("RETURN 'a' =~ '(?=x)'", "CQL4018"), ("UNWIND 1 AS x RETURN x", "CQL4003"), ("RETURN 1 LIMIT -1", "CQL4002"), ("RETURN 'a' + 1", "CQL4003"),
         ("MATCH p = shortestPath((a)-[*1..2]->(b)-[*1..2]->(c)) RETURN p", "CQL2020"), ("RETURN 99999999999999999999", "CQL1009"), ("RETURN (((", "CQL1002"), ("MATCH (n) UNWIND [1] AS n RETURN n", "CQL2005"),
+        ("MATCH (n) WITH n LIMIT 2 WHERE n.num = 1 RETURN n", "CQL1002"), ("MATCH (n) WHERE EXISTS { (n)-->(m) WHERE EXISTS { (m)-->() } } RETURN n", "CQL1008"),
+        ("MATCH (n) RETURN 1 / (n.num - n.num) AS x", "CQL4006"), ("MATCH (n) RETURN 1.5 / (n.num - n.num) AS x", "CQL4005"), ("MATCH (n) RETURN n.num % (n.num - n.num) AS x", "CQL4006"), ("RETURN 9223372036854775807 + 1 AS x", "CQL4006"),
+        ("MATCH (n) RETURN n.id =~ ('(?' + '=x)') AS x", "CQL4018"), ("MATCH (n) RETURN split(n.none, ',') AS x", "CQL4003"),
     ],
 )
 def test_errors(graph, query, code):
@@ -73,12 +76,26 @@ def test_errors(graph, query, code):
 
 def test_limits_parameters_and_explain(graph):
     with pytest.raises(cql.QueryError) as e:
-        cql.rows(graph, "MATCH (n) RETURN n.id", max_rows=2)
+        cql.rows(graph, "MATCH (n) RETURN n.id", max_rows=2, max_seconds=None)
     assert e.value.code == "CQL3004"
     assert rows(graph, "MATCH (n) WHERE n.id IN $ids RETURN n.id", ids=["a", "zz"]) == [("a",)]
     assert cql.explain("MATCH (a)-->(b) WHERE a.x = 1 WITH DISTINCT b ORDER BY b.id LIMIT 3 RETURN count(*) AS n") == ["NodeScan", "Expand", "Filter", "Project", "Distinct", "Sort", "Limit", "Aggregate"]
 
 
+def test_modes_deadline_and_size(graph):
+    assert rows(graph, "EXPLAIN MATCH (n)-->(m) RETURN n.id") == [(0, "NodeScan"), (1, "Expand"), (2, "Project")]
+    assert rows(graph, "PROFILE MATCH (n) RETURN n.id")[-1] == (1, "Project", 5)
+    with pytest.raises(cql.QueryError) as e:
+        cql.rows(graph, "MATCH (a), (b), (c) RETURN a.id, b.id, c.id", max_seconds=0.0)
+    assert e.value.code == "CQL3007"
+    with pytest.raises(cql.QueryError) as e:
+        cql.rows(graph, "MATCH (n) RETURN n.id", max_seconds=None, max_bytes=10)
+    assert e.value.code == "CQL3006"
+    with pytest.raises(cql.QueryError) as e:
+        rows(graph, "MATCH (n) RETURN n.id =~ $p AS x", p="(a)\\1")
+    assert e.value.code == "CQL4018"
+
+
 def test_filters_reach_the_scan(spark):
     from nodeloom.graph import trade_graph
 
