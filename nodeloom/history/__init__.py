@@ -52,6 +52,13 @@ def graph_delta(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, Dat
     return both.where("d != 0").select("repo", "part", "id", "target", "kind", F.when(F.col("d") > 0, "new").otherwise("removed").alias("change"))
 
 
+def delta_summary(delta: DataFrame) -> DataFrame:
+    """(repo, summary): the counts of :func:`graph_delta` in words."""
+    n = lambda part, change: F.count_if((F.col("part") == part) & (F.col("change") == change))
+    words = F.concat(n("node", "new"), F.lit(" new nodes, "), n("edge", "new"), F.lit(" new edges, "), n("node", "removed"), F.lit(" nodes removed, "), n("edge", "removed"), F.lit(" edges removed"))
+    return delta.groupBy("repo").agg(words.alias("summary"))
+
+
 def sharing(snapshots: DataFrame, versions: DataFrame, content: list[str]) -> DataFrame:
     """(repo, version_no, shared, total): records that the version before also holds unchanged."""
     last = snapshots.groupBy("repo", "version_no", "id").agg(F.max_by(F.xxhash64(*[x for c in content for x in (F.col(c), F.col(c).isNull())]), F.col("delivered_at")).alias("h"))
@@ -96,6 +103,22 @@ def risk(findings: DataFrame, by: str) -> DataFrame:
     return total.withColumn("band", F.when(s <= 19, "low").when(s <= 44, "moderate").when(s <= 69, "high").otherwise("critical"))
 
 
+def risk_factors(findings: DataFrame, by: Column) -> DataFrame:
+    """(version, factor, n) of the findings of a comparison, for :func:`risk`.
+
+    Broken contracts, consumers of what changed, findings without a test, and changes of
+    behaviour that the evidence does not explain.
+    """
+    kinds = {
+        "public_contract_change": F.count_if((F.col("finding") == "contract") & F.col("compatibility").isin("proven_break", "possible_break")),
+        "affected_consumer": F.coalesce(F.sum(F.when(F.col("finding") != "verification_gap", F.col("consumers"))), F.lit(0)),
+        "verification_gap": F.count_if(F.col("finding") == "verification_gap"),
+        "incomplete_evidence": F.count_if(F.col("compatibility") == "indeterminate"),
+    }
+    per = findings.groupBy(by.alias("version")).agg(F.array(*[F.struct(F.lit(k).alias("factor"), c.alias("n")) for k, c in kinds.items()]).alias("fs"))
+    return per.select("version", F.explode("fs").alias("f")).select("version", "f.*")
+
+
 def priority(kind: Column, consumers: Column) -> Column:
     base = F.lit(0)
     for k, v in PRIORITY.items():
@@ -114,6 +137,12 @@ def changed_files(sources: DataFrame, changed: DataFrame) -> DataFrame:
     return a.join(b, "key").where((F.col("key") == F.col("changed")) | (F.col("key") == F.col("source_file"))).select("changed", "source_file").distinct()
 
 
+def change_impact(nodes: DataFrame, matched: DataFrame) -> DataFrame:
+    """(community, nodes, files) that changed files touch; ``matched(changed, source_file)`` of :func:`changed_files`. A file that several changes match counts once."""
+    hit = matched.select("source_file").distinct()
+    return nodes.join(hit, "source_file").groupBy(F.col("community_id").alias("community")).agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("source_file").alias("files"))
+
+
 def feedback(memories: DataFrame, now: str, half_life: float = 30.0, at_least: int = 2) -> DataFrame:
     """(subject, score, status) of ``memories(subject, outcome, at)`` with exponential decay.
 
@@ -123,7 +152,7 @@ def feedback(memories: DataFrame, now: str, half_life: float = 30.0, at_least: i
     sign = F.when(F.col("outcome") == "useful", 1).when(F.col("outcome").isin("dead_end", "corrected"), -1).otherwise(0)
     age = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))) / 86400e6
     weight = F.coalesce(F.pow(F.lit(0.5), F.greatest(age, F.lit(0.0)) / half_life), F.lit(1.0))
-    per = memories.groupBy("subject").agg(F.round(F.sum(sign * weight), 6).alias("score"), F.count_if(sign > 0).alias("pos"), F.count_if(sign < 0).alias("neg"))
+    per = memories.groupBy("subject").agg(F.round(F.sum(sign * weight), 9).alias("score"), F.count_if(sign > 0).alias("pos"), F.count_if(sign < 0).alias("neg"))
     status = F.when((F.col("pos") > 0) & (F.col("neg") > 0), "contested").when(F.col("pos") >= at_least, "preferred").when(F.col("pos") > 0, "tentative").when(F.col("neg") > 0, "avoid").otherwise("neutral")
     return per.select("subject", "score", status.alias("status"))
 

@@ -541,13 +541,22 @@ def _sweeps(work: Workspace, g: DataFrame, total: float, loops: float, resolutio
     raise RuntimeError("Louvain did not converge in 10,000 sweeps")
 
 
-def recluster(graph: PropertyGraph, members: DataFrame, changed: DataFrame) -> DataFrame:
+#: How many nodes, and which share of all, may be clustered anew before everything is.
+ANEW_NODES, ANEW_SHARE = 4096, 0.25
+
+
+def recluster(graph: PropertyGraph, members: DataFrame, changed: DataFrame, most: int = ANEW_NODES, share: float = ANEW_SHARE) -> DataFrame:
     """(id, community): communities of changed nodes are found again by their inner links; the rest stay.
 
-    ``community`` is a string; a new community is named by its smallest member.
+    Where they hold more than ``most`` nodes or more than ``share`` of all, all communities
+    are found again. ``community`` is a string; a new community is named by its smallest
+    member, and a node without links is one of its own.
     """
+    work = Workspace(graph.spark, "recluster")
     touched = members.join(changed.select("id"), "id", "left_semi").select("community").distinct()
-    inside = members.join(touched, "community", "left_semi")
+    inside, n = work.stage_counted(members.join(touched, "community", "left_semi"), n=F.count(F.lit(1)))
+    if n["n"] > most or n["n"] > share * members.count():
+        inside = members
     end = lambda k: inside.select(F.col("id").alias(k))
     again = louvain(simple_edges(graph).join(end("a"), "a", "left_semi").join(end("b"), "b", "left_semi").select("a", "b")).withColumnRenamed("community", "fresh")
     return members.join(inside.select("id", F.lit(True).alias("again")), "id", "left").join(again, "id", "left").select("id", F.when(F.col("again"), F.coalesce("fresh", "id")).otherwise(F.col("community")).alias("community"))

@@ -112,17 +112,53 @@ def affected(graph: PropertyGraph, seeds: DataFrame, max_depth: int = 8, types:
 def trails(graph: PropertyGraph, pairs: DataFrame, max_depth: int = 8, direction: str = "out", types: tuple[str, ...] | None = None) -> DataFrame:
     """Shortest path between each pair (a, b): (a, b, hops, path), path being the node ids.
 
-    Pairs without a path within ``max_depth`` have a null path. Parents are followed back
-    level by level with one join each.
+    Pairs without a path within ``max_depth`` have a null path. All pairs are searched at
+    once and each from both ends: a step moves on the side whose frontier is smaller, and a
+    pair whose frontiers have met is searched no further, so a hub is passed by few of them.
+    Where several paths are shortest, the one through the least meeting node counts, and
+    from there on each side the links of the least id.
     """
     work = Workspace(graph.spark, "trails")
-    pairs = work.stage(pairs.select("a", "b").distinct())
-    seen = work.stage(closure(directed(graph, types, direction), pairs.select(F.col("a").alias("root"), F.col("a").alias("node")), max_depth))
-    at = pairs.join(seen.select(F.col("root").alias("a"), F.col("node").alias("b"), "depth", "parent"), ["a", "b"]).select("a", "b", F.col("depth").alias("hops"), F.col("parent").alias("at"), F.array("b").alias("path"))
-    up = seen.select(F.col("root").alias("a"), F.col("node").alias("at"), F.col("parent").alias("next"))
-    for _ in range(max_depth):
-        at = at.join(up, ["a", "at"], "left").select("a", "b", "hops", F.col("next").alias("at"), F.when(F.col("at").isNotNull(), F.concat(F.array("at"), "path")).otherwise(F.col("path")).alias("path"))
-    return pairs.join(at.drop("at"), ["a", "b"], "left")
+    key = ["a", "b"]
+    pairs, asked = work.stage_counted(pairs.select(*key).where("a is not null and b is not null").distinct(), n=F.count(F.lit(1)))
+    forth = work.stage(directed(graph, types, direction).select("here", "there", "eid"))
+    back = forth if direction == "both" else forth.select(F.col("there").alias("here"), F.col("here").alias("there"), "eid")
+    none = F.lit(None).cast("string").alias("parent")
+    sides = [[adjacency, pairs.select(*key, F.col(end).alias("node"), F.lit(0).alias("depth"), none), None, asked["n"], 0] for adjacency, end in ((forth, "a"), (back, "b"))]
+    for side in sides:
+        side[2] = side[1]
+    met = pairs.where("a = b").select(*key, F.lit(0).alias("hops"), F.col("a").alias("meet"))
+    met, found = work.stage_counted(met, n=F.count(F.lit(1)))
+    left = asked["n"] - found["n"]
+    for depth in range(1, max_depth + 1):
+        if not left:
+            break
+        side = min(sides, key=lambda x: x[3])
+        other = sides[1] if side is sides[0] else sides[0]
+        adjacency, level, seen, _, steps = side
+        front = level.join(met.select(*key), key, "left_anti").select(*key, F.col("node").alias("here"), (F.col("depth") + 1).alias("depth"))
+        step = front.join(adjacency, "here").groupBy(*key, F.col("there").alias("node")).agg(F.min(F.struct("eid", "here")).alias("m"), F.first("depth").alias("depth"))
+        fresh = step.join(seen.select(*key, "node"), [*key, "node"], "left_anti").select(*key, "node", "depth", F.col("m.here").alias("parent"))
+        level, n = work.stage_counted(fresh, n=F.count(F.lit(1)))
+        if not n["n"]:
+            break  # nothing more can be reached from this side
+        side[1:] = level, seen.unionByName(level), n["n"], steps + 1
+        # what has been met before is done, so a meeting lies on the frontiers of both sides
+        now = level.select(*key, "node").join(other[1].select(*key, "node"), [*key, "node"]).groupBy(*key).agg(F.min("node").alias("meet"))
+        now, found = work.stage_counted(now.select(*key, F.lit(depth).alias("hops"), "meet"), n=F.count(F.lit(1)))
+        left -= found["n"]
+        met = met.unionByName(now)
+    out = met.withColumn("path", F.array("meet"))
+    for k, (_, _, seen, _, steps) in enumerate(sides):
+        if not steps:
+            continue
+        up = seen.where("depth > 0").select(*key, F.col("node").alias("at"), "parent")
+        out = out.withColumn("at", F.col("meet"))
+        for _ in range(steps):
+            more = F.concat(F.array("parent"), "path") if k == 0 else F.concat("path", F.array("parent"))
+            out = out.join(up, [*key, "at"], "left").select(*key, "hops", "meet", F.when(F.col("parent").isNotNull(), more).otherwise(F.col("path")).alias("path"), F.col("parent").alias("at"))
+        out = work.stage(out.drop("at"))
+    return pairs.join(out.select(*key, "hops", "path"), key, "left")
 
 
 def node_trail(graph: PropertyGraph, pairs: DataFrame, max_depth: int = 8) -> DataFrame:

@@ -13,7 +13,7 @@ from ..runtime import table
 from ..text import rank as rk
 from ..text import tokens as tk
 from .patterns import CODE_SQL
-from .text_history import _questions, _terms, _tokens
+from .text_history import _first_and_last, _questions, _terms, _tokens
 
 WANTED = ("r000001:none", "update_snapshot", "pick_anchor", "docs", "render_lexer")
 
@@ -126,10 +126,32 @@ def an9_incremental(spark, d):
 
 
 def an21_diff_summary(spark, d):
-    v = table(spark, d, "graph_versions").groupBy("repo").agg(F.min("version_no").alias("a"), F.max("version_no").alias("b"))
-    s = table(spark, d, "snapshot_nodes").join(v, "repo").groupBy("repo", "id").agg(F.bool_or(F.col("version_no") == F.col("a")).alias("old"), F.bool_or(F.col("version_no") == F.col("b")).alias("new"))
-    per = s.groupBy("repo").agg(F.count_if(F.col("new") & ~F.col("old")).alias("added"), F.count_if(F.col("old") & ~F.col("new")).alias("removed"))
-    return per.select("repo", F.concat(F.col("added"), F.lit(" new nodes, "), F.col("removed"), F.lit(" nodes removed")).alias("summary"))
+    """What changed between the first and the last version of each repository, in words."""
+    return hi.delta_summary(hi.graph_delta(*_first_and_last(spark, d)))
+
+
+def u5_listed(spark, d):
+    """The repositories in the graph, with their nodes and links."""
+    g = code_graph(spark, d)
+    n = g.nodes.where("repo is not null").groupBy("repo").agg(F.count(F.lit(1)).alias("nodes"))
+    e = g.edges.join(g.nodes.select(F.col("id").alias("src"), "repo"), "src").groupBy("repo").agg(F.count(F.lit(1)).alias("links"))
+    return n.join(e, "repo", "left").select("repo", "nodes", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def sc13_names(spark, d):
+    """The name index of the graph: nodes per name and their least id."""
+    return code_graph(spark, d).nodes.groupBy("node_label").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+
+
+def sc13_terms(spark, d):
+    """The term index of the graph: nodes per search term of their names."""
+    t = code_graph(spark, d).nodes.select("id", F.explode(F.array_distinct(tk.search_tokens(F.coalesce("node_label", F.lit(""))))).alias("term"))
+    return t.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sc13_files(spark, d):
+    """The file index of the graph: nodes and lines per file."""
+    return code_graph(spark, d).nodes.where("source_file is not null").groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), F.max("end_line").alias("lines"))
 
 
 def queries() -> dict:
@@ -179,6 +201,10 @@ def oracle_sql() -> dict[str, str]:
       rc AS (SELECT query_id, id, p FROM be UNION ALL SELECT query_id, id, 1 FROM fz)"""
     bm = others()["r1_bm25"]
     return {
+        "sc13_files": CODE_SQL + "SELECT source_file, count(*) AS n, max(end_line) AS lines FROM cn WHERE source_file IS NOT NULL GROUP BY source_file",
+        "sc13_terms": CODE_SQL + f", t AS (SELECT DISTINCT id, unnest({stems}) AS term FROM cn) SELECT term, count(*) AS n FROM t GROUP BY term",
+        "sc13_names": CODE_SQL + "SELECT node_label, count(*) AS n, min(id) AS id FROM cn GROUP BY node_label",
+        "u5_listed": CODE_SQL + ", e AS (SELECT repo, count(*) AS links FROM ce JOIN cn ON cn.id = src GROUP BY repo) SELECT cn.repo, count(*) AS nodes, coalesce(any_value(links), 0) AS links FROM cn LEFT JOIN e ON e.repo = cn.repo WHERE cn.repo IS NOT NULL GROUP BY cn.repo",
         "q1_channels": CODE_SQL + recall.replace("{limit}", "5") + " SELECT query_id, id, CASE p WHEN 6 THEN 'exact_id' WHEN 5 THEN 'exact_name' WHEN 4 THEN 'alias' WHEN 3 THEN 'term' WHEN 2 THEN 'relation' ELSE 'fuzzy' END AS channel, p AS priority FROM rc",
         "r7_predicates": f"WITH w AS (SELECT DISTINCT unnest({stems.replace('coalesce(node_label, chr(32))', 'text')}) AS word FROM documents) SELECT word, {meaning.format('word')} AS meaning FROM w WHERE {meaning.format('word')} IS NOT NULL",
         "r4_seed_order": bm.replace("WHERE k <= 20", "WHERE k <= 50").replace("SELECT query_id, id, score, row_number()", seed_rank + ", rr AS (SELECT query_id, id, score, row_number()").rstrip() + ") SELECT query_id, id, score, place AS rank FROM (SELECT query_id, id, floor(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY floor(score) DESC, backed DESC, kind_rank DESC, aside, degree DESC, size, id) AS place FROM rr JOIN sr USING (id)) WHERE place <= 20",
@@ -193,5 +219,5 @@ def oracle_sql() -> dict[str, str]:
         "ir3_reverse_calls": CODE_SQL + "SELECT DISTINCT dst AS callee, src AS caller FROM ce WHERE type = 'CALLS'",
         "u5_without_repository": CODE_SQL + ", g AS (SELECT min(repo) AS r FROM cn), l AS (SELECT cn.id, repo FROM cn, g WHERE repo IS NULL OR repo <> r), k AS (SELECT unnest([src, dst]) AS id FROM ce WHERE src IN (SELECT id FROM l) AND dst IN (SELECT id FROM l)) SELECT id FROM l WHERE repo IS NOT NULL OR id IN (SELECT id FROM k)",
         "g17_declarations": CODE_SQL + ", b AS (SELECT repo, node_label, min(id) AS winner FROM cn WHERE repo IS NOT NULL AND label IN ('Class', 'Struct', 'Function') GROUP BY ALL HAVING count(*) = 1) SELECT cn.id, winner FROM cn JOIN b ON b.repo = cn.repo AND b.node_label = cn.node_label WHERE label IN ('Interface', 'Trait', 'Method')",
-        "an21_diff_summary": "WITH v AS (SELECT repo, min(version_no) AS a, max(version_no) AS b FROM graph_versions GROUP BY repo), s AS (SELECT repo, id, bool_or(version_no = a) AS o, bool_or(version_no = b) AS n FROM snapshot_nodes JOIN v USING (repo) GROUP BY repo, id) SELECT repo, count(*) FILTER (n AND NOT o) || ' new nodes, ' || count(*) FILTER (o AND NOT n) || ' nodes removed' AS summary FROM s GROUP BY repo",
+        "an21_diff_summary": others()["u3_graph_diff"].replace("SELECT *, 'new' AS change", ", dl AS (SELECT *, 'new' AS change") + "), k AS (SELECT repo, count(*) FILTER (part = 'node' AND change = 'new') AS a, count(*) FILTER (part = 'edge' AND change = 'new') AS b, count(*) FILTER (part = 'node' AND change = 'removed') AS c, count(*) FILTER (part = 'edge' AND change = 'removed') AS e FROM dl GROUP BY repo) SELECT repo, a || ' new nodes, ' || b || ' new edges, ' || c || ' nodes removed, ' || e || ' edges removed' AS summary FROM k",
     }

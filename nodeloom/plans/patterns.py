@@ -59,6 +59,7 @@ TRADE = {
     "pr25_exists_flag": ("MATCH (c:Customer) RETURN EXISTS { (c)-[:PLACED]->() } AS placed, count(*) AS n", "SELECT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS placed, count(*) AS n FROM customer GROUP BY 1", {}),
     "j14_theta": ("MATCH (a:Region), (b:Region) WHERE a.name < b.name RETURN a.name AS a, b.name AS b", "SELECT x.r_name AS a, y.r_name AS b FROM region x, region y WHERE x.r_name < y.r_name", {}),
     "j15_cartesian": ("MATCH (a:Region), (b:Nation) RETURN a.name AS a, b.name AS b", "SELECT r_name AS a, n_name AS b FROM region, nation", {}),
+    "j10_null_start": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o {status: 'P'}) MATCH (o)-[:CONTAINS]->(p) RETURN c.id AS c, count(*) AS n", "SELECT 'customer:' || o_custkey AS c, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY o_custkey", {}),
     "j10_rebinding": ("MATCH (n:Nation {id: 'nation:3'}) MATCH (n)-[:IN_REGION]->(r) RETURN n.name AS n, r.name AS r", "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey = 3", {}),
     "j6_var_length": (
         "MATCH (r:Region {id: 'region:1'})<-[rs*1..2]-(x) RETURN x.id AS id, size(rs) AS hops",
@@ -146,6 +147,8 @@ TRADE = {
     "f3_head_last": ("UNWIND [[3, 1], [7]] AS l RETURN head(l) AS h, last(l) AS t, head(l[5..]) AS e", "SELECT 3 AS h, 1 AS t, NULL::BIGINT AS e UNION ALL SELECT 7, 7, NULL", {}),
 }
 CODE = {
+    "sc5_display_label": ("MATCH (n {node_label: 'render_lexer'}) RETURN n.id AS id, n.kind AS kind", "SELECT id, kind FROM cn WHERE node_label = 'render_lexer'", {}),
+    "sc6_one_file": ("MATCH (n) WHERE n.source_file = 'planner/parser_362.go' RETURN n.id AS id", "SELECT id FROM cn WHERE source_file = 'planner/parser_362.go'", {}),
     "cq_calls": ("MATCH (a:Function)-[:CALLS]->(b) RETURN a.id AS caller, b.id AS callee", "SELECT a.id AS caller, e.dst AS callee FROM ce e JOIN cn a ON a.id = e.src WHERE a.label = 'Function' AND e.type = 'CALLS'", {}),
     "cq_labels": ("MATCH (n) RETURN labels(n)[0] AS label, n.lang AS lang, count(*) AS n", "SELECT label, lang, count(*) AS n FROM cn GROUP BY ALL", {}),
     "cq_types": ("MATCH (a)-[r]->(b) RETURN type(r) AS type, count(*) AS n, avg(r.weight) AS weight", "SELECT type, count(*) AS n, round(avg(weight), 6) AS weight FROM ce GROUP BY type", {"weight": 6}),

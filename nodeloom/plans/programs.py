@@ -135,6 +135,11 @@ def sd3_behavior(spark, d):
     return cm.behavior(old, new, before, after)
 
 
+def sd10_risk(spark, d):
+    """Risk of each repository's change from its first to its last version."""
+    return hi.risk(hi.risk_factors(_compared(spark, d), F.substring_index("symbol_id", "@", -1)), "version")
+
+
 def sk13_sarif(spark, d):
     """The results of the log, read back."""
     n = table(spark, d, "snapshot_nodes").groupBy("id", "repo").agg(F.min("source_file").alias("source_file"), F.min("start_line").alias("start_line"))
@@ -177,7 +182,9 @@ def oracle_sql() -> dict[str, str]:
       ts AS (SELECT DISTINCT target || '@' || repo AS sym FROM snapshot_links JOIN bv USING (repo, version_no) WHERE kind = 'tests' AND target IS NOT NULL), kn AS (SELECT fi.*, coalesce(n, 0) AS consumers, sym IN (SELECT sym FROM ts) AS tested FROM fi LEFT JOIN cn USING (sym)),
       al AS (SELECT * FROM kn UNION ALL SELECT DISTINCT sym, 'verification_gap', 'not_applicable', consumers, tested FROM kn WHERE NOT tested),
       re AS (SELECT sym AS symbol_id, finding, compatibility, consumers, tested, CASE finding {' '.join(f"WHEN '{k}' THEN {v}" for k, v in hi.PRIORITY.items())} END + least(consumers, 100) AS priority FROM al) """
+    points = " + ".join(f"least({c} * {hi.RISK[k][0]}, {hi.RISK[k][1]})" for k, c in (("public_contract_change", "count(*) FILTER (finding = 'contract' AND compatibility IN ('proven_break', 'possible_break'))"), ("affected_consumer", "coalesce(sum(consumers) FILTER (finding <> 'verification_gap'), 0)"), ("verification_gap", "count(*) FILTER (finding = 'verification_gap')"), ("incomplete_evidence", "count(*) FILTER (compatibility = 'indeterminate')")))
     return {
+        "sd10_risk": compared + f", sc AS (SELECT split_part(symbol_id, '@', -1) AS version, least({points}, 100)::BIGINT AS score FROM re GROUP BY 1) SELECT version, score, CASE WHEN score <= 19 THEN 'low' WHEN score <= 44 THEN 'moderate' WHEN score <= 69 THEN 'high' ELSE 'critical' END AS band FROM sc",
         "sd1_findings": compared + "SELECT * FROM re",
         "sd2_contracts": compared + "SELECT sym AS symbol_id, c AS compatibility FROM ct WHERE c IS NOT NULL",
         "sd3_behavior": compared + "SELECT sym AS symbol_id, verdict, gained, lost FROM bh",

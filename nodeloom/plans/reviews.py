@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import history as hi
 from ..graph import code_graph, evidence_graph
 from ..operators import analytics as an
+from ..operators import cleaning as cl
 from ..operators import review as rv
 from ..operators import traverse as tr
 from ..runtime import table
@@ -19,12 +20,14 @@ def g7_phantoms(spark, d):
 
 
 def g9_hyperedges(spark, d):
-    """Diagnostics that name several related nodes, as n-ary relations."""
-    raw = table(spark, d, "graph_nodes").select("id", F.from_json(F.get_json_object("attributes", "$.diagnostics[0].relatedIds"), "array<string>").alias("members"))
+    """Every diagnostic that names related nodes, as an n-ary relation; merged nodes stand for each other."""
+    listed = lambda c: F.when(c.startswith("["), F.from_json(c, "array<string>")).when(c.startswith("{"), F.array(c))
+    text = F.from_json("attributes", "diagnostics string")["diagnostics"]
+    each = table(spark, d, "graph_nodes").select("id", text.alias("t")).distinct().select("id", F.posexplode(listed(F.col("t"))).alias("k", "x"))
     none = F.lit(None).cast("array<string>")
+    raw = each.select(F.concat_ws("#", "id", "k").alias("id"), none.alias("nodes"), F.from_json(F.get_json_object("x", "$.relatedIds"), "array<string>").alias("members"), none.alias("node_ids")).where("members is not null").distinct()
     g = code_graph(spark, d)
-    raw = raw.where("members is not null").distinct().select("id", none.alias("nodes"), "members", none.alias("node_ids"))
-    out = rv.hyperedges(raw, spark.createDataFrame([], "id string, winner string"), g.nodes)
+    out = rv.hyperedges(raw, cl.exact_merges(g.nodes), g.nodes)
     return out.select("id", F.array_join("members", ",").alias("members"))
 
 
@@ -107,6 +110,11 @@ def oracle_sql() -> dict[str, str]:
     from ..text.tokens import canonical_sql
 
     return {
+        "g9_hyperedges": others()["g12_exact_merges"].rsplit(" SELECT ", 1)[0] + ", mg AS (SELECT " + others()["g12_exact_merges"].rsplit(" SELECT ", 1)[1] + """),
+          d0 AS (SELECT DISTINCT id, CASE WHEN json_valid(attributes) THEN attributes->'$.diagnostics' END AS d FROM (SELECT DISTINCT id, attributes FROM graph_nodes)), d1 AS (SELECT id, CASE WHEN json_type(d) = 'VARCHAR' AND json_valid(d->>'$') THEN (d->>'$')::JSON ELSE d END AS d FROM d0),
+          d2 AS (SELECT id, CASE WHEN json_type(d) = 'ARRAY' THEN json_extract(d, '$[*]') WHEN json_type(d) = 'OBJECT' THEN [d] ELSE [] END AS ds FROM d1), d3 AS (SELECT DISTINCT id || '#' || (k - 1) AS hid, (ds[k]->>'$.relatedIds[*]') AS ms FROM (SELECT id, ds, unnest(range(1, len(ds) + 1)) AS k FROM d2)),
+          d4 AS (SELECT hid, ms, unnest(range(1, len(ms) + 1)) AS j FROM d3), d5 AS (SELECT hid, ms[j] AS m, min(j) AS j FROM d4 GROUP BY ALL), d6 AS (SELECT hid, coalesce(winner, m) AS m, j FROM d5 LEFT JOIN mg ON mg.id = m)
+          SELECT hid AS id, string_agg(m, ',' ORDER BY j) AS members FROM d6 WHERE m IN (SELECT id FROM cn) GROUP BY hid HAVING count(*) >= 2""",
         "g7_phantoms": CODE_SQL + f"SELECT eid, src, dst, type FROM ce JOIN cn x ON x.id = src JOIN cn y ON y.id = dst WHERE type IN ('CALLS', 'REFERENCES') AND x.repo IS NOT NULL AND y.repo IS NOT NULL AND {fam('x.lang')} <> {fam('y.lang')}",
         "g11_quarantine": "SELECT id, CASE WHEN id = '' THEN 'no id' WHEN kind IS NULL OR NOT regexp_matches(lower(kind), '^[a-z][a-z0-9_]*$') THEN 'unknown kind' WHEN s > end_line THEN 'lines reversed' WHEN s < 0 THEN 'negative line' END AS reason FROM (SELECT *, start_line + CASE WHEN contains(id, 'parser') THEN 100000 ELSE 0 END AS s FROM graph_nodes) WHERE id = '' OR kind IS NULL OR NOT regexp_matches(lower(kind), '^[a-z][a-z0-9_]*$') OR s > end_line OR s < 0",
         "ir4_call_resolution": CODE_SQL + ", k AS (SELECT id, min(target) AS t, bool_or(is_deferred) AS d FROM graph_links WHERE lower(trim(kind)) = 'calls' AND target IS NOT NULL GROUP BY id) SELECT k.id, CASE WHEN cn.id IS NULL THEN 'unresolved' WHEN d THEN 'inferred' ELSE 'resolved' END AS resolution FROM k LEFT JOIN cn ON cn.id = t",

@@ -195,16 +195,16 @@ def sd8_changed_files(spark, d):
     return hi.changed_files(files, paths)
 
 
-def sd10_risk(spark, d):
-    c = hi.structural_changes(table(spark, d, "snapshot_nodes"), table(spark, d, "graph_versions"))
-    factor = F.when(F.col("change_kind") == "changed", "public_contract_change").when(F.col("change_kind") == "removed", "affected_consumer").otherwise("verification_gap")
-    per = c.withColumns({"version": F.concat_ws("@", "repo", "version_no"), "factor": factor}).groupBy("version", "factor").agg((F.count(F.lit(1)) / 40).cast("bigint").alias("n"))
-    return hi.risk(per, "version")
+def sd8_impact(spark, d):
+    """Nodes and communities that the changed files touch, each file counted once."""
+    n = code_graph(spark, d).nodes.where("source_file is not null")
+    return hi.change_impact(n, sd8_changed_files(spark, d))
 
 
 def m1_feedback(spark, d):
     outcome = F.when(F.col("event_type") == "purchase", "useful").when(F.col("event_type") == "error", "dead_end").otherwise(F.col("event_type"))
-    return hi.feedback(table(spark, d, "events").select(F.col("user_id").alias("subject"), outcome.alias("outcome"), F.col("ts").alias("at")), "2025-01-01")
+    got = hi.feedback(table(spark, d, "events").select(F.col("user_id").alias("subject"), outcome.alias("outcome"), F.col("ts").alias("at")), "2025-01-01")
+    return got.withColumn("score", F.round("score", 6))
 
 
 def st2_sessions(spark, d):
@@ -269,6 +269,21 @@ def oracle_sql() -> dict[str, str]:
     node_cols, link_cols = ("kind", "node_label"), ("source", "target", "kind", "weight", "context")
     risk_points = "CASE factor " + " ".join(f"WHEN '{k}' THEN least(n * {a}, {b})" for k, (a, b) in hi.RISK.items()) + " END"
     return {
+        "r3_full_scan": CODE_SQL + f""", dc0 AS (SELECT id, {norm.format("coalesce(node_label, '')")} AS name, lower(coalesce(source_file, '')) AS file FROM cn), qq AS (SELECT query_id, list_distinct({_terms('text')}) AS ts FROM {q}), qt0 AS (SELECT query_id, len(ts) AS k, array_to_string(ts, ' ') AS whole, unnest(ts) AS term FROM qq),
+          df0 AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT term FROM qt0) JOIN dc0 ON contains(name, term) GROUP BY term), h0 AS (SELECT query_id, k, whole, qt0.term, id, name, file, ln(1 + (SELECT count(*) FROM dc0) / (1 + coalesce(df, 0))) AS w FROM qt0 LEFT JOIN df0 ON df0.term = qt0.term JOIN dc0 ON contains(name, qt0.term) OR contains(file, qt0.term)),
+          t0 AS (SELECT *, CASE WHEN name = term THEN 1000.0 WHEN starts_with(name, term) THEN 100.0 ELSE 0.0 END AS tier FROM h0),
+          p0 AS (SELECT query_id, id, name, any_value(k) AS k, any_value(whole) AS whole, sum(tier * w) AS tiers, sum((CASE WHEN tier = 0 AND contains(name, term) THEN 1.0 ELSE 0.0 END + CASE WHEN contains(file, term) THEN 0.5 ELSE 0.0 END) * w) AS flat, count(*) FILTER (contains(name, term)) AS matched, greatest(1.0, max(w)) AS weight FROM t0 GROUP BY query_id, id, name),
+          s0 AS (SELECT query_id, id, name, round(CASE WHEN name = whole THEN 10000.0 * weight WHEN starts_with(name, whole) THEN 1000.0 * weight ELSE 0.0 END + flat + tiers * (matched / k) ** 2, 6) AS score FROM p0)
+          SELECT query_id, id, score, place AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(name), id) AS place FROM s0) WHERE place <= 20""",
+        "g16_resolved_calls": CODE_SQL + """, ca AS (SELECT DISTINCT l.id AS call_id, regexp_extract(l.target, '^[^:]*:(.*)_[^_]*$', 1) AS name, n.repo AS scope, n.source_file AS file FROM graph_links l JOIN cn n ON n.id = l.source WHERE lower(trim(l.kind)) = 'calls' AND l.target IS NOT NULL AND l.target NOT IN (SELECT id FROM cn)),
+          de AS (SELECT DISTINCT node_label AS name, repo AS scope, id, source_file AS file, coalesce(regexp_matches(source_file, '(^|/)tests?/|_test[.]|test_'), false) AS test FROM cn WHERE node_label IS NOT NULL),
+          nm AS (SELECT name, scope, count(*) AS n, min(id) AS one, count(*) FILTER (NOT test) AS np, min(id) FILTER (NOT test) AS plain FROM de GROUP BY ALL), fi AS (SELECT name, scope, file, count(*) AS nf, min(id) AS same FROM de WHERE file IS NOT NULL GROUP BY ALL),
+          dp AS (SELECT name, scope, id, unnest(range(len(string_split(file, '/')))) AS depth, string_split(file, '/') AS ps FROM de WHERE file IS NOT NULL), df AS (SELECT name, scope, array_to_string(ps[1:depth], '/') AS folder, count(*) AS nn, min(id) AS near FROM dp GROUP BY ALL),
+          cp AS (SELECT call_id, name, scope, unnest(range(len(string_split(file, '/')))) AS depth, string_split(file, '/') AS ps FROM ca WHERE file IS NOT NULL),
+          ne AS (SELECT call_id, arg_max(nn, depth) AS nn, arg_max(near, depth) AS near FROM cp JOIN df ON df.name = cp.name AND df.scope = cp.scope AND df.folder = array_to_string(cp.ps[1:cp.depth], '/') GROUP BY call_id)
+          SELECT ca.call_id, CASE WHEN n = 1 THEN one WHEN np = 1 THEN plain WHEN nf = 1 THEN same WHEN nn = 1 THEN near END AS target, CASE WHEN n IS NULL THEN 'unknown' WHEN n = 1 THEN 'unique' WHEN np = 1 THEN 'not_test' WHEN nf = 1 THEN 'same_file' WHEN nn = 1 THEN 'nearest' ELSE 'ambiguous' END AS how
+          FROM ca LEFT JOIN nm ON nm.name = ca.name AND nm.scope = ca.scope LEFT JOIN fi ON fi.name = ca.name AND fi.scope = ca.scope AND fi.file = ca.file LEFT JOIN ne ON ne.call_id = ca.call_id""",
+        "sd8_impact": CODE_SQL + ", f AS (SELECT DISTINCT source_file FROM cn WHERE source_file IS NOT NULL), p AS (SELECT split_part(source_file, '/', -1) AS path FROM f WHERE contains(split_part(source_file, '/', -1), '_1') UNION SELECT 'src/main/' || source_file FROM f WHERE contains(source_file, '_2')), m AS (SELECT DISTINCT source_file FROM p, f WHERE path = source_file OR ends_with(path, '/' || source_file) OR ends_with(source_file, '/' || path)) SELECT community_id AS community, count(*) AS nodes, count(DISTINCT source_file) AS files FROM cn JOIN m USING (source_file) GROUP BY community_id",
         "st5_reconciled": """WITH v AS (SELECT repo, min(version_no) AS lo, max(version_no) AS hi FROM graph_versions GROUP BY repo),
           s AS (SELECT id || '@' || repo AS key, version_no = lo AS old, row(kind, node_label, source_file) AS body FROM snapshot_nodes JOIN v USING (repo) WHERE id IS NOT NULL AND version_no IN (lo, hi) QUALIFY row_number() OVER (PARTITION BY repo, version_no, id ORDER BY delivered_at DESC, kind DESC) = 1),
           a AS (SELECT * FROM s WHERE old), b AS (SELECT * FROM s WHERE NOT old) SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'remove' WHEN a.key IS NULL THEN 'add' ELSE 'update' END AS action FROM a FULL JOIN b ON a.key = b.key WHERE a.body IS DISTINCT FROM b.body OR a.key IS NULL OR b.key IS NULL""",
@@ -322,7 +337,6 @@ def oracle_sql() -> dict[str, str]:
         "h8_trend": "WITH s AS (SELECT DISTINCT repo, version_no, id FROM snapshot_nodes), m AS (SELECT repo, max(version_no) AS newest FROM s GROUP BY repo) SELECT repo, id, min(version_no) AS first_seen, max(version_no) AS last_seen, count(*) AS n, max(version_no) = any_value(newest) AS active FROM s JOIN m USING (repo) GROUP BY repo, id",
         "sd4_invalidated": meaning("snapshot_nodes", node_cols).replace("WITH c", "WITH RECURSIVE c", 1) + ", ca AS (SELECT DISTINCT source AS src, target AS dst FROM snapshot_links WHERE kind = 'calls' AND source IS NOT NULL AND target IS NOT NULL), r(id, depth) AS (SELECT DISTINCT id, 0 FROM c WHERE change_kind IS NOT NULL UNION SELECT src, depth + 1 FROM r JOIN ca ON dst = r.id WHERE depth < 64) SELECT id, min(depth) AS depth FROM r GROUP BY id",
         "sd8_changed_files": CODE_SQL + ", f AS (SELECT DISTINCT source_file FROM cn WHERE source_file IS NOT NULL), p AS (SELECT split_part(source_file, '/', -1) AS path FROM f WHERE contains(split_part(source_file, '/', -1), '_1') UNION SELECT 'src/main/' || source_file FROM f WHERE contains(source_file, '_2')) SELECT DISTINCT path AS changed, source_file FROM p, f WHERE path = source_file OR ends_with(path, '/' || source_file) OR ends_with(source_file, '/' || path)",
-        "sd10_risk": meaning("snapshot_nodes", node_cols) + f", fa AS (SELECT concat_ws('@', repo, version_no) AS version, CASE change_kind WHEN 'changed' THEN 'public_contract_change' WHEN 'removed' THEN 'affected_consumer' ELSE 'verification_gap' END AS factor, count(*) // 40 AS n FROM c WHERE change_kind IS NOT NULL GROUP BY ALL), s AS (SELECT version, least(sum({risk_points}), 100)::BIGINT AS score FROM fa GROUP BY version) SELECT version, score, CASE WHEN score <= 19 THEN 'low' WHEN score <= 44 THEN 'moderate' WHEN score <= 69 THEN 'high' ELSE 'critical' END AS band FROM s",
         "m1_feedback": "WITH w AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS s, pow(0.5, greatest((epoch_us(TIMESTAMP '2025-01-01') - epoch_us(ts)) / 86400e6, 0) / 30) AS d FROM events), g AS (SELECT user_id, round(sum(s * d), 6) AS score, count(*) FILTER (s > 0) AS p, count(*) FILTER (s < 0) AS n FROM w GROUP BY user_id) SELECT user_id AS subject, score, CASE WHEN p > 0 AND n > 0 THEN 'contested' WHEN p >= 2 THEN 'preferred' WHEN p > 0 THEN 'tentative' WHEN n > 0 THEN 'avoid' ELSE 'neutral' END AS status FROM g",
         "st2_sessions": """WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE ts IS NOT NULL),
           w(user_id, k, first, last) AS (SELECT user_id, k, ts, ts FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, CASE WHEN e.ts >= w.last + INTERVAL 1 HOUR OR e.ts >= w.first + INTERVAL 5 HOUR THEN e.ts ELSE w.first END, e.ts FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1),

@@ -130,3 +130,27 @@ def test_edge_betweenness_from_all_nodes(spark, monkeypatch):
     assert {r.id: r.score for r in structure.an13_betweenness(spark, "").collect() if r.score} == {f"{i:02}": round(2.0 * i * (n - 1 - i) / ((n - 1) * (n - 2)), 12) for i in range(1, n - 1)}
     few = {r.id: r.score for r in an.node_betweenness(an.simple_edges(g), exact=5, sources=4).collect()}
     assert len(few) == n and few["00"] == 0 and 0 < max(few.values()) <= 1
+
+
+def test_trails_from_both_ends(spark):
+    """Shortest paths of many pairs at once, through hubs, against a breadth-first search of each."""
+    import random
+
+    rng = random.Random(3)
+    n = 60
+    edges = {(f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}") for _ in range(90)} | {("hub", f"n{i:02}") for i in range(0, n, 3)} | {(f"n{i:02}", "hub") for i in range(1, n, 7)} | {(f"c{i}", f"c{i + 1}") for i in range(12)}
+    g = graph(spark, [(a, b, "CALLS") for a, b in sorted(edges)])
+    ids = sorted({x for e in edges for x in e})
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(60)] + [("c0", "c8"), ("c0", "c9"), ("c3", "c3"), ("n00", "nowhere"), ("c5", "c1")]
+    frame = spark.createDataFrame([*pairs, ("c0", None)], "a string, b string")
+    for direction in ("out", "both"):
+        step = {}
+        for a, b in edges:
+            step.setdefault(a, set()).add(b)
+            if direction == "both":
+                step.setdefault(b, set()).add(a)
+        got = {(r.a, r.b): (r.hops, r.path) for r in tr.trails(g, frame, direction=direction).collect()}
+        assert got.keys() == set(pairs)
+        for (a, b), (hops, path) in got.items():
+            assert hops == reached(step, a).get(b), (a, b)
+            assert path is None if hops is None else (path[0], path[-1], len(path)) == (a, b, hops + 1) and all(y in step[x] for x, y in zip(path, path[1:]))
