@@ -167,9 +167,9 @@ def _between(df: DataFrame, at: str, lo, hi) -> DataFrame:
     return df
 
 
-def ledger_of(links, nodes, shared, snapshot_links, snapshot_nodes, versions, cuts: tuple = ()) -> OrphanLedger:
+def ledger_of(links, nodes, shared, snapshot_links, snapshot_nodes, versions, cuts: tuple = (), buckets: int = 16) -> OrphanLedger:
     """The ledger after delivering all tables in ``len(cuts) + 1`` steps split by arrival time."""
-    ledger = OrphanLedger.empty(links.sparkSession)
+    ledger = OrphanLedger.empty(links.sparkSession, buckets)
     edges = [None, *sorted(cuts), None]
     for lo, hi in zip(edges, edges[1:]):
         references = link_references(_between(links, "ingested_at", lo, hi)).unionByName(snapshot_references(_between(snapshot_links, "delivered_at", lo, hi), versions))
@@ -178,6 +178,11 @@ def ledger_of(links, nodes, shared, snapshot_links, snapshot_nodes, versions, cu
     return ledger
 
 
+def buckets_for(rows: int, each: int = 1_000_000) -> int:
+    """Buckets of about ``each`` references, so that small ledgers do not write many small files."""
+    return min(4096, max(4, -(-rows // each)))
+
+
 def middle_of(links: DataFrame) -> tuple:
     """One cut halfway through the arrival times of ``links`` (none if there are none)."""
     lo, hi = links.agg(F.min("ingested_at"), F.max("ingested_at")).first()

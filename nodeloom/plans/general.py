@@ -87,8 +87,9 @@ def p4_joined(spark, d):
 
 def _ledger(spark, d, cuts):
     t = lambda n: table(spark, d, n)
-    links = t("graph_links")
-    return references.ledger_of(links, t("graph_nodes"), t("shared_nodes"), t("snapshot_links"), t("snapshot_nodes"), t("graph_versions"), cuts=references.middle_of(links) if cuts else ())
+    links, snapshots = t("graph_links"), t("snapshot_links")
+    buckets = references.buckets_for(2 * (links.count() + snapshots.count()))  # counts come from the files' footers
+    return references.ledger_of(links, t("graph_nodes"), t("shared_nodes"), snapshots, t("snapshot_nodes"), t("graph_versions"), cuts=references.middle_of(links) if cuts else (), buckets=buckets)
 
 
 def p6_found(spark, d):
