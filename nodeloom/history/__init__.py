@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.json import projected_json
-from ..operators.snapshots import snapshot_changes
+from ..operators.snapshots import content_hash, snapshot_changes
 
 #: Points per finding and their cap, by factor.
 RISK = {
@@ -59,9 +59,15 @@ def delta_summary(delta: DataFrame) -> DataFrame:
     return delta.groupBy("repo").agg(words.alias("summary"))
 
 
-def sharing(snapshots: DataFrame, versions: DataFrame, content: list[str]) -> DataFrame:
-    """(repo, version_no, shared, total): records that the version before also holds unchanged."""
-    last = snapshots.groupBy("repo", "version_no", "id").agg(F.max_by(F.xxhash64(*[x for c in content for x in (F.col(c), F.col(c).isNull())]), F.col("delivered_at")).alias("h"))
+def sharing(snapshots: DataFrame, versions: DataFrame) -> DataFrame:
+    """(repo, version_no, shared, total): records of each version that the version before also holds unchanged.
+
+    Every column but the delivery counts, JSON by its values; a repository's first version
+    shares nothing.
+    """
+    content = sorted(c for c in snapshots.columns if c not in ("repo", "version_no", "id", "delivered_at"))
+    h = F.struct(F.col("delivered_at").alias("at"), content_hash(snapshots, content, ("attributes",)).alias("h"))
+    last = snapshots.where("id is not null").groupBy("repo", "version_no", "id").agg(F.max(h).alias("r")).select("repo", "version_no", "id", F.col("r.h").alias("h"))
     w = Window.partitionBy("repo").orderBy("version_no")
     order = versions.select("repo", "version_no").distinct().withColumn("before", F.lag("version_no").over(w))
     now = last.join(order, ["repo", "version_no"])

@@ -114,8 +114,13 @@ def community_order(members: DataFrame) -> DataFrame:
 
 
 def community_hubs(graph: PropertyGraph, members: DataFrame) -> DataFrame:
-    """(community, hub): the member of the highest degree, ties to the smaller id."""
-    d = graph.degrees().join(members, "id")
+    """(community, hub, name): the member with the most neighbours, ties to the smaller id.
+
+    Parallel links count once, in whatever direction; a link to itself counts twice.
+    """
+    once = graph.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    degree = once.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    d = members.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     best = d.groupBy("community").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("id").alias("id"))).alias("m"))
     return best.join(graph.nodes.select(F.col("id").alias("hub"), F.col("node_label").alias("name")), F.col("m.id") == F.col("hub")).select("community", "hub", "name")
 

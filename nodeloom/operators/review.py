@@ -118,13 +118,18 @@ def change_class(title: Column) -> Column:
 
 
 def questions(graph: PropertyGraph) -> DataFrame:
-    """(kind, subject, question): bridges between communities, isolated nodes, and hubs without tests."""
+    """(kind, subject, question): ambiguous links, bridges between communities, and isolated nodes."""
     m = an.communities(graph)
     cross = graph.edges.join(m.select(F.col("id").alias("src"), F.col("community").alias("x")), "src").join(m.select(F.col("id").alias("dst"), F.col("community").alias("y")), "dst").where("x != y")
     bridges = cross.groupBy(F.col("src").alias("subject")).agg(F.count_distinct("y").alias("n")).where("n >= 4").select(F.lit("bridge").alias("kind"), "subject", F.concat(F.lit("Why does `"), "subject", F.lit("` connect "), F.col("n"), F.lit(" communities?")).alias("question"))
     d = graph.degrees()
     alone = d.where("degree <= 1").select(F.lit("isolated").alias("kind"), F.col("id").alias("subject"), F.concat(F.lit("What connects `"), "id", F.lit("` to the rest?")).alias("question"))
-    return bridges.unionByName(alone)
+    out = bridges.unionByName(alone)
+    if "confidence" in graph.edges.columns:
+        label = lambda k, c: graph.nodes.select(F.col("id").alias(k), F.coalesce("node_label", F.lit("")).alias(c))
+        doubt = graph.edges.where("confidence = 'AMBIGUOUS'").join(label("src", "x"), "src").join(label("dst", "y"), "dst")
+        out = out.unionByName(doubt.select(F.lit("ambiguous_edge").alias("kind"), F.col("eid").alias("subject"), F.concat(F.lit("What is the exact relationship between `"), "x", F.lit("` and `"), "y", F.lit("`?")).alias("question")))
+    return out
 
 
 def split_large(graph: PropertyGraph, members: DataFrame, least: int = 10, share: float = 0.25, low: float = 0.05, size: int = 50) -> DataFrame:

@@ -189,6 +189,15 @@ def discover(graph: PropertyGraph, seeds: DataFrame, direction: str = "both", ma
     return nodes, edges
 
 
+def bounded(rows: DataFrame, by: str, order: tuple[str, ...], most: int) -> DataFrame:
+    """The first ``most`` rows of each group with ``truncated`` and how many were ``omitted``."""
+    from pyspark.sql import Window
+
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    first = rows.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_k") <= most)
+    return first.join(counts, by).select(*rows.columns, (F.col("_n") > most).alias("truncated"), F.greatest(F.col("_n") - most, F.lit(0)).alias("omitted"))
+
+
 def find_node(nodes: DataFrame, text: str, limit: int = 20) -> DataFrame:
     """Nodes matching a text by tier: source file, exact name, prefix, substring."""
     want, name = text.strip().lower(), F.lower("node_label")

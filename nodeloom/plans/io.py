@@ -225,7 +225,7 @@ def oracle_sql() -> dict[str, str]:
             FROM w JOIN x ON x.suite = w.suite AND x.k = w.k + 1) SELECT suite, item_id, tokens, batch::BIGINT AS batch FROM w""",
         "sk5_graphml": CODE_SQL + f"SELECT 1 AS ord, id AS key, '<node id=\"' || {xml('id')} || '\"><data key=\"label\">' || {xml('coalesce(node_label, id)')} || '</data></node>' AS line FROM cn UNION ALL SELECT 2, eid, '<edge id=\"' || {xml('eid')} || '\" source=\"' || {xml('src')} || '\" target=\"' || {xml('dst')} || '\"><data key=\"relation\">' || lower(type) || '</data></edge>' FROM ce",
         "sk6_cypher": CODE_SQL + f"SELECT 1 AS ord, id AS key, 'MERGE (n:' || label || ' {{id: ' || {quote('id')} || '}}) SET n.label = ' || {quote('coalesce(node_label, id)')} || ';' AS line FROM cn UNION ALL SELECT 2, eid, 'MATCH (a {{id: ' || {quote('src')} || '}}), (b {{id: ' || {quote('dst')} || '}}) MERGE (a)-[:' || type || ']->(b);' FROM ce",
-        "sk9_view_model": CODE_SQL + ", se AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ce WHERE src <> dst), m AS (SELECT id, community_id AS c FROM cn WHERE community_id IS NOT NULL), dg AS (SELECT x AS id, count(*) AS k FROM (SELECT src AS x FROM ce UNION ALL SELECT dst FROM ce) GROUP BY x), i AS (SELECT x.c, count(*) AS k FROM se JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.c = y.c GROUP BY x.c) SELECT m.c AS community, count(*) AS nodes, coalesce(any_value(i.k), 0) AS edges, arg_min(m.id, (-coalesce(dg.k, 0), m.id)) AS hub FROM m LEFT JOIN dg ON dg.id = m.id LEFT JOIN i ON i.c = m.c GROUP BY m.c",
+        "sk9_view_model": CODE_SQL + ", se AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ce WHERE src <> dst), m AS (SELECT id, community_id AS c FROM cn WHERE community_id IS NOT NULL), un AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ce), dg AS (SELECT x AS id, count(*) AS k FROM (SELECT a AS x FROM un UNION ALL SELECT b FROM un) GROUP BY x), i AS (SELECT x.c, count(*) AS k FROM se JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.c = y.c GROUP BY x.c) SELECT m.c AS community, count(*) AS nodes, coalesce(any_value(i.k), 0) AS edges, arg_min(m.id, (-coalesce(dg.k, 0), m.id)) AS hub FROM m LEFT JOIN dg ON dg.id = m.id LEFT JOIN i ON i.c = m.c GROUP BY m.c",
         "sk11_notes": CODE_SQL + "SELECT id AS name, 0 AS ord, '# ' || coalesce(node_label, id) AS line FROM cn UNION ALL SELECT id, 1, 'kind: ' || coalesce(kind, '') FROM cn UNION ALL SELECT DISTINCT src, 2, '- ' || lower(type) || ' [[' || dst || ']]' FROM ce",
         "sk12_report": CODE_SQL + "SELECT 0 AS ord, 'nodes: ' || count(*) AS line FROM cn UNION ALL SELECT 1, 'edges: ' || count(*) FROM ce UNION ALL SELECT 2, '- label ' || label || ': ' || count(*) FROM cn GROUP BY label UNION ALL SELECT 3, '- type ' || type || ': ' || count(*) FROM ce GROUP BY type",
         "st7_ingested": "SELECT id, kind, ingested_at, deleted_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM graph_nodes) WHERE rn = 1",

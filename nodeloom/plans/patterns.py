@@ -176,15 +176,50 @@ def _runner(view, name, source, digits):
 
 def queries() -> dict:
     out = {n: _runner(trade_graph, n, q, d) for n, (q, _, d) in TRADE.items()}
-    return out | {n: _runner(code_graph, n, q, d) for n, (q, _, d) in CODE.items()}
+    return out | {n: _runner(code_graph, n, q, d) for n, (q, _, d) in CODE.items()} | {"sc2_access_paths": sc2_access_paths, "l_refused": l_refused}
 
 
 #: Columns that are 64-bit integers in the language but smaller in SQL.
+#: Queries and the node their patterns start at.
+STARTS = {
+    "MATCH (n {id: 'x'})-->(m) RETURN n.id": ("id",), "MATCH (n:Class) WHERE n.source_file = 'a.py' RETURN n.id": ("source_file",), "MATCH (n {node_label: 'x'}) RETURN n.id": ("display_label",), "MATCH (n:Class) RETURN n.id": ("label",),
+    "MATCH (n)-->(m) RETURN n.id": ("scan",), "MATCH (n:Class) MATCH (n)-->(m) RETURN m.id": ("label", "bound"), "MATCH (n:Class) WHERE n.lang = 'go' AND n.id = 'y' RETURN n.id": ("id",), "MATCH (n:Class) WHERE n.id = 'y' OR n.lang = 'go' RETURN n.id": ("label",),
+}
+#: Queries that the language refuses, and the code of each refusal.
+REFUSED = {
+    "CREATE (n) RETURN n": "CQL1007", "MATCH (n) SET n.x = 1 RETURN n": "CQL1007", "CALL db.labels() YIELD x RETURN x": "CQL1007", "MATCH (n)": "CQL2002", "MATCH (a)-[*]->(b) RETURN a": "CQL3002", "MATCH (a)-[*1..33]->(b) RETURN a": "CQL3002", "RETURN x": "CQL2004", "RETURN foo(1)": "CQL2016",
+    "RETURN sum(*)": "CQL2016", "RETURN 1 AS a, 2 AS a": "CQL2015", "RETURN 1 AS a UNION RETURN 1 AS b": "CQL2014", "MATCH p = shortestPath((a)-[*1..2]->(b)-[*1..2]->(c)) RETURN p": "CQL2020", "RETURN 99999999999999999999": "CQL1009", "RETURN (((": "CQL1002",
+    "MATCH (n) WITH n LIMIT 2 WHERE n.num = 1 RETURN n": "CQL1002", "MATCH (n) WHERE EXISTS { (n)-->(m) WHERE EXISTS { (m)-->() } } RETURN n": "CQL1008", "RETURN $p": "CQL4001", "RETURN 1 LIMIT -1": "CQL4002", "UNWIND 1 AS x RETURN x": "CQL4003", "RETURN 'a' =~ '(?=x)'": "CQL4018",
+}
+
+
+def sc2_access_paths(spark, d):
+    rows = [(q, k, path) for q in STARTS for k, (_, _, path) in enumerate(cql.access_paths(q))]
+    return spark.createDataFrame(rows, "query string, pattern bigint, path string")
+
+
+def l_refused(spark, d):
+    """The code with which each query is refused."""
+    g = code_graph(spark, d)
+
+    def code(q):
+        try:
+            cql.query(g, q)
+        except cql.QueryError as refused:
+            return refused.code
+
+    return spark.createDataFrame([(q, code(q)) for q in REFUSED], "query string, code string")
+
+
 LONGS = {"j6_var_length": "hops", "j7_shortest": "hops", "j11_path": "n", "pr26_unwind": "k", "a1_empty": "n c", "f22_f24_lists": "a b d e f g", "pr11_property": "deep", "pr13_literals": "l", "f2_f15_paths": "n k", "f3_head_last": "h t", "cq_trails": "hops"}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {n: sql for n, (_, sql, _) in TRADE.items() if sql} | {n: CODE_SQL + sql for n, (_, sql, _) in CODE.items()}
+    text = lambda t: "'" + t.replace("'", "''") + "'"
+    starts = ", ".join(f"({text(q)}, {k}::BIGINT, '{path}')" for q, paths in STARTS.items() for k, path in enumerate(paths))
+    refused = ", ".join(f"({text(q)}, '{code}')" for q, code in REFUSED.items())
+    stated = {"sc2_access_paths": f"SELECT * FROM (VALUES {starts}) t(query, pattern, path)", "l_refused": f"SELECT * FROM (VALUES {refused}) t(query, code)"}
+    out = stated | {n: sql for n, (_, sql, _) in TRADE.items() if sql} | {n: CODE_SQL + sql for n, (_, sql, _) in CODE.items()}
     for n, cols in LONGS.items():
         casts = ", ".join(f"{c}::BIGINT AS {c}" for c in cols.split())
         out[n] = f"SELECT * REPLACE ({casts}) FROM ({out[n]})"

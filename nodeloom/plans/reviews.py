@@ -12,6 +12,7 @@ from ..operators import review as rv
 from ..operators import traverse as tr
 from ..runtime import table
 from .patterns import CODE_SQL
+from .structure import CONFIDENCE_SQL
 from .text_history import _tokens
 
 
@@ -89,7 +90,7 @@ def an5_split_communities(spark, d):
 
 
 def an20_questions(spark, d):
-    return rv.questions(code_graph(spark, d))
+    return rv.questions(evidence_graph(spark, d))
 
 
 def queries() -> dict:
@@ -125,5 +126,5 @@ def oracle_sql() -> dict[str, str]:
         "sd9_change_classes": "SELECT doc_id, CASE WHEN regexp_matches(t, '^(fix|bug|hotfix)') THEN 'fix' WHEN regexp_matches(t, '^(feat|add|implement)') THEN 'feature' WHEN regexp_matches(t, '^(refactor|clean|rename|move)') THEN 'refactor' WHEN regexp_matches(t, '^(doc|readme)') THEN 'docs' WHEN regexp_matches(t, '^(test|spec)') THEN 'test' ELSE 'other' END AS class FROM (SELECT doc_id, lower(trim(text)) AS t FROM documents WHERE doc_kind = 'commit')",
         "r6_lexical_score": CODE_SQL + f"SELECT * FROM (SELECT id, round({tier('node_label', rv.NAME)} + {tier('qualified_name', rv.QUALIFIED)} + CASE WHEN {low('id')} = 'render_lexer' THEN {rv.IDENTITY} ELSE 0 END + ({' + '.join(map(hit, terms))}) / 3 * {rv.COVERAGE} + {' + '.join(map(src, terms))}, 6)::DOUBLE AS score FROM cn) WHERE score > 0",
         "q1_search": CODE_SQL + f", k AS (SELECT id, CASE WHEN lower(id) = 'render_lexer' THEN 'exact_id' WHEN {norm} = 'render_lexer' THEN 'exact_name' WHEN list_contains(list_transform({_tokens('node_label')}, lambda t: {canonical_sql('t', 'duckdb')}), 'render_lexer') THEN 'term' WHEN abs(length({norm}) - 12) <= 1 AND levenshtein({norm}, 'render_lexer') <= 1 THEN 'fuzzy' END AS channel FROM cn) SELECT id, channel, CASE channel WHEN 'exact_id' THEN 6 WHEN 'exact_name' THEN 5 WHEN 'term' THEN 3 ELSE 1 END AS priority FROM k WHERE channel IS NOT NULL ORDER BY priority DESC, id LIMIT 200",
-        "an20_questions": CODE_SQL + ", m AS (SELECT id, community_id AS c FROM cn WHERE community_id IS NOT NULL), b AS (SELECT src, count(DISTINCT y.c) AS n FROM ce JOIN m x ON x.id = src JOIN m y ON y.id = dst WHERE x.c <> y.c GROUP BY src HAVING count(DISTINCT y.c) >= 4), dg AS (SELECT x, count(*) AS k FROM (SELECT src AS x FROM ce UNION ALL SELECT dst FROM ce) GROUP BY x) SELECT 'bridge' AS kind, src AS subject, 'Why does `' || src || '` connect ' || n || ' communities?' AS question FROM b UNION ALL SELECT 'isolated', id, 'What connects `' || id || '` to the rest?' FROM cn LEFT JOIN dg ON x = id WHERE coalesce(k, 0) <= 1",
+        "an20_questions": CODE_SQL + CONFIDENCE_SQL + ", m AS (SELECT id, community_id AS c FROM cn WHERE community_id IS NOT NULL), b AS (SELECT src, count(DISTINCT y.c) AS n FROM ce JOIN m x ON x.id = src JOIN m y ON y.id = dst WHERE x.c <> y.c GROUP BY src HAVING count(DISTINCT y.c) >= 4), dg AS (SELECT x, count(*) AS k FROM (SELECT src AS x FROM ce UNION ALL SELECT dst FROM ce) GROUP BY x) SELECT 'bridge' AS kind, src AS subject, 'Why does `' || src || '` connect ' || n || ' communities?' AS question FROM b UNION ALL SELECT 'isolated', id, 'What connects `' || id || '` to the rest?' FROM cn LEFT JOIN dg ON x = id WHERE coalesce(k, 0) <= 1" + " UNION ALL SELECT 'ambiguous_edge', eid, 'What is the exact relationship between `' || coalesce(x.node_label, '') || '` and `' || coalesce(y.node_label, '') || '`?' FROM ce JOIN cf USING (eid) JOIN cn x ON x.id = src JOIN cn y ON y.id = dst WHERE conf = 'AMBIGUOUS'",
     }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..graph import code_graph, evidence_graph, with_index
 from ..operators import analytics as an
 from ..operators import traverse as tr
+from ..query import scoped
 from ..runtime import table
 from .patterns import CODE_SQL
 
@@ -42,7 +43,7 @@ def q4_callees(spark, d):
 
 def q5_impact(spark, d):
     g = code_graph(spark, d)
-    return tr.impact(g, _seeds(g)).select("root", "node", "depth")
+    return tr.impact(g, _seeds(g)).select("root", "node", "depth", "parent", "eid")
 
 
 def q6_explore(spark, d):
@@ -57,7 +58,7 @@ def q7_node_trail(spark, d):
 
 def q10_affected(spark, d):
     g = code_graph(spark, d)
-    return tr.affected(g, _seeds(g, "Class")).select("root", "node", "depth")
+    return tr.affected(g, _seeds(g, "Class")).select("root", "node", "depth", F.lower("type").alias("relation"))
 
 
 def q12_find_node(spark, d):
@@ -98,6 +99,18 @@ def d6_induced_edges(spark, d):
     return tr.discover(g, _seeds(g))[1].select("root", "eid")
 
 
+def o6_bounded(spark, d):
+    """What each interface impacts, at most 20 nodes, and what that leaves out."""
+    g = code_graph(spark, d)
+    return tr.bounded(tr.impact(g, _seeds(g)).select("root", "node", "depth"), "root", ("depth", "node"), 20)
+
+
+def d4_scoped(spark, d):
+    """Nodes and links of one package."""
+    g = scoped(code_graph(spark, d), package="planner")
+    return g.nodes.select(F.lit("node").alias("part"), "id").unionByName(g.edges.select(F.lit("link").alias("part"), F.col("eid").alias("id")))
+
+
 def f14_node_index(spark, d):
     return with_index(code_graph(spark, d).nodes.select("id"), "id")
 
@@ -214,8 +227,11 @@ CONFIDENCE_SQL = """, e0 AS (SELECT id AS eid, CASE WHEN json_valid(attributes)
 _CONF = CONFIDENCE_SQL
 
 
-def _closure(kind, seeds, types, depth, src="dst", dst="src"):
-    return CODE_SQL + f", r(root, node, depth) AS (SELECT root, node, 0 FROM ({seeds}) UNION SELECT r.root, e.{dst}, r.depth + 1 FROM r JOIN ce e ON e.{src} = r.node WHERE r.depth < {depth} AND e.type IN {_types(types)}) SELECT root, node, min(depth) AS depth FROM r GROUP BY root, node"
+def _closure(seeds, types, depth, witness):
+    """Reverse closure to a depth; the witness of a node is the least link among those that reach it from the level above."""
+    return CODE_SQL + f""", r(root, node, depth) AS (SELECT root, node, 0 FROM ({seeds}) UNION SELECT r.root, e.src, r.depth + 1 FROM r JOIN ce e ON e.dst = r.node WHERE r.depth < {depth} AND e.type IN {_types(types)}), m AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY root, node),
+      w AS (SELECT m.root, m.node, arg_min(up.node, e.eid) AS parent, min(e.eid) AS eid, arg_min(lower(e.type), e.eid) AS relation FROM m JOIN ce e ON e.src = m.node AND e.type IN {_types(types)} JOIN m up ON up.root = m.root AND up.node = e.dst AND up.depth = m.depth - 1 GROUP BY m.root, m.node)
+      SELECT m.root, m.node, m.depth, {witness} FROM m LEFT JOIN w ON w.root = m.root AND w.node = m.node"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -229,13 +245,15 @@ def oracle_sql() -> dict[str, str]:
       mi AS (SELECT root, node, min(depth) AS depth FROM al GROUP BY root, node), rk AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS rank FROM mi), nb AS (SELECT root, node, depth FROM rk WHERE rank <= 64)"""
     files = ", fg AS (SELECT DISTINCT a.source_file AS src, b.source_file AS dst FROM ce e JOIN cn a ON a.id = e.src JOIN cn b ON b.id = e.dst WHERE e.type = 'IMPORTS' AND NOT coalesce(e.is_deferred, false) AND a.source_file IS NOT NULL AND b.source_file IS NOT NULL)"
     return {
+        "d4_scoped": CODE_SQL + ", s AS (SELECT id FROM cn WHERE starts_with(source_file, 'planner/')) SELECT 'node' AS part, id FROM s UNION ALL SELECT 'link', eid FROM ce WHERE src IN (SELECT id FROM s) AND dst IN (SELECT id FROM s)",
+        "o6_bounded": _closure("SELECT id AS root, id AS node FROM cn WHERE label = 'Interface'", tr.IMPACT_TYPES, 8, "parent").replace("SELECT m.root, m.node, m.depth, parent FROM", ", al AS (SELECT m.root, m.node, m.depth FROM") + ") SELECT root, node, depth, n > 20 AS truncated, greatest(n - 20, 0) AS omitted FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS k, count(*) OVER (PARTITION BY root) AS n FROM al) WHERE k <= 20",
         "q2_resolve_symbol": CODE_SQL + f", w AS (SELECT DISTINCT node_label AS symbol FROM cn WHERE label = 'Class'), nm AS (SELECT {norm.format('node_label')} AS name, count(*) AS n, min(id) AS named FROM cn GROUP BY 1) SELECT symbol, CASE WHEN symbol IN (SELECT id FROM cn) THEN symbol WHEN n = 1 THEN named END AS id, CASE WHEN symbol IN (SELECT id FROM cn) THEN 'id' WHEN n = 1 THEN 'name' WHEN n > 1 THEN 'ambiguous' ELSE 'unknown' END AS how FROM w LEFT JOIN nm ON nm.name = {norm.format('symbol')}",
         "q3_callers": CODE_SQL + f"SELECT dst AS symbol, src AS neighbour, eid, type FROM ce WHERE type IN {_types(tr.CALLER_TYPES)}",
         "q4_callees": CODE_SQL + "SELECT src AS symbol, dst AS neighbour, eid, type FROM ce WHERE type = 'CALLS'",
-        "q5_impact": _closure("impact", "SELECT id AS root, id AS node FROM cn WHERE label = 'Interface'", tr.IMPACT_TYPES, 8),
+        "q5_impact": _closure("SELECT id AS root, id AS node FROM cn WHERE label = 'Interface'", tr.IMPACT_TYPES, 8, "parent, eid"),
         "q6_explore": CODE_SQL + _PAIRS + _BOTH + walk("bo") + " SELECT pr.a, pr.b, min(depth) AS hops FROM pr LEFT JOIN r ON r.a = pr.a AND r.node = pr.b GROUP BY pr.a, pr.b",
         "q7_node_trail": CODE_SQL + _PAIRS + _BOTH + ", ou AS (SELECT src AS h, dst AS t FROM ce)" + walk("ou") + walk("bo").replace("r(a", "r2(a").replace("FROM r JOIN", "FROM r2 AS r JOIN") + ", x AS (SELECT pr.a, pr.b, min(depth) AS hops FROM pr LEFT JOIN r ON r.a = pr.a AND r.node = pr.b GROUP BY pr.a, pr.b) SELECT a, b, hops, CASE WHEN hops IS NULL AND EXISTS (SELECT 1 FROM r2 WHERE r2.a = x.a AND r2.node = x.b) THEN 'direction_mismatch' END AS diagnostic FROM x",
-        "q10_affected": _closure("affected", "SELECT id AS root, id AS node FROM cn WHERE label = 'Class' UNION SELECT c.id, e.dst FROM cn c JOIN ce e ON e.src = c.id WHERE c.label = 'Class' AND e.type IN ('METHOD', 'CONTAINS')", tr.AFFECTED_TYPES, 8),
+        "q10_affected": _closure("SELECT id AS root, id AS node FROM cn WHERE label = 'Class' UNION SELECT c.id, e.dst FROM cn c JOIN ce e ON e.src = c.id WHERE c.label = 'Class' AND e.type IN ('METHOD', 'CONTAINS')", tr.AFFECTED_TYPES, 8, "relation"),
         "q12_find_node": CODE_SQL + "SELECT * FROM (SELECT id, node_label, source_file, CASE WHEN lower(source_file) = 'parser' THEN 0 WHEN lower(node_label) = 'parser' THEN 1 WHEN starts_with(lower(node_label), 'parser') THEN 2 WHEN contains(lower(node_label), 'parser') THEN 3 END AS tier FROM cn) WHERE tier IS NOT NULL",
         "q14_explain": CODE_SQL + "SELECT id, direction, type, count(*) AS n FROM (SELECT src AS id, 'out' AS direction, type FROM ce UNION ALL SELECT dst, 'in', type FROM ce) GROUP BY ALL",
         "q17_pages": CODE_SQL + """, x AS (SELECT source_file, id, length(qualified_name) AS n, row_number() OVER (PARTITION BY source_file ORDER BY id) AS k FROM cn WHERE source_file IS NOT NULL),
@@ -253,7 +271,7 @@ def oracle_sql() -> dict[str, str]:
         "an6_hubs": CODE_SQL + _SIMPLE + _DEGREE + ", so AS (SELECT list(degree ORDER BY degree) AS ds FROM dg), h AS (SELECT id FROM dg, so WHERE degree > ds[greatest(floor(len(ds) * 0.99)::BIGINT, 1)]), bb AS (SELECT a AS id, b AS o FROM se UNION ALL SELECT b, a FROM se), v AS (SELECT h.id, m.c, count(*) AS n FROM h JOIN bb ON bb.id = h.id JOIN m ON m.id = bb.o WHERE bb.o NOT IN (SELECT id FROM h) GROUP BY ALL) SELECT h.id, arg_min(c, (-n, c)) AS community FROM h LEFT JOIN v ON v.id = h.id GROUP BY h.id",
         "an7_cohesion": CODE_SQL + _SIMPLE + ", s AS (SELECT c, count(*) AS n FROM m GROUP BY c), i AS (SELECT x.c, count(*) AS k FROM se JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.c = y.c GROUP BY x.c) SELECT s.c AS community, n AS size, coalesce(k, 0) AS edges, round(CASE WHEN n <= 1 THEN 1.0 ELSE coalesce(k, 0) / (n * (n - 1) / 2) END, 6) AS cohesion FROM s LEFT JOIN i ON i.c = s.c",
         "an8_community_order": CODE_SQL + _SIMPLE + " SELECT c AS community, count(*) AS size, min(id) AS first, sha256(string_agg(id || chr(0), '' ORDER BY id))[1:16] AS signature, row_number() OVER (ORDER BY count(*) DESC, min(id)) - 1 AS rank FROM m GROUP BY c",
-        "an11_community_hubs": CODE_SQL + _SIMPLE + _DEGREE + ", b AS (SELECT c, arg_min(id, (-degree, id)) AS hub FROM m JOIN dg USING (id) GROUP BY c) SELECT b.c AS community, hub, node_label AS name FROM b JOIN cn ON cn.id = hub",
+        "an11_community_hubs": CODE_SQL + _SIMPLE + ", un AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ce), du AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM un UNION ALL SELECT b FROM un) GROUP BY id), b AS (SELECT c, arg_min(m.id, (-coalesce(degree, 0), m.id)) AS hub FROM m LEFT JOIN du ON du.id = m.id GROUP BY c) SELECT b.c AS community, hub, node_label AS name FROM b JOIN cn ON cn.id = hub",
         "an15_surprises": CODE_SQL
         + _DEGREE
         + _TOPICAL

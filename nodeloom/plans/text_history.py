@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import history as hi
+from ..functions.json import canonical_digest
 from ..graph import code_graph, evidence_graph
 from ..operators import cleaning as cl
 from ..operators import snapshots
@@ -12,7 +13,7 @@ from ..runtime import table
 from ..streaming import debounced, reconcile
 from ..text import rank as rk
 from ..text import tokens as tk
-from .general import snapshot_sql
+from .general import NODE_COLUMNS, json_facts, snapshot_sql
 from .patterns import CODE_SQL
 from .structure import CONFIDENCE_SQL
 
@@ -57,6 +58,21 @@ def t9_similarity(spark, d):
     return p.select("left_id", "right_id", F.round(tk.jaro_score("left_id", "right_id"), 6).alias("jaro"), F.round(tk.jaro_winkler_score("left_id", "right_id"), 6).alias("jaro_winkler"))
 
 
+def t9_damerau(spark, d):
+    p = table(spark, d, "ambiguous_pairs").where("left_id is not null and right_id is not null").select("left_id", "right_id").distinct()
+    return p.select("left_id", "right_id", tk.damerau_distance("left_id", "right_id").alias("edits"))
+
+
+def t13_digests(spark, d):
+    """Groups of equal attributes, by digest of their canonical JSON."""
+    t = table(spark, d, "snapshot_nodes").where("attributes is not null").select("id", canonical_digest("attributes").alias("digest"))
+    return t.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).drop("digest")
+
+
+def w2_best_seed(spark, d):
+    return rk.best_by_scan(code_graph(spark, d).nodes, _questions(spark))
+
+
 def t12_typos(spark, d):
     words = _names(spark, d).select(F.explode(tk.identifier_tokens(F.col("node_label"))).alias("term")).distinct()
     return rk.fuzzy_variants(words, words)
@@ -170,7 +186,7 @@ def h3_change_counts(spark, d):
 
 
 def h4_sharing(spark, d):
-    return hi.sharing(table(spark, d, "snapshot_nodes"), table(spark, d, "graph_versions"), ["kind", "node_label"])
+    return hi.sharing(table(spark, d, "snapshot_nodes"), table(spark, d, "graph_versions"))
 
 
 def h5_ancestry(spark, d):
@@ -269,6 +285,11 @@ def oracle_sql() -> dict[str, str]:
     node_cols, link_cols = ("kind", "node_label"), ("source", "target", "kind", "weight", "context")
     risk_points = "CASE factor " + " ".join(f"WHEN '{k}' THEN least(n * {a}, {b})" for k, (a, b) in hi.RISK.items()) + " END"
     return {
+        "w2_best_seed": CODE_SQL + f""", dc0 AS (SELECT id, {norm.format("coalesce(node_label, '')")} AS name, lower(coalesce(source_file, '')) AS file FROM cn), qq AS (SELECT query_id, list_distinct({_terms('text')}) AS ts FROM {q}), qt0 AS (SELECT query_id, len(ts) AS k, array_to_string(ts, ' ') AS whole, unnest(ts) AS term FROM qq),
+          df0 AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT term FROM qt0) JOIN dc0 ON contains(name, term) GROUP BY term), h0 AS (SELECT query_id, k, whole, qt0.term, id, name, file, ln(1 + (SELECT count(*) FROM dc0) / (1 + coalesce(df, 0))) AS w FROM qt0 LEFT JOIN df0 ON df0.term = qt0.term JOIN dc0 ON contains(name, qt0.term) OR contains(file, qt0.term)),
+          t0 AS (SELECT *, CASE WHEN name = term THEN 1000.0 WHEN starts_with(name, term) THEN 100.0 ELSE 0.0 END AS tier FROM h0) SELECT query_id, term, arg_min(id, (-s, length(name), id)) AS id, max(s) AS score FROM (SELECT query_id, term, id, name, round((tier + CASE WHEN tier = 0 AND contains(name, term) THEN 1.0 ELSE 0.0 END + CASE WHEN contains(file, term) THEN 0.5 ELSE 0.0 END) * w, 6) AS s FROM t0) GROUP BY query_id, term""",
+        "t13_digests": f"WITH {json_facts('snapshot_nodes')}, x AS (SELECT id, coalesce(facts::VARCHAR, attributes) AS f FROM (SELECT *, row_number() OVER () AS rid FROM snapshot_nodes) LEFT JOIN jf USING (rid) WHERE attributes IS NOT NULL) SELECT min(id) AS first, count(*) AS n FROM x GROUP BY f",
+        "t9_damerau": "SELECT left_id, right_id, damerau_levenshtein(left_id, right_id) AS edits FROM (SELECT DISTINCT left_id, right_id FROM ambiguous_pairs WHERE left_id IS NOT NULL AND right_id IS NOT NULL)",
         "r3_full_scan": CODE_SQL + f""", dc0 AS (SELECT id, {norm.format("coalesce(node_label, '')")} AS name, lower(coalesce(source_file, '')) AS file FROM cn), qq AS (SELECT query_id, list_distinct({_terms('text')}) AS ts FROM {q}), qt0 AS (SELECT query_id, len(ts) AS k, array_to_string(ts, ' ') AS whole, unnest(ts) AS term FROM qq),
           df0 AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT term FROM qt0) JOIN dc0 ON contains(name, term) GROUP BY term), h0 AS (SELECT query_id, k, whole, qt0.term, id, name, file, ln(1 + (SELECT count(*) FROM dc0) / (1 + coalesce(df, 0))) AS w FROM qt0 LEFT JOIN df0 ON df0.term = qt0.term JOIN dc0 ON contains(name, qt0.term) OR contains(file, qt0.term)),
           t0 AS (SELECT *, CASE WHEN name = term THEN 1000.0 WHEN starts_with(name, term) THEN 100.0 ELSE 0.0 END AS tier FROM h0),
@@ -332,7 +353,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT 'node' AS part, pid AS id, NULL::VARCHAR AS dst, NULL::VARCHAR AS type FROM t UNION ALL SELECT DISTINCT 'edge', x.pid, CASE WHEN y.repo IS NULL THEN y.id ELSE x.repo || '::' || y.id END, type FROM ce JOIN t x ON x.id = src JOIN t y ON y.id = dst WHERE x.repo IS NOT NULL""",
         "h2_structural_diff": meaning("snapshot_nodes", node_cols) + " SELECT repo, version_no, id, change_kind FROM c WHERE change_kind IS NOT NULL",
         "h3_change_counts": "SELECT 'nodes' AS record_root, * FROM (" + meaning("snapshot_nodes", node_cols) + " SELECT repo, version_no, count(*) FILTER (change_kind = 'added') AS added, count(*) FILTER (change_kind = 'removed') AS removed, count(*) FILTER (change_kind = 'changed') AS changed FROM c WHERE change_kind IS NOT NULL GROUP BY ALL) UNION ALL SELECT 'links', * FROM (" + meaning("snapshot_links", link_cols) + " SELECT repo, version_no, count(*) FILTER (change_kind = 'added'), count(*) FILTER (change_kind = 'removed'), count(*) FILTER (change_kind = 'changed') FROM c WHERE change_kind IS NOT NULL GROUP BY ALL)",
-        "h4_sharing": diff("snapshot_nodes", node_cols) + ", w AS (SELECT l.repo, l.version_no, l.id, l.kind, l.node_label, v.before FROM l JOIN v USING (repo, version_no)) SELECT w.repo, w.version_no, count(o.id) AS shared, count(*) AS total FROM w LEFT JOIN l o ON o.repo = w.repo AND o.version_no = w.before AND o.id = w.id AND o.kind IS NOT DISTINCT FROM w.kind AND o.node_label IS NOT DISTINCT FROM w.node_label GROUP BY ALL",
+        "h4_sharing": f"WITH ch AS ({snapshot_sql('snapshot_nodes', NODE_COLUMNS)}), t AS (SELECT s.repo, s.version_no, count(DISTINCT s.id) AS total FROM snapshot_nodes s JOIN graph_versions v ON v.repo = s.repo AND v.version_no = s.version_no GROUP BY ALL), k AS (SELECT repo, version_no, count(*) AS n FROM ch WHERE change_kind <> 'removed' GROUP BY ALL), f AS (SELECT repo, min(version_no) AS lo FROM graph_versions GROUP BY repo) SELECT t.repo, t.version_no, CASE WHEN t.version_no = lo THEN 0 ELSE total - coalesce(n, 0) END AS shared, total FROM t JOIN f USING (repo) LEFT JOIN k ON k.repo = t.repo AND k.version_no = t.version_no",
         "h5_ancestry": "SELECT repo, version_no, commit_id, lag(commit_id) OVER (PARTITION BY repo ORDER BY version_no) AS parent, row_number() OVER (PARTITION BY repo ORDER BY version_no DESC) AS newest FROM graph_versions",
         "h8_trend": "WITH s AS (SELECT DISTINCT repo, version_no, id FROM snapshot_nodes), m AS (SELECT repo, max(version_no) AS newest FROM s GROUP BY repo) SELECT repo, id, min(version_no) AS first_seen, max(version_no) AS last_seen, count(*) AS n, max(version_no) = any_value(newest) AS active FROM s JOIN m USING (repo) GROUP BY repo, id",
         "sd4_invalidated": meaning("snapshot_nodes", node_cols).replace("WITH c", "WITH RECURSIVE c", 1) + ", ca AS (SELECT DISTINCT source AS src, target AS dst FROM snapshot_links WHERE kind = 'calls' AND source IS NOT NULL AND target IS NOT NULL), r(id, depth) AS (SELECT DISTINCT id, 0 FROM c WHERE change_kind IS NOT NULL UNION SELECT src, depth + 1 FROM r JOIN ca ON dst = r.id WHERE depth < 64) SELECT id, min(depth) AS depth FROM r GROUP BY id",

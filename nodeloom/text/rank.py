@@ -65,18 +65,11 @@ def seeds(ranked: DataFrame, nodes: DataFrame, gap: float = 0.5, most: int = 3)
     return near.withColumn("seed", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("bigint")).where(F.col("seed") <= most).select("query_id", "id", "seed")
 
 
-def full_scan(nodes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """(query_id, id, score, rank) by exact, prefix and substring tiers of every node's name.
-
-    Per term: exact 1000, prefix 100, substring 1, in the source file 0.5, each times
-    ln(1 + N / (1 + df)); the tiers are scaled by the squared share of matched terms, and a
-    name that matches the whole question counts ten times. Queries are a stated set; their
-    terms meet the nodes through a join on nothing, as every node is scored.
-    """
+def _scanned(nodes: DataFrame, queries: DataFrame) -> tuple[DataFrame, F.Column, F.Column, F.Column]:
+    """Every (query_id, term, id, name) that a term of a question hits, with its weight, its tier and its plain points."""
     name = tk.normalize_label(F.col("node_label"))
     docs = nodes.select("id", name.alias("name"), F.lower(F.coalesce("source_file", F.lit(""))).alias("file"))
     terms = queries.select("query_id", F.explode(F.array_distinct(tk.query_terms(F.col("text")))).alias("term"))
-    asked = queries.select("query_id", F.array_distinct(tk.query_terms(F.col("text"))).alias("ts")).select("query_id", F.size("ts").alias("k"), F.array_join("ts", " ").alias("whole"))
     n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     rows = terms.select("term").distinct().collect()  # a question has a handful of terms
     found = [F.when(F.contains(F.col("name"), F.lit(r.term)) | F.contains(F.col("file"), F.lit(r.term)), F.lit(r.term)) for r in rows]
@@ -85,7 +78,28 @@ def full_scan(nodes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFram
     w = F.ln(1 + n / (1 + F.coalesce("df", F.lit(0))))
     tier = F.when(F.col("name") == F.col("term"), EXACT).when(F.startswith("name", "term"), PREFIX).otherwise(0.0)
     inner = F.when((tier == 0) & F.contains("name", "term"), SUBSTRING).otherwise(0.0) + F.when(F.contains("file", "term"), SOURCE).otherwise(0.0)
-    per = terms.join(hit, "term").join(df, "term", "left").groupBy("query_id", "id", "name").agg(F.sum(tier * w).alias("tiers"), F.sum(inner * w).alias("flat"), F.count_if(F.contains("name", "term")).alias("matched"), F.greatest(F.lit(1.0), F.max(w)).alias("weight"))
+    return terms.join(hit, "term").join(df, "term", "left"), w, tier, inner
+
+
+def best_by_scan(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, term, id, score): the best node of each term by the scan's tiers, ties to shorter names, then ids."""
+    hits, w, tier, inner = _scanned(nodes, queries)
+    scored = hits.select("query_id", "term", "id", F.length("name").alias("size"), F.round((tier + inner) * w, 6).alias("score"))
+    best = scored.groupBy("query_id", "term").agg(F.min(F.struct((-F.col("score")).alias("s"), "size", "id")).alias("m"))
+    return best.select("query_id", "term", F.col("m.id").alias("id"), (-F.col("m.s")).alias("score"))
+
+
+def full_scan(nodes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, id, score, rank) by exact, prefix and substring tiers of every node's name.
+
+    Per term: exact 1000, prefix 100, substring 1, in the source file 0.5, each times
+    ln(1 + N / (1 + df)); the tiers are scaled by the squared share of matched terms, and a
+    name that matches the whole question counts ten times. Queries are a stated set; their
+    terms meet the nodes through a join on nothing, as every node is scored.
+    """
+    asked = queries.select("query_id", F.array_distinct(tk.query_terms(F.col("text"))).alias("ts")).select("query_id", F.size("ts").alias("k"), F.array_join("ts", " ").alias("whole"))
+    hits, w, tier, inner = _scanned(nodes, queries)
+    per = hits.groupBy("query_id", "id", "name").agg(F.sum(tier * w).alias("tiers"), F.sum(inner * w).alias("flat"), F.count_if(F.contains("name", "term")).alias("matched"), F.greatest(F.lit(1.0), F.max(w)).alias("weight"))
     whole = F.when(F.col("name") == F.col("whole"), EXACT * 10 * F.col("weight")).when(F.startswith("name", "whole"), PREFIX * 10 * F.col("weight")).otherwise(0.0)
     score = F.round(whole + F.col("flat") + F.col("tiers") * (F.col("matched") / F.col("k")) ** 2, 6)
     out = per.join(asked, "query_id").select("query_id", "id", score.alias("score"), F.length("name").alias("size"))

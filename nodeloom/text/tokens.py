@@ -260,6 +260,11 @@ def jaro_winkler_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) * 100 for x, y in zip(a, b)])
 
 
+@F.pandas_udf(T.LongType())
+def damerau_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else damerau_levenshtein(x, y) for x, y in zip(a, b)], dtype="Int64")
+
+
 def idf(n: Column, df: Column) -> Column:
     """Inverse document frequency of the ranking: ln((N - df + 0.5) / (df + 0.5) + 1)."""
     return F.ln((n - df + 0.5) / (df + 0.5) + 1)
