@@ -56,7 +56,7 @@ def test_structural_queries_reach_the_default_depth(spark, data):
             back.setdefault(b, set()).add(a)
     roots = [r.id for r in g.nodes.where("label = 'Interface'").select("id").collect()]
     want = {(r, n, k) for r in roots for n, k in reached(back, r).items()}
-    assert {tuple(r) for r in structure.q5_impact(spark, data).collect()} == want and max(k for _, _, k in want) > 3
+    assert {(r.root, r.node, r.depth) for r in structure.q5_impact(spark, data).collect()} == want and max(k for _, _, k in want) > 3
     firm = {r.eid: r.confidence or "EXTRACTED" for r in evidence_graph(spark, data).edges.collect()}
     least = {}
     for r in sorted(g.edges.collect(), key=lambda r: r.eid):
