@@ -138,18 +138,26 @@ def evidence_graph(spark, sf_dir: str) -> PropertyGraph:
     type within its files, so that later plans read columns and row groups instead of
     cleaning the deliveries again.
     """
-    names = ("graph_nodes", "graph_links", "shared_nodes")
-    files = Files(spark)
-    state = tuple(files.state(f"{sf_dir}/{n}.parquet") for n in names)
-    kept = spark.__dict__.setdefault("_nodeloom_graphs", {})
-    if (sf_dir, state) not in kept:
+
+    def make():
         work = Workspace(spark, "graph")
         shared = table(spark, sf_dir, "shared_nodes").select("id", "kind", "node_label", "lang")
         nodes = _latest_nodes(table(spark, sf_dir, "graph_nodes")).unionByName(shared, allowMissingColumns=True).withColumn("label", node_label("kind"))
         nodes = work.stage(nodes.sortWithinPartitions("label"))
         live = PropertyGraph(nodes, _first_links(table(spark, sf_dir, "graph_links"))).drop_dangling()
-        kept[sf_dir, state] = PropertyGraph(nodes, work.stage(live.edges.sortWithinPartitions("type")), closed=True)
-    return kept[sf_dir, state]
+        return PropertyGraph(nodes, work.stage(live.edges.sortWithinPartitions("type")), closed=True)
+
+    return made_once(spark, sf_dir, "graph", make)
+
+
+def made_once(spark, sf_dir: str, what: str, make):
+    """What ``make`` derives from the graph tables of a folder, once a session and state of their files."""
+    files = Files(spark)
+    state = tuple(files.state(f"{sf_dir}/{n}.parquet") for n in ("graph_nodes", "graph_links", "shared_nodes"))
+    kept = spark.__dict__.setdefault("_nodeloom_made", {})
+    if (what, sf_dir, state) not in kept:
+        kept[what, sf_dir, state] = make()
+    return kept[what, sf_dir, state]
 
 
 def code_graph(spark, sf_dir: str) -> PropertyGraph:

@@ -109,8 +109,8 @@ def affected(graph: PropertyGraph, seeds: DataFrame, max_depth: int = 8, types:
     return closure(directed(graph, types, "in"), start, max_depth)
 
 
-def trails(graph: PropertyGraph, pairs: DataFrame, max_depth: int = 8, direction: str = "out", types: tuple[str, ...] | None = None) -> DataFrame:
-    """Shortest path between each pair (a, b): (a, b, hops, path), path being the node ids.
+def trails(graph: PropertyGraph, pairs: DataFrame, max_depth: int = 8, direction: str = "out", types: tuple[str, ...] | None = None, *, paths: bool = True) -> DataFrame:
+    """Shortest path between each pair (a, b): (a, b, hops, path), path being the node ids (with ``paths``).
 
     Pairs without a path within ``max_depth`` have a null path. All pairs are searched at
     once and each from both ends: a step moves on the side whose frontier is smaller, and a
@@ -128,26 +128,24 @@ def trails(graph: PropertyGraph, pairs: DataFrame, max_depth: int = 8, direction
     for side in sides:
         side[2] = side[1]
     met = pairs.where("a = b").select(*key, F.lit(0).alias("hops"), F.col("a").alias("meet"))
-    met, found = work.stage_counted(met, n=F.count(F.lit(1)))
-    left = asked["n"] - found["n"]
     for depth in range(1, max_depth + 1):
-        if not left:
-            break
         side = min(sides, key=lambda x: x[3])
         other = sides[1] if side is sides[0] else sides[0]
         adjacency, level, seen, _, steps = side
-        front = level.join(met.select(*key), key, "left_anti").select(*key, F.col("node").alias("here"), (F.col("depth") + 1).alias("depth"))
-        step = front.join(adjacency, "here").groupBy(*key, F.col("there").alias("node")).agg(F.min(F.struct("eid", "here")).alias("m"), F.first("depth").alias("depth"))
-        fresh = step.join(seen.select(*key, "node"), [*key, "node"], "left_anti").select(*key, "node", "depth", F.col("m.here").alias("parent"))
+        front = level.join(met.select(*key), key, "left_anti").select(*key, F.col("node").alias("here"))
+        step = front.join(adjacency, "here").groupBy(*key, F.col("there").alias("node")).agg(F.min(F.struct("eid", "here")).alias("m"))
+        fresh = step.join(seen.select(*key, "node"), [*key, "node"], "left_anti")
+        # what has been met before is done, so a meeting lies on the frontiers of both sides
+        ahead = other[1].select(*key, "node", F.lit(True).alias("hit"))
+        fresh = fresh.join(ahead, [*key, "node"], "left").select(*key, "node", F.lit(steps + 1).alias("depth"), F.col("m.here").alias("parent"), "hit")
         level, n = work.stage_counted(fresh, n=F.count(F.lit(1)))
         if not n["n"]:
-            break  # nothing more can be reached from this side
+            break  # every pair has met, or nothing more can be reached from this side
+        met = met.unionByName(level.where("hit").groupBy(*key).agg(F.min("node").alias("meet")).select(*key, F.lit(depth).alias("hops"), "meet"))
+        level = level.drop("hit")
         side[1:] = level, seen.unionByName(level), n["n"], steps + 1
-        # what has been met before is done, so a meeting lies on the frontiers of both sides
-        now = level.select(*key, "node").join(other[1].select(*key, "node"), [*key, "node"]).groupBy(*key).agg(F.min("node").alias("meet"))
-        now, found = work.stage_counted(now.select(*key, F.lit(depth).alias("hops"), "meet"), n=F.count(F.lit(1)))
-        left -= found["n"]
-        met = met.unionByName(now)
+    if not paths:
+        return pairs.join(met.select(*key, "hops"), key, "left")
     out = met.withColumn("path", F.array("meet"))
     for k, (_, _, seen, _, steps) in enumerate(sides):
         if not steps:
@@ -164,8 +162,8 @@ def trails(graph: PropertyGraph, pairs: DataFrame, max_depth: int = 8, direction
 def node_trail(graph: PropertyGraph, pairs: DataFrame, max_depth: int = 8) -> DataFrame:
     """Directed shortest paths; ``diagnostic`` tells pairs that only connect against the direction."""
     there = Workspace(graph.spark, "trail").stage(trails(graph, pairs, max_depth, "out"))
-    lost = there.where("path is null").select("a", "b")
-    any_way = trails(graph, lost, max_depth, "both").where("path is not null").select("a", "b", F.lit("direction_mismatch").alias("diagnostic"))
+    lost = there.where("hops is null").select("a", "b")
+    any_way = trails(graph, lost, max_depth, "both", paths=False).where("hops is not null").select("a", "b", F.lit("direction_mismatch").alias("diagnostic"))
     return there.join(any_way, ["a", "b"], "left")
 
 

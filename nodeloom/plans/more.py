@@ -13,7 +13,7 @@ from ..runtime import table
 from ..text import rank as rk
 from ..text import tokens as tk
 from .patterns import CODE_SQL
-from .text_history import _first_and_last, _questions, _terms, _tokens
+from .text_history import _first_and_last, _index, _questions, _terms, _tokens
 
 WANTED = ("r000001:none", "update_snapshot", "pick_anchor", "docs", "render_lexer")
 
@@ -28,11 +28,11 @@ def t1_plain_names(spark, d):
 
 
 def w1_best_per_term(spark, d):
-    return rk.best_per_term(code_graph(spark, d).nodes, _questions(spark))
+    return rk.best_per_term(_index(spark, d), _questions(spark))
 
 
 def w3_seeds(spark, d):
-    return rk.seeds(rk.bm25(code_graph(spark, d).nodes, _questions(spark), 20), code_graph(spark, d).nodes)
+    return rk.seeds(rk.bm25(_index(spark, d), _questions(spark), 20), code_graph(spark, d).nodes)
 
 
 #: Questions about a name, as people put them.
@@ -58,13 +58,13 @@ def _asked(spark):
 
 def r4_seed_order(spark, d):
     g = code_graph(spark, d)
-    scored = rk.bm25(g.nodes, _questions(spark), 50).select("query_id", "id", F.floor("score").cast("double").alias("score"))
+    scored = rk.bm25(_index(spark, d), _questions(spark), 50).select("query_id", "id", F.floor("score").cast("double").alias("score"))
     return rk.order_seeds(scored, rk.seed_rank(g.nodes, g.edges), 20)
 
 
 def r5_typed_rank(spark, d):
     g = code_graph(spark, d)
-    return rk.typed_rank(g.nodes, g.edges, _asked(spark))
+    return rk.typed_rank(g.nodes, g.edges, _asked(spark), index=_index(spark, d))
 
 
 def r7_predicates(spark, d):
@@ -79,7 +79,7 @@ def q1_channels(spark, d):
 
 def d9_ambiguity(spark, d):
     g = code_graph(spark, d)
-    return rk.ambiguity(rk.typed_rank(g.nodes, g.edges, _asked(spark), 100))
+    return rk.ambiguity(rk.typed_rank(g.nodes, g.edges, _asked(spark), 100, _index(spark, d)))
 
 
 def d7_hubs(spark, d):

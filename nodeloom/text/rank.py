@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,14 +25,29 @@ def postings(nodes: DataFrame) -> DataFrame:
     return flat.join(lengths, "id").select("id", "term", "tf", "length")
 
 
-def _term_scores(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """The postings of nodes, written by term so that a question reads the row groups of its terms; and how many nodes there are, and how long."""
+
+    postings: DataFrame
+    n: int
+    avg: float
+
+
+def build_index(nodes: DataFrame) -> Index:
+    p = Workspace(nodes.sparkSession, "postings").stage(postings(nodes).repartition("term").sortWithinPartitions("term"))
+    docs = p.select("id", "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).first()
+    return Index(p, docs.n, docs.avg or 0.0)
+
+
+def _term_scores(nodes: DataFrame | Index, queries: DataFrame) -> DataFrame:
     """(query_id, term, id, part): what each term adds to a node's score."""
-    p = Workspace(nodes.sparkSession, "postings").stage(postings(nodes))  # the index: read for lengths, frequencies and hits
-    docs = p.select("id", "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg"))
+    index = nodes if isinstance(nodes, Index) else build_index(nodes)
     terms = queries.select("query_id", F.explode(F.array_distinct(tk.query_terms(F.col("text")))).alias("term"))
+    p = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = terms.join(df, "term").join(p, "term")
-    n, avg = docs.select("n").scalar(), docs.select("avg").scalar()
+    n, avg = F.lit(index.n), F.lit(index.avg)
     part = tk.idf(n, F.col("df")) * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest(avg, F.lit(1.0)))))
     return hits.select("query_id", "term", "id", F.round(part, 9).alias("part"))
 
@@ -39,12 +56,12 @@ def _best(scored: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "term").agg(F.min(F.struct((-F.col("part")).alias("p"), F.col("id").alias("id"))).alias("m")).select("query_id", "term", F.col("m.id").alias("id"), (-F.col("m.p")).alias("score"))
 
 
-def best_per_term(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+def best_per_term(nodes: DataFrame | Index, queries: DataFrame) -> DataFrame:
     """(query_id, term, id, score): the best node of each query term, ties by id."""
     return _best(_term_scores(nodes, queries))
 
 
-def bm25(nodes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+def bm25(nodes: DataFrame | Index, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, id, score, rank) for ``queries(query_id, text)``.
 
     The best node of each query term is pinned: pinned nodes take places first, the rest
@@ -247,7 +264,7 @@ def recall(nodes: DataFrame, edges: DataFrame, queries: DataFrame, limit: int =
     return best.unionByName(fuzzy.select("query_id", "id", F.lit("fuzzy").alias("channel"), F.lit(CHANNELS["fuzzy"]).alias("priority")))
 
 
-def typed_rank(nodes: DataFrame, edges: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+def typed_rank(nodes: DataFrame, edges: DataFrame, queries: DataFrame, limit: int = 20, index: Index | None = None) -> DataFrame:
     """(query_id, id, tier, evidence, score, rank) of recalled nodes.
 
     Tiers: 6 exact id, 5 exact name, 4 two or more terms of the question in the name or in
@@ -263,7 +280,7 @@ def typed_rank(nodes: DataFrame, edges: DataFrame, queries: DataFrame, limit: in
     direct = terms.join(names, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("direct"))
     calls = edges.where("type = 'CALLS'").select("src", "dst").distinct()
     below = terms.join(names.withColumnRenamed("id", "dst"), "term").join(calls, "dst").select("query_id", F.col("src").alias("id"), "term").distinct().groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("evidence"))
-    score = _term_scores(nodes, queries).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    score = _term_scores(index or nodes, queries).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     z = lambda c: F.coalesce(c, F.lit(0))
     all_ = found.join(direct, ["query_id", "id"], "left").join(below, ["query_id", "id"], "left").join(score, ["query_id", "id"], "left").join(seed_rank(nodes, edges), "id")
     tier = F.when(F.col("channel") == "exact_id", 6).when(F.col("channel") == "exact_name", 5).when((z("direct") >= 2) | (z("evidence") >= 2), 4).when(F.col("channel").isin("alias", "term"), 2).when(z("evidence") == 1, 1).otherwise(0)
