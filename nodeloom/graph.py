@@ -151,13 +151,17 @@ def evidence_graph(spark, sf_dir: str) -> PropertyGraph:
 
 
 def made_once(spark, sf_dir: str, what: str, make):
-    """What ``make`` derives from the graph tables of a folder, once a session and state of their files."""
+    """What ``make`` derives from the graph tables of a folder, once a session and state of their files.
+
+    It is derived again where the tables it was written to are gone.
+    """
     files = Files(spark)
     state = tuple(files.state(f"{sf_dir}/{n}.parquet") for n in ("graph_nodes", "graph_links", "shared_nodes"))
     kept = spark.__dict__.setdefault("_nodeloom_made", {})
-    if (what, sf_dir, state) not in kept:
-        kept[what, sf_dir, state] = make()
-    return kept[what, sf_dir, state]
+    known = kept.get((what, sf_dir, state))
+    if known is None or not all(files.names(x._staged_path) for x in vars(known).values() if hasattr(x, "_staged_path")):
+        known = kept[what, sf_dir, state] = make()
+    return known
 
 
 def code_graph(spark, sf_dir: str) -> PropertyGraph:

@@ -43,3 +43,14 @@ def test_staging_and_dropping(spark, tmp_path, monkeypatch):
 def test_empty_tables_can_be_staged(spark):
     df, seen = Workspace(spark, "t").stage_counted(spark.range(0), n=F.count(F.lit(1)))
     assert seen["n"] == 0 and df.count() == 0
+
+
+def test_the_cleaned_graph_is_made_once_and_again_where_it_is_gone(spark, data):
+    from nodeloom.graph import code_graph, evidence_graph
+    from nodeloom.runtime import Files
+
+    first = evidence_graph(spark, data)
+    assert evidence_graph(spark, data) is first
+    n = code_graph(spark, data).edges.count()
+    Files(spark).remove(first.edges._staged_path)
+    assert evidence_graph(spark, data) is not first and code_graph(spark, data).edges.count() == n > 0
