@@ -211,7 +211,7 @@ def l_refused(spark, d):
     return spark.createDataFrame([(q, code(q)) for q in REFUSED], "query string, code string")
 
 
-LONGS = {"j6_var_length": "hops", "j7_shortest": "hops", "j11_path": "n", "pr26_unwind": "k", "a1_empty": "n c", "f22_f24_lists": "a b d e f g", "pr11_property": "deep", "pr13_literals": "l", "f2_f15_paths": "n k", "f3_head_last": "h t", "cq_trails": "hops"}
+LONGS = {"j6_var_length": "hops", "j7_shortest": "hops", "j8_all_shortest": "hops", "j11_path": "n", "pr26_unwind": "k", "a1_empty": "n c", "f22_f24_lists": "a b d e f g", "pr11_property": "deep", "pr13_literals": "l", "f2_f15_paths": "n k", "f3_head_last": "h t", "cq_trails": "hops"}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -121,7 +121,7 @@ def full_scan(nodes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFram
     score = F.round(whole + F.col("flat") + F.col("tiers") * (F.col("matched") / F.col("k")) ** 2, 6)
     out = per.join(asked, "query_id").select("query_id", "id", score.alias("score"), F.length("name").alias("size"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "size", "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "id", "score", "rank")
+    return out.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= limit).select("query_id", "id", "score", "rank")
 
 
 def callee_recall(edges: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
