@@ -154,3 +154,18 @@ def test_trails_from_both_ends(spark):
         for (a, b), (hops, path) in got.items():
             assert hops == reached(step, a).get(b), (a, b)
             assert path is None if hops is None else (path[0], path[-1], len(path)) == (a, b, hops + 1) and all(y in step[x] for x, y in zip(path, path[1:]))
+
+
+def test_louvain_in_few_jobs_and_in_blocks(spark):
+    """One task clusters what it can hold; blocks lose no node and find as good communities."""
+    inner = [(f"{g:02}{i}", f"{g:02}{j}") for g in range(30) for i in range(6) for j in range(i)]
+    edges = spark.createDataFrame([(min(e), max(e)) for e in inner + [(f"{g:02}0", f"{(g + 1) % 30:02}1") for g in range(30)]], "a string, b string")
+    spark.sparkContext.setJobGroup("louvain", "")
+    one = {r.id: r.community for r in an.louvain(edges).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("louvain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 30
+    many = an.louvain(edges, held=100)
+    assert {r.id for r in many.collect()} == set(one) and all(one[c] == c for c in one.values())
+    quality = [an.modularity(edges, m).first()[0] for m in (spark.createDataFrame(list(one.items()), "id string, community string"), many)]
+    assert min(quality) > 0.85
