@@ -169,3 +169,17 @@ def test_louvain_in_few_jobs_and_in_blocks(spark):
     assert {r.id for r in many.collect()} == set(one) and all(one[c] == c for c in one.values())
     quality = [an.modularity(edges, m).first()[0] for m in (spark.createDataFrame(list(one.items()), "id string, community string"), many)]
     assert min(quality) > 0.85
+
+
+def test_betweenness_of_held_graphs_in_few_jobs(spark):
+    """Tasks that hold the graph find what joins in blocks of sources find."""
+    edges = spark.createDataFrame([(f"{i:02}", f"{(i * k + k) % 60:02}") for i in range(60) for k in (1, 7) if i < (i * k + k) % 60] + [("p", "q")], "a string, b string")
+    for f, few in ((an.edge_betweenness, {"block": 30}), (an.node_betweenness, {"rows": 2000}), (lambda *a, **k: an.node_betweenness(*a, exact=5, sources=7, **k), {"rows": 100})):
+        spark.sparkContext.setJobGroup("paths", "")
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("paths"))
+        held = [tuple(r) for r in f(edges).collect()]
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("paths")) - before
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert jobs < 25
+        joined = {tuple(r[:-1]): r[-1] for r in f(edges, held=0, **few).collect()}
+        assert len(held) == len(joined) and all(abs(r[-1] - joined[r[:-1]]) < 1e-11 for r in held)
