@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import history as hi
-from ..graph import code_graph
+from ..graph import code_graph, numbered_graph
 from ..operators import analytics as an
 from ..operators import traverse as tr
 from ..query import routes
@@ -120,9 +120,11 @@ def g17_declarations(spark, d):
 
 def an9_incremental(spark, d):
     """Communities after only those that a changed node touches have been found again."""
-    g = code_graph(spark, d)
-    changed = g.nodes.where("label = 'Interface'").select("id")
-    return an.recluster(g, an.communities(g).withColumn("community", F.col("community").cast("string")), changed)
+    g = numbered_graph(spark, d)
+    found = an.anew(an.simple_edges(g), an.communities(g), g.nodes.where("label = 'Interface'").select("id"))
+    names = g.nodes.select("id", "name")
+    shown = found.join(names, "id").join(names.withColumnsRenamed({"id": "fresh", "name": "first"}), "fresh", "left")
+    return shown.select(F.col("name").alias("id"), F.coalesce("first", F.col("community").cast("string")).alias("community"))
 
 
 def an21_diff_summary(spark, d):
