@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from nodeloom.graph import code_graph
 from nodeloom.operators import analytics as an
 from nodeloom.operators import arrays
-from nodeloom.plans import more
+from nodeloom.plans import more, structure
 
 
 def shuffled(spark, query, data, folder) -> tuple[list, float]:
@@ -62,3 +62,11 @@ def test_whole_graphs_cluster_as_their_link_ends(loops, monkeypatch):
         got = arrays.communities_of(a + wide, b + wide)
         assert all((x + wide == y).all() for x, y in zip(want, got, strict=True))
     assert 5 < len(set(want[1])) < 100
+
+
+def test_an10_stable_ids_shuffles_numbers(spark, data, tmp_path):
+    rows, share = shuffled(spark, structure.an10_stable_ids, data, tmp_path)
+    assert share < 2.2
+    g = code_graph(spark, data)
+    want = an.remap_communities(an.louvain(an.simple_edges(g)), an.communities(g)).collect()
+    assert {tuple(r) for r in rows} == {tuple(r) for r in want} and len(rows) == len(want)
